@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables below ``sf_dir``."""
+    """One of the corpus tables below ``sf_dir``; Arrow batches are kept small for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
