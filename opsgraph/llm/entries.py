@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kd_sharding, packing, superminhash, training_order, url_filter
+from . import kd_sharding, packing, suffix_dedup, superminhash, training_order, url_filter
 
 QUERIES = {
     "op3_training_order": training_order.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op7_kd_sharding": kd_sharding.query,
     "op8_packing": packing.query,
     "op9_url_filter": url_filter.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 SQL = {"op9_url_filter": url_filter.SQL}
