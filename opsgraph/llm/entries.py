@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import kd_sharding, packing, suffix_dedup, superminhash, training_order, url_filter
+from . import kd_sharding, packing, quality, suffix_dedup, superminhash, training_order, url_filter
 
 QUERIES = {
     "op3_training_order": training_order.query,
+    "op4_quality": quality.query,
     "op6_superminhash": superminhash.query,
     "op7_kd_sharding": kd_sharding.query,
     "op8_packing": packing.query,
