@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import kd_sharding, packing, quality, suffix_dedup, superminhash, training_order, url_filter
+from . import kd_sharding, packing, quality, suffix_dedup, superminhash, training_order, url_filter, vector_graph
 
 QUERIES = {
+    "op2_vector_graph": vector_graph.query,
     "op3_training_order": training_order.query,
     "op4_quality": quality.query,
     "op6_superminhash": superminhash.query,
