@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import kd_sharding, packing, quality, suffix_dedup, superminhash, training_order, url_filter, vector_graph
+from . import decontaminate, kd_sharding, licenses, packing, quality, suffix_dedup, superminhash, training_order, url_filter, vector_graph
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_vector_graph": vector_graph.query,
     "op3_training_order": training_order.query,
     "op4_quality": quality.query,
+    "op5_licenses": licenses.query,
     "op6_superminhash": superminhash.query,
     "op7_kd_sharding": kd_sharding.query,
     "op8_packing": packing.query,

@@ -322,7 +322,7 @@ def _suffix_runs(parts: int):
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary()), pa.array(flag, pa.binary())], names=["part", "blob", "flags"])
 
         for batch in batches:
-            for doc, text, codes in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for doc, text, codes in zip(batch.column(0), batch.column(1), batch.column("codes")):
                 if not codes.is_valid:
                     continue
                 raw, doc = text.as_buffer().to_pybytes(), doc.as_py()
@@ -398,33 +398,35 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-def repeated_windows(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, code``: the runs of windows to remove, several rows a document."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def judged_contexts(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, int]:
+    """``doc_id, code``: repeated windows and those left to the suffix sort; and the number of receivers."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(spark.conf.get("spark.sql.shuffle.partitions"), -(-size // (8 << 20)), key=int))
-    sent = docs.filter("doc_id IS NOT NULL").mapInArrow(_send_anchors(parts, hot), "part int, blob binary")
+    sent = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_send_anchors(parts, hot), "part int, blob binary")
     return materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_judge_contexts(hot), "doc_id long, code long"), "contexts"), parts
 
 
-def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` for every row.
+def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` and the columns ``carry``, for every row.
 
     ``kept_text`` is what remains; bytes of a character that a removed span cuts are dropped from it.
     """
-    contexts, parts = repeated_windows(documents, hot)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    contexts, parts = judged_contexts(docs, hot)
     open_ = contexts.filter("code & 3 <> 0").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    # both joins take all columns of docs, so that its one exchange serves both
     runs = docs.join(open_, "doc_id", "left").mapInArrow(_suffix_runs(parts), "part int, blob binary, flags binary")
     found = runs.repartitionById(parts, F.col("part")).mapInArrow(_merge, "doc_id long, code long")
     marks = contexts.filter("code & 3 = 0").unionByName(found).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    types = dict(documents.dtypes)
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"`{c}` {types[c]}" for c in carry)])
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, codes in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for text, codes in zip(batch.column(1), batch.column("codes")):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 kept, removed, spans = raw, 0, 0
                 if codes.is_valid:
@@ -436,10 +438,10 @@ def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
                     removed = int(gone.sum())
                     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((doc.as_py(), len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text.is_valid else None))
+                rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text.is_valid else None))
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                kinds = [pa.int64()] * 3 + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *(batch.column(2 + i) for i in range(len(carry)))], names=names)
 
     return docs.join(marks, "doc_id", "left").mapInArrow(cut, schema)
 
