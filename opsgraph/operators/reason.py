@@ -52,7 +52,7 @@ def first_and_last_breach(telemetry: DataFrame) -> DataFrame:
 def correlate(telemetry: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     """``tenant_id, incident_id, pattern_type, entities, seconds, coefficient, causal`` of each pattern found; one aggregation."""
     f = first_and_last_breach(telemetry)
-    gap = lambda a, b: F.abs(F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
+    gap = lambda a, b: F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
 
     def pattern(kind, when, entities, seconds):
         return F.when(when, F.struct(F.lit(kind[0]).alias("pattern_type"), entities.alias("entities"), seconds.cast("long").alias("seconds"), F.lit(kind[1]).alias("coefficient"), F.lit(kind[2]).alias("causal")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .queries import ALL
+from .twins import TWINS
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(TWINS)
