@@ -5,7 +5,7 @@ Templates and texts are sequences of lower-cased words without marks.  Hashes of
 neighbours, the first and the last always) into an inverted index.  Every gram of
 a document is looked up; hits of a template on neighbouring diagonals form one
 candidate, whose region is aligned to the template inside a band of ``BAND``
-words.  Reported are the matched coverage of the template and the byte span of
+words (half the template's length if that is less).  Reported are the matched coverage of the template and the byte span of
 the match in the text.
 
 The templates are a fixed list (``TEMPLATES``); what is sent to the tasks is
@@ -142,15 +142,16 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
                 first_word = np.searchsorted(doc, np.arange(len(off)))
                 for (d, t), diagonals in regions.items():
                     diagonals = sorted(set(diagonals))
+                    near = min(band, len(index["tokens"][t]) // 2)  # repeats of a short notice stay apart
                     group = [diagonals[0]]
                     for x in [*diagonals[1:], None]:
-                        if x is not None and x - group[-1] <= band:
+                        if x is not None and x - group[-1] <= near:
                             group.append(x)
                             continue
                         template = index["tokens"][t]
-                        a = max(int(first_word[d]), group[0] - band)
-                        b = min(int(first_word[d + 1]), group[-1] + len(template) + band)
-                        wide = band + group[-1] - group[0]
+                        a = max(int(first_word[d]), group[0] - near)
+                        b = min(int(first_word[d + 1]), group[-1] + len(template) + near)
+                        wide = near + group[-1] - group[0]
                         c, i, j = banded_alignment(template, h[a:b], wide)
                         if c >= coverage * len(template):
                             base = off[d]
