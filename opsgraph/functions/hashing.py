@@ -58,10 +58,13 @@ def word_terms(text: Column) -> Column:
 
 def with_embedding(df: DataFrame, key: list[str], text: str = "text", name: str = "embedding", dim: int = DIM) -> DataFrame:
     """Add a unit vector per row: each word adds 2.0 to its bucket, each 4-gram of a word 0.5; no words, zeros."""
-    words = df.select(*key, F.explode(word_terms(F.col(text))).alias("t")).groupBy(*key, "t").agg(F.count(F.lit(1)).alias("n"))
-    grams = F.when(F.length("t") >= 4, F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.struct(F.substring("t", i, F.lit(4)).alias("t"), F.lit(0.5).alias("w")))).otherwise(F.array())
-    terms = words.select(*key, "n", F.explode(F.concat(F.array(F.struct(F.col("t"), F.lit(2.0).alias("w"))), grams)).alias("x"))
-    sums = terms.groupBy(*key, bucket(F.col("x.t"), dim).alias("b")).agg(F.sum(F.col("x.w") * F.col("n")).alias("v"))
+    text_ = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]", " ")
+    words = df.select(*key, F.explode(F.split(text_, " ")).alias("t")).filter("t <> ''").groupBy(*key, "t").agg(F.count(F.lit(1)).alias("n"))
+    # each distinct word is hashed once; its buckets and weights then go to the rows that hold it
+    grams = F.when(F.length("t") >= 4, F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.struct(bucket(F.substring("t", i, F.lit(4)), dim).alias("b"), F.lit(0.5).alias("w")))).otherwise(F.array())
+    vocabulary = words.select("t").distinct().select("t", F.concat(F.array(F.struct(bucket(F.col("t"), dim).alias("b"), F.lit(2.0).alias("w"))), grams).alias("x"))
+    terms = words.join(vocabulary, "t").select(*key, "n", F.explode("x").alias("x"))
+    sums = terms.groupBy(*key, F.col("x.b").alias("b")).agg(F.sum(F.col("x.w") * F.col("n")).alias("v"))
     maps = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     dense = maps.select(*key, raw.alias("v")).select(*key, F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias(name))

@@ -20,7 +20,7 @@ BUCKETS = {
 SLOTS = ("Plant", "Line", "Cell", "Station")
 
 
-def _materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Written once to the folder that all executors share."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,7 +40,7 @@ def active_asof(edges: DataFrame, as_of) -> DataFrame:
 
 def check_endpoints(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges whose two ends exist in their tenant, and the others."""
-    known = nodes.select("tenant_id", "id").distinct()
+    known = nodes.select("tenant_id", "id")
     s, t = known.withColumnRenamed("id", "source_id"), known.withColumnRenamed("id", "target_id")
     good = edges.join(s, ["tenant_id", "source_id"], "left_semi").join(t, ["tenant_id", "target_id"], "left_semi")
     bad = edges.join(s, ["tenant_id", "source_id"], "left_anti").unionByName(edges.join(s, ["tenant_id", "source_id"], "left_semi").join(t, ["tenant_id", "target_id"], "left_anti"))
@@ -73,14 +73,14 @@ def traverse(roots: DataFrame, nodes: DataFrame, edges: DataFrame, direction: st
     if relations:
         edges = edges.filter(F.col("relation_type").isin(relations))
     steps = _steps(edges, direction)
-    own = nodes.select("tenant_id", F.col("id").alias("root_id")).distinct()
+    own = nodes.select("tenant_id", F.col("id").alias("root_id"))
     none = F.lit(None).cast("string")
     frontier = roots.select("tenant_id", "root_id").distinct().join(own, ["tenant_id", "root_id"], "left_semi")
     frontier = frontier.select("tenant_id", "root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("depth"), none.alias("edge_id"), F.lit("DOWNSTREAM").alias("dir"),
                                F.array().cast("array<bigint>").alias("path"))
     seen = frontier
     walked = None
-    exists = nodes.select("tenant_id", F.col("id").alias("node_id")).distinct()
+    exists = nodes.select("tenant_id", F.col("id").alias("node_id"))
     for depth in range(1, max_depth + 1):
         hop = frontier.select("tenant_id", "root_id", F.col("node_id").alias("at"), "path").join(steps, ["tenant_id", "at"])
         used = hop.select("tenant_id", "root_id", "edge_id").distinct()
@@ -88,7 +88,7 @@ def traverse(roots: DataFrame, nodes: DataFrame, edges: DataFrame, direction: st
         order = F.concat("path", F.array(F.col("dir_no").cast("bigint"), F.col("edge_seq").cast("bigint")))
         found = hop.withColumn("order", order).groupBy("tenant_id", "root_id", F.col("next").alias("node_id")).agg(F.min(F.struct("order", "edge_id", "dir")).alias("f"))
         found = found.join(seen.select("tenant_id", "root_id", "node_id"), ["tenant_id", "root_id", "node_id"], "left_anti").join(exists, ["tenant_id", "node_id"], "left_semi")
-        frontier = _materialize(found.select("tenant_id", "root_id", "node_id", F.lit(depth).alias("depth"), "f.edge_id", "f.dir", F.col("f.order").alias("path")))
+        frontier = materialize(found.select("tenant_id", "root_id", "node_id", F.lit(depth).alias("depth"), "f.edge_id", "f.dir", F.col("f.order").alias("path")))
         seen = seen.unionByName(frontier)
         if not frontier.limit(1).count():
             break

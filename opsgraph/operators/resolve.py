@@ -51,15 +51,24 @@ def match_candidates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     tagged = open_.join(e.select("tenant_id", F.col("e_tag").alias("i_tag"), "e_id", "e_seq"), ["tenant_id", "i_tag"])
     tagged = tagged.select("tenant_id", "i_in_id", "e_id", "e_seq", F.lit(0.98).alias("confidence"), F.lit(2).alias("rule"))
     # a tagged row still meets the names: only a full match beats 0.98
-    kinds = e.groupBy("tenant_id", "e_entity_type", "e_name", "e_model").agg(F.min_by("e_id", F.struct("e_seq", "e_id")).alias("e_id"), F.min("e_seq").alias("e_seq"))
+    # names are compared once per distinct pair of a tenant and type, models likewise; nodes only add up per similarity
+    at = ["tenant_id", "e_entity_type"]
+    kinds = e.groupBy(*at, "e_name", "e_model").agg(F.min(F.struct("e_seq", "e_id")).alias("e"))
     asked = open_.select("tenant_id", F.col("i_entity_type").alias("e_entity_type"), "i_name", "i_model").distinct()
     x, y = F.length(F.trim("i_name")), F.length(F.trim("e_name"))
     bound = F.when((x > 0) & (y > 0), F.least(x, y) / F.greatest(x, y)).otherwise(1.0)
-    no_model = F.col("i_model").isNull() | F.col("e_model").isNull()
-    reach = F.when(no_model, (F.lit(0.3) + bound * 0.5) / 0.8).otherwise(F.lit(0.3) + bound * 0.5 + 0.2) >= REVIEW - 0.006
-    pairs = asked.join(kinds, ["tenant_id", "e_entity_type"]).filter(reach)
-    pairs = pairs.withColumn("confidence", fuzzy_confidence(_similarity(F.col("i_name"), F.col("e_name")), _similarity(F.col("i_model"), F.col("e_model")))).filter("confidence > 0")
-    best = pairs.groupBy("tenant_id", "e_entity_type", "i_name", "i_model").agg(F.max_by(F.struct("e_id", "e_seq", "confidence"), F.struct("confidence", -F.col("e_seq"))).alias("b"))
+    reach = F.greatest((F.lit(0.3) + bound * 0.5) / 0.8, F.lit(0.5) + bound * 0.5) >= REVIEW - 0.006
+    names = asked.select(*at, "i_name").distinct().join(kinds.select(*at, "e_name").distinct(), at).filter(reach)
+    names = names.withColumn("name_sim", _similarity(F.col("i_name"), F.col("e_name")))
+    alike = names.alias("n").join(kinds.alias("k"), (F.col("n.tenant_id") == F.col("k.tenant_id")) & (F.col("n.e_entity_type") == F.col("k.e_entity_type")) & F.col("n.e_name").eqNullSafe(F.col("k.e_name")))
+    alike = alike.select("n.tenant_id", "n.e_entity_type", "n.i_name", "k.e_model", "n.name_sim", "k.e").groupBy(*at, "i_name", "e_model", "name_sim").agg(F.min("e").alias("e"))
+    models = asked.select(*at, "i_model").distinct().join(kinds.select(*at, "e_model").distinct(), at).withColumn("model_sim", _similarity(F.col("i_model"), F.col("e_model")))
+    met = asked.alias("q").join(alike.alias("k"), (F.col("q.tenant_id") == F.col("k.tenant_id")) & (F.col("q.e_entity_type") == F.col("k.e_entity_type")) & F.col("q.i_name").eqNullSafe(F.col("k.i_name"))).select(
+        "q.tenant_id", "q.e_entity_type", "q.i_name", "q.i_model", "k.e_model", "k.name_sim", "k.e.e_id", "k.e.e_seq")
+    pairs = met.alias("p").join(models.alias("m"), (F.col("p.tenant_id") == F.col("m.tenant_id")) & (F.col("p.e_entity_type") == F.col("m.e_entity_type")) & F.col("p.i_model").eqNullSafe(F.col("m.i_model")) & F.col("p.e_model").eqNullSafe(F.col("m.e_model"))).select("p.*", "m.model_sim")
+    pairs = pairs.withColumn("confidence", fuzzy_confidence(F.col("name_sim"), F.col("model_sim"))).filter("confidence > 0")
+    best = pairs.groupBy(*at, "i_name", "i_model").agg(F.max(F.struct("confidence", (-F.col("e_seq")).alias("s"), "e_id")).alias("b"))
+    best = best.select(*at, "i_name", "i_model", F.struct(F.col("b.e_id"), (-F.col("b.s")).alias("e_seq"), F.col("b.confidence")).alias("b"))
     fuzzy = open_.alias("o").join(best.alias("b"), (F.col("o.tenant_id") == F.col("b.tenant_id")) & (F.col("i_entity_type") == F.col("e_entity_type")) & F.col("o.i_name").eqNullSafe(F.col("b.i_name")) & F.col("o.i_model").eqNullSafe(F.col("b.i_model")))
     fuzzy = fuzzy.select("o.tenant_id", "i_in_id", "b.b.e_id", "b.b.e_seq", "b.b.confidence", F.lit(3).alias("rule"))
     # a node counts by the first rule that it meets

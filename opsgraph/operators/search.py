@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from ..functions import numeric as N
 from ..functions.hashing import with_embedding
 from ..functions.text import bm25_tokens, error_codes, table_cells, tech_specs, token_count, trimmed
-from .graph import neighborhood
+from .graph import materialize, neighborhood
 
 CHUNK_SIZE, OVERLAP = 800, 100
 DEFAULT_SECTION = "General Overview"
@@ -125,11 +125,15 @@ def ingest_rollup(chunks: DataFrame) -> DataFrame:
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``postings(tenant_id, term, chunk_id, tf)`` and ``lengths(tenant_id, chunk_id, len)``; each code adds 5 to its term, not to the length."""
-    tokens = chunks.select("tenant_id", F.col("id").alias("chunk_id"), bm25_tokens(F.col("content")).alias("t"), "error_codes")
-    words = tokens.select("tenant_id", "chunk_id", F.explode("t").alias("term"), F.lit(1).alias("w"))
-    codes = tokens.select("tenant_id", "chunk_id", F.explode("error_codes").alias("term")).select("tenant_id", "chunk_id", F.lower("term").alias("term"), F.lit(N.CODE_TF).alias("w"))
+    text = F.regexp_replace(F.lower("content"), r"[^a-z0-9\-_./]", " ")
+    raw = chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.explode(F.split(text, " ")).alias("t")).filter("t <> ''")
+    forms = F.when(F.col("t").contains("-"), F.array(F.col("t"), F.replace("t", F.lit("-"), F.lit("")))).otherwise(F.array("t"))
+    words = raw.select("tenant_id", "chunk_id", F.explode(forms).alias("term"), F.lit(1).alias("w"))
+    codes = chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.explode("error_codes").alias("x")).select("tenant_id", "chunk_id", F.lower("x").alias("term"), F.lit(N.CODE_TF).alias("w"))
     postings = words.unionByName(codes).groupBy("tenant_id", "term", "chunk_id").agg(F.sum("w").alias("tf"))
-    return postings, tokens.select("tenant_id", "chunk_id", F.size("t").alias("len"))
+    # a hyphenated token counts twice
+    size = F.regexp_count(F.lower("content"), F.lit(r"[a-z0-9\-_./]+")) + F.regexp_count(F.lower("content"), F.lit(r"[a-z0-9_./]*-[a-z0-9\-_./]*"))
+    return postings, chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.coalesce(size, F.lit(0)).alias("len"))
 
 
 def bm25_remove(postings: DataFrame, lengths: DataFrame, chunk_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +151,9 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, D
     postings, lengths = index or bm25_index(chunks)
     terms = queries.select("tenant_id", "query_id", F.posexplode(bm25_tokens(F.col("query"))).alias("p", "term"))
     terms = terms.groupBy("tenant_id", "query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("p").alias("first"))
+    lengths = materialize(lengths)
     stats = lengths.groupBy("tenant_id").agg(F.avg("len").alias("mean"), F.count(F.lit(1)).alias("n"))
-    wanted = postings.join(terms.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
+    wanted = materialize(postings.join(terms.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi"))
     df = wanted.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
     scored = wanted.join(df, ["tenant_id", "term"]).join(terms, ["tenant_id", "term"]).join(stats, "tenant_id").join(lengths, ["tenant_id", "chunk_id"])
     part = N.bm25_term(F.col("tf"), F.greatest("len", F.lit(1)), F.col("mean"), F.col("n"), F.col("df")) * F.col("times")
