@@ -129,3 +129,8 @@ def dossier(roots: DataFrame, nodes: DataFrame, edges: DataFrame, as_of=None) ->
     sentence = F.format_string("%s (%s) located at %s // %s. Configured with %d active sensors, executing %d work orders, with %d logged maintenance events.",
                                "name", "entity_type", F.coalesce("plant", F.lit("Main Facility")), F.coalesce("line", F.lit("Unassigned Line")), F.size("sensors"), F.size("work_orders"), F.size("maintenance_orders"))
     return out.withColumn("summary", sentence)
+
+
+def connected_names(dossiers: DataFrame) -> DataFrame:
+    """A root's own name with its sensors, work orders and maintenance orders as one list."""
+    return dossiers.select("tenant_id", "root_id", F.concat(F.array("name"), "sensors", "work_orders", "maintenance_orders").alias("connected"))

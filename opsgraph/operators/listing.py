@@ -69,3 +69,23 @@ def counts_by_tenant(df: DataFrame, name: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
+
+
+def recent_actions(logs: DataFrame, n: int = 5) -> DataFrame:
+    """The newest audit actions of each tenant."""
+    return top_per_group(logs, ["tenant_id"], [F.desc("timestamp"), F.asc("id")], n)
+
+
+def chunks_of_document(chunks: DataFrame, document: str) -> DataFrame:
+    return chunks.filter(F.col("document_id") == document).orderBy("chunk_index")
+
+
+def documents_of_tenant(documents: DataFrame, chunks: DataFrame, tenant: str) -> DataFrame:
+    """A tenant's documents with their number of chunks."""
+    n = chunks.groupBy("tenant_id", F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return for_tenant(documents, tenant).join(n, ["tenant_id", "id"], "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+
+
+def get_by_id(df: DataFrame, tenant: str, item: str, key: str = "id") -> DataFrame:
+    """One source, proposal or other row of a tenant."""
+    return for_tenant(df, tenant).filter(F.col(key) == item)

@@ -107,6 +107,13 @@ def link_mentions(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
     return chunks.join(hits, ["tenant_id", "id"], "left").withColumn("linked_entity_ids", F.array_union("linked_entity_ids", F.coalesce("__l", F.array().cast("array<string>")))).drop("__l")
 
 
+def first_mention(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``tenant_id, id, node_id``: the first node by insertion whose name or canonical id occurs in the text, ignoring case."""
+    named = nodes.select("tenant_id", F.col("id").alias("node_id"), "seq", F.explode(F.array(F.lower("name"), F.lower("canonical_id"))).alias("__k")).filter("__k <> ''")
+    hits = texts.select("tenant_id", "id", F.lower("content").alias("__c")).join(named, "tenant_id").filter(F.contains("__c", "__k"))
+    return hits.groupBy("tenant_id", "id").agg(F.min(F.struct("seq", "node_id")).alias("m")).select("tenant_id", "id", "m.node_id")
+
+
 def document_structure(documents: DataFrame) -> DataFrame:
     """Lines with their section and, for table rows, the number of their table, by windows over each document."""
     lines = documents.select("tenant_id", "id", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).withColumn("t", trimmed(F.col("line")))

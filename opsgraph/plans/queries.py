@@ -330,6 +330,92 @@ def term_buckets(spark, d):
     return load(spark, d, "part").select("p_name").distinct().select("p_name", bucket(F.col("p_name")).cast("long").alias("bucket"))
 
 
+def list_nodes(spark, d):
+    return listing.list_nodes(load(spark, d, "nodes"), "t1", "Line").select("id", "name", "seq")
+
+
+def find_by_canonical(spark, d):
+    return listing.find_by_canonical(load(spark, d, "nodes"), "t0", "supplier#000000007").select("id", "canonical_id")
+
+
+def filter_records(spark, d):
+    records = ingest.normalized(ingest.tag_outcomes(load(spark, d, "raw_rows")), "CSV_IMPORT")
+    return listing.filter_records(records, "csv_import", "events").select("tenant_id", "job_id", "row_index", "external_id", "schema_version")
+
+
+def rows_by_tenant(spark, d):
+    return listing.counts_by_tenant(load(spark, d, "raw_rows"), "n")
+
+
+def latest_orders(spark, d):
+    return listing.latest_n(load(spark, d, "orders"), "o_orderkey", 50, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+def recent_actions(spark, d):
+    return listing.recent_actions(load(spark, d, "audit_raw")).select("tenant_id", "id", "action", F.col("rank").cast("long").alias("rank"))
+
+
+def describe_tables(spark, d):
+    x = landed.describe_tables({n: load(spark, d, n) for n in ("nation", "orders", "events")})
+    return x.select("table_name", "column_name", F.col("column_count").cast("long").alias("column_count"), "row_count")
+
+
+def link_mentions(spark, d):
+    terms = load(spark, d, "docs").select("tenant_id").distinct().select("tenant_id", F.explode(F.array(F.lit("mit license"), F.lit("Apache License"), F.lit("TOKEN"))).alias("canonical_id"))
+    chunks = documents_as_chunks(spark, d).withColumn("linked_entity_ids", F.array().cast("array<string>"))
+    return search.link_mentions(chunks, terms).filter("size(linked_entity_ids) > 0").select("tenant_id", "id", F.array_join("linked_entity_ids", ",").alias("links"))
+
+
+def first_mention(spark, d):
+    terms = load(spark, d, "docs").select("tenant_id").distinct().select("tenant_id", F.explode(F.array(F.struct(F.lit("n1").alias("id"), F.lit("license").alias("name"), F.lit("MIT").alias("canonical_id"), F.lit(1).alias("seq")), F.struct(F.lit("n2").alias("id"), F.lit("token").alias("name"), F.lit("version 3").alias("canonical_id"), F.lit(2).alias("seq")))).alias("n")).select("tenant_id", "n.*")
+    return search.first_mention(load(spark, d, "docs"), terms)
+
+
+def apply_rejections(spark, d):
+    p = _proposals(spark, d)
+    return action.apply_rejections(p, p.filter("seq % 3 = 0").select("tenant_id", "id", F.lit("no").alias("reason"))).select("tenant_id", "id", "approval_status", "rejection_reason")
+
+
+def denied_permissions(spark, d):
+    asked = load(spark, d, "memberships").select("user_id", "tenant_id", "role", F.lit("audit:export").alias("permission"))
+    return access.denied_permissions(asked, access.role_permissions(spark)).select("user_id", "tenant_id", "role", "action", "status")
+
+
+def denied_audit(spark, d):
+    gated = access.access_gate(load(spark, d, "requests"), load(spark, d, "memberships"), load(spark, d, "users"), load(spark, d, "orgs"))
+    return access.denied_audit(gated).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def actions_last_hour(spark, d):
+    return action.actions_last_hour(_proposals(spark, d), load(spark, d, "action_times"), F.lit(NOW).cast("timestamp")).select("tenant_id", "id", "recent_actions")
+
+
+def review_queue(spark, d):
+    existing, incoming = _part_nodes(spark, d)
+    return resolve.review_items(resolve.resolve_entities(existing, incoming), existing).select("tenant_id", "candidate_id", "primary_node_id", "confidence", "status")
+
+
+def assemble_context(spark, d):
+    nodes, edges = _search_nodes(spark, d)
+    asked = load(spark, d, "asked").withColumn("target_entity_id", F.lit("N0"))
+    chunks = documents_as_chunks(spark, d).withColumn("technical_specs", F.create_map().cast("map<string,string>"))
+    hits = search.hybrid_search(asked, chunks, nodes, edges, top_k=5)
+    dossiers = graph.dossier(asked.select("tenant_id", F.col("target_entity_id").alias("root_id")).distinct(), nodes, edges)
+    return search.assemble_context(asked, hits, chunks, load(spark, d, "docs"), dossiers, NOW)
+
+
+def stream_rate_guard(spark, d):
+    from ..streaming import streams
+
+    def make(root):
+        rows = load(spark, d, "action_times").withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.write.parquet(f"{root}/in")
+        out = streams.stream_rate_guard(streams.file_stream(spark, rows.schema, f"{root}/in"), 2, "1 hour")
+        return _to_parquet(out.select("tenant_id", "entity_id", F.col("window.start").alias("start"), "n"), root)
+
+    return _streamed(spark, d, "rate", make)
+
+
 def _streamed(spark, d, name, make, mode="append"):
     """Run a stream over an adapter's files to its end and give what it wrote."""
     import uuid
@@ -392,4 +478,6 @@ def stream_feedback(spark, d):
 ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_outcomes, job_summary, dead_letters, extract_records, accept_pages, incremental_read, incremental_cursor, classify_url, flag_unsafe_sql,
        flag_bad_identifier, graph_stats, check_endpoints, traverse_down, traverse_up, traverse_both_asof, dossier_counts, resolve_entities, merge_nodes, chunk_structure, error_codes, chunk_documents, hash_embedding, vector_topk,
        correlate, breach_flags, rca_evidence, rca_hypotheses, analyze_incidents, evaluate_guardrails, guardrail_verdicts, plan_executions, apply_approvals, verify_feedback, rollback_queue, machine_states, audit_checksums,
-       verify_audit_summary, audit_page, access_gate, member_listing, organizations_of_users, role_checks, duplicate_keys, health_counts, token_lengths, term_buckets, stream_ingest, stream_correlate, stream_feedback]
+       verify_audit_summary, audit_page, access_gate, member_listing, organizations_of_users, role_checks, duplicate_keys, health_counts, token_lengths, term_buckets, list_nodes, find_by_canonical, filter_records, rows_by_tenant,
+       latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context,
+       stream_ingest, stream_correlate, stream_feedback, stream_rate_guard]

@@ -195,6 +195,21 @@ SELECT id, tenant_id, act AS action, "timestamp", (SELECT count(*) FROM g) AS to
     "health_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")),
     "token_lengths": "WITH " + _TOKENS.strip() + f", c AS (SELECT id, count(*) AS n FROM terms GROUP BY ALL) SELECT d.id, coalesce(c.n, 0) AS n_tokens, coalesce(len({_WORDS}), 0)::BIGINT AS n_words FROM docs d LEFT JOIN c USING (id)",
     "term_buckets": f"SELECT DISTINCT p_name, {_BUCKET('p_name')}::BIGINT AS bucket FROM part",
+    "list_nodes": "SELECT id, name, seq FROM nodes WHERE tenant_id = 't1' AND entity_type = 'Line'",
+    "find_by_canonical": "SELECT id, canonical_id FROM nodes WHERE tenant_id = 't0' AND lower(canonical_id) = 'supplier#000000007' ORDER BY seq LIMIT 1",
+    "filter_records": "WITH " + _TAGGED.strip() + """ SELECT tenant_id, job_id, row_index, coalesce(CASE WHEN raw_json[1] = '{' THEN nullif(nullif(json_extract_string(raw_json, '$.order_id'), '0'), '') END, CASE WHEN raw_json[1] = '{' THEN json_extract_string(raw_json, '$.sku') END, 'ext_' || CAST(row_index AS VARCHAR)) AS external_id, '1.0.0' AS schema_version FROM t WHERE outcome = 'VALID'""",
+    "rows_by_tenant": "SELECT tenant_id, count(*) AS n FROM raw_rows GROUP BY ALL",
+    "latest_orders": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 50",
+    "recent_actions": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY "timestamp" DESC, id) AS rank FROM audit_raw) SELECT tenant_id, id, action, rank FROM k WHERE rank <= 5""",
+    "describe_tables": """SELECT 'nation' AS table_name, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name, 3::BIGINT AS column_count, (SELECT count(*) FROM nation) AS row_count
+UNION ALL SELECT 'orders', unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']), 6, (SELECT count(*) FROM orders) UNION ALL SELECT 'events', unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']), 6, (SELECT count(*) FROM events)""",
+    "link_mentions": """WITH x AS (SELECT tenant_id, id, unnest(['Apache License', 'TOKEN', 'mit license']) AS k, lower(content) AS c FROM docs) SELECT tenant_id, id, string_agg(k, ',' ORDER BY k) AS links FROM x WHERE contains(c, lower(k)) GROUP BY ALL""",
+    "first_mention": "SELECT tenant_id, id, CASE WHEN contains(lower(content), 'license') OR contains(lower(content), 'mit') THEN 'n1' ELSE 'n2' END AS node_id FROM docs WHERE contains(lower(content), 'license') OR contains(lower(content), 'mit') OR contains(lower(content), 'token') OR contains(lower(content), 'version 3')",
+    "apply_rejections": "SELECT tenant_id, id, CASE WHEN seq % 3 = 0 THEN 'REJECTED' ELSE approval_status END AS approval_status, CASE WHEN seq % 3 = 0 THEN 'no' END AS rejection_reason FROM proposals",
+    "denied_permissions": "SELECT user_id, tenant_id, role, 'PERMISSION_DENIED' AS action, 'BLOCKED' AS status FROM memberships WHERE role NOT IN ('SUPER_ADMIN', 'ORG_ADMIN', 'AUDITOR')",
+    "denied_audit": "SELECT tenant_id, count(*) AS n FROM requests WHERE tenant_id IN (SELECT id FROM orgs) AND user_id NOT IN (SELECT id FROM users WHERE is_super_admin) AND (user_id, tenant_id) NOT IN (SELECT user_id, tenant_id FROM memberships WHERE status = 'ACTIVE') GROUP BY ALL",
+    "actions_last_hour": "SELECT p.tenant_id, p.id, (SELECT count(*) FROM action_times a WHERE a.tenant_id = p.tenant_id AND a.entity_id = p.target_entity_id AND a.ts > TIMESTAMP '2024-01-20 11:00:00') AS recent_actions FROM proposals p",
+    "review_queue": "WITH " + _RESOLVE.strip() + " SELECT tenant_id, in_id AS candidate_id, matched_id AS primary_node_id, confidence, 'PENDING' AS status FROM r WHERE action = 'QUEUED_FOR_REVIEW'",
     "stream_ingest": "WITH " + _TAGGED.strip() + " SELECT tenant_id, job_id, count(*) FILTER (outcome = 'VALID') AS n_valid FROM t GROUP BY ALL",
 }
 

@@ -39,3 +39,15 @@ def export_audit(logs: DataFrame, limit: int = 5000) -> DataFrame:
     total = logs.agg(F.count(F.lit(1)).alias("total"))
     newest = logs.orderBy(F.desc("timestamp"), "id").limit(limit)
     return newest.crossJoin(F.broadcast(total)).withColumn("algorithm", F.lit("HMAC-SHA256"))
+
+
+def register_sources(current: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """The source table with new rows (``tenant_id, name, kind``), their ids derived from tenant and name."""
+    rows = new.withColumn("id", F.sha2(F.concat_ws("|", "tenant_id", "name"), 256)).withColumn("created_at", F.lit(now))
+    return current.unionByName(rows.join(current.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti"), allowMissingColumns=True)
+
+
+def ingest_documents(chunks: DataFrame, index: tuple[DataFrame, DataFrame], path: str) -> None:
+    """Append embedded chunks, postings and lengths below one folder."""
+    for name, df in (("chunks", chunks), ("postings", index[0]), ("lengths", index[1])):
+        append_partitioned(df, f"{path}/{name}")
