@@ -36,55 +36,44 @@ def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _rank(*parts) -> F.Column:
-    return F.xxhash64(*parts)
+def link_buckets(members: DataFrame, verify, verify_blocks, whole: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Link what shares a bucket: returns ``(links, components)``; every pair in a bucket is covered.
 
-
-def link_buckets(members: DataFrame, verify, small: int = 8, max_rounds: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Link what shares a bucket: returns ``(links, components)``.
-
-    ``members(key, id)`` tells which ids stand in which bucket and
+    ``members(key, id)`` tells which ids stand in which bucket.
     ``verify(pairs(a, b))`` returns the pairs that truly link.  Pairs inside a
-    component add nothing, so only pairs across components are ever tried:
-
-    * round 1 tries each member against its bucket's most connected member
-      (the one with the most company over all its buckets);
-    * later rounds try, in every bucket that still holds several components, all
-      pairs across them if the bucket has at most ``small`` members, and else
-      each member against a new random member of another component,
+    component add nothing, so only pairs across components are tried:
 
-    until a round over the open buckets brings no new link.  A round's pairs are
-    at most one per member (or ``small``), whatever the size of a bucket.
+    1. Each member meets its bucket's hub, the member with the most company over
+       all its buckets.  In a group of copies this settles nearly all.
+    2. Of buckets that still hold several components, let r members stand outside
+       the largest.  If r times the bucket's size is at most ``whole``, these pairs
+       are tried one by one.
+    3. Larger buckets with the same hub are one group.  ``verify_blocks(groups(hub,
+       id, comp, outside))`` compares the outsiders of each group with all its members in blocks
+       of bounded size and returns links ``(a, b)``, at most one per id and block, that
+       join what is linked; no pair becomes a row.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # what is summed per bucket is written first: beside a plain table, Spark can split a hot bucket in a join
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "sizes")
     crowded = materialize(members.join(sizes, "key"), "members")
     degree = crowded.groupBy("id").agg(F.sum("c").alias("deg"))
     ranked = crowded.join(degree, "id")
-    hubs = ranked.groupBy("key").agg(F.min_by("id", F.struct(-F.col("deg"), F.col("id"))).alias("hub"))
+    hubs = materialize(ranked.groupBy("key").agg(F.min(F.struct((-F.col("deg")).alias("d"), F.col("id"))).alias("h")).select("key", F.col("h.id").alias("hub")), "hubs")
     pairs = crowded.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     tried = materialize(pairs, "pairs")
     links = materialize(verify(tried), "verified")
-    found = components(links)
-    for turn in range(1, max_rounds):
-        placed = with_component(crowded, found)
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        open_ = materialize(placed.join(mixed, "key"), "open")
-        few = open_.filter(f"c <= {small}").groupBy("key").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
-        few = few.select(F.col("m"), F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).filter("x.id < y.id AND x.comp <> y.comp")
-        few = few.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        many = open_.filter(f"c > {small}")
-        heads = many.groupBy("key", "comp").agg(F.min(F.struct(_rank("id", "key", F.lit(turn)), F.col("id"))).alias("h"))
-        one = heads.groupBy("key").agg(F.min(F.struct(F.col("h"), F.col("comp"))).alias("p"))
-        other = heads.join(one, "key").filter("comp <> p.comp").groupBy("key").agg(F.first("p").alias("p"), F.min("h").alias("q"))
-        wide = many.join(other, "key").select("id", F.when(F.col("comp") == F.col("p.comp"), F.col("q.id")).otherwise(F.col("p.h.id")).alias("o"))
-        wide = wide.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-        fresh = materialize(few.unionByName(wide).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
-            break
-        tried = tried.unionByName(fresh)
-        new = materialize(verify(fresh), "verified")
-        if not new.limit(1).count():
-            break
-        links = links.unionByName(new)
-        found = components(links)
-    return links, found
+    placed = with_component(crowded.select("key", "id"), components(links))
+    heads = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = heads.groupBy("key").agg(F.sum("n").alias("s"), F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    mixed = materialize(mixed.select("key", (F.col("s") * (F.col("s") - F.col("top.n"))).alias("cost"), F.col("top.comp").alias("main")), "mixed")
+    open_ = materialize(placed.join(mixed, "key"), "open")
+    rest = open_.filter(f"cost <= {whole} AND comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("xc"))
+    few = open_.filter(f"cost <= {whole}").join(rest, "key").filter("comp <> xc").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+    fresh = materialize(few.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(materialize(verify(fresh), "verified"))
+    wide = open_.filter(f"cost > {whole}")
+    if wide.limit(1).count():
+        # an id of one component may be an outsider in one bucket of a group only: it is one for the group
+        groups = wide.join(hubs, "key").groupBy("hub", "id", "comp").agg(F.max((F.col("comp") != F.col("main")).cast("int")).alias("outside"))
+        links = links.unionByName(materialize(verify_blocks(materialize(groups, "groups")), "blocks"))
+    return links, components(links)

@@ -148,3 +148,16 @@ def distinct_shingles(buf: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.
         keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[keep], d[keep]
     return h, d
+
+
+def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of vertices 0 .. n - 1 with edges a - b, the least vertex that each can reach."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

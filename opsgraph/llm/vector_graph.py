@@ -40,6 +40,7 @@ from pyspark.sql import Window as W
 
 from .common import materialize, table
 from .linking import components
+from .textops import smallest_labels
 
 THRESHOLD = 0.93
 PER_CENTRE = 500
@@ -113,18 +114,6 @@ def range_search(members: np.ndarray, queries: np.ndarray, threshold: float, sam
         yield q, np.flatnonzero(seen & (row >= threshold))
 
 
-def _smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _valid(vector: str):
     x = F.col(vector)
     return x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
@@ -209,7 +198,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), int)
         rank[order] = np.arange(len(ids))
-        low = ids[order][_smallest_labels(len(ids), rank[a], rank[b])][rank] if len(ids) else ids
+        low = ids[order][smallest_labels(len(ids), rank[a], rank[b])][rank] if len(ids) else ids
         keep = (counts > 0) | (low != ids)
         return pa.table({"id": ids[keep], "n": counts[keep], "low": low[keep]})
 
