@@ -198,11 +198,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` of every row of statistics."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
+            s = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return stats.mapInArrow(run, "doc_id long, score double, predicted int")
