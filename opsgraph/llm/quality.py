@@ -207,7 +207,8 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a row is held out by its id; one without id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
