@@ -215,12 +215,12 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges
     Three ranked lists are united and summed in one shuffle.  Fused ties keep the
     order of BM25, then vector, then graph ranks.
     """
-    if "embedding" not in chunks.columns:
-        chunks = embed_chunks(chunks)
+    # only the vector channel reads embeddings; the others must not carry the join that adds them
+    embedded = chunks if "embedding" in chunks.columns else embed_chunks(chunks)
     asked = with_embedding(queries, ["tenant_id", "query_id"], "query")
     none = F.lit(None)
     b = bm25_search(queries, chunks, index).select("tenant_id", "query_id", "chunk_id", F.col("rank").alias("b"), none.cast("int").alias("v"), none.cast("int").alias("g"), F.col("score").alias("bs"), none.cast("double").alias("vs"), none.cast("double").alias("gs"))
-    v = vector_search(asked, chunks, 30).select("tenant_id", "query_id", "chunk_id", none.cast("int").alias("b"), F.col("rank").alias("v"), none.cast("int").alias("g"), none.cast("double").alias("bs"), F.col("similarity").alias("vs"), none.cast("double").alias("gs"))
+    v = vector_search(asked, embedded, 30).select("tenant_id", "query_id", "chunk_id", none.cast("int").alias("b"), F.col("rank").alias("v"), none.cast("int").alias("g"), none.cast("double").alias("bs"), F.col("similarity").alias("vs"), none.cast("double").alias("gs"))
     g = graph_channel(queries, chunks, nodes, edges, as_of).select("tenant_id", "query_id", "chunk_id", none.cast("int").alias("b"), none.cast("int").alias("v"), F.col("rank").alias("g"), none.cast("double").alias("bs"), none.cast("double").alias("vs"), F.col("score").alias("gs"))
     fused = b.unionByName(v).unionByName(g).groupBy("tenant_id", "query_id", "chunk_id").agg(*[F.max(c).alias(c) for c in ("b", "v", "g", "bs", "vs", "gs")])
     fused = fused.withColumn("rrf_score", N.rrf(F.col("b"), F.col("v"), F.col("g"), k))

@@ -119,8 +119,25 @@ c AS (SELECT *, coalesce(last_value(CASE WHEN h THEN regexp_replace(t, '^#+\s*',
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower(content), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
 _BUCKET = lambda t: f"(CAST(('0x' || substr(md5({t}), 1, 4)) AS INTEGER) % 64)"
 
+_QWORDS = _WORDS.replace("content", "query")
+_HYBRID = _BM25[: _BM25.index("SELECT tenant_id, query_id, doc_id, score, rank FROM k")].rstrip() + f""",
+dw AS (SELECT tenant_id, id, seq, unnest({_WORDS}) AS t FROM docs), qw AS (SELECT tenant_id, query_id, unnest({_QWORDS}) AS t FROM asked),
+dg AS (SELECT tenant_id, id, seq, {_BUCKET('t')} AS b, 2.0::DOUBLE AS w FROM dw UNION ALL SELECT tenant_id, id, seq, {_BUCKET('g')}, 0.5 FROM (SELECT tenant_id, id, seq, unnest(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS g FROM dw WHERE length(t) >= 4)),
+qg AS (SELECT tenant_id, query_id, {_BUCKET('t')} AS b, 2.0::DOUBLE AS w FROM qw UNION ALL SELECT tenant_id, query_id, {_BUCKET('g')}, 0.5 FROM (SELECT tenant_id, query_id, unnest(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS g FROM qw WHERE length(t) >= 4)),
+ds AS (SELECT tenant_id, id, seq, b, sum(w) AS w FROM dg GROUP BY ALL), qs AS (SELECT tenant_id, query_id, b, sum(w) AS w FROM qg GROUP BY ALL),
+dn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY tenant_id, id)) AS v FROM ds), qn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY tenant_id, query_id)) AS v FROM qs),
+vc AS (SELECT dn.tenant_id, query_id, id, seq, floor(least(1, sum(dn.v * qn.v)) * 1000 + 0.5) / 1000 AS sim FROM dn JOIN qn ON dn.tenant_id = qn.tenant_id AND dn.b = qn.b GROUP BY ALL),
+vr AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY sim DESC, seq) AS rank FROM vc),
+gr AS (SELECT d.tenant_id, a.query_id, d.id, row_number() OVER (PARTITION BY d.tenant_id, a.query_id ORDER BY d.seq) AS rank FROM docs d JOIN asked a ON d.tenant_id = a.tenant_id WHERE a.query_id <> 'q5' AND d.seq % 25 IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)),
+un AS (SELECT tenant_id, query_id, doc_id AS id, rank AS b, NULL AS v, NULL AS g, score AS bs, NULL AS vs, NULL AS gs FROM k UNION ALL SELECT tenant_id, query_id, id, NULL, rank, NULL, NULL, sim, NULL FROM vr WHERE rank <= 30 UNION ALL SELECT tenant_id, query_id, id, NULL, NULL, rank, NULL, NULL, 1.0 FROM gr),
+fu AS (SELECT tenant_id, query_id, id, max(b) AS b, max(v) AS v, max(g) AS g, max(bs) AS bs, max(vs) AS vs, max(gs) AS gs FROM un GROUP BY ALL),
+sc2 AS (SELECT *, floor((coalesce(1.0::DOUBLE / (60 + b), 0) + coalesce(1.0::DOUBLE / (60 + v), 0) + coalesce(1.5::DOUBLE / (60 + g), 0)) * 10000 + 0.5) / 10000 AS rrf FROM fu),
+rk AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY rrf DESC, b NULLS LAST, v NULLS LAST, g NULLS LAST) AS rank FROM sc2)
+SELECT tenant_id, query_id, rank, id AS document_id, rrf AS rrf_score, coalesce(bs, 0)::DOUBLE AS bm25_score, coalesce(vs, 0)::DOUBLE AS vector_score, coalesce(gs, 0)::DOUBLE AS graph_score FROM rk WHERE rank <= 10"""
+
 _RAW = {
     "bm25_search": _BM25,
+    "hybrid_search": _HYBRID,
     "profile_columns": _PROFILE,
     "detect_delimiter": """WITH o AS (SELECT o_custkey % 200 AS f, o_custkey % 4 AS k, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS n FROM orders)
 SELECT DISTINCT 'f' || CAST(f AS VARCHAR) AS file, CASE f % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM o""",
