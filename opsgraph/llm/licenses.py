@@ -5,11 +5,16 @@ Templates and texts are sequences of lower-cased words without marks.  Hashes of
 neighbours, the first and the last always) into an inverted index.  Every gram of
 a document is looked up; hits of a template on neighbouring diagonals form one
 candidate, whose region is aligned to the template inside a band of ``BAND``
-words (half the template's length if that is less).  Reported are the matched coverage of the template and the byte span of
-the match in the text.
+words (half the template's length if that is less).  A template of more than
+twice ``PIECE`` words is aligned in pieces of about ``PIECE`` words; pieces of
+which half matches are chained in order, so that an insertion does not end the
+match, and their matched words are added up.  Reported are the matched coverage
+of the template and the byte span of the match in the text; of overlapping
+matches the one with most matched words, then the largest coverage.
 
-The templates are a fixed list (``TEMPLATES``); what is sent to the tasks is
-bounded by ``MAX_TEMPLATE_BYTES``.
+The templates are a fixed list: notices and opening clauses (``TEMPLATES``) and
+whole license texts (the files of ``license_texts``, named with ``-text``); what
+is sent to the tasks is bounded by ``MAX_TEMPLATE_BYTES``.
 
 Defined cases: null, empty and blank texts match nothing; very long texts are
 scanned whole; repeated rows are scanned one by one; several matches of a
@@ -20,6 +25,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,9 @@ from .textops import _WEIGHTS, LOWER, chunks, mix, prefix_sums, span_hash, word_
 
 GRAM, WINNOW, BAND = 3, 4, 8
 COVERAGE = 0.8
+PIECE = 200
 MAX_TEMPLATE_BYTES = 16 << 20
-# Opening notices of well-known public licenses.
+# Notices and opening clauses of well-known public licenses.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -46,7 +53,22 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "all-rights-reserved-notice": "All rights reserved.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-notice": "Released under the BSD License.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
 }
+_HEADER = "This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+for _name, _work, _kind, _version in (("GPL-2.0", "program", "", "2"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")):
+    TEMPLATES[_name] = _HEADER.format(work=_work, kind=_kind, version=_version)
+for _code, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    TEMPLATES.setdefault(f"CC-{_code}-4.0-notice", f"Licensed under CC {_code} 4.0.")
+    TEMPLATES.setdefault(f"CC-{_code}-4.0", f"This work is licensed under a Creative Commons {_long} 4.0 International License.")
+    TEMPLATES.setdefault(f"CC-{_code}-3.0-notice", f"Licensed under CC {_code} 3.0.")
+    TEMPLATES.setdefault(f"CC-{_code}-3.0", f"This work is licensed under a Creative Commons {_long} 3.0 Unported License.")
 _MARKS = np.ones(256, dtype=bool)
 _MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = _MARKS[128:] = False
 
@@ -75,20 +97,74 @@ def winnow(grams: np.ndarray, window: int = WINNOW) -> np.ndarray:
     return np.unique(np.concatenate([least, [0, n - 1]]))
 
 
+def all_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the whole texts, read where the query is built."""
+    folder = resources.files(__package__) / "license_texts"
+    texts = {f"{f.name.removesuffix('.txt')}-text": f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+    mit = texts["MIT-text"]
+    texts["MIT-body"] = mit[mit.index("The above copyright notice") :]  # under COVERAGE of the whole without the first clause
+    return TEMPLATES | texts
+
+
 def build_index(templates: dict[str, str], gram: int = GRAM) -> dict:
-    """Word hashes per template, and sorted gram hashes with their ``(template, place)``."""
-    tokens, entries = [], []
+    """Words of each piece of a template, and sorted gram hashes with their ``(piece, place)``."""
+    tokens, whole, sizes, entries = [], [], [], []
     for t, text in enumerate(templates.values()):
         raw = np.frombuffer(text.encode(), np.uint8)
         h = words(raw, np.array([0, len(raw)]))[3]
         if len(h) < gram:
             raise ValueError(f"a template needs {gram} words: {text!r}")
-        tokens.append(h)
-        g = gram_hashes(h, gram)
-        entries += [(int(g[p]), t, int(p)) for p in winnow(g)]
+        sizes.append(len(h))
+        for piece in np.array_split(h, -(-len(h) // PIECE) if len(h) > 2 * PIECE else 1):
+            g = gram_hashes(piece, gram)
+            entries += [(int(g[p]), len(tokens), int(p)) for p in winnow(g)]
+            tokens.append(piece)
+            whole.append(t)
     entries.sort()
-    return {"names": list(templates), "tokens": tokens, "grams": np.array([e[0] for e in entries], np.uint64),
-            "template": np.array([e[1] for e in entries]), "place": np.array([e[2] for e in entries])}
+    return {"names": list(templates), "sizes": sizes, "tokens": tokens, "whole": whole, "grams": np.array([e[0] for e in entries], np.uint64),
+            "piece": np.array([e[1] for e in entries]), "place": np.array([e[2] for e in entries])}
+
+
+def most_common(template: np.ndarray, text: np.ndarray) -> int:
+    """Words matched in order without a band: no less than ``banded_alignment`` finds."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(template.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    left = full
+    for w in text.tolist():
+        if w in places:
+            u = left & places[w]
+            left = (left + u | left - u) & full
+    return len(template) - left.bit_count()
+
+
+def chain_pieces(found: list[tuple[int, int, int, int]], lengths: dict[int, int], slack: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """Yield ``matched, first, last`` of chains with ``least`` matched words; ``found`` has ``first, last, piece, matched``.
+
+    In a chain pieces and places ascend, and two pieces stand at most ``slack``
+    words farther apart than in the template.
+    """
+    found = sorted(found)
+    while found:
+        best: list[tuple[int, int]] = []
+        for k, (first, _, piece, c) in enumerate(found):
+            before = (0, -1)
+            for j in range(k):
+                _, last, p, _ = found[j]
+                shared = max(0, last - first + 1)  # words that both pieces took count once
+                if p < piece and shared <= BAND and first - last <= sum(lengths[x] for x in range(p + 1, piece)) + slack:
+                    before = max(before, (best[j][0] - shared, j))
+            best.append((before[0] + c, before[1]))
+        end = max(range(len(found)), key=lambda k: (best[k][0], -k))
+        if best[end][0] < least:
+            return
+        start = end
+        while best[start][1] >= 0:
+            start = best[start][1]
+        i, j = found[start][0], found[end][1]
+        yield best[end][0], i, j
+        found = [x for x in found if x[1] < i or x[0] > j]
 
 
 def banded_alignment(template: np.ndarray, text: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -119,7 +195,7 @@ def banded_alignment(template: np.ndarray, text: np.ndarray, band: int) -> tuple
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
     """``doc_id, license, n_words, n_matched, coverage, start_byte, end_byte`` of each match of at least ``coverage``."""
-    templates = templates or TEMPLATES
+    templates = templates or all_templates()
     if sum(len(t) for t in templates.values()) > MAX_TEMPLATE_BYTES:
         raise ValueError(f"templates are bounded by {MAX_TEMPLATE_BYTES} bytes")
     shared = documents.sparkSession.sparkContext.broadcast(build_index(templates))
@@ -138,25 +214,41 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
                 regions: dict[tuple[int, int], list[int]] = {}
                 for at in hit.tolist():
                     for e in range(lo[at], hi[at]):
-                        regions.setdefault((int(doc[at]), int(index["template"][e])), []).append(at - int(index["place"][e]))
+                        regions.setdefault((int(doc[at]), int(index["piece"][e])), []).append(at - int(index["place"][e]))
                 first_word = np.searchsorted(doc, np.arange(len(off)))
-                for (d, t), diagonals in regions.items():
+                pieces: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+                for (d, p), diagonals in regions.items():
+                    template, size = index["tokens"][p], index["sizes"][index["whole"][p]]
+                    least = coverage * size if len(template) == size else len(template) / 2
                     diagonals = sorted(set(diagonals))
-                    near = min(band, len(index["tokens"][t]) // 2)  # repeats of a short notice stay apart
+                    near = min(band, len(template) // 2)  # repeats of a short notice stay apart
                     group = [diagonals[0]]
                     for x in [*diagonals[1:], None]:
                         if x is not None and x - group[-1] <= near:
                             group.append(x)
                             continue
-                        template = index["tokens"][t]
                         a = max(int(first_word[d]), group[0] - near)
                         b = min(int(first_word[d + 1]), group[-1] + len(template) + near)
                         wide = near + group[-1] - group[0]
-                        c, i, j = banded_alignment(template, h[a:b], wide)
-                        if c >= coverage * len(template):
-                            base = off[d]
-                            out.append((row + d, index["names"][t], len(template), c, c / len(template), int(start[a + i] - base), int(end[a + j] - base)))
+                        if most_common(template, h[a:b]) >= least:
+                            c, i, j = banded_alignment(template, h[a:b], wide)
+                            if c >= least:
+                                pieces.setdefault((d, index["whole"][p]), []).append((a + i, a + j, p, c))
                         group = [x]
+                matches: dict[int, list[tuple]] = {}
+                for (d, t), found in pieces.items():
+                    size = index["sizes"][t]
+                    if len(index["tokens"][found[0][2]]) == size:
+                        one = [(c, i, j) for i, j, _, c in found]
+                    else:
+                        one = chain_pieces(found, dict(enumerate(map(len, index["tokens"]))), max(PIECE, size // 10), coverage * size)
+                    matches.setdefault(d, []).extend((-c, -c / size, i, j, t) for c, i, j in one)
+                for d, found in matches.items():
+                    taken: list[tuple[int, int]] = []
+                    for c, share, i, j, t in sorted(found):
+                        if all(j < x or i > y for x, y in taken):
+                            taken.append((i, j))
+                            out.append((row + d, index["names"][t], index["sizes"][t], -c, -share, int(start[i] - off[d]), int(end[j] - off[d])))
             if out:
                 rows, *rest = zip(*out)
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]

@@ -192,3 +192,19 @@ def test_registered(spark, duck, name):
         assert key(got.toPandas()) == key(want)
     else:
         assert got.count() >= 0
+
+
+def test_whole_licenses_and_siblings(spark):
+    texts = licenses.all_templates()
+    rng = random.Random(11)
+    gpl3, mit, gpl2 = texts["GPL-3.0-text"], texts["MIT-text"], texts["GPL-2.0"]
+    half = len(gpl3) // 2
+    docs = ["Copyright X. All rights reserved. " + prose(rng, 20), prose(rng, 9) + "\n" + mit, mit[mit.index("The above copyright"):], gpl2, texts["LGPL-2.1"], texts["CC-BY-SA-4.0"], texts["CC-BY-4.0"],
+            gpl3[:half] + prose(rng, 60) + gpl3[half:] + "\n" + prose(rng, 400) + "\n" + texts["GPL-2.0-text"], texts["LGPL-3.0"], "Licensed under CC BY-NC 4.0.", texts["BSD-2-Clause-text"], texts["BSD-3-Clause-text"]]
+    got = {}
+    for r in licenses.scan(frame(spark, list(enumerate(docs)))).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_byte"], r["license"], r["end_byte"]))
+    names = {d: [x[1] for x in sorted(v)] for d, v in got.items()}
+    assert names == {0: ["all-rights-reserved-notice"], 1: ["MIT-text"], 2: ["MIT-body"], 3: ["GPL-2.0"], 4: ["LGPL-2.1"], 5: ["CC-BY-SA-4.0"], 6: ["CC-BY-4.0"], 7: ["GPL-3.0-text", "GPL-2.0-text"],
+                     8: ["LGPL-3.0"], 9: ["CC-BY-NC-4.0-notice"], 10: ["BSD-2-Clause-text"], 11: ["BSD-3-Clause-text"]}
+    assert docs[1].encode()[got[1][0][0] : got[1][0][2]].decode() == mit.rstrip(".\n")
