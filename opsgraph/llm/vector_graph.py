@@ -3,11 +3,17 @@
 Only vectors with equal labels are compared, by cosine in double precision.
 
 1. Equal vectors of a label collapse to the one with the least id.
-2. Each label's vectors are assigned to their ``OVERLAP`` nearest of the label's
+2. Each label's vectors are at home in the shard of the nearest of the label's
    cluster centres (random members, about one per ``PER_CENTRE``; at most
-   ``MAX_CENTRES`` in all, so what is broadcast is bounded).  Close vectors share
-   a shard; a label below twice ``PER_CENTRE`` is one shard and misses nothing.
-3. A shard becomes blocks of at most ``BLOCK`` members times ``BLOCK`` queries.
+   ``MAX_CENTRES`` in all, so what is broadcast is bounded); a label below twice
+   ``PER_CENTRE`` is one shard.  A vector visits every other shard whose centre
+   lies within the angle to its own centre plus the linking angle, unless the
+   plane between the two centres is farther than the linking angle.  Of two linked
+   vectors the one farther from its centre visits the other's home (triangle
+   inequality), so no link is lost; the price is that vectors without clusters
+   visit many shards.
+3. A shard becomes blocks of at most ``BLOCK`` members times ``BLOCK`` queries;
+   visitors are queries only.
    In a block, each point's adjacency list is pruned: of two neighbours, one
    that is ``ALPHA`` times nearer to a kept neighbour than to the point goes.
    Degrees are not capped, so that for any x and member y either x lists y or it
@@ -16,9 +22,9 @@ Only vectors with equal labels are compared, by cosine in double precision.
    lists of all it has reached while they are within twice the linking distance.
    A path to any y within the linking distance stays inside that range, so the
    search of a block is complete.  Found pairs are verified by exact cosine.
-5. Lists are united over shards: a pair found in several shards counts in the
-   first that both share, and each block reports one row per point (its links
-   counted, its component inside the block), never all pairs.
+5. Lists are united over shards: a pair of different homes counts at the home of
+   the vector nearer to its centre, and each block reports one row per point (its
+   links counted, its component inside the block), never all pairs.
 
 ``audit`` measures recall against brute force on a bounded set of queries.
 
@@ -45,7 +51,6 @@ from .textops import smallest_labels
 THRESHOLD = 0.93
 PER_CENTRE = 500
 MAX_CENTRES = 8192
-OVERLAP = 3
 BLOCK = 1500
 ALPHA = 1.05
 
@@ -95,6 +100,12 @@ def greedy_walk(sims: np.ndarray, lists: list[np.ndarray], start: int) -> np.nda
 
 def range_search(members: np.ndarray, queries: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """Yield ``(query, members at cosine >= threshold)`` for unit vectors; ``same`` if both sets are one."""
+    if not same:
+        # queries without any member in range have nothing to search for
+        hits = np.flatnonzero((queries @ members.T >= threshold).any(axis=1))
+        if not len(hits):
+            return
+        queries = queries[hits]
     gram = members @ members.T
     inner = gram.copy()
     np.fill_diagonal(inner, -1.0)
@@ -111,7 +122,7 @@ def range_search(members: np.ndarray, queries: np.ndarray, threshold: float, sam
             seen[todo] = True
             new = np.unique(np.concatenate([lists[i] for i in todo]))
             todo = new[(row[new] >= wide) & ~seen[new]]
-        yield q, np.flatnonzero(seen & (row >= threshold))
+        yield (q if same else int(hits[q])), np.flatnonzero(seen & (row >= threshold))
 
 
 def _valid(vector: str):
@@ -138,7 +149,7 @@ def _centres(points: DataFrame, per_centre: int, max_centres: int) -> dict:
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
-                 per_centre: int = PER_CENTRE, max_centres: int = MAX_CENTRES, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
+                 per_centre: int = PER_CENTRE, max_centres: int = MAX_CENTRES, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
     good = _valid("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -147,10 +158,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     points = materialize(same, "points")
     centres = points.sparkSession.sparkContext.broadcast(_centres(points, per_centre, max_centres))
 
+    angle = float(np.arccos(threshold))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, dims = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list = [[0]] * batch.num_rows
+            homes, radii, visits = [0] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
             groups: dict = {}
             for i, k in enumerate(zip(labels, dims)):
                 if k in centres.value:
@@ -158,28 +171,43 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             for k, index in groups.items():
                 c = centres.value[k]
                 x = np.array([batch.column(2)[i].values.to_numpy() for i in index])
-                near = np.argsort(-(_unit(x) @ c.T), axis=1, kind="stable")[:, :overlap]
-                for i, s in zip(index, np.sort(near, axis=1).tolist()):
-                    out[i] = s
-            yield batch.append_column("shards", pa.array(out, pa.list_(pa.int32())))
-
-    schema = "label {0}, dim int, vector array<double>, id long, copies long, shards array<int>".format(dict(points.dtypes)["label"])
+                cos = np.clip(_unit(x) @ c.T, -1.0, 1.0)
+                home = np.argmax(cos, axis=1)
+                near = cos[np.arange(len(x)), home]
+                radius = np.arccos(near)
+                visit = np.arccos(cos) <= (radius + angle)[:, None] + 1e-6
+                if threshold > 0:
+                    apart = np.sqrt(np.maximum(2.0 - 2.0 * (c[home] @ c.T), 0.0))
+                    visit &= near[:, None] - cos <= np.sin(angle) * apart + 1e-6
+                visit[np.arange(len(x)), home] = False
+                for i, h, r, v in zip(index, home.tolist(), radius.tolist(), visit):
+                    homes[i], radii[i], visits[i] = h, r, np.flatnonzero(v).tolist()
+            for name, column in (("home", pa.array(homes, pa.int32())), ("radius", pa.array(radii, pa.float64())), ("visits", pa.array(visits, pa.list_(pa.int32())))):
+                batch = batch.append_column(name, column)
+            yield batch
+
+    schema = "label {0}, dim int, vector array<double>, id long, copies long, home int, radius double, visits array<int>".format(dict(points.dtypes)["label"])
     placed = materialize(points.select("label", "dim", "vector", "id", "copies").mapInArrow(assign, schema), "placed")
-    spread = placed.withColumn("shard", F.explode("shards"))
-    pieces = spread.groupBy("label", "dim", "shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"))
-    spread = spread.join(pieces, ["label", "dim", "shard"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    shard = ["label", "dim", "shard"]
+    at_home = placed.withColumn("shard", F.col("home"))
+    visitors = placed.withColumn("shard", F.explode("visits"))
+    in_pieces = lambda df, name: df.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    pieces = in_pieces(at_home, "pieces").join(in_pieces(placed.select("label", "dim", F.explode("visits").alias("shard")), "more"), shard, "left").fillna(0, ["more"])
+    # query pieces up to ``pieces`` are those of the members, the visitors' come after
+    at_home = at_home.join(pieces, shard).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    visitors = visitors.join(pieces, shard).withColumn("piece", F.col("pieces") + F.pmod(F.xxhash64("id"), F.col("more")).cast("int"))
     # each point stands as a member in one row of blocks and as a query in one column
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    roles = spread.withColumn("o", other)
-    both = roles.filter("o = piece").select("label", "dim", "shard", F.col("piece").alias("pm"), F.col("piece").alias("pq"), F.lit(0).alias("role"), "id", "copies", "shards", "vector")
-    as_member = roles.filter("o <> piece").select("label", "dim", "shard", F.col("piece").alias("pm"), F.col("o").alias("pq"), F.lit(1).alias("role"), "id", "copies", "shards", "vector")
-    as_query = roles.filter("o <> piece").select("label", "dim", "shard", F.col("o").alias("pm"), F.col("piece").alias("pq"), F.lit(2).alias("role"), "id", "copies", "shards", "vector")
+    inner = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    outer = F.explode(F.sequence(F.lit(0), F.col("pieces") + F.col("more") - 1))
+    rest = ["id", "copies", "home", "radius", "vector"]
+    both = at_home.select(*shard, F.col("piece").alias("pm"), F.col("piece").alias("pq"), F.lit(0).alias("role"), *rest)
+    as_member = at_home.withColumn("o", outer).filter("o <> piece").select(*shard, F.col("piece").alias("pm"), F.col("o").alias("pq"), F.lit(1).alias("role"), *rest)
+    as_query = at_home.withColumn("o", inner).filter("o <> piece").unionByName(visitors.withColumn("o", inner)).select(*shard, F.col("o").alias("pm"), F.col("piece").alias("pq"), F.lit(2).alias("role"), *rest)
 
     def search(t: pa.Table) -> pa.Table:
         role = t.column("role").to_numpy()
         ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
-        shards = [set(s) for s in t.column("shards").to_pylist()]
-        here = t.column("shard")[0].as_py()
+        homes, radii = t.column("home").to_numpy(), t.column("radius").to_numpy()
         x = _unit(t.column("vector").combine_chunks().values.to_numpy().reshape(len(ids), -1))
         m, q = np.flatnonzero(role <= 1), np.flatnonzero((role == 0) | (role == 2))
         single = bool((role == 0).all())
@@ -192,8 +220,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 if not len(them):
                     continue
                 ends.append((np.full(len(them), me), them))
-                mine = shards[me]
-                counts[me] = sum(int(copies[j]) for j in them if min(mine & shards[j]) == here)
+                here = homes[them] == homes[me]
+                counts[me] += copies[them[here]].sum()
+                # a visitor is met as a query only, so its links count for both ends
+                away = them[~here & ((radii[them] < radii[me]) | (radii[them] == radii[me]) & (homes[them] < homes[me]))]
+                counts[me] += copies[away].sum()
+                counts[away] += copies[me]
         a, b = (np.concatenate(e) for e in zip(*ends)) if ends else (np.zeros(0, int), np.zeros(0, int))
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), int)

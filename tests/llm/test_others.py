@@ -208,3 +208,20 @@ def test_whole_licenses_and_siblings(spark):
     assert names == {0: ["all-rights-reserved-notice"], 1: ["MIT-text"], 2: ["MIT-body"], 3: ["GPL-2.0"], 4: ["LGPL-2.1"], 5: ["CC-BY-SA-4.0"], 6: ["CC-BY-4.0"], 7: ["GPL-3.0-text", "GPL-2.0-text"],
                      8: ["LGPL-3.0"], 9: ["CC-BY-NC-4.0-notice"], 10: ["BSD-2-Clause-text"], 11: ["BSD-3-Clause-text"]}
     assert docs[1].encode()[got[1][0][0] : got[1][0][2]].decode() == mit.rstrip(".\n")
+
+
+def test_every_link_is_found_in_many_shards(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(900, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(900, 24))
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([base, 0.935 * base + np.sqrt(1 - 0.935**2) * side, base[:30]])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    cos = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    a, b = np.nonzero(np.triu(cos >= 0.93, 1))
+    degree, comp = np.bincount(np.concatenate([a, b]), minlength=len(x)), components(range(len(x)), list(zip(a.tolist(), b.tolist())))
+    for block in (1500, 40):
+        got = vector_graph.near_vectors(df, per_centre=15, block=block).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(degree[i]), comp[i]) for i in range(len(x))}
