@@ -9,10 +9,12 @@ least ``LITERALS`` of its tokens are not placeholders.
 
 Matching windows of a document and an item on one diagonal (place in the
 document less place in the item) form an alignment.  It is consistent if each
-slot value of the item stands for one value of the document throughout and the
-other way round: a question with other numbers is caught, a chance mixture of
-values is not.  A document with a consistent alignment of ``MIN_WINDOWS`` windows
-is contaminated.
+slot value of the item stands for one value of the document and the other way
+round: a question with other numbers is caught, a chance mixture of values is not.
+``CLASHES`` value of either side may have a second partner (one changed repeat, one
+chance equality).  An alignment with more clashes is consistent too if it holds
+``MIN_WINDOWS`` verbatim windows, or ``RUN`` windows in a row without any clash.
+A document with a consistent alignment of ``MIN_WINDOWS`` windows is contaminated.
 
 Items are expected to be few: while their windows number at most
 ``MAX_BROADCAST`` (8 bytes each), their hashes travel to the tasks and thin the
@@ -41,6 +43,8 @@ WINDOW = 10
 SHORTEST = 6
 LITERALS = 0.6
 MIN_WINDOWS = 1
+CLASHES = 1
+RUN = 10
 MAX_BROADCAST = 4_000_000
 UNITS = ("mg g kg t mm cm m km in ft mi ml cl l ms s sec min h hr hours days weeks months years hz khz mhz ghz w kw mw v kv a ma j kj n kn pa kpa mpa bar psi rpm "
          "mph kmh c f k mol kb mb gb tb usd eur gbp dollars euros cents percent miles meters metres grams liters litres minutes seconds").split()
@@ -135,6 +139,41 @@ def _windows(sizes: list[int], whole_short: bool, wanted: np.ndarray | None):
 _SCHEMA = "id long, hash long, at int, slots array<binary>, total int"
 
 
+def longest_run(windows: list[list[tuple[bytes, bytes]]]) -> int:
+    """Most windows in a row whose slot pairs are one bijection."""
+    there: dict[bytes, dict[bytes, int]] = {}
+    back: dict[bytes, dict[bytes, int]] = {}
+    clashing: set[tuple[bool, bytes]] = set()
+
+    def put(pair: tuple[bytes, bytes], by: int) -> None:
+        for side, (a, b), of in ((True, pair, there), (False, pair[::-1], back)):
+            partners = of.setdefault(a, {})
+            partners[b] = partners.get(b, 0) + by
+            if not partners[b]:
+                del partners[b]
+            (clashing.add if len(partners) > 1 else clashing.discard)((side, a))
+
+    best = first = 0
+    for k, window in enumerate(windows):
+        for pair in window:
+            put(pair, 1)
+        while clashing:
+            for pair in windows[first]:
+                put(pair, -1)
+            first += 1
+        best = max(best, k + 1 - first)
+    return best
+
+
+def _judge(windows) -> tuple[int, int, bool, bool]:
+    """``n_windows, n_slots, consistent, verbatim`` of the windows ``(at, slots, item_slots)`` of one diagonal."""
+    rows = [list(zip(w["slots"], w["item_slots"])) for w in sorted(windows, key=lambda w: w["item_at"])]
+    pairs = {(bytes(d), bytes(b)) for r in rows for d, b in r}
+    same = sum(all(d == b for d, b in r) for r in rows)
+    few = all(len(pairs) - len({p[side] for p in pairs}) <= CLASHES for side in (0, 1))
+    return len(rows), len(pairs), few or same >= MIN_WINDOWS or longest_run([[(bytes(d), bytes(b)) for d, b in r] for r in rows]) >= RUN, same == len(rows)
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``doc_id, item_id, n_windows, coverage, n_slots, consistent, verbatim, contaminated`` per document and item, its best alignment."""
     spark = documents.sparkSession
@@ -151,13 +190,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_B
     own = own.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
     met = materialize(found.join(own, "hash").select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "item_total", "slots", "item_slots"), "met")
     key = ["doc_id", "item_id", "diagonal"]
-    pairs = met.select(*key, F.explode(F.arrays_zip("slots", "item_slots")).alias("p")).select(*key, F.col("p.slots").alias("d"), F.col("p.item_slots").alias("b")).distinct()
-    # a bijection: as many distinct pairs as distinct values on either side
-    slots = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("nd"), F.count_distinct("b").alias("nb"), F.bool_and(F.col("d") == F.col("b")).alias("same"))
-    runs = met.groupBy(*key).agg(F.count_distinct("item_at").alias("n_windows"), F.max("item_total").alias("total"))
-    judged = runs.join(slots, key, "left").select(
-        *key, F.col("n_windows").cast("long"), (F.col("n_windows") / F.col("total")).alias("coverage"), F.coalesce("n", F.lit(0)).cast("long").alias("n_slots"),
-        F.coalesce((F.col("n") == F.col("nd")) & (F.col("n") == F.col("nb")), F.lit(True)).alias("consistent"), F.coalesce("same", F.lit(True)).alias("verbatim"))
+    judge = F.udf(_judge, "n_windows long, n_slots long, consistent boolean, verbatim boolean")
+    # a diagonal has each window of the item once at most
+    runs = met.groupBy(*key).agg(F.collect_list(F.struct("item_at", "slots", "item_slots")).alias("w"), F.max("item_total").alias("total"))
+    judged = runs.select(*key, "total", judge("w").alias("j")).select(*key, "j.*", (F.col("j.n_windows") / F.col("total")).alias("coverage"))
     judged = judged.withColumn("contaminated", F.col("consistent") & (F.col("n_windows") >= MIN_WINDOWS))
     best = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "verbatim", "contaminated"), F.struct("contaminated", "n_windows", "verbatim", -F.col("diagonal"))).alias("b")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

@@ -225,3 +225,16 @@ def test_every_link_is_found_in_many_shards(spark):
     for block in (1500, 40):
         got = vector_graph.near_vectors(df, per_centre=15, block=block).collect()
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(degree[i]), comp[i]) for i in range(len(x))}
+
+
+def test_leaks_with_one_clash(spark):
+    item = "a farmer has 5 red apples in the old basket and sells all of them for 5 coins at the big market, then buys 3 small pears"
+    short = "when 5 plus 5 makes what number"
+    texts = ["x. " + item.replace("for 5 coins", "for 7 coins"), "x. " + item.replace("5", "8").replace("3", "8"), "x. when 5 plus 7 makes what number", "x. when 6 plus 7 makes what number"]
+    long = " and ".join(f"the {i} little grey birds of our garden eat {i + 40} seeds every single morning while it rains" for i in range(11, 19))
+    texts.append("x. " + " and ".join(f"the {w} little grey birds of our garden eat {w + 40} seeds every single morning while it rains" for w in [91, 92, 93, 94, 91, 92, 93, 94]))
+    bench = spark.createDataFrame([(1, item), (2, short), (3, long)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, list(enumerate(texts))), bench).collect() if r["contaminated"]}
+    assert {(0, 1), (1, 1), (2, 2), (4, 3)} <= got and not {d for d, i in got if (d, i) not in {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)}}
+    pair = lambda a, b: [(a, b)]
+    assert decontaminate.longest_run([pair(b"1", b"1"), pair(b"2", b"2"), pair(b"1", b"3"), pair(b"4", b"4")]) == 3 and decontaminate.longest_run([]) == 0
