@@ -1,11 +1,18 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become token sequences in which typed placeholders replace numbers
-(tokens that begin with a digit), units (a known unit after a number) and names
-(a capitalised token inside a sentence); other tokens are lower-cased, marks and
-white space fall away.  Windows of ``WINDOW`` template tokens (a shorter item as
-a whole) are hash-joined between documents and items.  A window counts if at
-least ``LITERALS`` of its tokens are not placeholders.
+(tokens that begin with a digit, with the points and commas between their
+digits), units (a known unit after a number) and names (a run of capitalised
+tokens inside a sentence); other tokens are lower-cased, marks and white space
+fall away.  Windows of ``WINDOW`` template tokens (a shorter item as a whole) are
+hash-joined between documents and items.  A template window counts if at least
+``LITERALS`` of its tokens are not placeholders.
+
+Plain windows, of lower-cased tokens without placeholders, are joined likewise and
+apart from the templates, all of them: a verbatim copy is found in any case and
+whatever it consists of.  Items of fewer than ``SHORTEST`` tokens have their one
+plain window only, and those of fewer than ``SHORTEST_INSIDE`` match only a
+document that is nothing else.
 
 Matching windows of a document and an item on one diagonal (place in the
 document less place in the item) form an alignment.  It is consistent if each
@@ -21,8 +28,9 @@ Items are expected to be few: while their windows number at most
 documents' windows before the join; beyond that every window is joined by
 shuffle.  Both ways give the same rows.
 
-Defined cases: null, empty and blank texts have no windows; items of fewer than
-``SHORTEST`` tokens are ignored; repeated documents are judged one by one and
+Defined cases: null, empty and blank texts have no windows; other values in windows
+without enough literals, or in place of a name that opens a sentence, are not
+recognised; repeated documents are judged one by one and
 repeated items each; very long texts are read whole; empty tables give no rows;
 other columns are ignored.
 """
@@ -41,6 +49,7 @@ from .textops import _WEIGHTS, LOWER, chunks, mix, prefix_sums, span_hash, word_
 
 WINDOW = 10
 SHORTEST = 6
+SHORTEST_INSIDE = 3
 LITERALS = 0.6
 MIN_WINDOWS = 1
 CLASHES = 1
@@ -67,15 +76,32 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.sort(span_hash(prefix_sums(buf), start, end))
 
 
+def _fold(more: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray):
+    """Unite each token with the one before it where ``more`` (for all but the first token) says so."""
+    return start[np.concatenate([[True], ~more])], end[np.concatenate([~more, [True]])], doc[np.concatenate([[True], ~more])]
+
+
+def plain_tokens(buf: np.ndarray, off: np.ndarray):
+    """``start, end, doc, kind, hash`` of the tokens in a chunk, all literal."""
+    start, end, doc = word_spans(buf, off, _MARKS)
+    return start, end, doc, np.full(len(start), LITERAL), span_hash(prefix_sums(LOWER[buf]), start, end) if len(start) else np.zeros(0, np.uint64)
+
+
 def template_tokens(buf: np.ndarray, off: np.ndarray):
     """``start, end, doc, kind, hash`` of the tokens in a chunk; placeholders share one hash per kind."""
     start, end, doc = word_spans(buf, off, _MARKS)
     if not len(start):
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros(0, np.uint64)
+    digit = (buf >= 48) & (buf <= 57)
+    if len(start) > 1:
+        # digits, one point or comma, digits: one number
+        gap = np.minimum(end[:-1], len(buf) - 1)
+        more = (start[1:] - end[:-1] == 1) & ((buf[gap] == 44) | (buf[gap] == 46)) & digit[end[:-1] - 1] & digit[start[1:]] & digit[start[:-1]] & (doc[1:] == doc[:-1])
+        start, end, doc = _fold(more, start, end, doc)
     h = span_hash(prefix_sums(LOWER[buf]), start, end)
+    number = digit[start]
     first = buf[start]
-    number = (first >= 48) & (first <= 57)
     after_number = np.zeros(len(start), bool)
     after_number[1:] = number[:-1] & (doc[1:] == doc[:-1])
     unit = after_number & np.isin(h, _word_hashes(UNITS))
@@ -85,6 +111,13 @@ def template_tokens(buf: np.ndarray, off: np.ndarray):
     opening = (before < off[doc]) | _ENDS[buf[np.maximum(before, 0)]]
     name = (first >= 65) & (first <= 90) & ~opening
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
+    if len(start) > 1:
+        # capitalised tokens with white space between: one name
+        filled = np.concatenate([[0], np.cumsum(~_SPACES[buf])])
+        more = (kind[1:] == NAME) & (kind[:-1] == NAME) & (filled[start[1:]] == filled[end[:-1]]) & (doc[1:] == doc[:-1])
+        kept = np.concatenate([[True], ~more])
+        start, end, doc = _fold(more, start, end, doc)
+        kind, h = kind[kept], h[kept]
     return start, end, doc, kind, np.where(kind == LITERAL, h, _PLACEHOLDER[kind])
 
 
@@ -102,41 +135,44 @@ def window_hashes(h: np.ndarray, doc: np.ndarray, kind: np.ndarray, size: int) -
     return at, mix(total[at])
 
 
-def _windows(sizes: list[int], whole_short: bool, wanted: np.ndarray | None):
-    """Emit ``id, hash, at, slots`` per window; only windows in ``wanted`` if that is given."""
+def _windows(sizes: list[tuple[bool, int]], whole_short: bool, wanted: np.ndarray | None):
+    """Emit ``id, plain, size, hash, at, slots, total`` per window of the ``(plain, size)``; only windows in ``wanted`` if that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = wanted.value if wanted is not None else None
         for batch in batches:
             for i, j, buf, off in chunks(batch.column(1)):
-                start, end, doc, kind, h = template_tokens(buf, off)
-                counts = np.bincount(doc, minlength=j - i)
-                first_token = np.concatenate([[0], np.cumsum(counts)])
-                ids, hashes, ats, slots, totals = [], [], [], [], []
-                for size in sizes:
-                    at, wh = window_hashes(h, doc, kind, size)
-                    if whole_short and size < WINDOW:
-                        keep = counts[doc[at]] == size
-                        at, wh = at[keep], wh[keep]
-                    if allowed is not None and len(wh):
-                        place = np.minimum(np.searchsorted(allowed, wh), len(allowed) - 1)
-                        keep = allowed[place] == wh if len(allowed) else np.zeros(len(wh), bool)
-                        at, wh = at[keep], wh[keep]
-                    for a, x in zip(at.tolist(), wh.view(np.int64).tolist()):
-                        ids.append(i + doc[a])
-                        hashes.append(x)
-                        ats.append(int(a - first_token[doc[a]]))
-                        slots.append([LOWER[buf[start[t] : end[t]]].tobytes() for t in range(a, a + size) if kind[t] != LITERAL])
-                        totals.append(max(1, int(counts[doc[a]]) - size + 1))
+                ids, plains, lengths, hashes, ats, slots, totals = [], [], [], [], [], [], []
+                for plain in sorted({p for p, _ in sizes}):
+                    start, end, doc, kind, h = (plain_tokens if plain else template_tokens)(buf, off)
+                    counts = np.bincount(doc, minlength=j - i)
+                    first_token = np.concatenate([[0], np.cumsum(counts)])
+                    for size in (n for p, n in sizes if p == plain):
+                        at, wh = window_hashes(h, doc, kind, size)
+                        if whole_short and size < WINDOW or size < SHORTEST_INSIDE:
+                            keep = counts[doc[at]] == size
+                            at, wh = at[keep], wh[keep]
+                        if allowed is not None and len(wh):
+                            place = np.minimum(np.searchsorted(allowed, wh), len(allowed) - 1)
+                            keep = allowed[place] == wh if len(allowed) else np.zeros(len(wh), bool)
+                            at, wh = at[keep], wh[keep]
+                        for a, x in zip(at.tolist(), wh.view(np.int64).tolist()):
+                            ids.append(i + doc[a])
+                            plains.append(plain)
+                            lengths.append(size)
+                            hashes.append(x)
+                            ats.append(int(a - first_token[doc[a]]))
+                            slots.append([b" ".join(LOWER[buf[start[t] : end[t]]].tobytes().split()) for t in range(a, a + size) if kind[t] != LITERAL])
+                            totals.append(max(1, int(counts[doc[a]]) - size + 1))
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(hashes, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.binary())), pa.array(totals, pa.int32())],
-                        names=["id", "hash", "at", "slots", "total"])
+                        [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(plains, pa.bool_()), pa.array(lengths, pa.int32()), pa.array(hashes, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.binary())), pa.array(totals, pa.int32())],
+                        names=["id", "plain", "size", "hash", "at", "slots", "total"])
 
     return run
 
 
-_SCHEMA = "id long, hash long, at int, slots array<binary>, total int"
+_SCHEMA = "id long, plain boolean, size int, hash long, at int, slots array<binary>, total int"
 
 
 def longest_run(windows: list[list[tuple[bytes, bytes]]]) -> int:
@@ -178,24 +214,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_B
     """``doc_id, item_id, n_windows, coverage, n_slots, consistent, verbatim, contaminated`` per document and item, its best alignment."""
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
-    own = materialize(items.mapInArrow(_windows(list(range(SHORTEST, WINDOW + 1)), True, None), _SCHEMA), "item-windows")
+    every = [(True, n) for n in range(1, WINDOW + 1)] + [(False, n) for n in range(SHORTEST, WINDOW + 1)]
+    own = materialize(items.mapInArrow(_windows(every, True, None), _SCHEMA), "item-windows")
     n = own.count()
-    sizes = list(range(SHORTEST, WINDOW + 1))
+    # only lengths that items have are looked for
+    sizes = [(r["plain"], r["size"]) for r in own.select("plain", "size").distinct().collect()]
     wanted = None
     if n <= max_broadcast:
         hashes = np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
         own = F.broadcast(own)
     found = documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windows(sizes, False, wanted), _SCHEMA)
-    own = own.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
-    met = materialize(found.join(own, "hash").select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "item_total", "slots", "item_slots"), "met")
-    key = ["doc_id", "item_id", "diagonal"]
+    own = own.select("plain", "size", "hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
+    met = materialize(found.join(own, ["plain", "size", "hash"]).select(F.col("id").alias("doc_id"), "item_id", "plain", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "item_total", "slots", "item_slots"), "met")
+    key = ["doc_id", "item_id", "plain", "diagonal"]
     judge = F.udf(_judge, "n_windows long, n_slots long, consistent boolean, verbatim boolean")
     # a diagonal has each window of the item once at most
     runs = met.groupBy(*key).agg(F.collect_list(F.struct("item_at", "slots", "item_slots")).alias("w"), F.max("item_total").alias("total"))
     judged = runs.select(*key, "total", judge("w").alias("j")).select(*key, "j.*", (F.col("j.n_windows") / F.col("total")).alias("coverage"))
     judged = judged.withColumn("contaminated", F.col("consistent") & (F.col("n_windows") >= MIN_WINDOWS))
-    best = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "verbatim", "contaminated"), F.struct("contaminated", "n_windows", "verbatim", -F.col("diagonal"))).alias("b")
+    best = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "verbatim", "contaminated"), F.struct("contaminated", "n_windows", "verbatim", ~F.col("plain"), -F.col("diagonal"))).alias("b")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 

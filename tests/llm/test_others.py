@@ -238,3 +238,17 @@ def test_leaks_with_one_clash(spark):
     assert {(0, 1), (1, 1), (2, 2), (4, 3)} <= got and not {d for d, i in got if (d, i) not in {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)}}
     pair = lambda a, b: [(a, b)]
     assert decontaminate.longest_run([pair(b"1", b"1"), pair(b"2", b"2"), pair(b"1", b"3"), pair(b"4", b"4")]) == 3 and decontaminate.longest_run([]) == 0
+
+
+def test_leaks_without_literals_and_of_several_tokens(spark):
+    items = ["12 + 35 = 47 and 8 * 9 = 72, 14 / 7 = 2, 100 - 1 = 99", "The Quick Brown Fox Jumps Over The Lazy Dog Near The Old River", "name three primes", "yes",
+             "a van takes 48 crates from Oslo to the old harbour", "say which river runs through the middle of the small old town"]
+    texts = ["x. " + items[0], "x. " + items[1] + ".", "Please name three primes.", "Yes!", "so yes it is", "x. a van takes 1,250.5 crates from New York to the old harbour", items[5].upper(), "name three other primes"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = {}
+    for most in (1000, 0):
+        got = {(r["doc_id"], r["item_id"]): tuple(r) for r in decontaminate.leaks(frame(spark, list(enumerate(texts))), bench, max_broadcast=most).collect() if r["contaminated"]}
+        assert rows in ({}, got)
+        rows = got
+    assert set(rows) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 4), (6, 5)}
+    assert rows[(0, 0)][6] and not rows[(5, 4)][6]
