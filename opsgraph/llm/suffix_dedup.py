@@ -8,38 +8,50 @@ documents and are judged on the input.  Every text is taken as UTF-8 bytes.
    hash among its 32-byte grams.  Equal windows have their anchors at the same
    place, and a run of windows shares one anchor, so about 3 in 100 positions
    are anchors.  An anchor's context is the text that its windows span.
-2. *Contexts.*  Anchors are exchanged as packed arrays of gram and context hashes
-   (128 bits together).  Of equal contexts the first is kept and the windows of
-   all others are repeats.  A first context whose gram no other context shares
-   holds no repeated window.  What remains are the borders of repeats.
-3. *Suffixes.*  For these, each task sorts the suffixes that start at the anchors
-   (their left contexts as payload), front-codes them by the prefix common with
-   the one before, and sends each receiver its run.  Receivers merge the runs
-   with a loser tree that keeps the common prefix with the last winner and never
-   compares known prefixes again.  Suffixes that share a gram stand together in
-   the merged order; their windows are compared as bytes and the first
-   occurrence of each stays.
-   A gram with more than ``HOT`` contexts is hot: its windows are sorted as
-   suffixes of their own, equal ones are thinned out before the exchange, and
-   the rest are dealt by all 100 bytes, so no receiver gets a hot gram whole.
+2. *Thinning.*  Anchors are exchanged as packed arrays of gram and context hashes.
+   A context whose gram occurs nowhere else holds no repeated window and goes; the
+   others get their kind of suffix: contexts that seem to occur again are compared
+   from their start (``WHOLE``), and of those that look alike the first is also
+   compared with the other contexts of its gram: from the anchor on, with the text
+   to the left as payload (``BORDER``), or, if the gram has more than ``HOT``
+   contexts, window by window (``WINDOWS``).  Hashes decide nothing else.
+3. *Runs.*  Each task sorts its suffixes, keeps one of equal ones (the later ones
+   are repeats), front-codes them by the prefix common with the one before and cuts
+   the run at splitters, a sorted sample of the suffixes, so that range after range
+   holds ever greater suffixes.  Border suffixes are dealt by their gram, all
+   others by all their bytes, so equal suffixes meet and no receiver gets a hot
+   gram whole.
+4. *Merge.*  A range's runs are merged by a loser tree that keeps the common prefix
+   with the last winner and never compares known prefixes again.  Neighbours whose
+   common prefix is their whole length are equal, and the first occurrence stays.
+   For two border suffixes the common prefix R is the least of those of the
+   neighbours between them; with L bytes common to the left, the windows from
+   L to 100 - R bytes before the later anchor are repeats.
+
+A task holds one range at a time, of about ``RANGE`` suffixes; the number of ranges
+grows with the table (up to ``MAX_RANGES``, the bound of what is broadcast).
 
 Defined cases: null and empty texts have no bytes and keep none; a row with a
-null doc_id is returned unchanged and removes nothing; rows that repeat a doc_id
-count as one document; very long texts are processed whole; an empty table gives
-no rows; other columns are ignored.  Contexts are told apart by 128-bit
-polynomial hashes, windows in step 3 by their bytes.
+null doc_id is returned unchanged and removes nothing; rows with equal doc_id and
+text count as one document; rows with equal doc_id and other texts are documents of
+their own, in the order of ``xxhash64(text)`` (from the 32,769th text of one doc_id
+on they are returned unchanged); very long texts are processed whole; an empty
+table gives no rows; other columns are ignored.  Text is removed only where bytes
+were found equal; a collision of two 128-bit hashes could at most keep a repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import materialize, table
 from .textops import chunks, mix, powers, prefix_sums, span_hash
@@ -48,8 +60,12 @@ LENGTH = 100
 GRAM = 32
 HOT = 64
 FLUSH_ANCHORS = 400_000
-FLUSH_SUFFIXES = 100_000
-REPEAT, SUFFIX, WINDOWS = 0, 1, 2
+FLUSH_SUFFIXES = 250_000
+RANGE = 100_000
+MAX_RANGES = 1 << 17
+MAX_TEXTS = 1 << 15
+REPEAT, WHOLE, BORDER, WINDOWS = 0, 1, 2, 4
+COPY, CROWDED, COPIED = 1, 2, 4
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -94,12 +110,14 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return d[first], lo - off[d[first]], at, n, span_hash(s, a, a + gram), context
 
 
-def _code(lo, at, n, kind):
-    return (lo << 16) | (at << 9) | (n << 2) | kind
+def _code(place, at, n, kind):
+    """One number for windows place .. place + n - 1 of a document, whose anchor is at place + at."""
+    return (place << 17) | (at << 10) | (n << 3) | kind
 
 
 def _decode(code: np.ndarray):
-    return code >> 16, (code >> 9) & 127, (code >> 2) & 127, code & 3
+    """``lo, at, n, kind``; ``lo`` without the number of the text."""
+    return (code >> 17) & 0x7FFFFFFF, (code >> 10) & 127, (code >> 3) & 127, code & 7
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -124,37 +142,38 @@ def _send_anchors(parts: int, hot: int):
         held: list[tuple] = []
 
         def flush():
-            doc, lo, at, n, gram, context = (np.concatenate([h[i] for h in held]) for i in range(6))
-            order = np.lexsort((lo, doc, context, gram))
-            doc, lo, at, n, gram, context = (x[order] for x in (doc, lo, at, n, gram, context))
+            doc, place, at, n, gram, context = (np.concatenate([h[i] for h in held]) for i in range(6))
+            order = np.lexsort((place, doc, context, gram))
+            doc, place, at, n, gram, context = (x[order] for x in (doc, place, at, n, gram, context))
             first = _runs(gram, context)
             starts = np.flatnonzero(first)
             of = np.cumsum(first) - 1
-            repeat = ~first & ((doc != doc[starts][of]) | (lo != lo[starts][of]))
-            keep = first | repeat
-            # contexts per gram, and each first context's place among them
+            copy = ~first & _runs(doc, place, gram, context)
+            keep = first | copy
+            # contexts per gram, and each first context's number among them
             gram_new = _runs(gram[starts])
             group = np.cumsum(gram_new) - 1
-            place = np.arange(len(starts)) - np.flatnonzero(gram_new)[group]
+            number = np.arange(len(starts)) - np.flatnonzero(gram_new)[group]
             is_hot = np.bincount(group)[group] > hot
             by_context = np.zeros(len(doc), bool)
-            by_context[starts] = is_hot & (place >= 2)
+            by_context[starts] = is_hot & (number >= 2)
             flag = np.zeros(len(doc), np.uint8)
-            flag[starts] = 2 * is_hot
-            flag[repeat] = 1
-            key = np.where(repeat, mix(doc.astype(np.uint64)), np.where(by_context, context, gram))
+            flag[starts] = CROWDED * is_hot + COPIED * (np.bincount(of, copy) > 0)
+            flag[copy] = COPY
+            key = np.where(copy, mix(doc.astype(np.uint64)), np.where(by_context, context, gram))
             receiver = (mix(key) % np.uint64(parts)).astype(np.int32)
-            out = [gram, context, doc, lo.astype(np.uint32 if lo.max() < 1 << 32 else np.int64), at.astype(np.uint8), n.astype(np.uint8), flag]
+            out = [gram, context, doc, place.astype(np.uint32 if place.max() < 1 << 32 else np.int64), at.astype(np.uint8), n.astype(np.uint8), flag]
             held.clear()
             return _packed(parts, receiver[keep], [c[keep] for c in out])
 
         count = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            versions = batch.column(2).to_numpy(zero_copy_only=False)
             for i, _, buf, off in chunks(batch.column(1)):
-                doc, *rest = anchors(buf, off)
+                doc, lo, *rest = anchors(buf, off)
                 if len(doc):
-                    held.append((ids[i + doc], *rest))
+                    held.append((ids[i + doc], (versions[i + doc] << 31) | lo, *rest))
                     count += len(doc)
                 if count >= FLUSH_ANCHORS:
                     yield flush()
@@ -165,34 +184,37 @@ def _send_anchors(parts: int, hot: int):
     return run
 
 
-def _judge_contexts(hot: int):
+def _choose_kinds(hot: int):
+    """``doc_id, code`` of each anchor whose gram occurs elsewhere too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [pickle.loads(b.as_py()) for batch in batches for b in batch.column(1)]
         if not got:
             return
-        gram, context, doc, lo, at, n, flag = (np.concatenate([g[i] for g in got]) for i in range(7))
+        gram, context, doc, place, at, n, flag = (np.concatenate([g[i] for g in got]) for i in range(7))
         del got
-        lo, at, n = (x.astype(np.int64) for x in (lo, at, n))
-        old = flag == 1
-        out_doc, out_code = [doc[old]], [_code(lo[old], at[old], n[old], REPEAT)]
-        gram, context, doc, lo, at, n, flag = (x[~old] for x in (gram, context, doc, lo, at, n, flag))
-        order = np.lexsort((lo, doc, context, gram))
-        gram, context, doc, lo, at, n, flag = (x[order] for x in (gram, context, doc, lo, at, n, flag))
+        place, at, n = (x.astype(np.int64) for x in (place, at, n))
+        old = flag == COPY
+        out_doc, out_code = [doc[old]], [_code(place[old], at[old], n[old], WHOLE)]
+        gram, context, doc, place, at, n, flag = (x[~old] for x in (gram, context, doc, place, at, n, flag))
         if len(doc):
+            order = np.lexsort((place, doc, context, gram))
+            gram, context, doc, place, at, n, flag = (x[order] for x in (gram, context, doc, place, at, n, flag))
             first = _runs(gram, context)
             starts = np.flatnonzero(first)
             of = np.cumsum(first) - 1
-            repeat = ~first & ((doc != doc[starts][of]) | (lo != lo[starts][of]))
-            out_doc.append(doc[repeat])
-            out_code.append(_code(lo[repeat], at[repeat], n[repeat], REPEAT))
+            other = ~first & _runs(doc, place, gram, context)
+            copied = (np.bincount(of, other) > 0) | (np.bincount(of, (flag & COPIED) > 0) > 0)
             group = np.cumsum(_runs(gram[starts])) - 1
-            marked = np.maximum.reduceat(flag, starts) > 0
+            crowded = np.bincount(group, np.maximum.reduceat(flag & CROWDED, starts)) > 0
             contexts = np.bincount(group)
-            hot_gram = (np.bincount(group, marked) > 0) | (contexts > hot)
-            shared = ((contexts > 1) | hot_gram)[group]
-            s = starts[shared]
-            out_doc.append(doc[s])
-            out_code.append(_code(lo[s], at[s], n[s], np.where(hot_gram[group[shared]], WINDOWS, SUFFIX)))
+            many = crowded | (contexts > hot)
+            kind = np.zeros(len(doc), np.int64)
+            kind[other] = WHOLE
+            kind[starts] = WHOLE * copied + np.where(many[group], WINDOWS, BORDER * (contexts > 1)[group])
+            kept = kind > 0
+            out_doc.append(doc[kept])
+            out_code.append(_code(place[kept], at[kept], n[kept], kind[kept]))
         docs, codes = np.concatenate(out_doc), np.concatenate(out_code)
         for i in range(0, len(docs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 50_000]), pa.array(codes[i : i + 50_000])], names=["doc_id", "code"])
@@ -214,18 +236,18 @@ def common_prefixes(sorted_strings: list[bytes]) -> np.ndarray:
 
 
 def front_code(items: list[tuple]) -> bytes:
-    """A sorted run of ``(suffix, doc, lo, left, n)``, suffixes without the prefix common with the one before."""
+    """A sorted run of ``(suffix, doc, place, n, left)``, suffixes without the prefix common with the one before."""
     lcp = common_prefixes([x[0] for x in items])
     return pickle.dumps((
         lcp.astype(np.uint8), [x[0][k:] for x, k in zip(items, lcp.tolist())],
-        np.array([x[1] for x in items]), np.array([x[2] for x in items]), [x[3] for x in items], np.array([x[4] for x in items], np.uint8)), 5)
+        np.array([x[1] for x in items]), np.array([x[2] for x in items]), np.array([x[3] for x in items], np.uint8), [x[4] for x in items]), 5)
 
 
 def read_run(blob: bytes) -> Iterator[tuple[bytes, int, tuple]]:
-    """``(suffix, lcp with the one before, (doc, lo, left, n))`` of a front-coded run."""
-    lcp, tails, doc, lo, left, n = pickle.loads(blob)
+    """``(suffix, lcp with the one before, (doc, place, n, left))`` of a front-coded run."""
+    lcp, tails, doc, place, n, left = pickle.loads(blob)
     last = b""
-    for k, tail, *rest in zip(lcp.tolist(), tails, doc.tolist(), lo.tolist(), left, n.tolist()):
+    for k, tail, *rest in zip(lcp.tolist(), tails, doc.tolist(), place.tolist(), n.tolist(), left):
         last = last[:k] + tail
         yield last, k, rest
 
@@ -292,45 +314,50 @@ def merge_runs(runs: list[Iterator]) -> Iterator[tuple[bytes, int, tuple]]:
             node //= 2
 
 
-def _suffix_runs(parts: int):
+def _suffix_runs(splitters):
+    """``range, blob, flags``: front-coded runs cut at the splitters, and repeats seen inside a run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = splitters.value
         items: list[tuple] = []
 
         def flush():
-            items.sort(key=lambda x: (x[0], x[1], x[2]))
+            items.sort()
             blobs: dict[int, list] = {}
-            flags: list[tuple[int, int]] = []
-            last = None
+            flags: dict[int, list] = {}
+            last = (None, 0, 0)
             for x in items:
-                if x[3] is None:  # a window of a hot gram
-                    if last is not None and last[0] == x[0]:
-                        if (last[1], last[2]) != (x[1], x[2]):
-                            flags.append((x[1], x[2]))
+                if x[4] is None:
+                    if x[0] == last[0]:
+                        if x[1:3] != last[1:3]:
+                            flags.setdefault(x[1] % (len(cuts) + 1), []).append(x[1:4])
                         continue
                     last = x
-                    where = hash_bytes(x[0]) % parts
+                    where = bisect_right(cuts, x[0])
                 else:
-                    where = hash_bytes(x[0][:GRAM]) % parts
+                    where = bisect_right(cuts, x[0][:GRAM])
                 blobs.setdefault(where, []).append(x)
             items.clear()
             rows = [(p, front_code(b), None) for p, b in blobs.items()]
-            by_doc: dict[int, list] = {}
-            for f in flags:
-                by_doc.setdefault(f[0] % parts, []).append(f)
-            rows += [(p, None, pickle.dumps(np.array(f), 5)) for p, f in by_doc.items()]
+            rows += [(p, None, pickle.dumps(np.array(f, np.int64), 5)) for p, f in flags.items()]
             part, blob, flag = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary()), pa.array(flag, pa.binary())], names=["part", "blob", "flags"])
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary()), pa.array(flag, pa.binary())], names=["range", "blob", "flags"])
 
+        before = None
         for batch in batches:
-            for doc, text, codes in zip(batch.column(0), batch.column(1), batch.column("codes")):
-                if not codes.is_valid:
+            for doc, text, version, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column("__codes")):
+                if not codes.is_valid or (doc, version) == before:
                     continue
-                raw, doc = text.as_buffer().to_pybytes(), doc.as_py()
+                before = doc, version
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for lo, at, n, kind in zip(*(x.tolist() for x in _decode(codes.values.to_numpy()))):
-                    if kind == SUFFIX:
-                        items.append((raw[lo + at : lo + n - 1 + LENGTH], doc, lo, raw[lo : lo + at], n))
-                    else:
-                        items += [(raw[i : i + LENGTH], doc, i, None, 1) for i in range(lo, lo + n)]
+                    place, end = (version << 31) | lo, lo + n - 1 + LENGTH
+                    if kind & WHOLE:
+                        items.append((raw[lo:end], doc, place, n, None))
+                    if kind & BORDER:
+                        items.append((raw[lo + at : end], doc, place, n, raw[lo : lo + at]))
+                    elif kind & WINDOWS:
+                        items += [(raw[lo + i : lo + i + LENGTH], doc, place + i, 1, None) for i in range(n)]
                     if len(items) >= FLUSH_SUFFIXES:
                         yield flush()
         if items:
@@ -339,86 +366,141 @@ def _suffix_runs(parts: int):
     return run
 
 
-def hash_bytes(b: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(b)
-
-
-def _judge_class(members: list[tuple], out: list[tuple[int, int]]) -> None:
-    """Of suffixes that share a gram, mark each window that occurs earlier, as runs of windows."""
-    best: dict[bytes, tuple[int, int]] = {}
-    for suffix, doc, lo, left, n in members:
-        context = left + suffix
-        for i in range(n):
-            w = context[i : i + LENGTH]
-            here = (doc, lo + i)
-            if here < best.get(w, _LAST):
-                best[w] = here
-    for suffix, doc, lo, left, n in members:
-        context, begin = left + suffix, -1
-        for i in range(n + 1):
-            later = i < n and best[context[i : i + LENGTH]] != (doc, lo + i)
-            if later and begin < 0:
-                begin = i
-            elif not later and begin >= 0:
-                out.append((doc, _code(lo + begin, 0, i - begin, REPEAT)))
-                begin = -1
-
-
-_LAST = (float("inf"), 0)
+def _judge_borders(group: list[tuple], out: list[tuple]) -> None:
+    """Add the repeated windows among suffixes ``(lcp with the one before, doc, place, left)`` that share a gram."""
+    lefts = [int.from_bytes(x[3], "little") for x in group]
+    for j in range(1, len(group)):
+        right = LENGTH
+        _, doc, place, left = group[j]
+        anchor = (doc, place + len(left))
+        for i in range(j - 1, -1, -1):
+            right = min(right, group[i + 1][0])
+            most = min(len(left), len(group[i][3]))
+            if most < LENGTH - right:
+                if len(left) < LENGTH - right:
+                    break
+                continue
+            a, b = lefts[i] >> 8 * (len(group[i][3]) - most), lefts[j] >> 8 * (len(left) - most)
+            common = (8 * most - (a ^ b).bit_length()) // 8
+            there = (group[i][1], group[i][2] + len(group[i][3]))
+            if common >= LENGTH - right and there != anchor:
+                later = max(anchor, there)
+                out.append((later[0], later[1] - common, common - (LENGTH - right) + 1))
+
+
+def merge_range(blobs: list[bytes]) -> list[tuple]:
+    """Repeats ``(doc, place, n)`` of windows among the suffixes of one range."""
+    out: list[tuple] = []
+    first: tuple = (0, 0, 0)
+    length = plain = border = 0  # of the last plain suffix; least common prefixes since it and since the last border suffix
+    group: list[tuple] = []
+    for suffix, lcp, (doc, place, n, left) in merge_runs([read_run(b) for b in blobs]):
+        plain, border = min(plain, lcp), min(border, lcp)
+        if left is None:
+            here = (doc, place, n)
+            if plain == length == len(suffix):
+                if here > first:
+                    out.append(here)
+                elif here < first:
+                    out.append(first)
+                    first = here
+            else:
+                first, length = here, len(suffix)
+            plain = 255
+        else:
+            if border < GRAM:
+                if len(group) > 1:
+                    _judge_borders(group, out)
+                group = []
+            group.append((border, doc, place, left))
+            border = 255
+    if len(group) > 1:
+        _judge_borders(group, out)
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blobs, out = [], []
+    """Merge one range after the other; the rows of a partition come sorted by range."""
 
-    def batch_of(rows):
-        doc, code = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(code, pa.int64())], names=["doc_id", "code"])
+    def codes(rows):
+        doc, place, n = np.array(rows, np.int64).T
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(_code(place, 0, n, REPEAT))], names=["doc_id", "code"])
 
+    at, blobs = None, []
     for batch in batches:
-        for blob, flag in zip(batch.column(1), batch.column(2)):
+        for r, blob, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if r != at and blobs:
+                if found := merge_range(blobs):
+                    yield codes(found)
+                blobs = []
+            at = r
             if blob.is_valid:
                 blobs.append(blob.as_py())
-            else:
-                out += [(d, _code(i, 0, 1, REPEAT)) for d, i in pickle.loads(flag.as_py()).tolist()]
-    members: list[tuple] = []
-    for suffix, lcp, rest in merge_runs([read_run(b) for b in blobs]):
-        if lcp < GRAM and members:
-            if len(members) > 1:
-                _judge_class(members, out)
-            members = []
-            if len(out) >= 50_000:
-                yield batch_of(out)
-                out = []
-        members.append((suffix, rest[0], rest[1], rest[2] or b"", rest[3]))
-    if len(members) > 1:
-        _judge_class(members, out)
-    if out:
-        yield batch_of(out)
-
-
-def judged_contexts(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, int]:
-    """``doc_id, code``: repeated windows and those left to the suffix sort; and the number of receivers."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(spark.conf.get("spark.sql.shuffle.partitions"), -(-size // (8 << 20)), key=int))
-    sent = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_send_anchors(parts, hot), "part int, blob binary")
-    return materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_judge_contexts(hot), "doc_id long, code long"), "contexts"), parts
-
-
-def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+            if flag.is_valid:
+                yield codes(pickle.loads(flag.as_py()))
+    if blobs and (found := merge_range(blobs)):
+        yield codes(found)
+
+
+def _splitters(docs: DataFrame, contexts: DataFrame, ranges: int) -> list[bytes]:
+    """A sorted sample of suffixes that cuts them into about ``ranges`` ranges of equal size."""
+    total, wanted = contexts.count(), 8 * ranges
+    if ranges < 2 or not total:
+        return []
+    share = F.pmod(F.xxhash64("doc_id", "code", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, wanted / total) * (1 << 30))
+    # at most a few rows a range: small enough to broadcast
+    picked = contexts.filter(share).select("doc_id", F.shiftright("code", 48).alias("__version"), (F.shiftright("code", 17).bitwiseAND(F.lit(0x7FFFFFFF))).alias("lo"), (F.shiftright("code", 10).bitwiseAND(F.lit(127)) * (F.col("code").bitwiseAND(F.lit(7)) == BORDER).cast("long")).alias("at"))
+    start = (F.col("lo") + F.col("at") + 1).cast("int")
+    found = docs.join(F.broadcast(picked), ["doc_id", "__version"]).select(F.substring(F.col("text").cast("binary"), start, F.lit(LENGTH)).alias("s")).distinct()
+    sample = sorted(bytes(r["s"]) for r in found.collect())
+    return sample[len(sample) // ranges :: max(1, len(sample) // ranges)]
+
+
+def _with_version(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Add ``version``, the number of the text among the texts of its doc_id (0 but for clashing ids), and return all bytes."""
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size"))
+    per_id = known.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("size").alias("size"))
+    size, clashes = per_id.agg(F.sum("size"), F.sum((F.col("a") != F.col("b")).cast("long"))).first()
+    if not clashes:
+        return docs.withColumn("__version", F.lit(0).cast("long")), size or 0
+    order = W.partitionBy("doc_id").orderBy("h")
+    clashing = known.join(per_id.filter("a <> b").select("doc_id"), "doc_id").select("doc_id", "h").distinct()
+    numbered = clashing.withColumn("__version", F.row_number().over(order).cast("long") - 1)
+    numbered = numbered.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.when(F.col("__version") < MAX_TEXTS, F.col("__version")).otherwise(-1).alias("__version"))
+    found = docs.join(numbered, (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return found.select("doc_id", "text", F.coalesce("__version", F.lit(0).cast("long")).alias("__version"), *rest), size or 0
+
+
+def shared_contexts(docs: DataFrame, size: int, hot: int = HOT) -> DataFrame:
+    """``doc_id, code`` of the contexts that go through the suffix sort."""
+    parts = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), -(-size // (8 << 20)), key=int))
+    sent = docs.filter("doc_id IS NOT NULL AND __version >= 0").select("doc_id", "text", "__version").mapInArrow(_send_anchors(parts, hot), "part int, blob binary")
+    return materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_choose_kinds(hot), "doc_id long, code long"), "contexts")
+
+
+def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...] = (), per_range: int = RANGE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` and the columns ``carry``, for every row.
 
     ``kept_text`` is what remains; bytes of a character that a removed span cuts are dropped from it.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    contexts, parts = judged_contexts(docs, hot)
-    open_ = contexts.filter("code & 3 <> 0").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    docs, size = _with_version(docs)
+    docs = docs.select("doc_id", "text", "__version", *carry)
+    contexts = shared_contexts(docs, size, hot)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MAX_RANGES, max(parts, -(-contexts.count() // per_range)))
+    splitters = _splitters(docs, contexts, ranges)
+    ranges, parts = len(splitters) + 1, max(parts, min(len(splitters) + 1, 20_000))
+    key = ["doc_id", "__version"]
+    version = F.shiftright("code", 48).alias("__version")
     # both joins take all columns of docs, so that its one exchange serves both
-    runs = docs.join(open_, "doc_id", "left").mapInArrow(_suffix_runs(parts), "part int, blob binary, flags binary")
-    found = runs.repartitionById(parts, F.col("part")).mapInArrow(_merge, "doc_id long, code long")
-    marks = contexts.filter("code & 3 = 0").unionByName(found).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    runs = docs.join(contexts.groupBy("doc_id", version).agg(F.collect_list("code").alias("__codes")), key, "left").select("doc_id", "text", "__version", *carry, "__codes")
+    runs = runs.mapInArrow(_suffix_runs(spark.sparkContext.broadcast(splitters)), "range int, blob binary, flags binary")
+    dealt = runs.repartitionById(parts, (F.col("range") * F.lit(parts) / F.lit(ranges)).cast("int")).sortWithinPartitions("range")
+    found = dealt.mapInArrow(_merge, "doc_id long, code long")
+    marks = found.groupBy("doc_id", version).agg(F.collect_list("code").alias("__codes"))
     types = dict(documents.dtypes)
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *(f"`{c}` {types[c]}" for c in carry)])
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carry]
@@ -426,14 +508,14 @@ def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...]
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, codes in zip(batch.column(1), batch.column("codes")):
+            for text, codes in zip(batch.column(1), batch.column("__codes")):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 kept, removed, spans = raw, 0, 0
                 if codes.is_valid:
                     lo, _, n, _ = _decode(codes.values.to_numpy())
                     delta = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(delta, lo, 1)
-                    np.add.at(delta, lo + n - 1 + LENGTH, -1)
+                    np.add.at(delta, np.minimum(lo, len(raw)), 1)
+                    np.add.at(delta, np.minimum(lo + n - 1 + LENGTH, len(raw)), -1)
                     gone = np.cumsum(delta[:-1]) > 0
                     removed = int(gone.sum())
                     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
@@ -441,9 +523,9 @@ def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...]
                 rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text.is_valid else None))
             if rows:
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *(batch.column(2 + i) for i in range(len(carry)))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *(batch.column(3 + i) for i in range(len(carry)))], names=names)
 
-    return docs.join(marks, "doc_id", "left").mapInArrow(cut, schema)
+    return docs.join(marks, key, "left").select("doc_id", "text", "__version", *carry, "__codes").mapInArrow(cut, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import hashlib
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from fixtures import corpus, frame, words
+from fixtures import corpus, frame, prose, words
 from opsgraph.llm import kd_sharding, packing, suffix_dedup, superminhash, training_order
 from opsgraph.llm.textops import distinct_shingles, mix
 
@@ -63,23 +64,23 @@ def test_signature_estimates_similarity():
     assert all(len({int(x[k]) for x in slots}) == 128 for k in range(50))  # each element visits each slot once
 
 
-def brute_repeats(rows):
+def brute_repeats(rows, key=lambda r: r[0], name=lambda r: r[0]):
     seen, out = {}, {}
-    for i, t in sorted({(i, t) for i, t in rows}, key=lambda r: r[0]):
+    for i, t in sorted({(i, t) for i, t in rows}, key=key):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 99):
             w = b[k : k + 100]
-            if seen.setdefault(w, (i, k)) != (i, k):
+            if seen.setdefault(w, (i, t, k)) != (i, t, k):
                 gone[k : k + 100] = b"\1" * 100
         kept = bytes(x for x, y in zip(b, gone) if not y)
-        out[i] = (len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
+        out[name((i, t))] = (len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 64])
-def test_repeats(docs, hot):
-    got = suffix_dedup.remove_repeats(docs, hot=hot, carry=("lang", "code")).collect()
+@pytest.mark.parametrize("hot, per_range", [(1, 100_000), (64, 100_000), (64, 40), (2, 25)])
+def test_repeats(docs, hot, per_range):
+    got = suffix_dedup.remove_repeats(docs, hot=hot, carry=("lang", "code"), per_range=per_range).collect()
     assert len(got) == len(ROWS) and {r["lang"] for r in got} == {"en"} and {r["code"] for r in got} == {"clash"}
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(ROWS)
     untouched = {r["doc_id"]: r["kept_text"] for r in got if not r["n_removed"]}
@@ -87,6 +88,22 @@ def test_repeats(docs, hot):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_clashing_ids_are_documents_of_their_own(spark):
+    """Rows with one doc_id and other texts follow each other in the order of the text's hash."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    passages = [prose(rng, 40) for _ in range(4)]
+    rows = [(i % 5, " ".join(rng.sample(passages, 2)) + prose(rng, i)) for i in range(20)] + [(1, None), (1, ""), (2, "short"), (3, passages[0]), (3, passages[0]), (7, passages[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64("text")).distinct().collect()}
+    want = brute_repeats(rows, key=lambda r: (r[0], order[r]), name=lambda r: (r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    got = suffix_dedup.remove_repeats(df.withColumn("raw", F.sha2(F.coalesce("text", F.lit("")), 256)), carry=("raw",)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["raw"]): (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert suffix_dedup.remove_repeats(spark.createDataFrame([(1, "long " * 60), (1, "short")], "doc_id long, text string")).count() == 2
+
+
 def test_null_id_stays_whole(spark):
     text = "abcdefghij" * 30
     df = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
@@ -99,7 +116,7 @@ def test_loser_tree_merges_in_order():
     runs = []
     for _ in range(5):
         strings = sorted(bytes(rng.integers(97, 99, rng.integers(1, 12)).tolist()) for _ in range(40))
-        runs.append([(s, i, 0, b"", 1) for i, s in enumerate(strings)])
+        runs.append([(s, i, 0, 1, b"") for i, s in enumerate(strings)])
     merged = list(suffix_dedup.merge_runs([suffix_dedup.read_run(suffix_dedup.front_code(r)) for r in runs] + [iter(())]))
     strings = [m[0] for m in merged]
     assert strings == sorted(x[0] for r in runs for x in r)
