@@ -236,7 +236,7 @@ def common_prefixes(sorted_strings: list[bytes]) -> np.ndarray:
 
 
 def front_code(items: list[tuple]) -> bytes:
-    """A sorted run of ``(suffix, doc, place, n, left)``, suffixes without the prefix common with the one before."""
+    """A sorted run of ``(suffix, doc, place, n, left)`` (a border suffix has n = 0), suffixes without the prefix common with the one before."""
     lcp = common_prefixes([x[0] for x in items])
     return pickle.dumps((
         lcp.astype(np.uint8), [x[0][k:] for x, k in zip(items, lcp.tolist())],
@@ -327,7 +327,7 @@ def _suffix_runs(splitters):
             flags: dict[int, list] = {}
             last = (None, 0, 0)
             for x in items:
-                if x[4] is None:
+                if x[3]:
                     if x[0] == last[0]:
                         if x[1:3] != last[1:3]:
                             flags.setdefault(x[1] % (len(cuts) + 1), []).append(x[1:4])
@@ -353,11 +353,11 @@ def _suffix_runs(splitters):
                 for lo, at, n, kind in zip(*(x.tolist() for x in _decode(codes.values.to_numpy()))):
                     place, end = (version << 31) | lo, lo + n - 1 + LENGTH
                     if kind & WHOLE:
-                        items.append((raw[lo:end], doc, place, n, None))
+                        items.append((raw[lo:end], doc, place, n, b""))
                     if kind & BORDER:
-                        items.append((raw[lo + at : end], doc, place, n, raw[lo : lo + at]))
+                        items.append((raw[lo + at : end], doc, place, 0, raw[lo : lo + at]))
                     elif kind & WINDOWS:
-                        items += [(raw[lo + i : lo + i + LENGTH], doc, place + i, 1, None) for i in range(n)]
+                        items += [(raw[lo + i : lo + i + LENGTH], doc, place + i, 1, b"") for i in range(n)]
                     if len(items) >= FLUSH_SUFFIXES:
                         yield flush()
         if items:
@@ -396,7 +396,7 @@ def merge_range(blobs: list[bytes]) -> list[tuple]:
     group: list[tuple] = []
     for suffix, lcp, (doc, place, n, left) in merge_runs([read_run(b) for b in blobs]):
         plain, border = min(plain, lcp), min(border, lcp)
-        if left is None:
+        if n:
             here = (doc, place, n)
             if plain == length == len(suffix):
                 if here > first:
