@@ -2,36 +2,40 @@
 
 Only vectors with equal labels are compared, by cosine in double precision.
 
-1. Equal vectors of a label collapse to the one with the least id.
-2. Each label's vectors are at home in the shard of the nearest of the label's
-   cluster centres (random members, about one per ``PER_CENTRE``; at most
-   ``MAX_CENTRES`` in all, so what is broadcast is bounded); a label below twice
-   ``PER_CENTRE`` is one shard.  A vector visits every other shard whose centre
-   lies within the angle to its own centre plus the linking angle, unless the
-   plane between the two centres is farther than the linking angle.  Of two linked
-   vectors the one farther from its centre visits the other's home (triangle
-   inequality), so no link is lost; the price is that vectors without clusters
-   visit many shards.
-3. A shard becomes blocks of at most ``BLOCK`` members times ``BLOCK`` queries;
-   visitors are queries only.
-   In a block, each point's adjacency list is pruned: of two neighbours, one
-   that is ``ALPHA`` times nearer to a kept neighbour than to the point goes.
-   Degrees are not capped, so that for any x and member y either x lists y or it
-   lists some z nearer to y.
-4. A query walks greedily from the block's medoid, then takes in the pruned
-   lists of all it has reached while they are within twice the linking distance.
-   A path to any y within the linking distance stays inside that range, so the
-   search of a block is complete.  Found pairs are verified by exact cosine.
-5. Lists are united over shards: a pair of different homes counts at the home of
-   the vector nearer to its centre, and each block reports one row per point (its
-   links counted, its component inside the block), never all pairs.
-
-``audit`` measures recall against brute force on a bounded set of queries.
+1. *Regions.*  Equal vectors of a label collapse to the one with the least id.  Each
+   label's vectors are at home in the region of the nearest of the label's centres
+   (random members, about one per ``PER_CENTRE``; at most ``MAX_CENTRES`` in all, so
+   what is broadcast is bounded); a label below twice ``PER_CENTRE`` is one region.  A
+   vector also visits, as a query, every region whose centre lies within the angle to
+   its own centre plus the linking angle, unless the plane between the two centres is
+   farther than the linking angle: of two linked vectors the one farther from its
+   centre visits the other's home.  A task holds at most ``BLOCK`` members and
+   ``BLOCK`` queries of a region.
+2. *Overlapping shards.*  A region's members form cluster shards of about ``LEAF``
+   vectors: each vector stands in those of its ``OVERLAP`` nearest shard centres.
+   Each shard gives every vector a robust-pruned list of at most ``DEGREE``
+   neighbours: one that is ``ALPHA`` times nearer to a listed neighbour than to the
+   vector goes.
+3. *Union.*  The lists of all shards are united by vector, with their reverse links
+   (so that every vector is listed by another), into one flat graph of at most
+   2 * ``OVERLAP`` * ``DEGREE`` links a vector on average.
+4. *Search.*  A query starts at the medoids of its shards and its own list, walks
+   greedily to ever nearer vectors, and takes in the lists of all it has met within
+   twice the linking distance.  Only the cosines of the vectors met are computed.
+5. *Verification.*  Pairs near the threshold or above are decided by their cosine in
+   double precision.  A pair of different homes counts at the home of the vector nearer
+   to its centre.  Each block reports one row per vector (its links counted, its
+   component inside the block), never all pairs.
+
+The search may miss links, it reports none below the threshold; ``audit`` measures
+the share of found pairs against brute force for the vectors whose id is divisible
+by ``every``.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and rows with a null label, link with nothing and stand alone;
-vectors of different length never link; repeated rows group under the least id;
-an empty table gives no rows; other columns are ignored.
+components, and rows with a null label or id, link with nothing and stand alone (a null
+id is its own component null and is kept); vectors of different length never link;
+repeated rows group under the least id; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -49,10 +53,15 @@ from .linking import components
 from .textops import smallest_labels
 
 THRESHOLD = 0.93
-PER_CENTRE = 500
+PER_CENTRE = 4000
 MAX_CENTRES = 8192
-BLOCK = 1500
+BLOCK = 12_000
+LEAF = 192
+LARGEST_LEAF = 512
+OVERLAP = 3
+DEGREE = 16
 ALPHA = 1.05
+BATCH = 512
 
 
 def _unit(rows) -> np.ndarray:
@@ -60,69 +69,144 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def robust_prune(sims: np.ndarray, gram: np.ndarray, alpha: float = ALPHA) -> list[np.ndarray]:
-    """For each row of ``sims`` (queries x members) the members it lists; ``gram`` has the members' cosines.
+def robust_prune(sims: np.ndarray, gram: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """For each row of ``sims`` (queries x members) at most ``degree`` members, -1 where there are fewer.
 
-    Members at no distance from the query are all listed.
+    ``gram`` holds the members' cosines; a cosine of -2 or less in ``sims`` rules a member out.
     """
-    out = []
+    left = 1.0 - sims
+    far = np.where(sims <= -2, np.inf, left)
     gap = alpha * alpha * (1.0 - gram)
-    for row in sims:
-        left = 1.0 - row
-        left[left < 1e-12] = -1.0
-        far = left.copy()
-        lists = list(np.flatnonzero(left < 0))
-        far[lists] = np.inf
-        for z in lists[:1]:
-            far[gap[z] <= left] = np.inf
-        while True:
-            z = int(np.argmin(far))
-            if far[z] == np.inf:
+    rows = np.arange(len(sims))
+    lists = np.full((len(sims), degree), -1)
+    for k in range(min(degree, sims.shape[1])):
+        z = np.argmin(far, axis=1)
+        some = far[rows, z] < np.inf
+        if not some.any():
+            break
+        lists[some, k] = z[some]
+        far[rows, z] = np.inf
+        far[gap[z] <= left] = np.inf
+    return lists
+
+
+def leaves(members: np.ndarray, queries: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Overlapping cluster shards as ``(members, queries)``; every vector stands in those of its nearest centres."""
+    n = len(members)
+    if n <= LEAF:
+        yield np.arange(n), np.arange(len(queries))
+        return
+    centres = members[rng.choice(n, -(-n * OVERLAP // LEAF), replace=False)]
+    overlap = min(OVERLAP, len(centres))
+
+    def nearest(x: np.ndarray) -> np.ndarray:
+        found = [np.argpartition(-(x[i : i + 4096] @ centres.T), overlap - 1, axis=1)[:, :overlap] for i in range(0, len(x), 4096)]
+        return np.concatenate(found) if found else np.zeros((0, overlap), int)
+
+    own, asked = nearest(members), nearest(queries)
+    own_order, asked_order = np.argsort(own.ravel(), kind="stable"), np.argsort(asked.ravel(), kind="stable")
+    own_cut = np.searchsorted(own.ravel()[own_order], np.arange(len(centres) + 1))
+    asked_cut = np.searchsorted(asked.ravel()[asked_order], np.arange(len(centres) + 1))
+    for c in range(len(centres)):
+        m = own_order[own_cut[c] : own_cut[c + 1]] // overlap
+        q = asked_order[asked_cut[c] : asked_cut[c + 1]] // overlap
+        if len(m):
+            for part in np.array_split(rng.permutation(m), -(-len(m) // LARGEST_LEAF)):
+                for i in range(0, max(len(q), 1), LARGEST_LEAF):
+                    yield part, q[i : i + LARGEST_LEAF]
+
+
+class FlatGraph:
+    """The united lists of all shards over ``members`` (unit vectors), and what ``queries`` start from."""
+
+    def __init__(self, members: np.ndarray, queries: np.ndarray):
+        rng = np.random.default_rng(len(members))
+        self.members, self.queries = members, queries
+        ends: list[tuple] = []
+        starts: list[tuple] = []
+        for m, q in leaves(members, queries, rng):
+            gram = members[m] @ members[m].T
+            inner = gram.copy()
+            np.fill_diagonal(inner, -3.0)
+            lists = robust_prune(inner, gram)
+            at, k = np.nonzero(lists >= 0)
+            to = lists[at, k]
+            ends.append((m[at], m[to]))
+            medoid = m[np.argmax(gram.sum(axis=0))]
+            starts.append((np.arange(len(members))[m], np.full(len(m), medoid)))
+            if len(q):
+                lists = robust_prune(queries[q] @ members[m].T, gram)
+                at, k = np.nonzero(lists >= 0)
+                starts += [(len(members) + q[at], m[lists[at, k]]), (len(members) + q, np.full(len(q), medoid))]
+        a, b = (np.concatenate(x) for x in zip(*ends))
+        both = np.unique(np.concatenate([a * len(members) + b, b * len(members) + a]))
+        a, b = both // len(members), both % len(members)
+        self.cut, self.to = np.searchsorted(a, np.arange(len(members) + 1)), b
+        who, where = (np.concatenate(x) for x in zip(*starts))
+        order = np.argsort(who, kind="stable")
+        self.start_cut = np.searchsorted(who[order], np.arange(len(members) + len(queries) + 1))
+        self.start_at = where[order]
+
+    @staticmethod
+    def _take(cut: np.ndarray, values: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, value)`` of all values listed under each key."""
+        size = cut[keys + 1] - cut[keys]
+        at = np.repeat(cut[keys] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.repeat(rows, size), values[at]
+
+    def search(self, who: np.ndarray, wide: float, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+        """``(place in who, member)`` at a cosine of ``wanted`` or more for members and (after them) queries ``who``."""
+        n = len(self.members)
+        x = np.concatenate([self.members[who[who < n]], self.queries[who[who >= n] - n]]) if len(self.queries) else self.members[who]
+        rows = np.arange(len(who))
+        seen = np.zeros((len(who), n), bool)
+        nearest = np.full(len(who), -2.0, x.dtype)
+        found: list[tuple] = []
+        r, c = self._take(self.start_cut, self.start_at, rows, who)
+        mine = np.flatnonzero(who < n)
+        more = self._take(self.cut, self.to, mine, who[mine])
+        r, c = np.concatenate([r, more[0]]), np.concatenate([c, more[1]])
+        seen[mine, who[mine]] = True
+        while len(r):
+            new = np.unique((r * n + c)[~seen[r, c]])
+            r, c = new // n, new % n
+            if not len(r):
                 break
-            lists.append(z)
-            far[gap[z] <= left] = np.inf
-            far[z] = np.inf
-        out.append(np.array(lists, dtype=np.int64))
-    return out
-
-
-def greedy_walk(sims: np.ndarray, lists: list[np.ndarray], start: int) -> np.ndarray:
-    """The member that each query (row of ``sims``) reaches from ``start``, moving to the nearest listed one."""
-    at = np.full(len(sims), start)
-    for q, row in enumerate(sims):
-        while len(near := lists[at[q]]):
-            best = near[np.argmax(row[near])]
-            if row[best] <= row[at[q]]:
-                break
-            at[q] = best
-    return at
-
-
-def range_search(members: np.ndarray, queries: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """Yield ``(query, members at cosine >= threshold)`` for unit vectors; ``same`` if both sets are one."""
-    if not same:
-        # queries without any member in range have nothing to search for
-        hits = np.flatnonzero((queries @ members.T >= threshold).any(axis=1))
-        if not len(hits):
-            return
-        queries = queries[hits]
-    gram = members @ members.T
-    inner = gram.copy()
-    np.fill_diagonal(inner, -1.0)
-    lists = robust_prune(inner, gram)
-    sims = gram if same else queries @ members.T
-    own = lists if same else robust_prune(sims, gram)
-    start = greedy_walk(sims, lists, int(np.argmax(gram.sum(axis=0))))
-    wide = 1.0 - 4.0 * (1.0 - threshold) - 1e-9  # the cosine at twice the chord
-    for q, row in enumerate(sims):
-        seen = np.zeros(len(members), bool)
-        todo = np.append(own[q], start[q])
-        todo = np.unique(todo[row[todo] >= wide])
-        while len(todo):
-            seen[todo] = True
-            new = np.unique(np.concatenate([lists[i] for i in todo]))
-            todo = new[(row[new] >= wide) & ~seen[new]]
-        yield (q if same else int(hits[q])), np.flatnonzero(seen & (row >= threshold))
+            seen[r, c] = True
+            cos = np.einsum("ij,ij->i", x[r], self.members[c])
+            hit = cos >= wanted
+            found.append((r[hit], c[hit]))
+            best = np.full(len(who), -2.0, x.dtype)
+            np.maximum.at(best, r, cos)
+            # the wide range is taken in; outside it only the walk to a nearer vector goes on
+            go = (cos >= wide) | (cos == best[r]) & (cos > nearest[r])
+            nearest = np.maximum(nearest, best)
+            r, c = self._take(self.cut, self.to, r[go], c[go])
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int)
+        r, c = (np.concatenate(f) for f in zip(*found))
+        return r, c
+
+
+def range_search(members: np.ndarray, queries: np.ndarray, threshold: float, members_too: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield ``(asking, member)`` pairs at a cosine of ``threshold`` or more, in batches, for unit vectors.
+
+    Asking are the members themselves (if ``members_too``) and the ``queries``, numbered after the members.
+    """
+    near, far = members.astype(np.float32), queries.astype(np.float32)
+    graph = FlatGraph(near, far)
+    wide = 1.0 - 4.0 * (1.0 - threshold)  # the cosine at twice the chord
+    asking = np.arange(0 if members_too else len(members), len(members) + len(queries))
+    # what a batch holds grows with its queries times the members
+    step = max(16, min(BATCH, (64 << 20) // max(1, len(members))))
+    for i in range(0, len(asking), step):
+        who = asking[i : i + step]
+        r, c = graph.search(who, wide, threshold - 1e-4)
+        if len(r):
+            w = who[r]
+            ask = np.where((w < len(members))[:, None], members[np.minimum(w, len(members) - 1)], queries[np.maximum(w - len(members), 0)] if len(queries) else 0.0)
+            sure = np.einsum("ij,ij->i", ask, members[c]) >= threshold
+            yield w[sure], c[sure]
 
 
 def _valid(vector: str):
@@ -148,16 +232,14 @@ def _centres(points: DataFrame, per_centre: int, max_centres: int) -> dict:
     return {k: _unit(v) for k, v in found.items()}
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
-                 per_centre: int = PER_CENTRE, max_centres: int = MAX_CENTRES, block: int = BLOCK) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
+def _blocks(vectors: DataFrame, key: str, vector: str, label: str, threshold: float, per_centre: int, max_centres: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows, points`` (distinct valid vectors) and the members and queries of all blocks."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
     good = _valid("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = materialize(rows.withColumn("vector", F.when(good, F.col("vector"))).withColumn("dim", F.size("vector")), "vectors")
     same = rows.filter("vector IS NOT NULL").groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     points = materialize(same, "points")
     centres = points.sparkSession.sparkContext.broadcast(_centres(points, per_centre, max_centres))
-
     angle = float(np.arccos(threshold))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,74 +270,91 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     schema = "label {0}, dim int, vector array<double>, id long, copies long, home int, radius double, visits array<int>".format(dict(points.dtypes)["label"])
     placed = materialize(points.select("label", "dim", "vector", "id", "copies").mapInArrow(assign, schema), "placed")
-    shard = ["label", "dim", "shard"]
-    at_home = placed.withColumn("shard", F.col("home"))
-    visitors = placed.withColumn("shard", F.explode("visits"))
-    in_pieces = lambda df, name: df.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    pieces = in_pieces(at_home, "pieces").join(in_pieces(placed.select("label", "dim", F.explode("visits").alias("shard")), "more"), shard, "left").fillna(0, ["more"])
+    region = ["label", "dim", "region"]
+    at_home = placed.withColumn("region", F.col("home"))
+    visitors = placed.withColumn("region", F.explode("visits"))
+    in_pieces = lambda df, name: df.groupBy(*region).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    pieces = in_pieces(at_home, "pieces").join(in_pieces(placed.select("label", "dim", F.explode("visits").alias("region")), "more"), region, "left").fillna(0, ["more"])
     # query pieces up to ``pieces`` are those of the members, the visitors' come after
-    at_home = at_home.join(pieces, shard).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    visitors = visitors.join(pieces, shard).withColumn("piece", F.col("pieces") + F.pmod(F.xxhash64("id"), F.col("more")).cast("int"))
-    # each point stands as a member in one row of blocks and as a query in one column
+    at_home = at_home.join(pieces, region).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    visitors = visitors.join(pieces, region).withColumn("piece", F.col("pieces") + F.pmod(F.xxhash64("id"), F.col("more")).cast("int"))
+    # each vector stands as a member in one row of blocks and as a query in one column
     inner = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     outer = F.explode(F.sequence(F.lit(0), F.col("pieces") + F.col("more") - 1))
     rest = ["id", "copies", "home", "radius", "vector"]
-    both = at_home.select(*shard, F.col("piece").alias("pm"), F.col("piece").alias("pq"), F.lit(0).alias("role"), *rest)
-    as_member = at_home.withColumn("o", outer).filter("o <> piece").select(*shard, F.col("piece").alias("pm"), F.col("o").alias("pq"), F.lit(1).alias("role"), *rest)
-    as_query = at_home.withColumn("o", inner).filter("o <> piece").unionByName(visitors.withColumn("o", inner)).select(*shard, F.col("o").alias("pm"), F.col("piece").alias("pq"), F.lit(2).alias("role"), *rest)
+    both = at_home.select(*region, F.col("piece").alias("pm"), F.col("piece").alias("pq"), F.lit(0).alias("role"), *rest)
+    as_member = at_home.withColumn("o", outer).filter("o <> piece").select(*region, F.col("piece").alias("pm"), F.col("o").alias("pq"), F.lit(1).alias("role"), *rest)
+    as_query = at_home.withColumn("o", inner).filter("o <> piece").unionByName(visitors.withColumn("o", inner)).select(*region, F.col("o").alias("pm"), F.col("piece").alias("pq"), F.lit(2).alias("role"), *rest)
+    return rows, points, both.unionByName(as_member).unionByName(as_query)
+
+
+def _pairs(t: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked ``(asking, member)`` row numbers of a block, in batches."""
+    role = t.column("role").to_numpy()
+    x = _unit(t.column("vector").combine_chunks().values.to_numpy().reshape(len(role), -1))
+    m, q = np.flatnonzero(role <= 1), np.flatnonzero(role == 2)
+    if len(m):
+        numbers = np.concatenate([m, q])
+        for a, b in range_search(x[m], x[q], threshold, bool((role == 0).any())):
+            a, b = numbers[a], m[b]
+            yield a[a != b], b[a != b]
+
+
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
+                 per_centre: int = PER_CENTRE, max_centres: int = MAX_CENTRES, block: int = BLOCK) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors``."""
+    rows, points, blocks = _blocks(vectors, key, vector, label, threshold, per_centre, max_centres, block)
 
     def search(t: pa.Table) -> pa.Table:
-        role = t.column("role").to_numpy()
+        t = t.sort_by("id")
         ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
         homes, radii = t.column("home").to_numpy(), t.column("radius").to_numpy()
-        x = _unit(t.column("vector").combine_chunks().values.to_numpy().reshape(len(ids), -1))
-        m, q = np.flatnonzero(role <= 1), np.flatnonzero((role == 0) | (role == 2))
-        single = bool((role == 0).all())
         counts = np.zeros(len(ids), np.int64)
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(m) and len(q):
-            for i, found in range_search(x[m], x[q], threshold, single):
-                me, them = q[i], m[found]
-                them = them[them != me]
-                if not len(them):
-                    continue
-                ends.append((np.full(len(them), me), them))
-                here = homes[them] == homes[me]
-                counts[me] += copies[them[here]].sum()
-                # a visitor is met as a query only, so its links count for both ends
-                away = them[~here & ((radii[them] < radii[me]) | (radii[them] == radii[me]) & (homes[them] < homes[me]))]
-                counts[me] += copies[away].sum()
-                counts[away] += copies[me]
-        a, b = (np.concatenate(e) for e in zip(*ends)) if ends else (np.zeros(0, int), np.zeros(0, int))
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), int)
-        rank[order] = np.arange(len(ids))
-        low = ids[order][smallest_labels(len(ids), rank[a], rank[b])][rank] if len(ids) else ids
-        keep = (counts > 0) | (low != ids)
-        return pa.table({"id": ids[keep], "n": counts[keep], "low": low[keep]})
-
-    found = both.unionByName(as_member).unionByName(as_query).groupBy("label", "dim", "shard", "pm", "pq").applyInArrow(search, "id long, n long, low long")
-    found = materialize(found, "neighbours")
+        low = np.arange(len(ids))
+        for a, b in _pairs(t, threshold):
+            here = homes[a] == homes[b]
+            np.add.at(counts, a[here], copies[b[here]])
+            # a visitor is met as a query only, so its links count for both ends
+            away = ~here & ((radii[b] < radii[a]) | (radii[b] == radii[a]) & (homes[b] < homes[a]))
+            np.add.at(counts, a[away], copies[b[away]])
+            np.add.at(counts, b[away], copies[a[away]])
+            low = low[smallest_labels(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, low]))]
+        keep = (counts > 0) | (low != np.arange(len(ids)))
+        return pa.table({"id": ids[keep], "n": counts[keep], "low": ids[low][keep]})
+
+    found = materialize(blocks.groupBy("label", "dim", "region", "pm", "pq").applyInArrow(search, "id long, n long, low long"), "neighbours")
     groups = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).filter("a <> b"))
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
     classes = points.join(linked, "id", "left").join(groups, "id", "left").select(
         "label", "dim", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
     some = rows.filter("vector IS NOT NULL").join(classes, ["label", "dim", "vector"]).select("vec_id", "n_links", "component_id")
     none = rows.filter("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return some.unionByName(none).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return some.unionByName(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit(vectors: DataFrame, result: DataFrame, queries: int = 200, threshold: float = THRESHOLD) -> float:
-    """Share of the links of about ``queries`` rows (by hash of the id) that ``result`` counts, against brute force."""
-    n = vectors.count()
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label").filter(_valid("vector") & F.col("label").isNotNull())
-    asked = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // queries))) == 0)
+def audit(vectors: DataFrame, threshold: float = THRESHOLD, every: int = 100, **options) -> tuple[int, int]:
+    """``(found, true)``: linked pairs of distinct vectors, for the vectors whose id is divisible by ``every``.
+
+    The search is run again and its pairs are compared, pair by pair, with brute force in blocks.
+    """
+    settings = {"key": "vec_id", "vector": "embedding", "label": "label", "per_centre": PER_CENTRE, "max_centres": MAX_CENTRES, "block": BLOCK} | options
+    _, points, blocks = _blocks(vectors, settings["key"], settings["vector"], settings["label"], threshold, settings["per_centre"], settings["max_centres"], settings["block"])
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids = t.column("id").to_numpy()
+        ends = [(ids[a], ids[b]) for a, b in _pairs(t, threshold)]
+        a, b = (np.concatenate(e) for e in zip(*ends)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        return pa.table({"a": a[a % every == 0], "b": b[a % every == 0]})
+
+    got = blocks.groupBy("label", "dim", "region", "pm", "pq").applyInArrow(search, "a long, b long").distinct()
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    a = asked.select(F.col("vec_id").alias("q"), F.col("vector").alias("x"), "label")
+    asked = points.filter(F.col("id") % every == 0).select(F.col("id").alias("a"), F.col("vector").alias("x"), "label", "dim")
     cos = dot(F.col("x"), F.col("vector")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("vector"), F.col("vector")))
-    true = rows.join(F.broadcast(a), "label").filter((F.col("q") != F.col("vec_id")) & (F.size("x") == F.size("vector"))).filter(cos >= threshold).groupBy("q").agg(F.count(F.lit(1)).alias("t"))
-    r = true.join(result, true.q == result.vec_id).agg(F.sum("t"), F.sum(F.least("t", "n_links"))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    true = points.select(F.col("id").alias("b"), "vector", "label", "dim").join(asked, ["label", "dim"]).filter("a <> b").filter(cos >= threshold).select("a", "b")
+    r = true.join(got.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)), F.coalesce(F.sum("hit"), F.lit(0))).first()
+    return int(r[1]), int(r[0])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
