@@ -173,34 +173,70 @@ def test_feistel_is_a_permutation(n):
         assert (p != training_order.feistel(np.arange(n), n, 8)).any() and abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.2
 
 
+def inverse(n, key):
+    back = np.empty(n, int)
+    back[training_order.feistel(np.arange(n), n, key)] = np.arange(n)
+    return back
+
+
 def test_training_order_round_trip(spark, docs, tmp_path):
-    ordered = training_order.sequences(docs, length=64, shard_rows=50)
-    got = ordered.collect()
+    """Every sequence stands where the permutation of its number says, numbers following the rows of the scan."""
+    shards = training_order.write_shards(docs.select("doc_id", "text", "id"), f"file://{tmp_path}/shards", length=64, shard_rows=50)
     n = sum(-(-len((t or "").encode()) // 64) for _, t in ROWS)
+    assert (shards.n, shards.stride) == (n, 16 + 64 + 1)
+    got = training_order.read_shards(spark, shards).collect()
     assert sorted(r["slot"] for r in got) == list(range(n))
     assert all(len(r["payload"]) == 64 and r["shard"] == r["slot"] // 50 and r["row_in_shard"] == r["slot"] % 50 for r in got)
-    texts = defaultdict(list)
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["seq_in_doc"])):
-        texts[r["doc_id"]].append(r["payload"][: r["n_tokens"]])
-    for i, t in ROWS:
-        copies = sum(1 for x in ROWS if x == (i, t))
-        assert len(b"".join(texts[i])) == copies * len((t or "").encode())
-        if copies == 1:
-            assert b"".join(texts[i]) == (t or "").encode()
-    training_order.write_shards(ordered, str(tmp_path / "shards"))
-    rest = training_order.read_from(spark, str(tmp_path / "shards"), 120, 50).collect()
-    assert [r["slot"] for r in rest] == list(range(120, n))
-    assert training_order.sequences(empty(docs)).count() == 0
-
-
-def test_training_order_with_a_vocabulary(docs, tmp_path):
+    # in the order of the numbers, the sequences are those of one row after the other
+    back = inverse(n, training_order.KEY)
+    rows, text = [], b""
+    for r in sorted(got, key=lambda r: back[r["slot"]]):
+        if r["seq_in_doc"] == 0:
+            rows.append((r["doc_id"], []))
+        assert rows[-1][0] == r["doc_id"] and len(rows[-1][1]) == r["seq_in_doc"]
+        rows[-1][1].append(r["payload"][: r["n_tokens"]])
+        assert not any(r["payload"][r["n_tokens"] :])
+    assert Counter((i, b"".join(p)) for i, p in rows) == Counter((i, t.encode()) for i, t in ROWS if t)
+
+
+def test_records_stand_at_their_byte_offsets(spark, docs, tmp_path):
+    shards = training_order.write_shards(docs, f"file://{tmp_path}/shards", length=64, shard_rows=50)
+    got = {r["slot"]: r for r in training_order.read_shards(spark, shards).collect()}
+    for k in (0, 3, shards.n // 50):
+        (path,) = (tmp_path / "shards" / f"shard={k}").glob("part-*")
+        raw = path.read_bytes()
+        assert len(raw) == shards.stride * min(50, shards.n - 50 * k)
+        for r in (0, len(raw) // shards.stride - 1):
+            record = np.frombuffer(raw, shards.record, count=1, offset=r * shards.stride)[0]
+            want = got[50 * k + r]
+            assert (record["doc_id"], record["seq"], record["n"], record["ids"].tobytes()) == (want["doc_id"], want["seq_in_doc"], want["n_tokens"], want["payload"])
+    rest = training_order.read_shards(spark, shards, 120).collect()  # in the middle of a shard
+    assert sorted(rest) == sorted(r for s, r in got.items() if s >= 120)
+
+
+def test_training_order_odd_tables(spark, docs, tmp_path):
+    shards = training_order.write_shards(empty(docs), f"file://{tmp_path}/none")
+    assert shards.n == 0 and training_order.read_shards(spark, shards).count() == 0
+    odd = spark.createDataFrame([(None, "no id"), (-5, "below zero\n\0"), (3, ""), (4, None), (3, "twice"), (3, "twice")], "doc_id long, text string")
+    got = training_order.read_shards(spark, training_order.write_shards(odd, f"file://{tmp_path}/odd", length=4)).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 2, -5: 3, 3: 4}
+
+
+def test_training_order_with_a_vocabulary(spark, docs, tmp_path):
+    """Ids above 65,535 take four bytes."""
     import base64
 
-    path = tmp_path / "ranks"
-    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256)))
-    small = docs.filter("doc_id IN (1, 2, 4000)")
-    got = training_order.sequences(small, length=32, tokenizer=str(path)).collect()
-    assert sum(r["n_tokens"] for r in got) == sum(len((t or "").encode()) for i, t in ROWS if i in (1, 2)) and all(len(r["payload"]) == 64 for r in got)
+    for top, width in ((255, 1), (300, 2), (70_000, 4)):
+        path = tmp_path / f"ranks{top}"
+        path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % (top - b) for b in range(256)))
+        ranks = training_order.read_ranks(str(path))
+        shards = training_order.write_shards(docs.filter("doc_id IN (1, 2, 4000)"), f"file://{tmp_path}/t{top}", length=32, ranks=ranks)
+        got = training_order.read_shards(spark, shards).collect()
+        assert shards.width == width and all(len(r["payload"]) == 32 * width for r in got)
+        ids = {r["doc_id"]: b"" for r in got}
+        for r in sorted(got, key=lambda r: (r["doc_id"], r["seq_in_doc"])):
+            ids[r["doc_id"]] += bytes((top - np.frombuffer(r["payload"], f"<u{width}")[: r["n_tokens"]].astype(int)).tolist())
+        assert ids == {i: t.encode() for i, t in ROWS if i in (1, 2)}
 
 
 def test_distinct_shingles_match_python():
