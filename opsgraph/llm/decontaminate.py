@@ -1,12 +1,16 @@
 """Benchmark decontamination by canonical templates.
 
-Texts become token sequences in which typed placeholders replace numbers
-(tokens that begin with a digit, with the points and commas between their
-digits), units (a known unit after a number) and names (a run of capitalised
-tokens inside a sentence); other tokens are lower-cased, marks and white space
-fall away.  Windows of ``WINDOW`` template tokens (a shorter item as a whole) are
-hash-joined between documents and items.  A template window counts if at least
-``LITERALS`` of its tokens are not placeholders.
+Texts become token sequences in which typed placeholders replace
+
+* numbers: tokens that begin with a digit, with the points and commas between their
+  digits and a signed exponent, and runs of number words ("twenty-five", "3 million");
+* units: a known unit after a number;
+* names: runs of capitalised tokens, wherever they stand, so that a name that opens a
+  sentence is one too (an ordinary word there is a slot like others).
+
+Other tokens are lower-cased, marks and white space fall away.  Windows of ``WINDOW``
+template tokens (a shorter item as a whole) are hash-joined between documents and items.
+A template window counts if at least ``LITERALS`` of its tokens are not placeholders.
 
 Plain windows, of lower-cased tokens without placeholders, are joined likewise and
 apart from the templates, all of them: a verbatim copy is found in any case and
@@ -21,18 +25,19 @@ round: a question with other numbers is caught, a chance mixture of values is no
 ``CLASHES`` value of either side may have a second partner (one changed repeat, one
 chance equality).  An alignment with more clashes is consistent too if it holds
 ``MIN_WINDOWS`` verbatim windows, or ``RUN`` windows in a row without any clash.
-A document with a consistent alignment of ``MIN_WINDOWS`` windows is contaminated.
-
-Items are expected to be few: while their windows number at most
-``MAX_BROADCAST`` (8 bytes each), their hashes travel to the tasks and thin the
-documents' windows before the join; beyond that every window is joined by
-shuffle.  Both ways give the same rows.
-
-Defined cases: null, empty and blank texts have no windows; other values in windows
-without enough literals, or in place of a name that opens a sentence, are not
-recognised; repeated documents are judged one by one and
-repeated items each; very long texts are read whole; empty tables give no rows;
-other columns are ignored.
+Coverage is the share of the item's countable windows that consistent alignments
+hold, templates and plain windows apart; a document is contaminated by an item of which
+it covers ``COVERAGE`` or more.
+
+While the items' windows number at most ``MAX_BROADCAST``, their hashes (8 bytes each)
+travel to the tasks and thin the documents' windows before the join; beyond that every
+window is joined by shuffle.  Both ways give the same rows.
+
+Defined cases: null, empty and blank texts have no windows; rows with a null doc_id or
+item_id are judged like others and come out under the null id (``clean`` keeps documents
+without id); other values in windows without enough literals are not recognised; repeated
+documents are judged as one and so are repeated items; very long texts are read whole;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,18 +57,19 @@ SHORTEST = 6
 SHORTEST_INSIDE = 3
 LITERALS = 0.6
 MIN_WINDOWS = 1
+COVERAGE = 0.5
 CLASHES = 1
 RUN = 10
 MAX_BROADCAST = 4_000_000
 UNITS = ("mg g kg t mm cm m km in ft mi ml cl l ms s sec min h hr hours days weeks months years hz khz mhz ghz w kw mw v kv a ma j kj n kn pa kpa mpa bar psi rpm "
          "mph kmh c f k mol kb mb gb tb usd eur gbp dollars euros cents percent miles meters metres grams liters litres minutes seconds").split()
+NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty "
+                "forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen").split()
 
 _MARKS = np.ones(256, dtype=bool)
 _MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = _MARKS[128:] = False
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 11, 12, 13]] = True
-_ENDS = np.zeros(256, dtype=bool)
-_ENDS[[ord(c) for c in ".!?:\n\"|"]] = True
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _PLACEHOLDER = mix(np.arange(501, 505, dtype=np.uint64))
 
@@ -76,6 +82,9 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.sort(span_hash(prefix_sums(buf), start, end))
 
 
+_UNITS, _NUMBER_WORDS = _word_hashes(UNITS), _word_hashes(NUMBER_WORDS)
+
+
 def _fold(more: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray):
     """Unite each token with the one before it where ``more`` (for all but the first token) says so."""
     return start[np.concatenate([[True], ~more])], end[np.concatenate([~more, [True]])], doc[np.concatenate([[True], ~more])]
@@ -95,21 +104,26 @@ def template_tokens(buf: np.ndarray, off: np.ndarray):
         return z, z, z, z, np.zeros(0, np.uint64)
     digit = (buf >= 48) & (buf <= 57)
     if len(start) > 1:
-        # digits, one point or comma, digits: one number
-        gap = np.minimum(end[:-1], len(buf) - 1)
-        more = (start[1:] - end[:-1] == 1) & ((buf[gap] == 44) | (buf[gap] == 46)) & digit[end[:-1] - 1] & digit[start[1:]] & digit[start[:-1]] & (doc[1:] == doc[:-1])
+        # digits, one point or comma, digits: one number; so is a mantissa, a sign and its exponent
+        gap = buf[np.minimum(end[:-1], len(buf) - 1)]
+        close = (start[1:] - end[:-1] == 1) & digit[start[1:]] & digit[start[:-1]] & (doc[1:] == doc[:-1])
+        last, before = buf[end[:-1] - 1], digit[np.maximum(end[:-1] - 2, 0)]
+        more = close & (((gap == 44) | (gap == 46)) & digit[end[:-1] - 1] | ((gap == 43) | (gap == 45)) & ((last == 69) | (last == 101)) & before)
         start, end, doc = _fold(more, start, end, doc)
     h = span_hash(prefix_sums(LOWER[buf]), start, end)
-    number = digit[start]
+    spelled = np.isin(h, _NUMBER_WORDS)
+    number = digit[start] | spelled
+    if len(start) > 1:
+        # number words beside numbers: one number
+        more = number[1:] & number[:-1] & (spelled[1:] | spelled[:-1]) & (start[1:] - end[:-1] == 1) & (doc[1:] == doc[:-1])
+        kept = np.concatenate([[True], ~more])
+        start, end, doc = _fold(more, start, end, doc)
+        number, h = number[kept], h[kept]
     first = buf[start]
     after_number = np.zeros(len(start), bool)
     after_number[1:] = number[:-1] & (doc[1:] == doc[:-1])
-    unit = after_number & np.isin(h, _word_hashes(UNITS))
-    # the last byte before the token that is no blank decides whether a sentence begins
-    solid = np.where(_SPACES[buf], -1, np.arange(len(buf)))
-    before = np.concatenate([[-1], np.maximum.accumulate(solid)])[start]
-    opening = (before < off[doc]) | _ENDS[buf[np.maximum(before, 0)]]
-    name = (first >= 65) & (first <= 90) & ~opening
+    unit = after_number & np.isin(h, _UNITS)
+    name = (first >= 65) & (first <= 90)
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
     if len(start) > 1:
         # capitalised tokens with white space between: one name
@@ -136,13 +150,13 @@ def window_hashes(h: np.ndarray, doc: np.ndarray, kind: np.ndarray, size: int) -
 
 
 def _windows(sizes: list[tuple[bool, int]], whole_short: bool, wanted: np.ndarray | None):
-    """Emit ``id, plain, size, hash, at, slots, total`` per window of the ``(plain, size)``; only windows in ``wanted`` if that is given."""
+    """Emit ``id, plain, size, hash, at, slots`` per window of the ``(plain, size)``; only windows in ``wanted`` if that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = wanted.value if wanted is not None else None
         for batch in batches:
             for i, j, buf, off in chunks(batch.column(1)):
-                ids, plains, lengths, hashes, ats, slots, totals = [], [], [], [], [], [], []
+                ids, plains, lengths, hashes, ats, slots = [], [], [], [], [], []
                 for plain in sorted({p for p, _ in sizes}):
                     start, end, doc, kind, h = (plain_tokens if plain else template_tokens)(buf, off)
                     counts = np.bincount(doc, minlength=j - i)
@@ -163,16 +177,15 @@ def _windows(sizes: list[tuple[bool, int]], whole_short: bool, wanted: np.ndarra
                             hashes.append(x)
                             ats.append(int(a - first_token[doc[a]]))
                             slots.append([b" ".join(LOWER[buf[start[t] : end[t]]].tobytes().split()) for t in range(a, a + size) if kind[t] != LITERAL])
-                            totals.append(max(1, int(counts[doc[a]]) - size + 1))
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(plains, pa.bool_()), pa.array(lengths, pa.int32()), pa.array(hashes, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.binary())), pa.array(totals, pa.int32())],
-                        names=["id", "plain", "size", "hash", "at", "slots", "total"])
+                        [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(plains, pa.bool_()), pa.array(lengths, pa.int32()), pa.array(hashes, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.binary()))],
+                        names=["id", "plain", "size", "hash", "at", "slots"])
 
     return run
 
 
-_SCHEMA = "id long, plain boolean, size int, hash long, at int, slots array<binary>, total int"
+_SCHEMA = "id long, plain boolean, size int, hash long, at int, slots array<binary>"
 
 
 def longest_run(windows: list[list[tuple[bytes, bytes]]]) -> int:
@@ -211,7 +224,7 @@ def _judge(windows) -> tuple[int, int, bool, bool]:
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``doc_id, item_id, n_windows, coverage, n_slots, consistent, verbatim, contaminated`` per document and item, its best alignment."""
+    """``doc_id, item_id, n_windows, coverage, n_slots, consistent, verbatim, contaminated`` per document and item that share a window."""
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
     every = [(True, n) for n in range(1, WINDOW + 1)] + [(False, n) for n in range(SHORTEST, WINDOW + 1)]
@@ -221,20 +234,29 @@ def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_B
     sizes = [(r["plain"], r["size"]) for r in own.select("plain", "size").distinct().collect()]
     wanted = None
     if n <= max_broadcast:
-        hashes = np.array([r[0] for r in own.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)
+        hashes = own.select("hash").distinct().toArrow().column(0).to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
-        own = F.broadcast(own)
     found = documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_windows(sizes, False, wanted), _SCHEMA)
-    own = own.select("plain", "size", "hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("total").alias("item_total"))
-    met = materialize(found.join(own, ["plain", "size", "hash"]).select(F.col("id").alias("doc_id"), "item_id", "plain", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "item_total", "slots", "item_slots"), "met")
+    own = own.select("plain", "size", "hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    totals = own.groupBy("item_id", "plain").agg(F.count_distinct("item_at").alias("total"))
+    met = found.join(own, ["plain", "size", "hash"]).select(F.col("id").alias("doc_id"), "item_id", "plain", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "slots", "item_slots")
+    met = materialize(met, "met")
     key = ["doc_id", "item_id", "plain", "diagonal"]
     judge = F.udf(_judge, "n_windows long, n_slots long, consistent boolean, verbatim boolean")
-    # a diagonal has each window of the item once at most
-    runs = met.groupBy(*key).agg(F.collect_list(F.struct("item_at", "slots", "item_slots")).alias("w"), F.max("item_total").alias("total"))
-    judged = runs.select(*key, "total", judge("w").alias("j")).select(*key, "j.*", (F.col("j.n_windows") / F.col("total")).alias("coverage"))
-    judged = judged.withColumn("contaminated", F.col("consistent") & (F.col("n_windows") >= MIN_WINDOWS))
-    best = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "verbatim", "contaminated"), F.struct("contaminated", "n_windows", "verbatim", ~F.col("plain"), -F.col("diagonal"))).alias("b")
-    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    # a diagonal has each window of the item once at most, unless documents or items are repeated
+    runs = met.groupBy(*key).agg(F.collect_set(F.struct("item_at", "slots", "item_slots")).alias("w"))
+    judged = materialize(runs.select(*key, F.transform("w", lambda w: w["item_at"]).alias("ats"), judge("w").alias("j")).select(*key, "ats", "j.*"), "judged")
+    side = ["doc_id", "item_id", "plain"]
+    best = F.max_by(F.struct("n_slots", "consistent", "verbatim"), F.struct("consistent", "n_windows", "verbatim", -F.col("diagonal"))).alias("b")
+    covered = judged.withColumn("at", F.explode("ats")).groupBy(*side).agg(F.count_distinct(F.when(F.col("consistent"), F.col("at"))).alias("n_windows"))
+    shares = judged.groupBy(*side).agg(best)
+    same = lambda a, b, on: F.reduce(F.array(*[a[c].eqNullSafe(b[c]) for c in on]), F.lit(True), lambda x, y: x & y)
+    c, s, t = covered.alias("c"), shares.alias("s"), totals.alias("t")
+    joined = c.join(s, same(covered, shares, side)).join(t, same(covered, totals, ["item_id", "plain"]))
+    both = joined.select(*[covered[x] for x in side], covered["n_windows"], (covered["n_windows"] / totals["total"]).alias("coverage"), shares["b"]["n_slots"].alias("n_slots"), shares["b"]["consistent"].alias("consistent"), shares["b"]["verbatim"].alias("verbatim"))
+    both = both.withColumn("contaminated", F.col("consistent") & (F.col("coverage") >= COVERAGE) & (F.col("n_windows") >= MIN_WINDOWS))
+    top = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "verbatim", "contaminated"), F.struct("contaminated", "coverage", "n_windows", "verbatim", ~F.col("plain"))).alias("b")
+    return both.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "b.*")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -180,6 +181,109 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def brute_tokens(text):
+    """``(kind, canonical, value)`` of an ASCII text by one regular expression after the other."""
+    words = set(decontaminate.NUMBER_WORDS)
+    out = []
+    last_end, last_kind, gap_from = None, None, 0
+    for m in re.finditer(r"\d[0-9A-Za-z]*(?:[.,]\d[0-9A-Za-z]*)*|[0-9A-Za-z]+", text):
+        t = m.group()
+        gap = text[gap_from : m.start()]
+        spelled = t.lower() in words
+        if t[0].isdigit() or spelled:
+            if out and out[-1][0] == "N" and len(gap) == 1 and (spelled or out[-1][3]):
+                k, c, v, _ = out.pop()
+                out.append(("N", c, " ".join((v + gap + t).lower().split()), True if spelled else False))
+            else:
+                out.append(("N", "<N>", t.lower(), spelled))
+        elif out and out[-1][0] == "N" and t.lower() in decontaminate.UNITS:
+            out.append(("U", "<U>", t.lower(), False))
+        elif t[0].isupper():
+            if out and out[-1][0] == "P" and gap.strip() == "":
+                k, c, v, _ = out.pop()
+                out.append(("P", c, " ".join((v + " " + t).lower().split()), False))
+            else:
+                out.append(("P", "<P>", t.lower(), False))
+        else:
+            out.append(("L", t.lower(), None, False))
+        gap_from = m.end()
+    return [x[:3] for x in out]
+
+
+def brute_windows(text, plain, least):
+    tokens = [("L", t.lower(), None) for t in re.findall(r"[0-9A-Za-z]+", text)] if plain else brute_tokens(text)
+    size = decontaminate.WINDOW if least is None else least
+    out = {}
+    for k in range(len(tokens) - size + 1):
+        w = tokens[k : k + size]
+        if sum(x[0] == "L" for x in w) >= decontaminate.LITERALS * size:
+            out[k] = (tuple(x[1] for x in w), tuple(x[2] for x in w if x[0] != "L"))
+    return out
+
+
+def brute_leak(text, item):
+    """Is the document contaminated by the item (of ``WINDOW`` tokens or more)?"""
+    for plain in (True, False):
+        own, doc = brute_windows(item, plain, None), brute_windows(text, plain, None)
+        diagonals = {}
+        for d, (key, slots) in doc.items():
+            for i, (k, s) in own.items():
+                if key == k:
+                    diagonals.setdefault(d - i, []).append((i, slots, s))
+        covered = set()
+        for windows in diagonals.values():
+            pairs = {p for _, a, b in windows for p in zip(a, b)}
+            few = all(len(pairs) - len({p[side] for p in pairs}) <= decontaminate.CLASHES for side in (0, 1))
+            verbatim = any(a == b for _, a, b in windows)
+            if few or verbatim:  # the texts are too short for a run of RUN windows beside more clashes
+                covered |= {i for i, _, _ in windows}
+        if own and len(covered) / len(own) >= decontaminate.COVERAGE:
+            return True
+    return False
+
+
+def test_leaks_against_brute_force(spark):
+    """Re-parameterised, cut, mixed and unrelated texts against plain Python."""
+    rng = random.Random(11)
+    names, units = ["Anna", "Bob", "Carla Jones", "New York", "Paris"], ["kg", "km", "hours", "dollars"]
+    number = lambda: rng.choice([str(rng.randint(2, 99)), f"{rng.randint(1, 9)},{rng.randint(100, 999)}", f"{rng.randint(1, 9)}.{rng.randint(1, 9)}", "twelve", "twenty-five", "three hundred"])
+    verbs = "carries sells finds paints moves counts".split()
+
+    def story(seed):
+        r = random.Random(seed)
+        parts = [[r.choice(verbs), *prose(r, r.randint(3, 6)).encode("ascii", "ignore").decode().split()] for _ in range(4)]
+
+        def tell():
+            n, p = rng.choice(names), number()
+            return " ".join(f"{n if k % 2 else 'Then'} {' '.join(w)} {p if k != 2 else number()} {rng.choice(units)} and then some more of it." for k, w in enumerate(parts))
+
+        return tell
+
+    items, docs = [], []
+    for k in range(8):
+        tell = story(k)
+        items.append((k, tell()))
+        for _ in range(4):
+            docs.append("Intro words here. " + tell() + " The end of the text")
+        text = items[-1][1].split()
+        docs += [" ".join(text[: len(text) // 3]), " ".join(text[len(text) // 3 :]), items[-1][1].upper(), " ".join(text[: len(text) // 2] + text[len(text) // 4 :]), prose(rng, 60)]
+    df, bench = frame(spark, list(enumerate(docs))), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(docs) for i, x in items if brute_leak(t, x)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect() if r["contaminated"]}
+    assert got == want and 40 < len(want) < 200
+
+
+def test_leaks_odd_rows(spark):
+    item = "how many apples are left in the basket when 5 of the 12 apples are eaten by the children"
+    docs = spark.createDataFrame([(None, item), (1, item), (1, item), (2, None), (3, "  "), (4, "is the total number of animals that are left at the end of the day")], "doc_id long, text string")
+    long = "what " + prose(random.Random(3), 40) + " is the total number of animals that are left at the end of the year"
+    bench = spark.createDataFrame([(None, item), (1, item), (1, item), (5, long)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert {k for k, r in got.items() if r["contaminated"]} == {(None, None), (None, 1), (1, None), (1, 1)}
+    assert not got[(4, 5)]["contaminated"] and got[(4, 5)]["consistent"]  # a common phrase of a long item
+    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(docs, bench).collect()) == ["2", "3", "4", "None"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
