@@ -8,7 +8,9 @@ Queries: ``tenant_id, query_id, query, target_entity_id``.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,66 +26,65 @@ CHUNK_SIZE, OVERLAP = 800, 100
 DEFAULT_SECTION = "General Overview"
 
 
-def _is_table_row(t: str) -> bool:
-    return t.startswith("|") or t.endswith("|") or t.count("|") >= 2
+def _table_row(bare: str) -> bool:
+    return bare.count("|") > 1 or bare[:1] == "|" or bare[-1:] == "|"
 
 
-def fold_lines(lines: list[str], size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tuple[str, str, bool]]:
-    """``(text, section, is_table)`` chunks of a document's lines, by a fold over the lines.
+def text_ranges(first: int, stop: int, ends: list[int], is_header: list[bool], upto: list[int], inked: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Line ranges of the chunks in the text ``first .. stop`` between two tables.
 
-    Text is put out at ``size`` characters, before a table, before a header and at
-    the end; its last lines of ``overlap`` characters or more begin the next chunk,
-    also across headers.  Consecutive table rows stay together and end what was
-    carried over.
+    ``upto`` are the summed lengths and ``inked`` the numbers of lines with content before each
+    line, so that both the line at which a range is full and the one at which its
+    successor begins are found by bisection.  ``ends`` are the lines before which a
+    range ends in any case: headers, and ``stop``.
     """
-    out: list[tuple[str, str, bool]] = []
-    section, held, table = DEFAULT_SECTION, [], []
-
-    def put_text():
-        nonlocal held
-        text = "\n".join(held).strip()
-        if text:
-            out.append((text, section, False))
-            kept, n = 0, 0
-            while kept < len(held) and n < overlap:
-                kept += 1
-                n += len(held[-kept]) + 1
-            held = held[len(held) - kept :]
-
-    def put_table():
-        nonlocal held, table
-        if table:
-            put_text()
-            out.append(("\n".join(table).strip(), section, True))
-            held, table = [], []
-
-    for line in lines:
-        t = line.strip()
-        if t.startswith("#"):
-            put_table()
-            put_text()
-            section = t.lstrip("#").lstrip()
-            held.append(line)
-        elif _is_table_row(t):
-            table.append(line)
-        else:
-            put_table()
-            held.append(line)
-            if sum(map(len, held)) + len(held) >= size:
-                put_text()
-    put_table()
-    put_text()
+    begin = at = first
+    forced = 0
+    while forced < len(ends):
+        full = bisect_left(upto, upto[begin] + size, at + 1)
+        if full <= stop and is_header[full - 1]:
+            full += 1  # a header never fills a range
+        by_size = full <= ends[forced]
+        at = full if by_size else ends[forced]
+        forced += not by_size
+        if inked[at] > inked[begin]:
+            yield begin, at
+            begin = max(begin, min(bisect_right(upto, upto[at] - overlap) - 1, at - 1))
+
+
+def chunk_ranges(lines: list[str], size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tuple[str, str, bool]]:
+    """``(text, section, is_table)`` of a document's chunks.
+
+    Every chunk is a range of lines.  A run of table rows is one chunk; the text
+    between tables is cut before headers, where ``size`` characters are reached, and at
+    its end, and each range begins with the last lines of its predecessor that
+    hold ``overlap`` characters.  A chunk's section is the last header inside or before it.
+    """
+    bare = [x.strip() for x in lines]
+    is_header = [x.startswith("#") for x in bare]
+    is_table = [not h and _table_row(x) for h, x in zip(is_header, bare)]
+    headers = [i for i, h in enumerate(is_header) if h]
+    upto = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    inked = list(accumulate((x != "" for x in bare), initial=0))
+    out = []
+    for table, run in groupby(range(len(lines)), is_table.__getitem__):
+        run = list(run)
+        first, stop = run[0], run[-1] + 1
+        ends = [*headers[bisect_right(headers, first) : bisect_left(headers, stop)], stop]
+        for a, b in [(first, stop)] if table else text_ranges(first, stop, ends, is_header, upto, inked, size, overlap):
+            known = bisect_left(headers, b)
+            out.append(("\n".join(lines[a:b]).strip(), bare[headers[known - 1]].lstrip("#").lstrip() if known else DEFAULT_SECTION, table))
     return out
 
 
 def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, dictionary: DataFrame | None = None) -> DataFrame:
-    """Chunks with codes, specs, table cells and links; a document is one row and one fold."""
+    """Chunks with codes, specs, table cells and links; no row leaves its partition."""
     schema = "tenant_id string, document_id string, seq long, links array<string>, chunk_index int, content string, section_header string, is_table boolean"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(r.tenant_id, r.id, r.seq, r.linked_entity_ids, i, *c)
-                    for r in part.itertuples() for i, c in enumerate(fold_lines((r.content or "").split("\n"), size, overlap))]
+                    for r in part.itertuples() for i, c in enumerate(chunk_ranges((r.content or "").split("\n"), size, overlap))]
             yield pd.DataFrame(rows, columns=["tenant_id", "document_id", "seq", "links", "chunk_index", "content", "section_header", "is_table"])
 
     chunks = documents.select("tenant_id", "id", "seq", "linked_entity_ids", "content").mapInPandas(run, schema)
@@ -91,7 +92,7 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int =
 
 
 def enrich_chunks(chunks: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Ids, codes, specs, cells, token counts, checksums and entity links of folded chunks."""
+    """Ids, codes, specs, cells, token counts, checksums and entity links of cut chunks."""
     out = chunks.withColumns({
         "id": F.concat_ws("_", F.lit("chunk"), "document_id", F.col("chunk_index").cast("string")), "error_codes": error_codes(F.col("content")), "technical_specs": tech_specs(F.col("content")),
         "table_data": F.when(F.col("is_table"), table_cells(F.split("content", "\n"))), "token_count": token_count(F.col("content")), "checksum": F.sha2("content", 256),

@@ -65,11 +65,11 @@ def test_resolution_routes(spark):
 
 def test_chunker_keeps_tables_whole_and_overlaps():
     text = ["# Title", "intro", "## Alarms", "| Code | Text |", "|---|---|", "| E-4012 | hot |", "after " + "x" * 790, "tail"]
-    chunks = search.fold_lines(text)
+    chunks = search.chunk_ranges(text)
     assert [c[2] for c in chunks] == [False, False, True, False, False]
     assert chunks[2][0].count("\n") == 2 and chunks[2][1] == "Alarms"
     assert chunks[3][0].startswith("after") and chunks[4][0].endswith("tail") and chunks[4][0].startswith("after")
-    assert search.fold_lines([""]) == [] and search.fold_lines(["  ", ""]) == []
+    assert search.chunk_ranges([""]) == [] and search.fold_lines(["  ", ""]) == []
 
 
 def test_chunks_and_search(spark):
