@@ -56,6 +56,7 @@ KEY = 20_240_607
 ROUNDS = 6
 MAX_RANGES = 20_000
 FLUSH_BYTES = 32 << 20
+LEVEL = 6
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -170,6 +171,7 @@ def _write(docs: DataFrame, shards: Shards, counts: dict[int, int], key: int, vo
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary.value if vocabulary else None, pattern)
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         base, expected = bases.value.get(TaskContext.get().partitionId(), (0, 0))
         done, held = 0, 0
         rows: list[tuple] = []
@@ -184,7 +186,7 @@ def _write(docs: DataFrame, shards: Shards, counts: dict[int, int], key: int, vo
             # neighbours in the table stay neighbours here, so copies compress well
             blobs = [pickle.dumps((slot[o], [doc[i] for i in o], [seq[i] for i in o], [payload[i] for i in o]), 5) for o in (np.sort(order[cut[p] : cut[p + 1]]) for p in parts)]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([len(b) for b in blobs], pa.int64()), pa.array([pa.compress(b, "zstd", asbytes=True) for b in blobs], pa.binary())], names=["range", "size", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([len(b) for b in blobs], pa.int64()), pa.array([codec.compress(b, asbytes=True) for b in blobs], pa.binary())], names=["range", "size", "blob"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
