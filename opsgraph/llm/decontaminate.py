@@ -43,6 +43,8 @@ empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -250,9 +252,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_B
     best = F.max_by(F.struct("n_slots", "consistent", "verbatim"), F.struct("consistent", "n_windows", "verbatim", -F.col("diagonal"))).alias("b")
     covered = judged.withColumn("at", F.explode("ats")).groupBy(*side).agg(F.count_distinct(F.when(F.col("consistent"), F.col("at"))).alias("n_windows"))
     shares = judged.groupBy(*side).agg(best)
-    same = lambda a, b, on: F.reduce(F.array(*[a[c].eqNullSafe(b[c]) for c in on]), F.lit(True), lambda x, y: x & y)
-    c, s, t = covered.alias("c"), shares.alias("s"), totals.alias("t")
-    joined = c.join(s, same(covered, shares, side)).join(t, same(covered, totals, ["item_id", "plain"]))
+    # null ids meet null ids, as keys of plain joins
+    same = lambda a, b, on: reduce(and_, [a[c].eqNullSafe(b[c]) for c in on])
+    joined = covered.join(shares, same(covered, shares, side)).join(totals, same(covered, totals, ["item_id", "plain"]))
     both = joined.select(*[covered[x] for x in side], covered["n_windows"], (covered["n_windows"] / totals["total"]).alias("coverage"), shares["b"]["n_slots"].alias("n_slots"), shares["b"]["consistent"].alias("consistent"), shares["b"]["verbatim"].alias("verbatim"))
     both = both.withColumn("contaminated", F.col("consistent") & (F.col("coverage") >= COVERAGE) & (F.col("n_windows") >= MIN_WINDOWS))
     top = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "verbatim", "contaminated"), F.struct("contaminated", "coverage", "n_windows", "verbatim", ~F.col("plain"))).alias("b")
