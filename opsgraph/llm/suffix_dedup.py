@@ -319,6 +319,7 @@ def _suffix_runs(splitters):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = splitters.value
+        codec = pa.Codec("zstd", compression_level=3)
         items: list[tuple] = []
 
         def flush():
@@ -338,7 +339,8 @@ def _suffix_runs(splitters):
                     where = bisect_right(cuts, x[0][:GRAM])
                 blobs.setdefault(where, []).append(x)
             items.clear()
-            rows = [(p, front_code(b), None) for p, b in blobs.items()]
+            coded = ((p, front_code(b)) for p, b in blobs.items())
+            rows = [(p, len(b).to_bytes(4, "little") + codec.compress(b, asbytes=True), None) for p, b in coded]
             rows += [(p, None, pickle.dumps(np.array(f, np.int64), 5)) for p, f in flags.items()]
             part, blob, flag = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary()), pa.array(flag, pa.binary())], names=["range", "blob", "flags"])
@@ -435,7 +437,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blobs = []
             at = r
             if blob.is_valid:
-                blobs.append(blob.as_py())
+                raw = blob.as_py()
+                blobs.append(pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True))
             if flag.is_valid:
                 yield codes(pickle.loads(flag.as_py()))
     if blobs and (found := merge_range(blobs)):
