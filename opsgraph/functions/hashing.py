@@ -1,11 +1,17 @@
-"""Checksums and hashed embeddings, all in SQL expressions."""
+"""Checksums in SQL expressions and hashed embeddings, computed inside each row."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import DIM, dot
+from .numeric import DIM
 
 
 def row_hash(raw_json: Column) -> Column:
@@ -14,8 +20,6 @@ def row_hash(raw_json: Column) -> Column:
 
 def hmac_sha256(message: Column, key: str) -> Column:
     """HMAC-SHA256 in hex, from SHA-256 over padded keys."""
-    import hashlib
-
     raw = key.encode()
     raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
     inner, outer = (F.unhex(F.lit(bytes(x ^ pad for x in raw).hex())) for pad in (0x36, 0x5C))
@@ -56,17 +60,45 @@ def word_terms(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
 
 
+def _embeddings(parts: Iterator[pd.Series], dim: int) -> Iterator[pd.Series]:
+    grams: dict[str, int] = {}  # of letters and digits, so at most 36 ** 4
+
+    def place(term: str) -> int:
+        a, b = hashlib.md5(term.encode()).digest()[:2]
+        return (a << 8 | b) % dim
+
+    def vectors(part: pd.Series) -> list[np.ndarray]:
+        texts = [(t or "").split() for t in part]
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        # each distinct word of a slice is hashed once
+        codes, known = pd.factorize(np.array(list(chain.from_iterable(texts)), dtype=object))
+        buckets: list[int] = []
+        sizes = np.empty(len(known), int)
+        for k, word in enumerate(known):
+            sizes[k] = max(1, len(word) - 2)
+            buckets.append(place(word))
+            for i in range(len(word) - 3):
+                g = word[i : i + 4]
+                if g not in grams:
+                    grams[g] = place(g)
+                buckets.append(grams[g])
+        first = np.cumsum(sizes) - sizes
+        weights = np.full(len(buckets), 0.5)
+        weights[first] = 2.0
+        n = sizes[codes]
+        at = np.repeat(first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        dense = np.bincount(np.repeat(rows, n) * dim + np.array(buckets, int)[at], weights[at], len(part) * dim).reshape(len(part), dim)
+        norm = np.sqrt((dense * dense).sum(axis=1))
+        return list(dense / np.where(norm > 0, norm, 1.0)[:, None])
+
+    for part in parts:
+        yield pd.Series([v for i in range(0, len(part), 512) for v in vectors(part[i : i + 512])])
+
+
 def with_embedding(df: DataFrame, key: list[str], text: str = "text", name: str = "embedding", dim: int = DIM) -> DataFrame:
-    """Add a unit vector per row: each word adds 2.0 to its bucket, each 4-gram of a word 0.5; no words, zeros."""
-    text_ = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]", " ")
-    words = df.select(*key, F.explode(F.split(text_, " ")).alias("t")).filter("t <> ''").groupBy(*key, "t").agg(F.count(F.lit(1)).alias("n"))
-    # each distinct word is hashed once; its buckets and weights then go to the rows that hold it
-    grams = F.when(F.length("t") >= 4, F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.struct(bucket(F.substring("t", i, F.lit(4)), dim).alias("b"), F.lit(0.5).alias("w")))).otherwise(F.array())
-    vocabulary = words.select("t").distinct().select("t", F.concat(F.array(F.struct(bucket(F.col("t"), dim).alias("b"), F.lit(2.0).alias("w"))), grams).alias("x"))
-    terms = words.join(vocabulary, "t").select(*key, "n", F.explode("x").alias("x"))
-    sums = terms.groupBy(*key, F.col("x.b").alias("b")).agg(F.sum(F.col("x.w") * F.col("n")).alias("v"))
-    maps = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    dense = maps.select(*key, raw.alias("v")).select(*key, F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias(name))
-    zeros = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda _: F.lit(0.0))
-    return df.join(dense, key, "left").withColumn(name, F.coalesce(name, zeros))
+    """Add a unit vector per row: each word adds 2.0 to its bucket, each 4-gram of a word 0.5; no words, zeros.
+
+    A row's vector depends on its text alone, so no row moves; ``key`` is not used.
+    """
+    run = F.pandas_udf(lambda parts: _embeddings(parts, dim), "array<double>", F.PandasUDFType.SCALAR_ITER)
+    return df.withColumn(name, run(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]", " ")))

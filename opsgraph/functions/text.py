@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 ID_COLUMNS = ("id", "ID", "order_id", "OrderID", "order_number", "telemetry_id", "ticket_id", "code", "sku", "SKU")
 ERROR_CODE = r"(?i)\b((?:E|W|A|F|ALM|ERR|CODE)[-_]?(?:[A-Za-z0-9]{1,6}[-_])?[0-9]{2,6}[A-Za-z]?)\b"
 TECH_SPEC = r"(?i)([A-Za-z\s]+)[:=]\s*([0-9.]+\s*(?:bar|psi|rpm|mm|m/s|kw|v|vac|vdc|hz|khz|c|°c|celsius|kg|kn))\b"
-TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+TIMESTAMP = r"^\d{4}-\d{2}-\d{2}(T|\s)\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
 def trimmed(c: Column) -> Column:
@@ -29,6 +29,14 @@ def first_truthy(attributes: Column, *keys: str) -> Column:
     return F.coalesce(*[truthy(F.try_element_at(attributes, F.lit(k))) for k in keys])
 
 
+def is_timestamp(value: Column) -> Column:
+    """A date and time by its pattern, with a month, day, hour, minute and second that exist, and no fraction without seconds."""
+    part = lambda a, n: F.try_to_number(F.substring(value, a, n), F.lit("99"))
+    second = F.when(F.substring(value, 17, 1) == ":", part(18, 2)).otherwise(0)
+    inside = part(6, 2).between(1, 12) & part(9, 2).between(1, 31) & (part(12, 2) <= 23) & (part(15, 2) <= 59) & (second <= 59) & (F.substring(value, 17, 1) != ".")
+    return value.rlike(TIMESTAMP) & F.coalesce(inside, F.lit(False))
+
+
 def infer_type(value: Column) -> Column:
     """INTEGER, FLOAT, BOOLEAN, TIMESTAMP, JSON or STRING (also for null and empty values)."""
     v = trimmed(value)
@@ -37,7 +45,7 @@ def infer_type(value: Column) -> Column:
             .when(F.lower(v).isin("true", "false", "yes", "no"), "BOOLEAN")
             .when(v.rlike(r"^-?\d+$"), "INTEGER")
             .when(v.rlike(r"^-?\d+\.\d+$"), "FLOAT")
-            .when(v.rlike(TIMESTAMP), "TIMESTAMP")
+            .when(is_timestamp(v), "TIMESTAMP")
             .when(braces & F.try_parse_json(v).isNotNull(), "JSON")
             .otherwise("STRING"))
 

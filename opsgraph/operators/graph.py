@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The dossier's place of each entity type.
@@ -20,14 +20,24 @@ BUCKETS = {
 SLOTS = ("Plant", "Line", "Cell", "Station")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Written once to the folder that all executors share."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a local temporary folder serves a ``local`` master; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="opsgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/hop-{uuid.uuid4().hex}"
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Written once to the folder that all executors share."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/hop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,6 +62,12 @@ def with_edge_defaults(edges: DataFrame, now) -> DataFrame:
     return edges.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("valid_from", F.coalesce("valid_from", F.lit(now).cast("timestamp")))
 
 
+def append_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """The edges with those of ``new`` whose ends exist, defaults filled in, and the rejected ones."""
+    good, bad = check_endpoints(with_edge_defaults(new, now), nodes)
+    return edges.unionByName(good, allowMissingColumns=True), bad
+
+
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     """``tenant_id, at, next, edge_id, dir`` of the walkable edges; outgoing ones come first."""
     down = edges.select("tenant_id", F.col("source_id").alias("at"), F.col("target_id").alias("next"), F.col("id").alias("edge_id"), F.col("seq").alias("edge_seq"), F.lit("DOWNSTREAM").alias("dir"), F.lit(0).alias("dir_no"))

@@ -9,6 +9,7 @@ from ..functions.text import trimmed
 
 # Fixed values, in the order in which they are tested.
 KEYWORDS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "CALL", "EXEC", "EXECUTE")
+PRIVATE_RANGE = r"^(127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "instance-data")
 
 
@@ -37,6 +38,6 @@ def classify_url(url: Column) -> Column:
     """MALFORMED, BAD_PROTOCOL, METADATA_HOST, PRIVATE_HOST or OK; the private test is on the host's text."""
     protocol = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
     host = _dotted(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^\[|\]$", ""))
-    private = host.rlike(r"^(127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)") | host.isin("localhost", "::1") | host.startswith("fc") | host.startswith("fd") | host.startswith("fe80:")
+    private = host.rlike(PRIVATE_RANGE) | host.isin("localhost", "::1") | host.startswith("fc") | host.startswith("fd") | host.startswith("fe80:")
     return (F.when(protocol.isNull(), "MALFORMED").when(~protocol.isin("http", "https"), "BAD_PROTOCOL").when(host.isNull(), "MALFORMED")
             .when(host.isin(*METADATA_HOSTS), "METADATA_HOST").when(private, "PRIVATE_HOST").otherwise("OK"))

@@ -5,12 +5,15 @@ Input rows: ``tenant_id, data_source_id, job_id, row_index, raw_json``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.hashing import row_hash
+from ..functions.numeric import js_round
 from ..functions.text import external_id, infer_type
+from ..sources.landed import scan_delimited
+from .graph import materialize
 
 JOB = ["tenant_id", "job_id"]
 
@@ -54,11 +57,51 @@ def job_summary(tagged: DataFrame) -> DataFrame:
     n = lambda *o: F.sum(F.col("outcome").isin(*o).cast("long"))
     out = tagged.groupBy(*JOB).agg(F.count(F.lit(1)).alias("total_rows"), n("VALID").alias("valid_rows"), n("DUPLICATE").alias("duplicate_rows"),
                                    n("EMPTY_OR_INVALID_ROW", "PROTOTYPE_POLLUTION_DETECTED").alias("error_rows"))
-    return out.withColumn("status", F.when(F.col("error_rows") == 0, "COMPLETED").when(F.col("valid_rows") > 0, "PARTIAL").otherwise("FAILED"))
+    return out.withColumn("status", job_status())
 
 
-def resolve_dead_letter(letters: DataFrame, tenant: str, item: str) -> DataFrame:
-    return letters.withColumn("resolved", F.when((F.col("tenant_id") == tenant) & (F.col("id") == item), True).otherwise(F.col("resolved")))
+def job_status() -> Column:
+    return F.when(F.col("error_rows") == 0, "COMPLETED").when(F.col("valid_rows") > 0, "PARTIAL").otherwise("FAILED")
+
+
+def finish_jobs(jobs: DataFrame, tagged: DataFrame, finished: str) -> DataFrame:
+    """Job rows (``tenant_id, id, started_at, ...``) with their counts, status, ``duration_ms`` (1 at least) and ``records_per_second``."""
+    n = job_summary(tagged).select("tenant_id", F.col("job_id").alias("id"), "total_rows", "valid_rows", "error_rows", "duplicate_rows", F.col("status").alias("__s"))
+    both = jobs.join(n, ["tenant_id", "id"], "left")
+    micros = F.unix_micros(F.lit(finished).cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = both.withColumns({"total_records": zero("total_rows"), "valid_records": zero("valid_rows"), "error_records": zero("error_rows"), "duplicate_records": zero("duplicate_rows"),
+                            "duration_ms": F.greatest(F.floor(micros / 1000), F.lit(1)).cast("long"), "status": F.coalesce("__s", F.lit("COMPLETED")), "completed_at": F.lit(finished)})
+    return out.withColumn("records_per_second", js_round(F.col("valid_records") / (F.col("duration_ms") / 1000), 2)).drop("total_rows", "valid_rows", "error_rows", "duplicate_rows", "__s")
+
+
+def number_rows(rows: DataFrame, group: list[str], order: list[str], name: str = "row_index") -> DataFrame:
+    """Number rows that come without an index from 1 inside each group, by ``order``.
+
+    Rows are sorted by ranges, so a large group spreads over many tasks; each range's
+    rows are numbered apart and the sizes of the ranges before are added.
+    """
+    ranged = materialize(rows.repartitionByRange(*group, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    numbered = ranged.withColumn(name, F.row_number().over(W.partitionBy(*group, "__p").orderBy(*order)))
+    same = F.col("__p") == F.col("__q")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return numbered.join(offsets, same).withColumn(name, (F.col(name) + F.col("__o")).cast("long")).drop("__p", "__q", "__o", *[f"__g{i}" for i in range(len(group))])
+
+
+def resolve_dead_letter(letters: DataFrame, tenant: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """The letters with that one resolved, and one row ``found``."""
+    this = (F.col("tenant_id") == tenant) & (F.col("id") == item)
+    return letters.withColumn("resolved", F.when(this, True).otherwise(F.col("resolved"))), letters.agg(F.coalesce(F.bool_or(this), F.lit(False)).alias("found"))
+
+
+def scan_profile(spark, path: str, delimiter: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of a delimited file, with their place ``row_no`` in the file, and the profile of its columns."""
+    rows = scan_delimited(spark, path, delimiter).withColumn("row_no", F.monotonically_increasing_id())
+    return rows, profile_columns(rows, "row_no")
 
 
 def profile_columns(rows: DataFrame, order: str, samples: int = 5, approximate: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
 from ..functions.text import first_truthy, name_similarity, truthy
+from .graph import materialize
+from .ingest import number_rows
 
 MERGE, REVIEW = 0.80, 0.50
 TAGS = ("asset_tag", "serial_number", "order_number")
@@ -78,13 +80,33 @@ def match_candidates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.select("tenant_id", F.col("i_in_id").alias("in_id"), "b.e_id", "b.confidence", "b.rule")
 
 
+def match_reasons(best: DataFrame, existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Add ``match_reasons`` to ``best(tenant_id, in_id, e_id, rule, ...)``: what spoke for the chosen node, in the order of the rules."""
+    e, i = _prepared(existing, "e_"), _prepared(incoming, "i_")
+    pair = best.join(e.withColumnRenamed("e_id", "__e"), (best["tenant_id"] == e["tenant_id"]) & (best["e_id"] == F.col("__e"))).drop(e["tenant_id"])
+    pair = pair.join(i.withColumnRenamed("tenant_id", "__t"), (F.col("tenant_id") == F.col("__t")) & (F.col("in_id") == F.col("i_in_id")))
+    name, model = _similarity(F.col("i_name"), F.col("e_name")), _similarity(F.col("i_model"), F.col("e_model"))
+    percent = lambda x: F.format_string("%.1f%%", x * 100)
+    # The wording of the reasons and the similarities from which they are given.
+    fuzzy = F.array_compact(F.array(
+        F.concat(F.lit("Same entity type: "), "e_entity_type"),
+        F.when(name > 0.6, F.concat(F.lit("Name similarity: "), percent(name), F.lit(' ("'), "e_name", F.lit('" vs "'), "i_name", F.lit('")'))),
+        F.when(model > 0.7, F.concat(F.lit("Model/Product similarity: "), percent(model)))))
+    tag = first_truthy(F.col("e_attributes"), *TAGS)
+    reasons = (F.when(F.col("rule") == 1, F.array(F.concat(F.lit('Exact canonical ID match: "'), "e_canonical_id", F.lit('"'))))
+               .when(F.col("rule") == 2, F.array(F.concat(F.lit('Exact asset tag/serial match: "'), tag, F.lit('"')))).otherwise(fuzzy))
+    return pair.select(*[best[c] for c in best.columns], reasons.alias("match_reasons"))
+
+
 def resolve_entities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Add to each incoming row ``action`` (MERGED_AUTOMATIC, QUEUED_FOR_REVIEW, CREATED_NEW), ``matched_id`` and ``confidence``."""
-    best = match_candidates(existing, incoming)
+    """Add to each incoming row ``action`` (MERGED_AUTOMATIC, QUEUED_FOR_REVIEW, CREATED_NEW), ``matched_id``, ``confidence`` and ``match_reasons``."""
+    best = match_reasons(materialize(match_candidates(existing, incoming)), existing, incoming)
     c = F.coalesce("confidence", F.lit(0.0))
     action = F.when(c >= MERGE, "MERGED_AUTOMATIC").when(c >= REVIEW, "QUEUED_FOR_REVIEW").otherwise("CREATED_NEW")
     out = incoming.join(best, ["tenant_id", "in_id"], "left").withColumn("action", action)
-    return out.withColumn("matched_id", F.when(c >= REVIEW, F.col("e_id"))).withColumn("confidence", F.when(c >= REVIEW, F.col("confidence")).otherwise(1.0)).drop("e_id", "rule")
+    sure = c >= REVIEW
+    return out.withColumns({"matched_id": F.when(sure, F.col("e_id")), "confidence": F.when(sure, F.col("confidence")).otherwise(1.0),
+                            "match_reasons": F.when(sure, F.col("match_reasons")).otherwise(F.array().cast("array<string>"))}).drop("e_id", "rule")
 
 
 def merged_name(primary: Column, incoming: Column) -> Column:
@@ -111,18 +133,53 @@ def review_items(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("tenant_id", F.col("id").alias("matched_id"), F.col("attributes").alias("__a"))
     q = resolved.filter("action = 'QUEUED_FOR_REVIEW'").join(n, ["tenant_id", "matched_id"])
     return q.select(F.sha2(F.concat_ws("|", "tenant_id", F.col("in_id").cast("string")), 256).alias("id"), "tenant_id", F.col("matched_id").alias("primary_node_id"), F.col("in_id").alias("candidate_id"),
-                    "confidence", F.lit("PENDING").alias("status"), "name", "description", overlay(F.col("__a"), F.col("attributes")).alias("attributes"), "source_refs")
+                    "confidence", "match_reasons", F.lit("PENDING").alias("status"), "name", "description", overlay(F.col("__a"), F.col("attributes")).alias("attributes"), "source_refs")
 
 
 def pending_reviews(queue: DataFrame, tenant: str) -> DataFrame:
     return queue.filter((F.col("tenant_id") == tenant) & (F.col("status") == "PENDING")).orderBy(F.desc("created_at"), "id")
 
 
-def decide_reviews(queue: DataFrame, decisions: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The queue after decisions (``id, decision``), the merged nodes of approvals, and decisions that do not apply."""
-    d = decisions.select(F.col("id"), F.col("decision").alias("__d"))
-    after = queue.join(d, "id", "left").withColumn("status", F.when(F.col("status") == "PENDING", F.coalesce("__d", "status")).otherwise(F.col("status"))).drop("__d")
-    open_ = queue.filter("status = 'PENDING'")
-    approved = open_.join(d.filter("__d = 'APPROVED'"), "id").withColumn("matched_id", F.col("primary_node_id"))
-    rejected = decisions.join(open_.select("id"), "id", "left_anti").withColumn("reason", F.lit("NOT_FOUND_OR_DECIDED"))
-    return after, merge_nodes(nodes, approved), rejected
+def decide_reviews(queue: DataFrame, decisions: DataFrame, nodes: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Apply ``decisions(tenant_id, id, decision, reviewer_email, notes)`` to pending items of the same tenant.
+
+    Returns the queue after them, the merged nodes of approvals, an audit row per decision that applied, and the
+    decisions that did not (``reason`` NOT_FOUND or ALREADY_DECIDED).
+    """
+    key = ["tenant_id", "id"]
+    for c in ("reviewed_by", "reviewed_at", "decision_notes"):
+        queue = queue if c in queue.columns else queue.withColumn(c, F.lit(None).cast("string"))
+    d = decisions.select(*key, F.col("decision").alias("__d"), F.col("reviewer_email").alias("__r"), F.col("notes").alias("__n"))
+    seen = queue.join(d, key, "left")
+    applies = (F.col("status") == "PENDING") & F.col("__d").isNotNull()
+    to = {"status": "__d", "reviewed_by": "__r", "decision_notes": "__n"}
+    changed = {c: F.when(applies, F.col(x)).otherwise(F.col(c)) for c, x in to.items()} | {"reviewed_at": F.when(applies, F.lit(now)).otherwise(F.col("reviewed_at"))}
+    after = seen.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns])
+    applied = seen.filter(applies)
+    merged = merge_nodes(nodes, applied.filter("__d = 'APPROVED'").withColumn("matched_id", F.col("primary_node_id")))
+    details = F.to_json(F.struct(F.col("id").alias("reviewItemId"), "confidence", F.col("__d").alias("decision"), F.col("__n").alias("notes")))
+    audit = applied.select("tenant_id", F.col("__r").alias("actor_id"), F.col("__r").alias("actor_email"), F.lit("PROCESS_ENGINEER").alias("actor_role"), F.concat(F.lit("ENTITY_MERGE_"), "__d").alias("action"),
+                           F.lit("KNOWLEDGE_GRAPH").alias("resource_type"), F.col("primary_node_id").alias("resource_id"), details.alias("details"), F.lit("SUCCESS").alias("status"), F.lit(now).alias("timestamp"))
+    known = queue.select(*key, F.col("status").alias("__s"))
+    refused = decisions.join(known, key, "left").filter("__s IS NULL OR __s <> 'PENDING'").withColumn("reason", F.when(F.col("__s").isNull(), "NOT_FOUND").otherwise("ALREADY_DECIDED")).drop("__s")
+    return after, merged, audit, refused
+
+
+def apply_resolution(existing: DataFrame, incoming: DataFrame, queue: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolve incoming rows and apply the outcome: nodes after it, the review queue with new items, and the outcome rows.
+
+    Sure matches are merged into their node, all others become nodes of their own (those under review too, until
+    they are decided), with derived ids, version 1 and the next places in the order of ``in_id``.
+    """
+    outcome = materialize(resolve_entities(existing, incoming))
+    sure = outcome.filter("action = 'MERGED_AUTOMATIC'")
+    one = sure.groupBy("tenant_id", "matched_id").agg(F.min_by(F.struct(*[c for c in sure.columns if c not in ("tenant_id", "matched_id")]), "in_id").alias("x")).select("tenant_id", "matched_id", "x.*")
+    merged = merge_nodes(existing, one)
+    kept = existing.join(merged.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti").unionByName(merged)
+    node_id = F.concat(F.lit("node_"), F.substring(F.sha2(F.concat_ws("|", "tenant_id", "canonical_id", F.col("in_id").cast("string")), 256), 1, 16))
+    fresh = outcome.filter("action <> 'MERGED_AUTOMATIC'").withColumns({"id": node_id, "version": F.lit(1).cast(dict(existing.dtypes)["version"])})
+    top = existing.groupBy("tenant_id").agg(F.max("seq").alias("__top"))
+    fresh = number_rows(fresh, ["tenant_id"], ["in_id"], "__k").join(top, "tenant_id", "left").withColumn("seq", (F.coalesce("__top", F.lit(-1)) + F.col("__k")).cast(dict(existing.dtypes)["seq"]))
+    nodes = kept.unionByName(fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(dict(existing.dtypes)[c]).alias(c) for c in existing.columns]))
+    items = review_items(outcome, existing).withColumn("created_at", F.lit(now))
+    return nodes, queue.unionByName(items.join(queue.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti"), allowMissingColumns=True), outcome.select("tenant_id", "in_id", "action", "matched_id", "confidence", "match_reasons")

@@ -182,6 +182,29 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, D
     return every.withColumn("rank", F.row_number().over(order)).select("tenant_id", "query_id", "chunk_id", "score", "rank", "chunk_seq")
 
 
+def match_reasons(queries: DataFrame, hits: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Add ``match_reasons`` to ``hits(tenant_id, query_id, chunk_id, ...)``: an exact code first, then the query's terms in order, then the section.
+
+    Only the hits' postings are read, so reasons cost nothing for what is not shown.
+    """
+    key = ["tenant_id", "query_id", "chunk_id"]
+    postings, lengths = index or bm25_index(chunks)
+    asked = queries.select("tenant_id", "query_id", F.upper(trimmed(F.col("query"))).alias("q"), F.posexplode(bm25_tokens(F.col("query"))).alias("p", "term"))
+    asked = materialize(asked)
+    n = lengths.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = materialize(postings.join(asked.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi"))
+    df = wanted.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    shown = materialize(hits.select(*key).distinct())
+    # The wording of the reasons.
+    terms = shown.join(asked, ["tenant_id", "query_id"]).join(wanted, ["tenant_id", "term", "chunk_id"]).join(df, ["tenant_id", "term"]).join(n, "tenant_id")
+    terms = terms.select(*key, F.lit(1).alias("k"), "p", F.format_string('Matched keyword "%s" (TF: %d, IDF: %.2f)', "term", "tf", N.idf(F.col("n"), F.col("df"))).alias("reason"))
+    named = shown.join(asked.select("tenant_id", "query_id", "q").distinct(), ["tenant_id", "query_id"]).join(chunks.select("tenant_id", F.col("id").alias("chunk_id"), "error_codes", "section_header"), ["tenant_id", "chunk_id"])
+    code = named.filter(F.exists("error_codes", lambda x: F.contains(F.col("q"), F.upper(x)))).select(*key, F.lit(0).alias("k"), F.lit(0).alias("p"), F.concat(F.lit("Exact industrial error code match ["), "q", F.lit("]")).alias("reason"))
+    head = named.filter("section_header <> ''").filter(F.contains("q", F.upper("section_header"))).select(*key, F.lit(2).alias("k"), F.lit(0).alias("p"), F.concat(F.lit('Matched section header "'), "section_header", F.lit('"')).alias("reason"))
+    every = terms.unionByName(code).unionByName(head).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "p", "reason"))), lambda x: x["reason"]).alias("match_reasons"))
+    return hits.join(every, key, "left").withColumn("match_reasons", F.coalesce("match_reasons", F.array().cast("array<string>")))
+
+
 def embed_chunks(chunks: DataFrame) -> DataFrame:
     return with_embedding(chunks, ["tenant_id", "id"], "content")
 
@@ -233,7 +256,10 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges
 
 
 def assemble_context(queries: DataFrame, hits: DataFrame, chunks: DataFrame, documents: DataFrame, dossiers: DataFrame, now: str) -> DataFrame:
-    """One text per query: the target's dossier and the top five chunks."""
+    """One text per query: the target's dossier and the top five chunks.
+
+    The captions are fixed values.
+    """
     c = chunks.select("tenant_id", F.col("id").alias("chunk_id"), "document_id", "content", "section_header", "error_codes", "technical_specs")
     d = documents.select("tenant_id", F.col("id").alias("document_id"), "title", "doc_type")
     found = hits.filter("rank <= 5").select("tenant_id", "query_id", "rank", "chunk_id").join(c, ["tenant_id", "chunk_id"]).join(d, ["tenant_id", "document_id"])

@@ -60,6 +60,15 @@ SELECT 'a' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, 't'
   CASE role WHEN 'user' THEN 'OPERATOR' ELSE 'AUDITOR' END AS actor_role, CASE WHEN turn % 2 = 0 THEN 'DATA_INGEST' ELSE 'GRAPH_NODE_MERGE' END AS action, 'CONVERSATION' AS resource_type,
   CASE WHEN conv_id % 5 = 0 THEN CAST(NULL AS STRING) ELSE 'r' || CAST(conv_id AS STRING) END AS resource_id, '{"turn":' || CAST(turn AS STRING) || '}' AS details, CASE WHEN conv_id % 4 = 0 THEN 'BLOCKED' ELSE 'SUCCESS' END AS status,
   CAST(CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(conv_id % 5000 AS INT) * INTERVAL 1 MINUTE AS STRING) AS "timestamp" FROM conversations""",
+    "manuals": """
+SELECT 't' || CAST(p_partkey % 3 AS STRING) AS tenant_id, 'man' || CAST(p_partkey AS STRING) AS id, p_partkey AS seq, p_name AS title, 'MANUAL' AS doc_type,
+  '# Manual of ' || p_name || chr(10) || 'Alarm E-' || CAST(4000 + p_partkey % 40 AS STRING) || ' is raised when the ' || p_type || ' line overheats.' || chr(10) || 'Max Pressure: ' || CAST(p_size AS STRING) || ' bar' || chr(10)
+  || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '## Alarm Table' || chr(10) || '| Code | Text |' || chr(10) || '|---|---|' || chr(10) || '| E-' || CAST(1000 + p_partkey % 300 AS STRING) || ' | ' || p_brand || ' |' || chr(10) END
+  || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '## Service' || chr(10) END || repeat('Check the seal of the ' || p_type || ' unit and the coolant flow.' || chr(10), CAST(3 + p_partkey % 31 AS INT)) || 'See part-' || CAST(p_partkey AS STRING) || '.' AS content FROM part""",
+    "asked_manuals": """
+SELECT t.tenant_id, q.query_id, q.query FROM (SELECT DISTINCT 't' || CAST(p_partkey % 3 AS STRING) AS tenant_id FROM part) t
+CROSS JOIN (SELECT 'm1' AS query_id, 'E-4012' AS query UNION ALL SELECT 'm2', 'red widget alarm table e-1007' UNION ALL SELECT 'm3', 'service of the seal, seal check' UNION ALL SELECT 'm4', ' max pressure of part-12 ') q""",
+    "assets": "SELECT DISTINCT 't' || CAST(user_id % 3 AS STRING) AS tenant_id, 'A' || CAST(user_id % 50 AS STRING) AS id, 'Asset ' || CAST(user_id % 50 AS STRING) AS name FROM events WHERE user_id % 50 < 40",
     "orgs": "SELECT 't' || CAST(n_nationkey AS STRING) AS id, n_name AS name FROM nation",
     "users": "SELECT 'u' || CAST(c_custkey AS STRING) AS id, LOWER(c_name) || '@example.com' AS email, c_name AS full_name, c_custkey % 100 = 0 AS is_super_admin FROM customer",
     "memberships": "SELECT 'u' || CAST(c_custkey AS STRING) AS user_id, 't' || CAST(c_nationkey AS STRING) AS tenant_id, CASE c_mktsegment WHEN 'MACHINERY' THEN 'OPERATOR' WHEN 'HOUSEHOLD' THEN 'VIEWER' WHEN 'BUILDING' THEN 'PLANT_MANAGER' ELSE 'AUDITOR' END AS role, CASE WHEN c_acctbal < 0 THEN 'SUSPENDED' ELSE 'ACTIVE' END AS status FROM customer UNION ALL SELECT 'ghost' || CAST(s_suppkey AS STRING), 't' || CAST(s_nationkey + 20 AS STRING), 'VIEWER', 'ACTIVE' FROM supplier",

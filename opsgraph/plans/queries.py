@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions.hashing import audit_checksum, bucket, word_terms
 from ..operators import access, action, audit, graph, guards, ingest, listing, reason, resolve, search
 from ..sources import landed, sinks
+from ..streaming import streams
 from .adapters import load
 
 KEY = "plant-audit-key"
@@ -308,7 +309,7 @@ def organizations_of_users(spark, d):
 
 
 def role_checks(spark, d):
-    m = load(spark, d, "memberships").withColumn("n", F.pmod(F.hash("user_id"), F.lit(1)))
+    m = load(spark, d, "memberships")
     asked = m.select(F.concat_ws("/", "user_id", "tenant_id").alias("check_id"), "role", F.array(F.lit("data:read"), F.lit("action:approve")).alias("permissions"))
     return access.role_checks(asked, access.role_permissions(spark))
 
@@ -404,32 +405,111 @@ def assemble_context(spark, d):
     return search.assemble_context(asked, hits, chunks, load(spark, d, "docs"), dossiers, NOW)
 
 
-def stream_rate_guard(spark, d):
-    from ..streaming import streams
+def _manual_chunks(spark, d):
+    docs = load(spark, d, "manuals").withColumn("linked_entity_ids", F.array().cast("array<string>"))
+    return graph.materialize(search.chunk_documents(docs))
+
+
+def chunk_manuals(spark, d):
+    x = _manual_chunks(spark, d)
+    cell = F.when(F.col("is_table"), F.get(F.get("table_data", 1), 0))
+    return x.select("tenant_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_header", "is_table", "content", F.array_join(F.sort_array("error_codes"), ",").alias("codes"), cell.alias("cell"))
+
+
+def search_manuals(spark, d):
+    chunks, asked = _manual_chunks(spark, d), load(spark, d, "asked_manuals")
+    index = tuple(graph.materialize(x) for x in search.bm25_index(chunks))
+    hits = graph.materialize(search.bm25_search(asked, chunks, index).filter("rank <= 20"))
+    x = search.match_reasons(asked, hits, chunks, index).join(chunks.select("tenant_id", F.col("id").alias("chunk_id"), "document_id", "chunk_index"), ["tenant_id", "chunk_id"])
+    return x.select("tenant_id", "query_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "score", F.col("rank").cast("long").alias("rank"), F.array_join("match_reasons", " | ").alias("reasons"))
+
+
+def _incident_inputs(spark, d):
+    """Incidents and telemetry with the manuals that cite an incident's code and the open work orders of its asset."""
+    i = load(spark, d, "incidents")
+    orders = load(spark, d, "proposals").filter("command_type = 'CREATE_WORK_ORDER' AND approval_status = 'PENDING'").select("tenant_id", "target_entity_id", F.col("id").alias("node_id"), F.col("id").alias("name"))
+    of_asset = orders.join(i.select("tenant_id", "target_entity_id", F.col("id").alias("incident_id")), ["tenant_id", "target_entity_id"])
+    return i, load(spark, d, "telemetry"), reason.doc_hits(i, _manual_chunks(spark, d)), of_asset
+
+
+def rca_evidence_full(spark, d):
+    ev = reason.build_evidence(*_incident_inputs(spark, d))
+    n = lambda kind: F.sum((F.col("source_type") == kind).cast("long"))
+    counts = ev.groupBy("tenant_id", "incident_id").agg(n("SENSOR_TELEMETRY").alias("n_readings"), n("MANUAL_SPECIFICATION").alias("n_manuals"), n("WORK_ORDER").alias("n_work_orders"))
+    w = reason.WEIGHTS
+    return counts.withColumn("weight", N.js_round(F.col("n_readings") * w["SENSOR_TELEMETRY"] + F.col("n_manuals") * w["MANUAL_SPECIFICATION"] + F.col("n_work_orders") * w["WORK_ORDER"], 2))
 
-    def make(root):
-        rows = load(spark, d, "action_times").withColumn("ts", F.col("ts").cast("timestamp"))
-        rows.write.parquet(f"{root}/in")
-        out = streams.stream_rate_guard(streams.file_stream(spark, rows.schema, f"{root}/in"), 2, "1 hour")
-        return _to_parquet(out.select("tenant_id", "entity_id", F.col("window.start").alias("start"), "n"), root)
 
-    return _streamed(spark, d, "rate", make)
+def analyze_incidents_full(spark, d):
+    x = reason.analyze_incidents(*_incident_inputs(spark, d), nodes=load(spark, d, "assets"))
+    return x.select("tenant_id", "incident_id", "n_hypotheses", "n_recommendations", "n_evidence", "unsupported_claims", "summary")
 
 
-def _streamed(spark, d, name, make, mode="append"):
-    """Run a stream over an adapter's files to its end and give what it wrote."""
+def resolve_reasons(spark, d):
+    x = resolve.resolve_entities(*_part_nodes(spark, d)).filter("matched_id IS NOT NULL")
+    return x.select("tenant_id", "in_id", F.array_join("match_reasons", " | ").alias("reasons"))
+
+
+def _no_reviews(spark):
+    return spark.createDataFrame([], "id string, tenant_id string, created_at string")
+
+
+def apply_resolution(spark, d):
+    nodes, queue, outcome = resolve.apply_resolution(*_part_nodes(spark, d), _no_reviews(spark), NOW)
+    n = nodes.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum((F.col("version") > 1).cast("long")).alias("n_merged"), F.max("seq").alias("last_seq"))
+    q = queue.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_queued"))
+    return n.join(q, "tenant_id", "left").select("tenant_id", "n_nodes", "n_merged", F.coalesce("n_queued", F.lit(0)).alias("n_queued"), "last_seq")
+
+
+def decide_reviews(spark, d):
+    existing, incoming = _part_nodes(spark, d)
+    queue = graph.materialize(resolve.review_items(resolve.resolve_entities(existing, incoming), existing).withColumn("created_at", F.lit(NOW)))
+    c = F.col("candidate_id")
+    asked = queue.select("tenant_id", "id", F.when(c % 3 == 0, "APPROVED").when(c % 3 == 1, "REJECTED").alias("decision"), F.format_string("r%d@example.com", c % 7).alias("reviewer_email"), F.format_string("note %d", c).alias("notes")).filter("decision IS NOT NULL")
+    after, _, audited, _ = resolve.decide_reviews(queue, asked, existing, NOW)
+    seen = audited.select("tenant_id", F.get_json_object("details", "$.reviewItemId").alias("id"), F.col("action").alias("audit_action"))
+    return after.join(seen, ["tenant_id", "id"], "left").select("tenant_id", "candidate_id", "status", "reviewed_by", "decision_notes", "audit_action")
+
+
+def ingestion_jobs(spark, d):
+    tagged = ingest.tag_outcomes(load(spark, d, "raw_rows"))
+    number = F.substring("job_id", 2, 10).cast("long")
+    started = F.timestamp_micros(F.unix_micros(F.lit(NOW).cast("timestamp")) - (number + 1) * 1_000_000)
+    jobs = tagged.select("tenant_id", "job_id", started.cast("string").alias("started_at")).distinct().withColumnRenamed("job_id", "id").withColumn("status", F.lit("PROCESSING"))
+    done = ingest.finish_jobs(jobs, tagged, NOW)
+    return done.select("tenant_id", "id", "total_records", "valid_records", "error_records", "duplicate_records", "status", "duration_ms", "records_per_second")
+
+
+def number_rows(spark, d):
+    return ingest.number_rows(load(spark, d, "events"), ["event_type"], ["ts", "event_id"]).select("event_type", "event_id", "row_index")
+
+
+def append_edges(spark, d):
+    e = load(spark, d, "edges")
+    new = e.withColumns({"target_id": F.when(F.col("seq") % 5 == 0, "missing").otherwise(F.col("target_id")), "confidence": F.when(F.col("seq") % 2 == 0, 0.5), "valid_from": F.when(F.col("seq") % 3 != 0, F.col("valid_from"))})
+    after, rejected = graph.append_edges(e.limit(0), new, load(spark, d, "nodes"), NOW)
+    pick = lambda df, ok: df.select("tenant_id", "id", F.lit(ok).alias("accepted"), "confidence", "valid_from")
+    return pick(after, True).unionByName(pick(rejected, False))
+
+
+def ingest_documents(spark, d):
     import uuid
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or _local(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    return make(root)
+    path = f"{graph.shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    docs = load(spark, d, "manuals").withColumn("linked_entity_ids", F.array().cast("array<string>"))
+    sinks.ingest_documents(docs, path)
+    n = spark.read.parquet(f"{path}/chunks").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    length = spark.read.parquet(f"{path}/lengths").groupBy("tenant_id").agg(F.sum("len").cast("long").alias("total_length"))
+    return n.join(length, "tenant_id").join(spark.read.parquet(f"{path}/postings").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_postings")), "tenant_id")
 
 
-def _local(spark):
-    import tempfile
+def _streamed(spark, name, rows, run):
+    """Land rows as files, run a stream over them to its end and give what it wrote."""
+    import uuid
 
-    path = "file://" + tempfile.mkdtemp(prefix="opsgraph-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    root = f"{graph.shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/in")
+    return run(streams.file_stream(spark, rows.schema, f"{root}/in"), root)
 
 
 def _to_parquet(df, root):
@@ -438,46 +518,34 @@ def _to_parquet(df, root):
     return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def stream_ingest(spark, d):
-    from ..streaming import streams
-
-    def make(root):
-        rows = load(spark, d, "raw_rows").join(load(spark, d, "events").select(F.col("event_id").alias("row_index"), F.col("ts").cast("timestamp").alias("ts")), "row_index")
-        rows.write.parquet(f"{root}/in")
-        q = streams.stream_ingest(streams.file_stream(spark, rows.schema, f"{root}/in"), f"{root}/out", f"{root}/state", "60 days")
-        q.awaitTermination()
-        return spark.read.parquet(f"{root}/out/normalized").groupBy("tenant_id", "job_id").agg(F.count(F.lit(1)).alias("n_valid"))
+def stream_rate_guard(spark, d):
+    rows = load(spark, d, "action_times").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _streamed(spark, "rate", rows, lambda s, root: _to_parquet(streams.stream_rate_guard(s, 2, "1 hour"), root))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
-    return _streamed(spark, d, "ingest", make)
 
+def stream_ingest(spark, d):
+    def run(stream, root):
+        streams.stream_ingest(stream, f"{root}/out", f"{root}/state").awaitTermination()
+        return streams.stream_job_summary(spark, f"{root}/out")
 
-def stream_correlate(spark, d):
-    from ..streaming import streams
+    return _streamed(spark, "ingest", load(spark, d, "raw_rows").repartition(3, "row_index"), lambda s, root: run(s, root))
 
-    def make(root):
-        rows = load(spark, d, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
-        rows.write.parquet(f"{root}/in")
-        out = streams.stream_correlate(streams.file_stream(spark, rows.schema, f"{root}/in"), "1 hour", "1 hour")
-        return _to_parquet(out.select("tenant_id", "entity_id", F.col("window.start").alias("start"), "cascade", "spike"), root)
 
-    return _streamed(spark, d, "correlate", make)
+def stream_correlate(spark, d):
+    rows = load(spark, d, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _streamed(spark, "correlate", rows, lambda s, root: _to_parquet(streams.stream_correlate(s, 6 * 3600, "1 hour"), root))
 
 
 def stream_feedback(spark, d):
-    from ..streaming import streams
-
-    def make(root):
-        t = load(spark, d, "telemetry").filter("metric = 'Spindle Temp'")
-        rows = t.select(F.col("incident_id").alias("execution_id"), "ts", "value", (F.hour("ts") * 1.0).alias("elapsed_minutes"), F.lit(45.0).alias("baseline"), F.lit(30.0).alias("target"), F.lit("<=").alias("op"), F.lit(20.0).alias("max_minutes"))
-        rows.write.parquet(f"{root}/in")
-        return _to_parquet(streams.stream_feedback(streams.file_stream(spark, rows.schema, f"{root}/in")), root)
-
-    return _streamed(spark, d, "feedback", make)
+    t = load(spark, d, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = t.select(F.col("incident_id").alias("execution_id"), "ts", F.date_trunc("day", "ts").alias("started_at"), "value", F.lit(45.0).alias("baseline"), F.lit(30.0).alias("target"), F.lit("<=").alias("op"), F.lit(720.0).alias("max_minutes"))
+    return _streamed(spark, "feedback", rows, lambda s, root: _to_parquet(streams.stream_feedback(s, "1 hour"), root))
 
 
 ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_outcomes, job_summary, dead_letters, extract_records, accept_pages, incremental_read, incremental_cursor, classify_url, flag_unsafe_sql,
        flag_bad_identifier, graph_stats, check_endpoints, traverse_down, traverse_up, traverse_both_asof, dossier_counts, resolve_entities, merge_nodes, chunk_structure, error_codes, chunk_documents, hash_embedding, vector_topk,
        correlate, breach_flags, rca_evidence, rca_hypotheses, analyze_incidents, evaluate_guardrails, guardrail_verdicts, plan_executions, apply_approvals, verify_feedback, rollback_queue, machine_states, audit_checksums,
        verify_audit_summary, audit_page, access_gate, member_listing, organizations_of_users, role_checks, duplicate_keys, health_counts, token_lengths, term_buckets, list_nodes, find_by_canonical, filter_records, rows_by_tenant,
-       latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context,
-       stream_ingest, stream_correlate, stream_feedback, stream_rate_guard]
+       latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context, chunk_manuals, search_manuals,
+       rca_evidence_full, analyze_incidents_full, resolve_reasons, apply_resolution, decide_reviews, ingestion_jobs, number_rows, append_edges, ingest_documents, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard]

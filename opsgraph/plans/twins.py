@@ -116,6 +116,64 @@ a AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),
 b AS (SELECT *, starts_with(t, '#') AS h, NOT starts_with(t, '#') AND (starts_with(t, '|') OR ends_with(t, '|') OR length(t) - length(replace(t, '|', '')) >= 2) AS tb FROM a),
 c AS (SELECT *, coalesce(last_value(CASE WHEN h THEN regexp_replace(t, '^#+\s*', '') END IGNORE NULLS) OVER w, 'General Overview') AS section, CASE WHEN tb THEN sum(CASE WHEN tb THEN 0 ELSE 1 END) OVER w END AS run FROM b WINDOW w AS (PARTITION BY tenant_id, id ORDER BY n ROWS UNBOUNDED PRECEDING))"""
 
+
+
+def chunks_sql(source: str, size: int = 800, overlap: int = 100) -> str:
+    """Common tables that cut ``source(tenant_id, id, seq, content)`` line by line; ``ck`` has the chunks."""
+    bare = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+    kept = lambda e: f"greatest(b, least(len(list_filter(upto, lambda x: x <= upto[{e} + 1] - {overlap})) - 1, {e} - 1))"
+    return rf"""
+cd0 AS (SELECT tenant_id, id, seq, string_split(content, chr(10)) AS lines FROM {source} WHERE content IS NOT NULL),
+cd1 AS (SELECT *, list_transform(lines, lambda x: {bare}) AS bare FROM cd0),
+cd2 AS (SELECT *, list_transform(bare, lambda x: starts_with(x, '#')) AS hd, list_transform(bare, lambda x: NOT starts_with(x, '#') AND (starts_with(x, '|') OR ends_with(x, '|') OR length(x) - length(replace(x, '|', '')) >= 2)) AS tb,
+  list_transform(range(0, len(lines) + 1), lambda k: coalesce(list_sum(list_transform(lines[1:k], lambda x: length(x) + 1)), 0)) AS upto,
+  list_transform(range(0, len(lines) + 1), lambda k: len(list_filter(bare[1:k], lambda x: x <> ''))) AS ink FROM cd1),
+cr AS (SELECT tenant_id, id, 0::BIGINT AS i, 0::BIGINT AS b, NULL::BIGINT AS s1, NULL::BIGINT AS e1 FROM cd2
+  UNION ALL SELECT r.tenant_id, r.id, r.i + 1,
+    CASE WHEN tb[i + 1] THEN i + 1 WHEN hd[i + 1] THEN CASE WHEN ink[i + 1] > ink[b + 1] THEN {kept('i')} ELSE b END
+         WHEN upto[i + 2] - upto[b + 1] >= {size} AND ink[i + 2] > ink[b + 1] THEN {kept('(i + 1)')} ELSE b END,
+    CASE WHEN tb[i + 1] OR hd[i + 1] THEN CASE WHEN ink[i + 1] > ink[b + 1] THEN b END WHEN upto[i + 2] - upto[b + 1] >= {size} AND ink[i + 2] > ink[b + 1] THEN b END,
+    CASE WHEN tb[i + 1] OR hd[i + 1] THEN i ELSE i + 1 END
+  FROM cr r JOIN cd2 d ON r.tenant_id = d.tenant_id AND r.id = d.id WHERE r.i < len(d.lines)),
+ce AS (SELECT tenant_id, id, i, 0 AS k, s1 AS s, e1 AS e, false AS is_table FROM cr WHERE s1 IS NOT NULL
+  UNION ALL SELECT r.tenant_id, r.id, r.i, 2, b, r.i, false FROM cr r JOIN cd2 d ON r.tenant_id = d.tenant_id AND r.id = d.id WHERE r.i = len(d.lines) AND ink[r.i + 1] > ink[b + 1]
+  UNION ALL SELECT tenant_id, id, max(n), 1, min(n) - 1, max(n), true FROM (SELECT tenant_id, id, n, n - row_number() OVER (PARTITION BY tenant_id, id ORDER BY n) AS g FROM (SELECT tenant_id, id, unnest(range(1, len(lines) + 1)) AS n, unnest(tb) AS t FROM cd2) WHERE t) GROUP BY tenant_id, id, g),
+ck AS (SELECT c.tenant_id, c.id AS document_id, d.seq, row_number() OVER (PARTITION BY c.tenant_id, c.id ORDER BY c.i, c.k) - 1 AS chunk_index, is_table,
+  regexp_replace(array_to_string(lines[s + 1:e], chr(10)), '^\s+|\s+$', '', 'g') AS content,
+  coalesce(regexp_replace(list_filter(bare[1:e], lambda x: starts_with(x, '#'))[-1], '^#+\s*', ''), 'General Overview') AS section_header
+  FROM ce c JOIN cd2 d ON c.tenant_id = d.tenant_id AND c.id = d.id)"""
+
+
+_CODES = r"list_distinct(list_transform(regexp_extract_all(content, '(?i)\b((?:E|W|A|F|ALM|ERR|CODE)[-_]?(?:[A-Za-z0-9]{1,6}[-_])?[0-9]{2,6}[A-Za-z]?)\b', 1), lambda x: upper(x)))"
+_TOK = lambda c: rf"list_filter(string_split_regex(regexp_replace(lower({c}), '[^a-z0-9\-_./]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+_FORMS = lambda c: f"flatten(list_transform({_TOK(c)}, lambda x: CASE WHEN contains(x, '-') THEN [x, replace(x, '-', '')] ELSE [x] END))"
+_MANUALS = "WITH RECURSIVE " + chunks_sql("manuals").strip() + rf""",
+mc AS (SELECT *, tenant_id || document_id || '_' || chunk_index AS cid, {_CODES} AS codes, {_FORMS('content')} AS forms FROM ck),
+ln AS (SELECT tenant_id, cid, len(forms) AS len FROM mc), st AS (SELECT tenant_id, avg(len) AS mean, count(*) AS n FROM ln GROUP BY ALL),
+tf AS (SELECT tenant_id, cid, term, sum(w) AS tf FROM (SELECT tenant_id, cid, unnest(forms) AS term, 1 AS w FROM mc UNION ALL SELECT tenant_id, cid, lower(unnest(codes)), 5 FROM mc) GROUP BY ALL),
+df AS (SELECT tenant_id, term, count(*) AS df FROM tf GROUP BY ALL),
+qp AS (SELECT tenant_id, query_id, upper(regexp_replace(query, '^\s+|\s+$', '', 'g')) AS q, unnest({_FORMS('query')}) AS term, generate_subscripts({_FORMS('query')}, 1) AS p FROM asked_manuals),
+hit AS (SELECT q.tenant_id, q.query_id, q.p, q.term, tf.cid, tf.tf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * (greatest(len, 1) / mean))) AS s
+  FROM qp q JOIN tf ON q.tenant_id = tf.tenant_id AND q.term = tf.term JOIN df ON df.tenant_id = tf.tenant_id AND df.term = tf.term JOIN st ON st.tenant_id = tf.tenant_id JOIN ln ON ln.tenant_id = tf.tenant_id AND ln.cid = tf.cid),
+bo AS (SELECT q.tenant_id, q.query_id, q.q, m.cid, len(list_filter(codes, lambda x: contains(q.q, x))) > 0 AS code, section_header, contains(q.q, upper(section_header)) AS head FROM (SELECT DISTINCT tenant_id, query_id, q FROM qp) q JOIN mc m ON m.tenant_id = q.tenant_id),
+al AS (SELECT tenant_id, query_id, cid, s, p AS first, 1 AS k, p, 'Matched keyword "' || term || '" (TF: ' || tf || ', IDF: ' || printf('%.2f', idf) || ')' AS reason FROM hit
+  UNION ALL SELECT tenant_id, query_id, cid, 50.0, NULL, 0, 0, 'Exact industrial error code match [' || q || ']' FROM bo WHERE code
+  UNION ALL SELECT tenant_id, query_id, cid, 10.0, NULL, 2, 0, 'Matched section header "' || section_header || '"' FROM bo WHERE head),
+sm AS (SELECT tenant_id, query_id, cid, floor(sum(s) * 100 + 0.5) / 100 AS score, min(first) AS first, string_agg(reason, ' | ' ORDER BY k, p) AS reasons FROM al GROUP BY ALL),
+rk AS (SELECT sm.*, document_id, chunk_index, row_number() OVER (PARTITION BY sm.tenant_id, query_id ORDER BY score DESC, first NULLS LAST, seq, chunk_index) AS rank FROM sm JOIN mc ON mc.cid = sm.cid WHERE score > 0)
+SELECT tenant_id, query_id, document_id, chunk_index, score, rank, reasons FROM rk WHERE rank <= 20"""
+
+_FULL = "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""",
+cc AS (SELECT *, {_CODES} AS codes FROM ck),
+wo AS (SELECT tenant_id, target_entity_id, count(*) AS n FROM proposals WHERE command_type = 'CREATE_WORK_ORDER' AND approval_status = 'PENDING' GROUP BY ALL),
+ev AS (SELECT tenant_id, incident_id, count(*) AS n FROM telemetry WHERE threshold IS NOT NULL AND {_SENT} GROUP BY ALL),
+mn AS (SELECT c.tenant_id, e.error_code, count(*) AS n FROM cc c JOIN (SELECT DISTINCT tenant_id, error_code FROM incidents) e ON e.tenant_id = c.tenant_id AND (list_contains(c.codes, e.error_code) OR contains(lower(c.content), lower(e.error_code))) GROUP BY ALL),
+ft AS (SELECT tenant_id, incident_id, arg_min(value, seq) FILTER (contains(lower(metric), 'temp')) AS x FROM telemetry GROUP BY ALL),
+b AS (SELECT i.tenant_id, i.id AS incident_id, i.error_code, coalesce(a.name, i.target_entity_id) AS target, coalesce(ev.n, 0) AS s, coalesce(mn.n, 0) AS m, coalesce(wo.n, 0) AS w, i.error_code = 'E-4012' OR coalesce(ft.x > 68, false) AS fires
+  FROM incidents i LEFT JOIN ev ON i.tenant_id = ev.tenant_id AND i.id = ev.incident_id LEFT JOIN ft ON i.tenant_id = ft.tenant_id AND i.id = ft.incident_id LEFT JOIN mn ON i.tenant_id = mn.tenant_id AND i.error_code = mn.error_code
+  LEFT JOIN wo ON i.tenant_id = wo.tenant_id AND i.target_entity_id = wo.target_entity_id LEFT JOIN assets a ON a.tenant_id = i.tenant_id AND a.id = i.target_entity_id),
+c AS (SELECT *, s + m + w AS n, CASE WHEN fires THEN 2 ELSE 1 END AS nh, CASE WHEN fires THEN 2 ELSE 0 END AS nr FROM b)"""
+
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower(content), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
 _BUCKET = lambda t: f"(CAST(('0x' || substr(md5({t}), 1, 4)) AS INTEGER) % 64)"
 
@@ -227,7 +285,47 @@ UNION ALL SELECT 'orders', unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', '
     "denied_audit": "SELECT tenant_id, count(*) AS n FROM requests WHERE tenant_id IN (SELECT id FROM orgs) AND user_id NOT IN (SELECT id FROM users WHERE is_super_admin) AND (user_id, tenant_id) NOT IN (SELECT user_id, tenant_id FROM memberships WHERE status = 'ACTIVE') GROUP BY ALL",
     "actions_last_hour": "SELECT p.tenant_id, p.id, (SELECT count(*) FROM action_times a WHERE a.tenant_id = p.tenant_id AND a.entity_id = p.target_entity_id AND a.ts > TIMESTAMP '2024-01-20 11:00:00') AS recent_actions FROM proposals p",
     "review_queue": "WITH " + _RESOLVE.strip() + " SELECT tenant_id, in_id AS candidate_id, matched_id AS primary_node_id, confidence, 'PENDING' AS status FROM r WHERE action = 'QUEUED_FOR_REVIEW'",
-    "stream_ingest": "WITH " + _TAGGED.strip() + " SELECT tenant_id, job_id, count(*) FILTER (outcome = 'VALID') AS n_valid FROM t GROUP BY ALL",
+    "chunk_documents": "WITH RECURSIVE " + chunks_sql("docs").strip() + " SELECT tenant_id, document_id, chunk_index::BIGINT AS chunk_index, section_header, is_table, sha256(content) AS checksum, ceil(length(content) / 4)::BIGINT AS token_count FROM ck",
+    "chunk_manuals": "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""" SELECT tenant_id, document_id, chunk_index::BIGINT AS chunk_index, section_header, is_table, content, array_to_string(list_sort({_CODES}), ',') AS codes,
+ CASE WHEN is_table THEN regexp_extract(content, '\\| (E-[0-9]+) \\|', 1) END AS cell FROM ck""",
+    "search_manuals": _MANUALS,
+    "rca_evidence_full": _FULL + " SELECT tenant_id, incident_id, s::BIGINT AS n_readings, m::BIGINT AS n_manuals, w::BIGINT AS n_work_orders, floor((s * 0.98::DOUBLE + m * 0.95::DOUBLE + w * 0.9::DOUBLE) * 100 + 0.5) / 100 AS weight FROM c WHERE n > 0",
+    "analyze_incidents_full": _FULL + """ SELECT tenant_id, incident_id, nh::BIGINT AS n_hypotheses, nr::BIGINT AS n_recommendations, n::BIGINT AS n_evidence,
+ (CASE WHEN fires THEN (CASE WHEN s + m = 0 THEN 1 ELSE 0 END + CASE WHEN s = 0 THEN 1 ELSE 0 END) WHEN n = 0 THEN 1 ELSE 0 END + CASE WHEN n = 0 THEN nr ELSE 0 END)::BIGINT AS unsupported_claims,
+ 'Diagnostic investigation of ' || error_code || ' on ' || target || '. Identified ' || nh || ' evidence-backed hypotheses and ' || nr || ' actionable recommendations.' AS summary FROM c""",
+    "resolve_reasons": "WITH " + _RESOLVE.strip() + f""",
+x AS (SELECT r.tenant_id, r.in_id, r.name, r.model, r.tag, r.canonical_id, r.confidence, e.canonical_id AS ec, e.tag AS et, e.name AS en, e.model AS em, e.entity_type AS ty FROM r JOIN existing_parts e ON e.tenant_id = r.tenant_id AND e.id = r.matched_id)
+SELECT tenant_id, in_id, CASE WHEN lower(ec) = lower(canonical_id) THEN 'Exact canonical ID match: "' || ec || '"' WHEN lower(et) = lower(tag) THEN 'Exact asset tag/serial match: "' || et || '"'
+ ELSE 'Same entity type: ' || ty || CASE WHEN {_SIM('name', 'en')} > 0.6 THEN ' | Name similarity: ' || printf('%.1f', {_SIM('name', 'en')} * 100) || '% ("' || en || '" vs "' || name || '")' ELSE '' END
+  || CASE WHEN model IS NOT NULL AND em IS NOT NULL AND {_SIM('model', 'em')} > 0.7 THEN ' | Model/Product similarity: ' || printf('%.1f', {_SIM('model', 'em')} * 100) || '%' ELSE '' END END AS reasons FROM x""",
+    "apply_resolution": "WITH " + _RESOLVE.strip() + """,
+n AS (SELECT tenant_id, count(*) AS old FROM existing_parts GROUP BY ALL), nm AS (SELECT tenant_id, count(*) FILTER (action <> 'MERGED_AUTOMATIC') AS fresh, count(DISTINCT CASE WHEN action = 'MERGED_AUTOMATIC' THEN matched_id END) AS merged, count(*) FILTER (action = 'QUEUED_FOR_REVIEW') AS queued FROM r GROUP BY ALL),
+s AS (SELECT tenant_id, max(seq) AS top FROM existing_parts GROUP BY ALL)
+SELECT tenant_id, (old + coalesce(fresh, 0))::BIGINT AS n_nodes, coalesce(merged, 0)::BIGINT AS n_merged, coalesce(queued, 0)::BIGINT AS n_queued, (top + coalesce(fresh, 0))::BIGINT AS last_seq FROM n LEFT JOIN nm USING (tenant_id) JOIN s USING (tenant_id)""",
+    "decide_reviews": "WITH " + _RESOLVE.strip() + """,
+q AS (SELECT tenant_id, in_id, matched_id FROM r WHERE action = 'QUEUED_FOR_REVIEW')
+SELECT tenant_id, in_id AS candidate_id, CASE in_id % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END AS status, CASE WHEN in_id % 3 < 2 THEN 'r' || (in_id % 7) || '@example.com' END AS reviewed_by,
+ CASE WHEN in_id % 3 < 2 THEN 'note ' || in_id END AS decision_notes, CASE in_id % 3 WHEN 0 THEN 'ENTITY_MERGE_APPROVED' WHEN 1 THEN 'ENTITY_MERGE_REJECTED' END AS audit_action FROM q""",
+    "ingestion_jobs": "WITH " + _TAGGED.strip() + """,
+c AS (SELECT tenant_id, job_id, count(*) AS total, count(*) FILTER (outcome = 'VALID') AS valid, count(*) FILTER (outcome = 'DUPLICATE') AS dup, count(*) FILTER (outcome NOT IN ('VALID', 'DUPLICATE')) AS err FROM t GROUP BY ALL)
+SELECT tenant_id, job_id AS id, total AS total_records, valid AS valid_records, err AS error_records, dup AS duplicate_records, CASE WHEN err = 0 THEN 'COMPLETED' WHEN valid > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status,
+ (1000 * (1 + CAST(substr(job_id, 2) AS BIGINT)))::BIGINT AS duration_ms, floor(valid::DOUBLE / (1 + CAST(substr(job_id, 2) AS BIGINT))::DOUBLE * 100 + 0.5) / 100 AS records_per_second FROM c""",
+    "number_rows": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS row_index FROM events",
+    "append_edges": """WITH k AS (SELECT tenant_id, id FROM nodes), n AS (SELECT tenant_id, id, source_id, CASE WHEN seq % 5 = 0 THEN 'missing' ELSE target_id END AS target_id, CASE WHEN seq % 2 = 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN seq % 3 = 0 THEN NULL ELSE valid_from END AS valid_from FROM edges)
+SELECT tenant_id, id, (tenant_id, source_id) IN (SELECT (tenant_id, id) FROM k) AND (tenant_id, target_id) IN (SELECT (tenant_id, id) FROM k) AS accepted, coalesce(confidence, 1.0::DOUBLE) AS confidence, coalesce(valid_from, TIMESTAMP '2024-01-20 12:00:00') AS valid_from FROM n""",
+    "ingest_documents": "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""", d AS (SELECT *, {_CODES} AS codes, {_FORMS('content')} AS forms FROM ck),
+p AS (SELECT DISTINCT tenant_id, document_id, chunk_index, unnest(list_concat(forms, list_transform(codes, lambda x: lower(x)))) AS t FROM d), pn AS (SELECT tenant_id, count(*) AS n FROM p GROUP BY ALL)
+SELECT tenant_id, count(*) AS n_chunks, sum(len(forms))::BIGINT AS total_length, any_value(pn.n) AS n_postings FROM d JOIN pn USING (tenant_id) GROUP BY ALL""",
+    "stream_ingest": "WITH " + _TAGGED.strip() + """ SELECT tenant_id, job_id, count(*) AS total_rows, count(*) FILTER (outcome = 'VALID') AS valid_rows, count(*) FILTER (outcome = 'DUPLICATE') AS duplicate_rows, count(*) FILTER (outcome NOT IN ('VALID', 'DUPLICATE')) AS error_rows,
+ CASE WHEN count(*) FILTER (outcome NOT IN ('VALID', 'DUPLICATE')) = 0 THEN 'COMPLETED' WHEN count(*) FILTER (outcome = 'VALID') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM t GROUP BY ALL""",
+    "stream_correlate": """WITH t AS (SELECT * FROM telemetry WHERE contains(lower(metric), 'temp') AND threshold <> 0 AND value > threshold),
+o AS (SELECT *, 'CROSS_SYSTEM_CASCADE' AS pattern_type FROM telemetry WHERE contains(lower(metric), 'pressure') AND threshold <> 0 AND value < threshold UNION ALL SELECT *, 'MULTI_ENTITY_SPIKE' FROM telemetry WHERE contains(lower(metric), 'vib') AND threshold <> 0 AND value > threshold)
+SELECT o.tenant_id, o.incident_id, o.pattern_type, o.seq, t.seq AS temp_seq, t.entity_id FROM o JOIN t ON o.tenant_id = t.tenant_id AND o.incident_id = t.incident_id AND abs(epoch_us(o.ts) - epoch_us(t.ts)) <= 21600::BIGINT * 1000000""",
+    "stream_rate_guard": "SELECT tenant_id, entity_id, ts, n FROM (SELECT tenant_id, entity_id, ts, count(*) OVER (PARTITION BY tenant_id, entity_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM action_times) WHERE n >= 2",
+    "stream_feedback": """WITH r AS (SELECT incident_id AS execution_id, ts, value, date_trunc('day', ts) AS d, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 60e6 AS el FROM telemetry),
+s AS (SELECT *, CASE WHEN value <= 30 THEN 'RESOLVED_HEALTHY' WHEN value > 46 THEN 'DETERIORATING' WHEN el > 720 THEN 'TIMEOUT_FAILED' END AS st FROM r),
+f AS (SELECT execution_id, arg_min(struct_pack(s := st, v := value, e := el), ts) FILTER (st IS NOT NULL) AS x, arg_max(value, ts) AS last, min(d) AS d FROM s GROUP BY ALL)
+SELECT execution_id, coalesce(x.s, 'TIMEOUT_FAILED') AS status, coalesce(x.v, last) AS value, coalesce(x.e, 720.0) AS elapsed_minutes FROM f WHERE x IS NOT NULL OR epoch_ms(d) + 720 * 60000 < (SELECT epoch_ms(max(ts)) FROM telemetry) - 3600000""",
 }
 
 TWINS = {name: twin(text) for name, text in _RAW.items()}

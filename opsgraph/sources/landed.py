@@ -58,12 +58,18 @@ def sheet_inventory(rows: DataFrame) -> DataFrame:
 
 
 def select_sheet(rows: DataFrame, sheet: str | None = None) -> DataFrame:
-    """The rows of the named sheet, or of the first; an unknown or empty one is an error that lists the names."""
-    names = [r[0] for r in sheet_inventory(rows).groupBy("sheet").agg(F.min("sheet_pos").alias("p")).orderBy("p").limit(1000).collect()]
-    wanted = sheet if sheet is not None else (names[0] if names else None)
-    if wanted not in names:
-        raise ValueError(f"no sheet {wanted!r}; there are {names}")
-    return rows.filter(F.col("sheet") == wanted)
+    """The rows of the named sheet, or of the first; an unknown one is an error that lists the first names, so is an empty one.
+
+    A sheet without rows stands as one row whose ``payload`` is null.
+    """
+    found = sheet_inventory(rows).groupBy("sheet").agg(F.min("sheet_pos").alias("p"), F.max("column_count").alias("n"))
+    chosen = found.orderBy("p").limit(1) if sheet is None else found.filter(F.col("sheet") == sheet)
+    row = chosen.first()
+    if row is None:
+        raise ValueError(f"no sheet {sheet!r}; there are {[r[0] for r in found.orderBy('p').limit(20).collect()]}")
+    if not row["n"] or row["n"] < 1:
+        raise ValueError(f"sheet {row['sheet']!r} is empty")
+    return rows.filter((F.col("sheet") == row["sheet"]) & F.col("payload").isNotNull())
 
 
 def incremental_read(table: DataFrame, column: str, cursor=None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -106,6 +112,14 @@ def accept_pages(pages: DataFrame, page_size: int = 50, max_pages: int = 1, coun
     return pages.filter(F.col("page").between(1, max_pages)).withColumn("__s", F.max(short).over(before)).filter(F.coalesce("__s", F.lit(0)) == 0).drop("__s")
 
 
+def page_checksum(rows: DataFrame, order: list[str], limit: int = 1000) -> DataFrame:
+    """``n, checksum``: SHA-256 over the JSON array of a page of rows, at most ``limit``, in their order."""
+    page = rows.orderBy(*order).limit(limit)
+    line = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct(*rows.columns)).alias("json"))
+    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["json"])
+    return page.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")), 256).alias("checksum"))
+
+
 def content_checksum(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, sha256`` of whole files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

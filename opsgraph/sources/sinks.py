@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,15 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
 
 
 def delete_tenant(df: DataFrame, tenant: str) -> DataFrame:
-    return df.filter(F.col("tenant_id") != tenant)
+    """All rows but those of a tenant; rows without tenant stay."""
+    return df.filter(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))
 
 
-def stamp_audit(entries: DataFrame, key: str) -> DataFrame:
-    """Audit rows with their checksum, ready to append."""
+def stamp_audit(entries: DataFrame, key: str, now: str | None = None) -> DataFrame:
+    """Audit rows with their checksum, ready to append; ``now`` is the time of rows that have none."""
+    if now is not None:
+        have = F.col("timestamp") if "timestamp" in entries.columns else F.lit(None).cast("string")
+        entries = entries.withColumn("timestamp", F.coalesce(have, F.lit(now)))
     return entries.withColumn("checksum", audit_checksum(key))
 
 
@@ -47,7 +53,39 @@ def register_sources(current: DataFrame, new: DataFrame, now: str) -> DataFrame:
     return current.unionByName(rows.join(current.select("tenant_id", "id"), ["tenant_id", "id"], "left_anti"), allowMissingColumns=True)
 
 
-def ingest_documents(chunks: DataFrame, index: tuple[DataFrame, DataFrame], path: str) -> None:
-    """Append embedded chunks, postings and lengths below one folder."""
-    for name, df in (("chunks", chunks), ("postings", index[0]), ("lengths", index[1])):
+JOB_COUNTS = ("total_records", "valid_records", "error_records", "duplicate_records", "duration_ms")
+
+
+def open_jobs(requests: DataFrame, now: str) -> DataFrame:
+    """Job rows of ``requests(tenant_id, data_source_id, source_type, initiated_by)``: PROCESSING, with zero counts and derived ids."""
+    rows = requests.withColumn("id", F.concat(F.lit("job_"), F.substring(F.sha2(F.concat_ws("|", "tenant_id", "data_source_id", "source_type", "initiated_by", F.lit(now)), 256), 1, 16)))
+    return rows.withColumns({"status": F.lit("PROCESSING"), **{c: F.lit(0).cast("long") for c in JOB_COUNTS}, "started_at": F.lit(now), "completed_at": F.lit(None).cast("string")})
+
+
+def update_jobs(jobs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs after ``updates(id, seq, ...)``, the last by ``seq`` winning column by column, and the updates of unknown jobs.
+
+    A column that an update leaves null keeps its value.
+    """
+    given = [c for c in updates.columns if c in jobs.columns and c != "id"]
+    last = updates.groupBy("id").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in given])
+    after = jobs.join(last, "id", "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in given else F.col(c) for c in jobs.columns])
+    return after, updates.join(jobs.select("id"), "id", "left_anti")
+
+
+def ingest_documents(documents: DataFrame, path: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Chunk documents, embed and index the chunks, append all below one folder, and give the chunks written.
+
+    Chunks are written once and read back, so that text is cut and hashed once.
+    """
+    from ..operators import search
+
+    spark = documents.sparkSession
+    chunks = search.embed_chunks(search.chunk_documents(documents, dictionary=dictionary))
+    folder = f"{path}/staged-{uuid.uuid4().hex}"
+    chunks.write.parquet(folder)
+    chunks = spark.read.schema(chunks.schema).parquet(folder)
+    postings, lengths = search.bm25_index(chunks)
+    for name, df in (("chunks", chunks), ("postings", postings), ("lengths", lengths)):
         append_partitioned(df, f"{path}/{name}")
+    return chunks

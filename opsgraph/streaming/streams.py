@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.hashing import row_hash
-from ..operators import ingest, reason
+from ..operators import action, ingest, reason
 
 
 def file_stream(spark: SparkSession, schema, path: str, max_files: int = 100) -> DataFrame:
@@ -22,56 +22,117 @@ def file_stream(spark: SparkSession, schema, path: str, max_files: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def stream_ingest(rows: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes"):
-    """Deduplicate by job and row hash within the watermark (column ``ts``), then write valid rows, dead letters and summaries of each batch."""
-    unique = rows.withColumn("__h", F.concat_ws("|", "tenant_id", "job_id", F.coalesce(row_hash(F.col("raw_json")), F.concat(F.lit("row "), F.col("row_index").cast("string")))))
-    unique = unique.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["__h"]).drop("__h")
+def stream_ingest(rows: DataFrame, out: str, checkpoint: str):
+    """Write normalized rows, dead letters, counts and the hashes seen of each batch below ``out``; each row is tagged once.
+
+    A row is a duplicate if an earlier batch of its job holds its hash, or an earlier row of its batch.  A batch that
+    runs again replaces its own folders and reads those of the batches before it only.
+    """
+    spark = rows.sparkSession
+    jobs = ["tenant_id", "job_id"]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        tagged = ingest.tag_outcomes(batch).persist()
-        for name, part in (("normalized", ingest.normalized(tagged)), ("dead_letters", ingest.dead_letters(tagged)), ("summaries", ingest.job_summary(tagged))):
-            part.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")  # the same epoch again replaces itself
+        tagged = ingest.tag_outcomes(batch)
+        hashes = tagged.filter("outcome <> 'EMPTY_OR_INVALID_ROW'").select(*jobs, "row_hash").distinct()
+        if epoch:
+            before = spark.read.schema(hashes.schema).parquet(*[f"{out}/seen/epoch={e}" for e in range(epoch)])
+            known = before.select(*jobs, "row_hash", F.lit(True).alias("__known"))
+            again = F.coalesce("__known", F.lit(False)) & (F.col("outcome") != "EMPTY_OR_INVALID_ROW")
+            tagged = tagged.join(known, [*jobs, "row_hash"], "left").withColumn("outcome", F.when(again, "DUPLICATE").otherwise(F.col("outcome"))).drop("__known")
+            hashes = hashes.join(before, [*jobs, "row_hash"], "left_anti")
+        tagged = tagged.persist()
+        for name, part in (("normalized", ingest.normalized(tagged)), ("dead_letters", ingest.dead_letters(tagged)), ("counts", ingest.job_summary(tagged).drop("status")), ("seen", hashes)):
+            part.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
         tagged.unpersist()
 
-    return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_job_summary(spark: SparkSession, out: str) -> DataFrame:
+    """One row per job over all batches that ``stream_ingest`` wrote."""
+    counts = ("total_rows", "valid_rows", "duplicate_rows", "error_rows")
+    per_job = spark.read.parquet(f"{out}/counts").groupBy("tenant_id", "job_id").agg(*[F.sum(c).alias(c) for c in counts])
+    return per_job.withColumn("status", ingest.job_status())
+
+
+def stream_correlate(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Pairs of breaches of one incident at most ``window`` seconds apart, with their pattern: pressure or vibration beside temperature.
 
+    A stream-stream join by interval, so pairs across any border are found and the state ends with the watermark.
+    """
+    def side(kind: str, name: str) -> DataFrame:
+        found = telemetry.filter(reason.breaches(kind))
+        return found.select(*[F.col(c).alias(f"{name}_{c}") for c in ("tenant_id", "incident_id", "entity_id", "seq", "ts")]).withWatermark(f"{name}_ts", delay)
 
-def stream_correlate(telemetry: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """First breaches of each class per asset and tumbling window, and whether they make a cascade or a spike."""
-    at = F.struct("ts", "seq")
-    first = lambda k: F.min(F.when(reason.breaches(k), at)).alias(k)
-    out = telemetry.withWatermark("ts", delay).groupBy(F.window("ts", window), "tenant_id", "entity_id").agg(first("pressure"), first("temp"), first("vib"))
-    both = lambda a: F.col(a).isNotNull() & F.col("temp").isNotNull()
-    return out.select("tenant_id", "entity_id", "window", both("pressure").alias("cascade"), both("vib").alias("spike"))
+    out = None
+    for kind, pattern in (("pressure", reason.CASCADE), ("vib", reason.SPIKE)):
+        near = F.expr(f"a_tenant_id = b_tenant_id AND a_incident_id = b_incident_id AND a_ts BETWEEN b_ts - INTERVAL {window} SECONDS AND b_ts + INTERVAL {window} SECONDS")
+        pairs = side(kind, "a").join(side("temp", "b"), near)
+        pairs = pairs.select(F.col("a_tenant_id").alias("tenant_id"), F.col("a_incident_id").alias("incident_id"), F.lit(pattern[0]).alias("pattern_type"),
+                             F.col("a_seq").alias("seq"), F.col("b_seq").alias("temp_seq"), F.col("b_entity_id").alias("entity_id"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def stream_rate_guard(actions: DataFrame, limit: int = 5, delay: str = "10 minutes") -> DataFrame:
-    """Assets with ``limit`` or more actions in a sliding hour."""
-    n = actions.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour", "5 minutes"), "tenant_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.filter(F.col("n") >= limit)
+    """``tenant_id, entity_id, ts, n`` of each action that is the ``limit``-th or a later one of its asset's trailing hour, both ends included.
 
+    The state of an asset is the times of its last hour; it ends when the watermark passes them.
+    """
+    hour = 3_600_000_000
 
-def stream_feedback(readings: DataFrame) -> DataFrame:
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = np.array(state.get[0], np.int64) if state.exists else np.zeros(0, np.int64)
+        new = np.sort(np.concatenate([p["micros"].to_numpy(np.int64) for p in parts]))
+        times = np.sort(np.concatenate([kept, new]))
+        n = np.searchsorted(times, new, "right") - np.searchsorted(times, new - hour, "left")
+        times = times[times >= times[-1] - hour]
+        state.update((times.tolist(),))
+        state.setTimeoutTimestamp(max(int(times[-1] + hour) // 1000, state.getCurrentWatermarkMs() + 1))
+        hit = n >= limit
+        yield pd.DataFrame({"tenant_id": key[0], "entity_id": key[1], "micros": new[hit], "n": n[hit]})
+
+    timed = actions.withWatermark("ts", delay).select("tenant_id", "entity_id", "ts", F.unix_micros("ts").alias("micros"))
+    found = timed.groupBy("tenant_id", "entity_id").applyInPandasWithState(step, "tenant_id string, entity_id string, micros long, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("tenant_id", "entity_id", F.timestamp_micros("micros").alias("ts"), "n")
+
+
+def stream_feedback(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Closed-loop feedback per execution over a stream of its readings.
 
-    Input: ``execution_id, ts, value, elapsed_minutes, baseline, target, op, max_minutes``
-    with a watermark on ``ts``.  An execution is settled once by the first reading that
-    resolves, deteriorates or times out; until then it is monitored.
+    Input: ``execution_id, ts, started_at, value, baseline, target, op, max_minutes``.  An execution is settled once, by
+    the first reading that resolves, deteriorates or comes after its window, or, where no reading does, when
+    the watermark passes the end of the window (then with its last value).
     """
-    def settle(value, baseline, target, op, elapsed, most):
-        met = {"<": value < target, "<=": value <= target, ">": value > target, ">=": value >= target}.get(op, False)
-        worse = value > baseline + 1.0 if op in ("<", "<=") else value < baseline - 0.2 if op in (">", ">=") else False
-        return "RESOLVED_HEALTHY" if met else "DETERIORATING" if worse else "TIMEOUT_FAILED" if elapsed > most else None
+    elapsed = (F.unix_micros("ts") - F.unix_micros("started_at")) / F.lit(60e6)
+    status = action.feedback_status(F.col("value"), F.col("baseline"), F.col("target"), F.col("op"), elapsed, F.col("max_minutes"))
+    due = F.unix_micros("started_at") / 1000 + F.col("max_minutes") * 60_000
+    names = ["execution_id", "status", "value", "elapsed_minutes"]
+    judged = readings.withWatermark("ts", delay).select("execution_id", "ts", "value", elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), "max_minutes")
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
+        settled, last_ts, last_value, due_ms, most = state.get if state.exists else (False, None, None, 0, 0.0)
+        if state.hasTimedOut:
+            yield pd.DataFrame([(key[0], "TIMEOUT_FAILED", last_value, most)], columns=names)
+            state.update((True, last_ts, last_value, due_ms, most))
+            return
+        if settled:
+            return
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        done = rows[rows["status"] != "MONITORING_IN_PROGRESS"]
+        if len(done):
+            yield done.head(1).assign(execution_id=key[0])[names]
+            state.update((True, last_ts, last_value, due_ms, most))
             return
-        rows = pd.concat(list(parts)).sort_values("ts")
-        for r in rows.itertuples():
-            status = settle(r.value, r.baseline, r.target, r.op, r.elapsed_minutes, r.max_minutes)
-            if status:
-                state.update((status,))
-                yield pd.DataFrame([(key[0], status, r.value, r.elapsed_minutes)], columns=["execution_id", "status", "value", "elapsed_minutes"])
-                return
-
-    return readings.groupBy("execution_id").applyInPandasWithState(step, "execution_id string, status string, value double, elapsed_minutes double", "status string", "append", GroupStateTimeout.NoTimeout)
+        tail = rows.iloc[-1]
+        at = tail["ts"].value // 1000
+        if last_ts is None or at >= last_ts:
+            last_ts, last_value = at, float(tail["value"])
+        state.update((False, last_ts, last_value, int(tail["due_ms"]), float(tail["max_minutes"])))
+        state.setTimeoutTimestamp(max(int(tail["due_ms"]), state.getCurrentWatermarkMs() + 1))
+
+    schema = "execution_id string, status string, value double, elapsed_minutes double"
+    return judged.groupBy("execution_id").applyInPandasWithState(step, schema, "settled boolean, last_ts long, last_value double, due_ms long, most double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -59,8 +59,20 @@ def test_resolution_routes(spark):
     assert m["name"] == "Another name altogether" and m["version"] == 2 and m["attributes"] == {"asset_tag": "at-1", "k": "v"} and len(m["source_refs"]) == 2
     queue = resolve.review_items(resolved, old).withColumn("created_at", F.lit("2024"))
     item = resolve.pending_reviews(queue, "t").first()["id"]
-    after, merged, refused = resolve.decide_reviews(queue, spark.createDataFrame([(item, "APPROVED"), ("none", "APPROVED")], "id string, decision string"), old)
-    assert after.first()["status"] == "APPROVED" and merged.first()["version"] == 2 and refused.count() == 1
+    asked = spark.createDataFrame([("t", item, "APPROVED", "a@b", "same mill"), ("t", "none", "APPROVED", "a@b", None), ("u", item, "REJECTED", "x@y", None)], "tenant_id string, id string, decision string, reviewer_email string, notes string")
+    after, merged, audited, refused = resolve.decide_reviews(queue, asked, old, "2025")
+    r = after.first()
+    assert (r["status"], r["reviewed_by"], r["reviewed_at"], r["decision_notes"]) == ("APPROVED", "a@b", "2025", "same mill") and merged.first()["version"] == 2
+    assert [(x["action"], x["resource_id"], x["actor_role"]) for x in audited.collect()] == [("ENTITY_MERGE_APPROVED", "n1", "PROCESS_ENGINEER")]
+    assert {(x["tenant_id"], x["reason"]) for x in refused.collect()} == {("t", "NOT_FOUND"), ("u", "NOT_FOUND")}
+    again = resolve.decide_reviews(after, asked, old, "2026")
+    assert again[0].first()["reviewed_at"] == "2025" and again[1].count() == 0 and "ALREADY_DECIDED" in {x["reason"] for x in again[3].collect()}
+    reasons = {x["in_id"]: x["match_reasons"] for x in resolved.collect()}
+    assert reasons[1] == ['Exact asset tag/serial match: "AT-1"'] and reasons[4] == ['Exact canonical ID match: "M-1"'] and reasons[3] == []
+    assert reasons[2] == ["Same entity type: Machine"] or reasons[2][1].startswith("Name similarity: ")
+    everything, items, outcome = resolve.apply_resolution(old, new, spark.createDataFrame([], "id string, tenant_id string, created_at string"), "2025")
+    got = {x["canonical_id"]: (x["version"], x["seq"]) for x in everything.collect()}
+    assert got == {"M-1": (2, 0), "X-2": (1, 1), "X-3": (1, 2)} and items.count() == 1 and outcome.count() == 4
 
 
 def test_chunker_keeps_tables_whole_and_overlaps():
@@ -69,7 +81,7 @@ def test_chunker_keeps_tables_whole_and_overlaps():
     assert [c[2] for c in chunks] == [False, False, True, False, False]
     assert chunks[2][0].count("\n") == 2 and chunks[2][1] == "Alarms"
     assert chunks[3][0].startswith("after") and chunks[4][0].endswith("tail") and chunks[4][0].startswith("after")
-    assert search.chunk_ranges([""]) == [] and search.fold_lines(["  ", ""]) == []
+    assert search.chunk_ranges([""]) == [] and search.chunk_ranges(["  ", ""]) == []
 
 
 def test_chunks_and_search(spark):
