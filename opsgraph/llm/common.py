@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) is a local
-    temporary folder taken and set.
+    Only where the session names none and its master is local (tests on one machine) is a
+    local temporary folder taken and set; on a cluster that is an error.  What is written
+    there belongs to the session: readers of lazy results need it, so nothing is deleted here.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="opsgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

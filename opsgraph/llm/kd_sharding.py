@@ -12,8 +12,8 @@ copies can be cut anywhere.
 Only DataFrame operations run on the executors.  The driver sees at most
 ``BINS`` sums per node and round, whatever the table's size.
 
-Defined cases: a null text has size 8 and crc32 0; nulls in other columns take
-the lowest value of their dimension; repeated rows are placed one by one; an
+Defined cases: a null text has size 8 and crc32 0; a null lang, source or doc_id takes
+the lowest value of its dimension, and the row's doc_id stays null; repeated rows are placed one by one; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -42,8 +42,7 @@ def _keyed_rows(documents: DataFrame) -> tuple[DataFrame, list[str]]:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("lang")), F.lit(1 << 20)).alias("lang"),
-        F.pmod(F.xxhash64(F.col("source")), F.lit(1 << 20)).alias("source"),
+        *[F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 20)) + 1).cast("long").alias(c) for c in ("lang", "source")],
     ), "kd-rows")
     dims = {"k_bytes": F.log2("size"), "k_lang": F.col("lang"), "k_source": F.col("source"), "k_id": F.col("doc_id")}
     edges = rows.agg(*[f(c).alias(f"{f.__name__}_{n}") for n, c in dims.items() for f in (F.min, F.max)]).first()
@@ -153,7 +152,7 @@ def kd_shards(documents: DataFrame, shards: int | None = 24, target_bytes: int |
     _number_leaves(tree)
     placed = rows.select("doc_id", "size", "text_crc32", _place(tree).cast("int").alias("shard"))
     buckets = bucket_count(total["n"] // shards)
-    return rank_in_group(placed, ["shard"], ["doc_id", "text_crc32"], F.xxhash64("doc_id", "text_crc32"), buckets, "slot")
+    return rank_in_group(placed, ["shard"], ["doc_id", "text_crc32"], F.xxhash64("doc_id", "text_crc32", F.spark_partition_id()), buckets, "slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

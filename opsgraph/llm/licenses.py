@@ -5,7 +5,9 @@ Templates and texts are sequences of lower-cased words without marks.  Hashes of
 neighbours, the first and the last always) into an inverted index.  Every gram of
 a document is looked up; hits of a template on neighbouring diagonals form one
 candidate, whose region is aligned to the template inside a band of ``BAND``
-words (half the template's length if that is less).  A template of more than
+words (half the template's length if that is less); a region spans no more diagonals
+than the template has words, so the band stays bounded in repetitive texts.  Templates of
+fewer than ``SHORT`` words must match whole, as one word may tell licenses apart.  A template of more than
 twice ``PIECE`` words is aligned in pieces of about ``PIECE`` words; pieces of
 which half matches are chained in order, so that an insertion does not end the
 match, and their matched words are added up.  Reported are the matched coverage
@@ -16,7 +18,8 @@ The templates are a fixed list: notices and opening clauses (``TEMPLATES``) and
 whole license texts (the files of ``license_texts``, named with ``-text``); what
 is sent to the tasks is bounded by ``MAX_TEMPLATE_BYTES``.
 
-Defined cases: null, empty and blank texts match nothing; very long texts are
+Defined cases: null, empty and blank texts match nothing; matches in a row without
+doc_id have a null doc_id; very long texts are
 scanned whole; repeated rows are scanned one by one; several matches of a
 template in a text are reported each; an empty table gives no rows; other columns
 are ignored.
@@ -37,6 +40,7 @@ from .textops import _WEIGHTS, LOWER, chunks, mix, prefix_sums, span_hash, word_
 
 GRAM, WINNOW, BAND = 3, 4, 8
 COVERAGE = 0.8
+SHORT = 12
 PIECE = 200
 MAX_TEMPLATE_BYTES = 16 << 20
 # Notices and opening clauses of well-known public licenses.
@@ -69,6 +73,15 @@ for _code, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
     TEMPLATES.setdefault(f"CC-{_code}-4.0", f"This work is licensed under a Creative Commons {_long} 4.0 International License.")
     TEMPLATES.setdefault(f"CC-{_code}-3.0-notice", f"Licensed under CC {_code} 3.0.")
     TEMPLATES.setdefault(f"CC-{_code}-3.0", f"This work is licensed under a Creative Commons {_long} 3.0 Unported License.")
+for _id in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib",
+            *(f"{k}-{v}{w}" for k, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for w in ("", "-only", "-or-later"))):
+    TEMPLATES[f"{_id}-spdx"] = f"SPDX-License-Identifier: {_id}"
+for _id, _long in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD", "BSD"), ("Apache-2.0", "Apache-2.0"), ("Apache-2.0", "Apache 2.0")):
+    for _way, _words in (("under", "Licensed under the {} license"), ("terms", "Licensed under the terms of the {} license"), ("released", "Released under the {} license")):
+        TEMPLATES.setdefault(f"{_id}-notice-{_way}", _words.format(_long))
+for _kind, _short, _version in (("", "GPL", "2"), ("", "GPL", "3"), ("Lesser ", "LGPL", "2.1"), ("Lesser ", "LGPL", "3"), ("Affero ", "AGPL", "3")):
+    TEMPLATES[f"{_short}-{_version}-later"] = f"GNU {_kind}General Public License v{_version} or later"
+    TEMPLATES[f"{_short}-{_version}-short"] = f"GNU {_kind}General Public License v{_version}"
 _MARKS = np.ones(256, dtype=bool)
 _MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = _MARKS[128:] = False
 
@@ -219,12 +232,12 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
                 pieces: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
                 for (d, p), diagonals in regions.items():
                     template, size = index["tokens"][p], index["sizes"][index["whole"][p]]
-                    least = coverage * size if len(template) == size else len(template) / 2
+                    least = (size if size < SHORT else coverage * size) if len(template) == size else len(template) / 2
                     diagonals = sorted(set(diagonals))
                     near = min(band, len(template) // 2)  # repeats of a short notice stay apart
                     group = [diagonals[0]]
                     for x in [*diagonals[1:], None]:
-                        if x is not None and x - group[-1] <= near:
+                        if x is not None and x - group[-1] <= near and x - group[0] <= len(template):
                             group.append(x)
                             continue
                         a = max(int(first_word[d]), group[0] - near)

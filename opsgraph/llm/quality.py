@@ -8,14 +8,15 @@
   inside each partition, adds the partial sums in Spark, and solves the ridge
   system of fixed size on the driver.  Of the labelled rows at most
   ``MAX_TRAIN`` (those with the least hash of the id) are used.
-* Calibration: every third training row is kept out of the ridge fit; its raw
-  scores are counted in ``CALIBRATION_BINS`` bins and pooled into a monotone step
+* Calibration: every third training row is kept out of the ridge fit (where these are of
+  one class only, as with a few labels, all training rows calibrate); its raw scores are counted in ``CALIBRATION_BINS`` bins and pooled into a monotone step
   function, smoothed by linear interpolation.
 * A document whose calibrated score is at least ``THRESHOLD`` is predicted 1.
 
 Defined cases: null and empty texts have zero statistics and get the score that
 belongs to them; labels that are null or belong to no document are ignored, of
-repeated labels of an id the largest counts; with no label at all, or one class
+repeated labels of an id the largest counts; of repeated texts of an id those with the least statistics train; rows
+with a null doc_id are scored, not held out and never train; with no label at all, or one class
 only, every score is that class' share (0.5 without labels); very long texts are
 read whole; repeated rows are scored one by one; an empty table gives no rows;
 other columns are ignored.
@@ -167,7 +168,7 @@ def _normal_equations(train: DataFrame, model: Model) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """Fit on the rows of ``labels(doc_id, <label>)`` that have statistics; at most about ``max_train`` of them."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    train = stats.dropDuplicates(["doc_id"]).join(known, "doc_id")
+    train = stats.groupBy("doc_id").agg(F.min("stats").alias("stats")).join(known, "doc_id")
     n = train.count()
     spread = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003))
     if n > max_train:
@@ -189,7 +190,10 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train:
             x = model.raw(_matrix(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(np.clip((x + 1) / 3 * CALIBRATION_BINS, 0, CALIBRATION_BINS - 1).astype(np.int32)), pa.array(x), batch.column(1)], names=["bin", "x", "label"])
 
-    held = train.filter("fold = 0").select("stats", "label").mapInArrow(count, "bin int, x double, label int")
+    # with one class alone among the rows kept out, all training rows calibrate
+    kept = train.filter("fold = 0").agg(F.avg("label")).first()[0]
+    out = train if kept in (None, 0.0, 1.0) else train.filter("fold = 0")
+    held = out.select("stats", "label").mapInArrow(count, "bin int, x double, label int")
     bins = held.groupBy("bin").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).orderBy("bin").collect()
     if bins:
         model.x, model.y = pool_adjacent([b["x"] for b in bins], [b["n"] for b in bins], [b["p"] for b in bins])

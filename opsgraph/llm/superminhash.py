@@ -15,7 +15,8 @@ a bucket are confirmed on full shingle sets, and groups are connected components
 a pair at similarity 0.75 shares no bucket with probability 5e-6, at 0.8 with 5e-8.
 
 Defined cases: documents without words (null, empty, blank) have an empty set
-and link with nothing; repeated rows and equal texts group under the smallest id;
+and link with nothing; so does a row with a null doc_id, whose component is null and
+which is kept; repeated rows and equal texts group under the smallest id;
 very long texts are processed whole; an empty table gives no rows; other columns
 are ignored.
 """
@@ -193,8 +194,9 @@ def confirm_blocks(groups: DataFrame, texts: DataFrame, percent: int = PERCENT,
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``documents``."""
     base = materialize(sketch(documents), "sketch")
-    classes = materialize(base.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = base.filter("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    full = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = materialize(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    firsts = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     members = firsts.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("doc_id").alias("id")).distinct()
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = materialize(members.join(sizes, "key"), "buckets")
@@ -202,9 +204,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = materialize(documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
     _, found = link_buckets(members, lambda pairs: confirm(pairs, texts, percent), lambda groups: confirm_blocks(groups, texts, percent))
     placed = with_component(classes.withColumnRenamed("rep", "id"), found).select("set_a", "set_b", "n_shingles", "comp")
-    grouped = base.filter("n_shingles > 0").join(placed, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
-    empty = base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    grouped = full.join(placed, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    empty = base.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@
   rule's path.  Of several that fit, the one with the longest host and path
   together wins, then the longer host.
 * A url that no rule fits gets ``default`` (allow) and a null rule.
+* A null page_id stays null and its url is judged like others.
 * Empty tables give empty results; repeated rows are judged one by one; columns
   of the input other than the id are not carried, so names cannot clash.
 

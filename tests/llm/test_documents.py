@@ -104,6 +104,17 @@ def test_clashing_ids_are_documents_of_their_own(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([(1, "long " * 60), (1, "short")], "doc_id long, text string")).count() == 2
 
 
+def test_rows_without_id(spark):
+    """A null doc_id: links with nothing, is kept, sharded, ordered and packed like others."""
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, text, None, None), (None, text, "en", "a"), (3, text, "en", None), (4, None, None, "a")], "doc_id long, text string, lang string, source string")
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(None, 36, None, True), (None, 36, None, True), (3, 36, 3, True), (4, 0, 4, True)]))
+    assert sorted(str(r["doc_id"]) for r in kd_sharding.kd_shards(df, 2).collect()) == ["3", "4", "None", "None"]
+    packed = packing.pack(df, 2, 100).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in packed) == [("3", 40), ("4", 0), ("None", 40), ("None", 40)]
+
+
 def test_null_id_stays_whole(spark):
     text = "abcdefghij" * 30
     df = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
@@ -144,14 +155,70 @@ def test_shards_are_even_on_many_rows(spark):
     assert kd_sharding.kd_shards(rows, target_bytes=sum(sizes) // 3).select("shard").distinct().count() == 3
 
 
+def brute_tree(rows, leaves, tolerance):
+    """Sets of row numbers per shard: every node is cut where the weight left of the cut is nearest to its goal."""
+    if leaves == 1:
+        return [frozenset(n for n, _, _ in rows)]
+    total = sum(w for _, w, _ in rows)
+    goal = total * (leaves // 2) / leaves
+    options = []
+    for d in range(len(rows[0][2]) if rows else 0):
+        values = sorted({k[d] for _, _, k in rows})
+        cuts = [(abs(sum(w for _, w, k in rows if k[d] < c) - goal), c) for c in [*values, values[-1] + 1]]
+        options.append((-((values[-1] + 1 - values[0]) >> 32), d, min(cuts)))
+    options.sort(key=lambda o: o[0])
+    good = [o for o in options if o[2][0] <= tolerance]
+    if not rows:
+        return [frozenset()] * leaves
+    _, d, (_, cut) = good[0] if good else min(options, key=lambda o: o[2][0])
+    left, right = [r for r in rows if r[2][d] < cut], [r for r in rows if r[2][d] >= cut]
+    return brute_tree(left, leaves // 2, tolerance) + brute_tree(right, leaves - leaves // 2, tolerance)
+
+
+@pytest.mark.parametrize("shards", [2, 3, 7])
+def test_shards_are_cut_at_weighted_medians(spark, monkeypatch, shards):
+    """The whole tree against brute force over all cuts of all dimensions, nulls included."""
+    monkeypatch.setattr(kd_sharding, "TOLERANCE", 0.0)
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(0, 300), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None])) for i in range(60)] + [(60, None, "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    keyed, dims = kd_sharding._keyed_rows(df)
+    weighed = [(r["doc_id"], r["size"], tuple(r[d] for d in dims)) for r in keyed.collect()]
+    want = brute_tree(weighed, shards, 0.0)
+    got = defaultdict(set)
+    for r in kd_sharding.kd_shards(df, shards).collect():
+        got[r["shard"]].add(r["doc_id"])
+    assert [frozenset(got[k]) for k in range(shards)] == want
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        tops = np.sort(rng.choice(60, 9, replace=False)) + 1
-        counts = rng.integers(1, 20, 9)
-        cost = lambda edges: sum(int(c) * (next(e for e in edges if e >= t) - int(t)) for c, t in zip(counts, tops))
-        best = min(cost(sorted({*x, int(tops[-1])})) for x in itertools.combinations(tops.tolist(), 2))
-        assert cost(packing.optimal_boundaries(counts, counts * tops, tops, 3)) == best
+    for _ in range(200):
+        n = int(rng.integers(1, 10))
+        tops = sorted((rng.choice(60, n, replace=False) + 1).tolist())
+        counts = rng.integers(1, 20, n).tolist()
+        buckets = int(rng.integers(1, 6))
+        cost = lambda edges: sum(c * (next(e for e in edges if e >= t) - t) for c, t in zip(counts, tops))
+        best = min(cost(sorted({*x, tops[-1]})) for k in range(min(buckets, n)) for x in itertools.combinations(tops, k))
+        got = packing.optimal_boundaries(tops, counts, buckets)
+        assert len(got) <= buckets and set(got) <= set(tops) and cost(got) == best
+    assert packing.optimal_boundaries([], [], 3) == []
+
+
+def test_laid_out_sequences(spark, docs):
+    """Each row's ids are those of its text and zeros up to its boundary; batches keep the budget."""
+    ranks = {bytes([b]): 300 + b for b in range(256)}
+    some = docs.filter("doc_id < 20 OR doc_id >= 4000")
+    got = packing.lay_out(some, ranks, 3, 4000).collect()
+    want = Counter((i, len((t or "").encode())) for i, t in ROWS if i < 20 or i >= 4000)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+    texts = {i: (t or "").encode() for i, t in ROWS}
+    for r in got:
+        ids = np.frombuffer(r["ids"], "<u2")
+        assert len(ids) == r["boundary"] and not ids[r["n_tokens"] :].any() and bytes((ids[: r["n_tokens"]] - 300).astype(np.uint8)) == texts[r["doc_id"]]
+    for _, batch in itertools.groupby(sorted(got, key=lambda r: (r["bucket"], r["batch"])), key=lambda r: (r["bucket"], r["batch"])):
+        batch = list(batch)
+        assert len(batch) == 1 or sum(r["boundary"] for r in batch) <= 4000
 
 
 def test_packing(docs):

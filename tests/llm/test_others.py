@@ -117,6 +117,44 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), one).count() == 0
 
 
+def test_ridge_is_the_direct_solution(spark):
+    """Partition sums give the normal equations of numpy on the collected rows, and the model its weights and calibration."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), " ".join(["word" if rng.random() < 0.5 + 0.4 * (i % 2) else "x!|7"] * int(rng.integers(5, 60))) + "." * int(i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300)], "doc_id long, quality int")
+    stats = quality.statistics(docs).cache()
+    model = quality.fit(stats, labels)
+    table = stats.selectExpr("doc_id", "stats", f"pmod(pmod(xxhash64(doc_id, {quality.SEED}), 1000003), 3) AS fold").collect()
+    x = np.array([r["stats"] for r in table], float)
+    y = np.array([r["doc_id"] % 2 for r in table], float)
+    fold = np.array([r["fold"] for r in table])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    f = model.features(x[fold != 0])
+    penalty = quality.RIDGE * np.eye(f.shape[1])
+    penalty[-1, -1] = 1e-6
+    assert np.allclose(model.beta, np.linalg.solve(f.T @ f + penalty, f.T @ y[fold != 0]), atol=1e-6)
+    raw = model.raw(x[fold == 0])
+    bins = np.clip((raw + 1) / 3 * quality.CALIBRATION_BINS, 0, quality.CALIBRATION_BINS - 1).astype(int)
+    known = np.unique(bins)
+    cx, cy = quality.pool_adjacent([raw[bins == b].mean() for b in known], [(bins == b).sum() for b in known], [y[fold == 0][bins == b].sum() for b in known])
+    assert np.allclose(model.x, cx) and np.allclose(model.y, cy)
+    got = {r["doc_id"]: r["score"] for r in quality.score(stats, model).collect()}
+    assert np.allclose([got[r["doc_id"]] for r in table], np.interp(model.raw(x), cx, cy))
+    # the random cosines approximate the Gaussian kernel
+    z = np.clip((x[:40] - model.mean) / model.scale, -8, 8)
+    kernel = np.exp(-quality.GAMMA / len(quality.NAMES) * ((z[:, None] - z[None]) ** 2).sum(axis=2))
+    g = model.features(x[:40])[:, :-1]
+    assert np.abs(g @ g.T - kernel).max() < 0.35 and np.abs(g @ g.T - kernel).mean() < 0.08
+
+
+def test_few_labels(spark):
+    docs = spark.createDataFrame([(i, "good text of words " * (i + 1) if i % 2 else "7|7|!!" * (i + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(quality.statistics(docs), quality.fit(quality.statistics(docs), labels)).collect()}
+    assert np.mean([got[i] for i in range(1, 40, 2)]) > 0.5 + np.mean([got[i] for i in range(0, 40, 2)])
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = np.sort(rng.uniform(size=50))
@@ -154,6 +192,17 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_short_license_forms(spark):
+    texts = ["This project is licensed under the terms of the MIT license", "# SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-3.0-or-later", "GNU Lesser General Public License v2.1 or later", "All rights reserved.",
+             "Released under the ABC License.", "SPDX-License-Identifier: ABC", None, "", "All rights reserved. " * 2000]
+    df = frame(spark, list(enumerate(texts)) + [(0, texts[0])])
+    got = {}
+    for r in licenses.scan(df).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert {k: set(v) for k, v in got.items()} == {0: {"MIT-notice-terms"}, 1: {"MIT-spdx"}, 2: {"GPL-3.0-or-later-spdx"}, 3: {"LGPL-2.1-later"}, 4: {"all-rights-reserved-notice"}, 9: {"all-rights-reserved-notice"}}
+    assert len(got[0]) == 2 and len(got[9]) == 2000  # repeated rows and repeated notices
+
+
 def test_winnowing_keeps_a_hit_in_every_window():
     g = np.random.default_rng(0).integers(0, 1 << 60, 100).astype(np.uint64)
     kept = set(licenses.winnow(g).tolist())
