@@ -358,7 +358,7 @@ def recent_actions(spark, d):
 
 def describe_tables(spark, d):
     x = landed.describe_tables({n: load(spark, d, n) for n in ("nation", "orders", "events")})
-    return x.select("table_name", "column_name", F.col("column_count").cast("long").alias("column_count"), "row_count")
+    return x.withColumn("column_count", F.col("column_count").cast("long"))
 
 
 def link_mentions(spark, d):

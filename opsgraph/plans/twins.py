@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from ..operators.access import ROLE_PERMISSIONS
+from ..operators.guards import KEYWORDS
 from .adapters import twin
 
+_MATRIX = ", ".join(f"('{r}', '{p}')" for r, ps in ROLE_PERMISSIONS.items() for p in ps.split())
+
 _TOKENS = r"""
 tok AS (SELECT tenant_id, id, seq, list_filter(string_split_regex(regexp_replace(lower(content), '[^a-z0-9\-_./]', ' ', 'g'), '\s+'), lambda x: x <> '') AS raw FROM docs),
 words AS (SELECT tenant_id, id, seq, unnest(raw) AS t FROM tok),
@@ -197,8 +201,11 @@ _RAW = {
     "bm25_search": _BM25,
     "hybrid_search": _HYBRID,
     "profile_columns": _PROFILE,
-    "detect_delimiter": """WITH o AS (SELECT o_custkey % 200 AS f, o_custkey % 4 AS k, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS n FROM orders)
-SELECT DISTINCT 'f' || CAST(f AS VARCHAR) AS file, CASE f % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM o""",
+    "detect_delimiter": r"""WITH o AS (SELECT o_custkey % 200 AS f, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS n, CAST(o_orderkey AS VARCHAR) || sep || o_orderstatus || sep || '"a' || sep || 'b"' AS line
+  FROM (SELECT *, [',', ';', chr(9), '|'][(o_custkey % 200) % 4 + 1] AS sep FROM orders)),
+b AS (SELECT f, regexp_replace(line, '"[^"]*"?', '', 'g') AS line FROM o WHERE n <= 10),
+c AS (SELECT f, k, d, min(len(string_split(line, d))) AS lo, max(len(string_split(line, d))) AS hi FROM b, (SELECT unnest([0, 1, 2, 3]) AS k, unnest([',', ';', chr(9), '|']) AS d) GROUP BY ALL)
+SELECT 'f' || CAST(f AS VARCHAR) AS file, coalesce(arg_max(d, (lo, -k)) FILTER (lo = hi AND lo > 1), ',') AS delimiter FROM c GROUP BY f""",
     "ingest_outcomes": "WITH " + _TAGGED.strip() + """
 SELECT tenant_id, job_id, row_index, outcome, sha256(raw_json) AS row_hash, coalesce(CASE WHEN raw_json[1] = '{' THEN nullif(nullif(json_extract_string(raw_json, '$.order_id'), '0'), '') END, CASE WHEN raw_json[1] = '{' THEN json_extract_string(raw_json, '$.sku') END, 'ext_' || CAST(row_index AS VARCHAR)) AS external_id, bad_key FROM t""",
     "job_summary": "WITH " + _TAGGED.strip() + """
@@ -206,13 +213,24 @@ SELECT tenant_id, job_id, count(*) AS total_rows, count(*) FILTER (outcome = 'VA
   CASE WHEN count(*) FILTER (outcome NOT IN ('VALID', 'DUPLICATE')) = 0 THEN 'COMPLETED' WHEN count(*) FILTER (outcome = 'VALID') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM t GROUP BY ALL""",
     "dead_letters": "WITH " + _TAGGED.strip() + """
 SELECT tenant_id, job_id, row_index, outcome AS error_code, CASE WHEN outcome = 'EMPTY_OR_INVALID_ROW' THEN 'Row is empty, null or not an object' ELSE 'Forbidden key: ' || bad_key END AS error_message FROM t WHERE outcome NOT IN ('VALID', 'DUPLICATE')""",
-    "extract_records": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_records, event_id % 5 IN (3, 4) AS failed FROM events",
+    "extract_records": r"""WITH b AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"data":{"items":[{"id":' || CAST(event_id AS VARCHAR) || '},{"id":2},3]}}' WHEN 1 THEN '{"data":{"items":{"id":1}}}' WHEN 3 THEN '{"data":{}}' WHEN 4 THEN '{"data":{"items":5}}' END AS body FROM events),
+t AS (SELECT event_id, body, json_type(body, '$.data.items') AS k, json_extract(body, '$.data.items') AS x FROM b)
+SELECT event_id, CASE k WHEN 'ARRAY' THEN len(list_filter(CAST(x AS JSON[]), lambda y: json_type(y) = 'OBJECT')) WHEN 'OBJECT' THEN 1 ELSE 0 END::BIGINT AS n_records, body IS NOT NULL AND coalesce(k NOT IN ('ARRAY', 'OBJECT'), true) AS failed FROM t""",
     "accept_pages": """WITH n AS (SELECT 's' || CAST(user_id AS VARCHAR) AS source, day(ts)::BIGINT AS page, count(*) AS n FROM events GROUP BY ALL),
 b AS (SELECT *, max(CASE WHEN n < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM n WHERE page BETWEEN 1 AND 20) SELECT source, page, n FROM b WHERE coalesce(s, 0) = 0""",
     "incremental_read": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 500",
     "incremental_cursor": "SELECT max(event_id) AS next_cursor FROM (SELECT event_id FROM events WHERE event_id > 50 ORDER BY event_id LIMIT 100)",
-    "classify_url": "SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'METADATA_HOST' WHEN 1 THEN 'PRIVATE_HOST' WHEN 2 THEN 'BAD_PROTOCOL' WHEN 3 THEN 'PRIVATE_HOST' WHEN 4 THEN 'PRIVATE_HOST' WHEN 5 THEN 'PRIVATE_HOST' WHEN 6 THEN 'MALFORMED' ELSE CASE WHEN regexp_matches(url, '^https?://(fc|fd)') THEN 'PRIVATE_HOST' ELSE 'OK' END END AS verdict FROM pages",
-    "flag_unsafe_sql": "SELECT o_orderkey, CASE o_orderkey % 10 WHEN 2 THEN 'MULTI_STATEMENT' WHEN 3 THEN 'NOT_SELECT' WHEN 4 THEN 'EMPTY' WHEN 5 THEN 'FORBIDDEN:TRUNCATE' WHEN 6 THEN 'FORBIDDEN:INTO OUTFILE' WHEN 7 THEN 'FORBIDDEN:COPY TO' WHEN 9 THEN 'EMPTY' END AS violation FROM orders",
+    "classify_url": r"""WITH u AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'http://169.254.169.254/latest' WHEN 1 THEN 'http://10.1.2.3/x' WHEN 2 THEN 'ftp://host/x' WHEN 3 THEN 'http://[::1]:80/' WHEN 4 THEN 'http://LOCALHOST/' WHEN 5 THEN 'http://2130706433/' WHEN 6 THEN 'no url' ELSE url END AS url FROM pages),
+a AS (SELECT page_id, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), '')) AS protocol, lower(regexp_replace(regexp_extract(url, '^[^:]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1), '^\[|\]$', '', 'g')) AS h FROM u),
+h AS (SELECT page_id, protocol, CASE WHEN regexp_full_match(h, '[0-9]{1,10}') AND CAST(h AS BIGINT) < 4294967296 THEN (CAST(h AS BIGINT) >> 24) % 256 || '.' || (CAST(h AS BIGINT) >> 16) % 256 || '.' || (CAST(h AS BIGINT) >> 8) % 256 || '.' || CAST(h AS BIGINT) % 256 ELSE h END AS host FROM a)
+SELECT page_id, CASE WHEN protocol IS NULL THEN 'MALFORMED' WHEN protocol NOT IN ('http', 'https') THEN 'BAD_PROTOCOL' WHEN host = '' THEN 'MALFORMED' WHEN host IN ('169.254.169.254', 'metadata.google.internal', 'instance-data') THEN 'METADATA_HOST'
+ WHEN regexp_matches(host, '^(127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') OR host IN ('localhost', '::1') OR starts_with(host, 'fc') OR starts_with(host, 'fd') OR starts_with(host, 'fe80:') THEN 'PRIVATE_HOST' ELSE 'OK' END AS verdict FROM h""",
+    "flag_unsafe_sql": r"""WITH q AS (SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'SELECT * FROM orders WHERE id = ' || o_orderkey WHEN 1 THEN ' with x as (select 1) select * from x;   ' WHEN 2 THEN 'SELECT 1; DROP TABLE orders' WHEN 3 THEN 'delete from orders where id=' || o_orderkey WHEN 4 THEN '  '
+  WHEN 5 THEN 'SELECT ''truncate'' AS x' WHEN 6 THEN 'SELECT a INTO  OUTFILE ''x'' ' WHEN 7 THEN 'WITH t AS (SELECT 1) COPY t  TO ''x'' ' WHEN 8 THEN 'SELECT created_at, updates FROM t' || o_orderkey ELSE '' END AS sql FROM orders),
+s AS (SELECT o_orderkey, trim(sql) AS s FROM q)
+SELECT o_orderkey, CASE WHEN s = '' THEN 'EMPTY' WHEN len(list_filter(string_split(s, ';'), lambda x: trim(x) <> '')) > 1 THEN 'MULTI_STATEMENT' WHEN NOT regexp_matches(s, '(?i)^(SELECT|WITH)\b') THEN 'NOT_SELECT' """
+    + " ".join(rf"WHEN regexp_matches(s, '(?i)\b{k}\b') THEN 'FORBIDDEN:{k}'" for k in KEYWORDS)
+    + r""" WHEN regexp_matches(s, '(?i)\bINTO\b\s+OUTFILE') THEN 'FORBIDDEN:INTO OUTFILE' WHEN regexp_matches(s, '(?i)\bCOPY\b\s+.*\s+TO\b') THEN 'FORBIDDEN:COPY TO' END AS violation FROM s""",
     "flag_bad_identifier": "SELECT p_partkey, NOT regexp_full_match(CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '_') ELSE p_name END, '[a-zA-Z_][a-zA-Z0-9_]*') AS bad FROM part",
     "graph_stats": """SELECT tenant_id, 'nodes' AS kind, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT tenant_id, 'category', category, count(*) FROM nodes GROUP BY ALL
 UNION ALL SELECT tenant_id, 'entity_type', entity_type, count(*) FROM nodes GROUP BY ALL UNION ALL SELECT tenant_id, 'edges', NULL, count(*) FROM edges GROUP BY ALL""",
@@ -228,8 +246,11 @@ SELECT tenant_id, root_id, max(name) FILTER (entity_type = 'Plant') AS plant, co
     "merge_nodes": "WITH " + _RESOLVE.strip() + """ SELECT e.tenant_id, e.id, count(*) AS n, 2::BIGINT AS version, max(greatest(length(e.name), length(r.name)))::BIGINT AS longest, (2 * count(*))::BIGINT AS n_refs
 FROM existing_parts e JOIN r ON e.tenant_id = r.tenant_id AND e.id = r.matched_id WHERE action = 'MERGED_AUTOMATIC' GROUP BY ALL""",
     "chunk_structure": "WITH " + _LINES.strip() + " SELECT tenant_id, id, count(*) AS n_lines, count(*) FILTER (h) AS n_headers, count(*) FILTER (tb) AS n_table_lines, count(DISTINCT run) AS n_tables, count(DISTINCT section) AS n_sections FROM c GROUP BY ALL",
-    "error_codes": """WITH a AS (SELECT event_id, CAST(event_id % 9000 + 1000 AS VARCHAR) AS e, CAST(event_id % 90 + 10 AS VARCHAR) AS h, 'Alarm e-' || CAST(event_id % 9000 + 1000 AS VARCHAR) || ' and ERR-HYD-' || CAST(event_id % 90 + 10 AS VARCHAR) || ' again E-' || CAST(event_id % 9000 + 1000 AS VARCHAR) || '.' || chr(10) || 'Max Pressure: ' || CAST(user_id AS VARCHAR) || ' bar, Speed = ' || CAST(event_id % 700 AS VARCHAR) || ' RPM' AS text, user_id FROM events)
-SELECT event_id, 'E-' || e || ',ERR-HYD-' || h AS codes, CAST(user_id AS VARCHAR) || ' bar' AS pressure, 2::BIGINT AS n_specs, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM a""",
+    "error_codes": r"""WITH a AS (SELECT event_id, 'Alarm e-' || CAST(event_id % 9000 + 1000 AS VARCHAR) || ' and ERR-HYD-' || CAST(event_id % 90 + 10 AS VARCHAR) || ' again E-' || CAST(event_id % 9000 + 1000 AS VARCHAR) || '.' || chr(10) || 'Max Pressure: ' || CAST(user_id AS VARCHAR) || ' bar, Speed = ' || CAST(event_id % 700 AS VARCHAR) || ' RPM' AS text FROM events),
+c AS (SELECT *, list_transform(regexp_extract_all(text, '(?i)\b((?:E|W|A|F|ALM|ERR|CODE)[-_]?(?:[A-Za-z0-9]{1,6}[-_])?[0-9]{2,6}[A-Za-z]?)\b', 1), lambda x: upper(x)) AS l,
+  list_transform(regexp_extract_all(text, '(?i)([A-Za-z\s]+)[:=]\s*([0-9.]+\s*(?:bar|psi|rpm|mm|m/s|kw|v|vac|vdc|hz|khz|c|°c|celsius|kg|kn))\b', 1), lambda x: trim(x, chr(10) || ' ')) AS names,
+  regexp_extract_all(text, '(?i)([A-Za-z\s]+)[:=]\s*([0-9.]+\s*(?:bar|psi|rpm|mm|m/s|kw|v|vac|vdc|hz|khz|c|°c|celsius|kg|kn))\b', 2) AS vals FROM a)
+SELECT event_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS codes, vals[list_position(names, 'Max Pressure')] AS pressure, len(list_distinct(names))::BIGINT AS n_specs, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM c""",
     "hash_embedding": f"""WITH w AS (SELECT id, unnest({_WORDS}) AS t FROM docs),
 g AS (SELECT id, {_BUCKET('t')} AS bucket, 2.0::DOUBLE AS v FROM w UNION ALL SELECT id, {_BUCKET('g')}, 0.5 FROM (SELECT id, unnest(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS g FROM w WHERE length(t) >= 4)),
 s AS (SELECT id, bucket::BIGINT AS bucket, sum(v) AS v FROM g GROUP BY ALL) SELECT id, bucket, floor(v / sqrt(sum(v * v) OVER (PARTITION BY id)) * 100000 + 0.5) / 100000 AS v FROM s""",
@@ -259,13 +280,15 @@ SELECT tenant_id, execution_id, value, feedback_status, feedback_status IN ('DET
 SELECT s.tenant_id, execution_id, proposal_id, p.system_target, 'ROLLBACK' AS command_type, p.param_value AS to_value FROM s JOIN proposals p ON s.tenant_id = p.tenant_id AND s.proposal_id = p.id WHERE fs IN ('DETERIORATING', 'TIMEOUT_FAILED') AND rollback_enabled""",
     "machine_states": "SELECT tenant_id, entity_id, arg_max(state, ts) AS state, max(ts) AS ts FROM (SELECT tenant_id, entity_id, ts, max(state) AS state FROM states GROUP BY ALL) GROUP BY ALL",
     "audit_checksums": f"SELECT id, {_HMAC} AS checksum FROM audit_raw",
-    "verify_audit_summary": """SELECT tenant_id, count(*) AS checked, count(*) FILTER (id[2] <> '7') AS valid, count(*) FILTER (id[2] = '7') AS tampered, bool_and(id[2] <> '7') AS is_intact, coalesce(string_agg(id, ',' ORDER BY id) FILTER (id[2] = '7'), '') AS corrupted_ids FROM audit_raw GROUP BY ALL""",
-    "audit_page": """WITH f AS (SELECT *, CASE WHEN id[2] = '7' THEN 'TAMPERED' ELSE action END AS act FROM audit_raw), g AS (SELECT * FROM f WHERE contains(lower(act), 'ingest') AND status = 'SUCCESS')
-SELECT id, tenant_id, act AS action, "timestamp", (SELECT count(*) FROM g) AS total, id[2] <> '7' AS integrity_verified FROM g ORDER BY "timestamp" DESC, id LIMIT 20 OFFSET 10""",
+    "verify_audit_summary": f"""WITH s AS (SELECT *, {_HMAC} AS checksum FROM audit_raw), t AS (SELECT * REPLACE (CASE WHEN substr(id, 2, 1) = '7' THEN 'TAMPERED' ELSE action END AS action) FROM s), v AS (SELECT *, checksum = {_HMAC} AS ok FROM t)
+SELECT tenant_id, count(*) AS checked, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS tampered, bool_and(ok) AS is_intact, coalesce(string_agg(id, ',' ORDER BY id) FILTER (NOT ok), '') AS corrupted_ids FROM v GROUP BY ALL""",
+    "audit_page": f"""WITH s AS (SELECT *, {_HMAC} AS checksum FROM audit_raw), t AS (SELECT * REPLACE (CASE WHEN substr(id, 2, 1) = '7' THEN 'TAMPERED' ELSE action END AS action) FROM s), g AS (SELECT * FROM t WHERE contains(lower(action), 'ingest') AND status = 'SUCCESS')
+SELECT id, tenant_id, action, "timestamp", (SELECT count(*) FROM g) AS total, checksum = {_HMAC} AS integrity_verified FROM g ORDER BY "timestamp" DESC, id LIMIT 20 OFFSET 10""",
     "access_gate": """SELECT request_id, user_id, tenant_id, CASE WHEN tenant_id NOT IN (SELECT id FROM orgs) THEN 'NOT_FOUND' WHEN user_id IN (SELECT id FROM users WHERE is_super_admin) OR (user_id, tenant_id) IN (SELECT user_id, tenant_id FROM memberships WHERE status = 'ACTIVE') THEN 'ALLOWED' ELSE 'TENANT_ACCESS_DENIED' END AS decision FROM requests""",
     "member_listing": "SELECT m.user_id, m.tenant_id, m.role, m.status, u.email, o.name AS org_name FROM memberships m LEFT JOIN users u ON m.user_id = u.id LEFT JOIN orgs o ON m.tenant_id = o.id",
     "organizations_of_users": "SELECT m.user_id, m.tenant_id, o.name AS org_name, m.role FROM memberships m JOIN orgs o ON m.tenant_id = o.id WHERE m.status = 'ACTIVE'",
-    "role_checks": "SELECT user_id || '/' || tenant_id AS check_id, role, role = 'PLANT_MANAGER' AS has_all, true AS has_any FROM memberships",
+    "role_checks": f"""WITH p AS (SELECT * FROM (VALUES {_MATRIX}) AS t(role, permission)), c AS (SELECT user_id || '/' || tenant_id AS check_id, role, unnest(['data:read', 'action:approve']) AS permission FROM memberships)
+SELECT check_id, c.role, bool_and(p.role IS NOT NULL) AS has_all, bool_or(p.role IS NOT NULL) AS has_any FROM c LEFT JOIN p ON c.role = p.role AND c.permission = p.permission GROUP BY ALL""",
     "duplicate_keys": "SELECT lower(trim(p_name)) AS key, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "health_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")),
     "token_lengths": "WITH " + _TOKENS.strip() + f", c AS (SELECT id, count(*) AS n FROM terms GROUP BY ALL) SELECT d.id, coalesce(c.n, 0) AS n_tokens, coalesce(len({_WORDS}), 0)::BIGINT AS n_words FROM docs d LEFT JOIN c USING (id)",
@@ -276,12 +299,15 @@ SELECT id, tenant_id, act AS action, "timestamp", (SELECT count(*) FROM g) AS to
     "rows_by_tenant": "SELECT tenant_id, count(*) AS n FROM raw_rows GROUP BY ALL",
     "latest_orders": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 50",
     "recent_actions": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY "timestamp" DESC, id) AS rank FROM audit_raw) SELECT tenant_id, id, action, rank FROM k WHERE rank <= 5""",
-    "describe_tables": """SELECT 'nation' AS table_name, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name, 3::BIGINT AS column_count, (SELECT count(*) FROM nation) AS row_count
-UNION ALL SELECT 'orders', unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']), 6, (SELECT count(*) FROM orders) UNION ALL SELECT 'events', unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']), 6, (SELECT count(*) FROM events)""",
+    "describe_tables": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' ELSE lower(column_type) END AS data_type,
+ "null" = 'YES' AS nullable, (SELECT count(*) FROM (DESCRIBE {t})) AS column_count, (SELECT count(*) FROM {t}) AS row_count FROM (DESCRIBE {t})""" for t in ("nation", "orders", "events")),
     "link_mentions": """WITH x AS (SELECT tenant_id, id, unnest(['Apache License', 'TOKEN', 'mit license']) AS k, lower(content) AS c FROM docs) SELECT tenant_id, id, string_agg(k, ',' ORDER BY k) AS links FROM x WHERE contains(c, lower(k)) GROUP BY ALL""",
-    "first_mention": "SELECT tenant_id, id, CASE WHEN contains(lower(content), 'license') OR contains(lower(content), 'mit') THEN 'n1' ELSE 'n2' END AS node_id FROM docs WHERE contains(lower(content), 'license') OR contains(lower(content), 'mit') OR contains(lower(content), 'token') OR contains(lower(content), 'version 3')",
+    "first_mention": """WITH n AS (SELECT * FROM (VALUES ('n1', 'license', 'MIT', 1), ('n2', 'token', 'version 3', 2)) AS t(node_id, name, canonical_id, seq)),
+h AS (SELECT tenant_id, d.id, n.seq, node_id FROM docs d JOIN n ON contains(lower(content), lower(name)) OR contains(lower(content), lower(canonical_id))) SELECT tenant_id, id, arg_min(node_id, seq) AS node_id FROM h GROUP BY ALL""",
     "apply_rejections": "SELECT tenant_id, id, CASE WHEN seq % 3 = 0 THEN 'REJECTED' ELSE approval_status END AS approval_status, CASE WHEN seq % 3 = 0 THEN 'no' END AS rejection_reason FROM proposals",
-    "denied_permissions": "SELECT user_id, tenant_id, role, 'PERMISSION_DENIED' AS action, 'BLOCKED' AS status FROM memberships WHERE role NOT IN ('SUPER_ADMIN', 'ORG_ADMIN', 'AUDITOR')",
+    "denied_permissions": f"""WITH p AS (SELECT * FROM (VALUES {_MATRIX}) AS t(role, permission))
+SELECT user_id, tenant_id, role, 'PERMISSION_DENIED' AS action, 'BLOCKED' AS status FROM memberships m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.role = m.role AND p.permission = 'audit:export')""",
     "denied_audit": "SELECT tenant_id, count(*) AS n FROM requests WHERE tenant_id IN (SELECT id FROM orgs) AND user_id NOT IN (SELECT id FROM users WHERE is_super_admin) AND (user_id, tenant_id) NOT IN (SELECT user_id, tenant_id FROM memberships WHERE status = 'ACTIVE') GROUP BY ALL",
     "actions_last_hour": "SELECT p.tenant_id, p.id, (SELECT count(*) FROM action_times a WHERE a.tenant_id = p.tenant_id AND a.entity_id = p.target_entity_id AND a.ts > TIMESTAMP '2024-01-20 11:00:00') AS recent_actions FROM proposals p",
     "review_queue": "WITH " + _RESOLVE.strip() + " SELECT tenant_id, in_id AS candidate_id, matched_id AS primary_node_id, confidence, 'PENDING' AS status FROM r WHERE action = 'QUEUED_FOR_REVIEW'",
@@ -316,6 +342,13 @@ SELECT tenant_id, id, (tenant_id, source_id) IN (SELECT (tenant_id, id) FROM k)
     "ingest_documents": "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""", d AS (SELECT *, {_CODES} AS codes, {_FORMS('content')} AS forms FROM ck),
 p AS (SELECT DISTINCT tenant_id, document_id, chunk_index, unnest(list_concat(forms, list_transform(codes, lambda x: lower(x)))) AS t FROM d), pn AS (SELECT tenant_id, count(*) AS n FROM p GROUP BY ALL)
 SELECT tenant_id, count(*) AS n_chunks, sum(len(forms))::BIGINT AS total_length, any_value(pn.n) AS n_postings FROM d JOIN pn USING (tenant_id) GROUP BY ALL""",
+    "assemble_context": _HYBRID[: _HYBRID.index("SELECT tenant_id, query_id, rank, id AS document_id")].replace("WHERE a.query_id <> 'q5' AND", "WHERE").rstrip() + """,
+hd AS (SELECT chr(10) || '[PHYSICAL ASSET & TOPOLOGY]' || chr(10) || 'Asset: ' || n.n_name || ' (' || n.n_name || ')' || chr(10) || 'Hierarchy: Plant: ' || r_name || ' // Line: ' || (SELECT coalesce(max(o.n_name), 'N/A') FROM nation o WHERE o.n_nationkey = (SELECT max(x.n_nationkey) FROM nation x WHERE x.n_regionkey = n.n_regionkey AND x.n_nationkey <> n.n_nationkey))
+  || chr(10) || 'Sensors (0): None' || chr(10) || 'Active Work Orders: None' || chr(10) || 'Maintenance History: None' AS head FROM nation n JOIN region ON n_regionkey = r_regionkey WHERE n.n_nationkey = 0),
+ln AS (SELECT tenant_id, query_id, rank, chr(10) || '--- Document Source #' || rank || ': ' || title || ' [Type: ' || doc_type || '] ---' || coalesce(chr(10) || 'Content:' || chr(10) || content, '') AS line FROM rk JOIN docs USING (tenant_id, id) WHERE rank <= 5),
+bd AS (SELECT tenant_id, query_id, string_agg(line, chr(10) ORDER BY rank) AS body FROM ln GROUP BY ALL)
+SELECT tenant_id, query_id, 'N0' AS target_entity_id, '=== INDUSTRIAL OPERATIONAL CONTEXT ===' || chr(10) || 'QUERY: ' || query || chr(10) || 'TENANT: ' || tenant_id || chr(10) || 'TIMESTAMP: 2024-01-20 12:00:00' || chr(10) || head || chr(10) || chr(10)
+ || '[RETRIEVED TECHNICAL DOCUMENTATION (HYBRID BM25 + VECTOR + GRAPH)]' || chr(10) || coalesce(body, 'No matching technical manuals or SOP documents found.') AS context FROM asked LEFT JOIN bd USING (tenant_id, query_id), hd""",
     "stream_ingest": "WITH " + _TAGGED.strip() + """ SELECT tenant_id, job_id, count(*) AS total_rows, count(*) FILTER (outcome = 'VALID') AS valid_rows, count(*) FILTER (outcome = 'DUPLICATE') AS duplicate_rows, count(*) FILTER (outcome NOT IN ('VALID', 'DUPLICATE')) AS error_rows,
  CASE WHEN count(*) FILTER (outcome NOT IN ('VALID', 'DUPLICATE')) = 0 THEN 'COMPLETED' WHEN count(*) FILTER (outcome = 'VALID') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM t GROUP BY ALL""",
     "stream_correlate": """WITH t AS (SELECT * FROM telemetry WHERE contains(lower(metric), 'temp') AND threshold <> 0 AND value > threshold),

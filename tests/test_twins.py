@@ -19,6 +19,5 @@ def test_twin(spark, duck, name):
     assert rows(ours, sorted(ours.columns)) == rows(theirs, sorted(ours.columns))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(TWINS)
