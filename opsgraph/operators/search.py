@@ -131,17 +131,23 @@ def ingest_rollup(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("tenant_id", "document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum(F.col("is_table").cast("int")).alias("table_count"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("error_codes")))).alias("error_codes"))
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``postings(tenant_id, term, chunk_id, tf)`` and ``lengths(tenant_id, chunk_id, len)``; each code adds 5 to its term, not to the length."""
-    text = F.regexp_replace(F.lower("content"), r"[^a-z0-9\-_./]", " ")
-    raw = chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.explode(F.split(text, " ")).alias("t")).filter("t <> ''")
+def bm25_index(chunks: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``postings(tenant_id, term, chunk_id, tf)`` and ``lengths(tenant_id, chunk_id, len)``; each code adds 5 to its term, not to the length.
+
+    With ``terms(tenant_id, term)`` only their postings are made, so that other tokens never leave their task.
+    """
+    tokens = F.regexp_extract_all(F.lower("content"), F.lit(r"[a-z0-9\-_./]+"), F.lit(0))
+    raw = chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.explode(tokens).alias("t"))
     forms = F.when(F.col("t").contains("-"), F.array(F.col("t"), F.replace("t", F.lit("-"), F.lit("")))).otherwise(F.array("t"))
     words = raw.select("tenant_id", "chunk_id", F.explode(forms).alias("term"), F.lit(1).alias("w"))
     codes = chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.explode("error_codes").alias("x")).select("tenant_id", "chunk_id", F.lower("x").alias("term"), F.lit(N.CODE_TF).alias("w"))
-    postings = words.unionByName(codes).groupBy("tenant_id", "term", "chunk_id").agg(F.sum("w").alias("tf"))
+    found = words.unionByName(codes)
+    if terms is not None:
+        found = found.join(terms, ["tenant_id", "term"], "left_semi")
+    postings = found.groupBy("tenant_id", "term", "chunk_id").agg(F.sum("w").alias("tf"))
     # a hyphenated token counts twice
-    size = F.regexp_count(F.lower("content"), F.lit(r"[a-z0-9\-_./]+")) + F.regexp_count(F.lower("content"), F.lit(r"[a-z0-9_./]*-[a-z0-9\-_./]*"))
-    return postings, chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.coalesce(size, F.lit(0)).alias("len"))
+    size = chunks.select("tenant_id", F.col("id").alias("chunk_id"), tokens.alias("t")).select("tenant_id", "chunk_id", F.greatest(F.size("t"), F.lit(0)).alias("n"), F.greatest(F.size(F.filter("t", lambda t: t.contains("-"))), F.lit(0)).alias("twice"))
+    return postings, size.select("tenant_id", "chunk_id", (F.col("n") + F.col("twice")).alias("len"))
 
 
 def bm25_remove(postings: DataFrame, lengths: DataFrame, chunk_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,12 +162,13 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, D
     are summed once per tenant.  Ties keep the order of the first query term that
     matched, then of insertion.
     """
-    postings, lengths = index or bm25_index(chunks)
     terms = queries.select("tenant_id", "query_id", F.posexplode(bm25_tokens(F.col("query"))).alias("p", "term"))
-    terms = terms.groupBy("tenant_id", "query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("p").alias("first"))
+    # written, so that its size is known where it is joined
+    terms = materialize(terms.groupBy("tenant_id", "query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("p").alias("first")))
+    postings, lengths = index or bm25_index(chunks, terms.select("tenant_id", "term").distinct())
     lengths = materialize(lengths)
     stats = lengths.groupBy("tenant_id").agg(F.avg("len").alias("mean"), F.count(F.lit(1)).alias("n"))
-    wanted = materialize(postings.join(terms.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi"))
+    wanted = materialize(postings if index is None else postings.join(terms.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi"))
     df = wanted.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
     scored = wanted.join(df, ["tenant_id", "term"]).join(terms, ["tenant_id", "term"]).join(stats, "tenant_id").join(lengths, ["tenant_id", "chunk_id"])
     part = N.bm25_term(F.col("tf"), F.greatest("len", F.lit(1)), F.col("mean"), F.col("n"), F.col("df")) * F.col("times")
