@@ -1,14 +1,17 @@
 """Vectors, URLs, quality, licenses, decontamination and the pipeline."""
 
+import collections
 import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fixtures import DATA, corpus, frame, prose
+from fixtures import DATA, LOWER, corpus, frame, prose
 from opsgraph.llm import decontaminate, licenses, quality, url_filter, vector_graph
 from opsgraph.llm.textops import prefix_sums
 from test_documents import components
@@ -353,17 +356,96 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty, DATA).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op3_training_order", "op5_licenses", "op8_packing", "op9_url_filter"])
-def test_registered(spark, duck, name):
+def test_url_query(spark, duck):
     from opsgraph.llm import entries
 
-    got = entries.QUERIES[name](spark, DATA)
-    if name in entries.SQL:
-        want = duck.sql(entries.SQL[name]).df()
-        key = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).itertuples(index=False, name=None)))
-        assert key(got.toPandas()) == key(want)
-    else:
-        assert got.count() >= 0
+    got, want = entries.QUERIES["op9_url_filter"](spark, DATA), duck.sql(entries.SQL["op9_url_filter"]).df()
+    key = lambda f: sorted(map(str, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).itertuples(index=False, name=None)))
+    assert key(got.toPandas()) == key(want)
+
+
+def table_rows(spark, name, *columns):
+    return [tuple(r) for r in spark.read.parquet(f"{DATA}/{name}.parquet").select(*columns).collect()]
+
+
+def test_leak_query(spark):
+    """On the table every leak is a verbatim item: those whose words stand in a row in the document, and no others."""
+    from opsgraph.llm import entries
+
+    plain = lambda t: " " + " ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").translate(LOWER))) + " "
+    docs, items = table_rows(spark, "documents", "doc_id", "text"), table_rows(spark, "benchmark", "item_id", "text")
+    want = {(d, i) for d, t in docs for i, x in items if plain(x) in plain(t)}
+    got = entries.QUERIES["op1_decontaminate"](spark, DATA).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["contaminated"]} == want and want
+
+
+def test_order_query(spark):
+    from opsgraph.llm import entries, training_order
+
+    docs = table_rows(spark, "documents", "doc_id", "text")
+    got = entries.QUERIES["op3_training_order"](spark, DATA).collect()
+    pieces = {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        for k in range(-(-len(raw) // training_order.LENGTH)):
+            part = raw[k * training_order.LENGTH : (k + 1) * training_order.LENGTH]
+            pieces[(i, k)] = (len(part), zlib.crc32(part.ljust(training_order.LENGTH, b"\0")))
+    assert {(r["doc_id"], r["seq_in_doc"]): (r["n_tokens"], r["payload_crc32"]) for r in got} == pieces and len(got) == len(pieces)
+    # the table is one file, so the numbers follow its rows
+    numbers = [(i, k) for i, t in docs for k in range(-(-len((t or "").encode()) // training_order.LENGTH))]
+    slots = training_order.feistel(np.arange(len(numbers)), len(numbers), training_order.KEY)
+    assert {(r["doc_id"], r["seq_in_doc"]): r["slot"] for r in got} == dict(zip(numbers, slots.tolist()))
+
+
+def test_license_query(spark):
+    """Every reported span holds the matched words of its template in order, by a full alignment."""
+    from opsgraph.llm import entries
+
+    texts = {i: (t or "").encode() for i, t in table_rows(spark, "documents", "doc_id", "text")}
+    templates = licenses.all_templates()
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t.translate(LOWER))
+    got = entries.QUERIES["op5_licenses"](spark, DATA).collect()
+    assert got
+    for r in got:
+        words = split(templates[r["license"]])
+        span = split(texts[r["doc_id"]][r["start_byte"] : r["end_byte"]].decode())
+        assert r["n_words"] == len(words) and full_alignment(words, span) >= r["n_matched"] >= licenses.COVERAGE * len(words)
+    phrase = split("Licensed under the Apache License, Version 2.0")
+    found = {r["doc_id"] for r in got if r["license"].startswith("Apache")}
+    assert {i for i, t in texts.items() if " ".join(phrase) in " ".join(split(t.decode()))} == found
+
+
+def test_packing_query(spark):
+    from opsgraph.llm import entries, packing
+
+    docs = table_rows(spark, "documents", "doc_id", "text")
+    lengths = collections.Counter(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in docs)
+    edges = packing.optimal_boundaries(sorted(lengths), [lengths[x] for x in sorted(lengths)], packing.BUCKETS)
+    got = entries.QUERIES["op8_packing"](spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in docs)
+    assert all(r["boundary"] == min(e for e in edges if e >= r["n_tokens"]) for r in got)
+    room = collections.Counter((r["bucket"], r["batch"]) for r in got)
+    for (bucket, batch), n in room.items():
+        most = max(1, packing.TOKEN_BUDGET // max(edges[bucket], 1))
+        assert n == most or batch == max(b for k, b in room if k == bucket)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, clashing ids and clashing columns."""
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).select(*corpus_pipeline.COLUMNS)
+    text = some.first()["text"]
+    odd = spark.createDataFrame([(None, text, None, None, None), (7, None, None, "a", None), (8, "", "en", None, 0), (9, text, "en", "a", 3), (9, text, "en", "a", 3), (9, "other text of the same id", "en", "a", 3), (None, None, None, None, None)], some.schema)
+    docs = some.unionByName(odd).repartition(3)
+    for c in ("id", "codes", "__version", "bucket", "rank", "size", "h"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        assert 0 < len(rows) <= docs.count()
+        if name != "packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
 
 
 def test_whole_licenses_and_siblings(spark):
