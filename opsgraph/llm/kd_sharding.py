@@ -9,8 +9,9 @@ logarithm of the size, language, source and id; each is scaled to 30 bits, and
 a 32-bit hash of the row breaks ties, so a hot language, source or group of
 copies can be cut anywhere.
 
-Only DataFrame operations run on the executors.  The driver sees at most
-``BINS`` sums per node and round, whatever the table's size.
+Only DataFrame operations run on the executors.  The cuts of a level are a small table
+that the rows meet in a broadcast join; the driver sees at most ``BINS`` sums per node
+and round, whatever the table's size.
 
 Defined cases: a null text has size 8 and crc32 0; a null lang, source or doc_id takes
 the lowest value of its dimension, and the row's doc_id stays null; repeated rows are placed one by one; an
@@ -51,11 +52,18 @@ def _keyed_rows(documents: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.select("doc_id", "size", "text_crc32", *keys), list(dims)
 
 
-def _place(tree: dict) -> Column:
-    """The node that a row falls into, as one nested CASE expression."""
-    if "cut" not in tree:
-        return F.lit(tree["id"])
-    return F.when(F.col(tree["dim"]) < F.lit(tree["cut"]), _place(tree["left"])).otherwise(_place(tree["right"]))
+def _inline(rows: DataFrame, names: str, values: list[tuple]) -> DataFrame:
+    """A small table of whole numbers inside the plan."""
+    text = ", ".join("(" + ", ".join(f"{v}L" for v in value) + ")" for value in values)
+    return rows.sparkSession.sql(f"SELECT * FROM VALUES {text} AS t({names})")
+
+
+def _descend(rows: DataFrame, nodes: list[dict], dims: list[str]) -> DataFrame:
+    """Rows whose ``node`` was cut go on to its child; the cuts of one level are a small table."""
+    cuts = _inline(rows, "node, __d, __c, __l, __r", [(n["id"], dims.index(n["dim"]), n["cut"], n["left"]["id"], n["right"]["id"]) for n in nodes])
+    key = F.get(F.array(*[F.col(d) for d in dims]), F.col("__d").cast("int"))
+    to = F.when(F.col("__d").isNull(), F.col("node")).when(key < F.col("__c"), F.col("__l")).otherwise(F.col("__r"))
+    return rows.join(F.broadcast(cuts), "node", "left").withColumn("node", to).drop("__d", "__c", "__l", "__r")
 
 
 def _open_leaves(tree: dict) -> list[dict]:
@@ -64,22 +72,21 @@ def _open_leaves(tree: dict) -> list[dict]:
     return [tree] if tree["leaves"] > 1 else []
 
 
-def _narrow(rows: DataFrame, tree: dict, work: list[tuple[int, str, dict]], dims: list[str], leaf_bytes: float) -> None:
+def _narrow(rows: DataFrame, work: list[tuple[int, str, dict]], dims: list[str], leaf_bytes: float) -> None:
     """Narrow each ``(node, dimension)``'s interval around its goal, a histogram of ``BINS`` sums a round.
 
     The intervals are a small inline table, so the plan and its compiled code stay the same from round to round.
     """
     keys = F.array(*[F.col(d) for d in dims])
-    placed = rows.select("size", keys.alias("k"), _place(tree).alias("node"))
+    placed = rows.select("size", keys.alias("k"), "node")
     for _ in range(ROUNDS):
         work = [(n, d, s) for n, d, s in work if s["hi"] - s["lo"] > 1 and s["rows"] > 1 and s["miss"] > TOLERANCE * leaf_bytes]
         if not work:
             return
         for _, _, s in work:
             s["step"] = -(-(s["hi"] - s["lo"]) // BINS)
-        values = ", ".join(f"({n}, {dims.index(d)}, {s['lo']}L, {s['hi']}L, {s['step']}L)" for n, d, s in work)
-        intervals = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(node, dim, lo, hi, step)")
-        key = F.get("k", "dim")
+        intervals = _inline(rows, "node, dim, lo, hi, step", [(n, dims.index(d), s["lo"], s["hi"], s["step"]) for n, d, s in work])
+        key = F.get("k", F.col("dim").cast("int"))
         inside = placed.join(F.broadcast(intervals), "node").withColumn("key", key).filter("key >= lo AND key < hi")
         sums = inside.groupBy("node", "dim", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()
         found: dict = {}
@@ -101,11 +108,10 @@ def _narrow(rows: DataFrame, tree: dict, work: list[tuple[int, str, dict]], dims
                 s["rows"] = 0
 
 
-def _find_cuts(rows: DataFrame, tree: dict, nodes: list[dict], dims: list[str], leaf_bytes: float) -> None:
+def _find_cuts(rows: DataFrame, nodes: list[dict], dims: list[str], leaf_bytes: float) -> None:
     """Give each open node its dimension and cut: the widest dimension, unless only another can meet the weight."""
-    placed = rows.withColumn("node", _place(tree))
     aggs = [F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")] + [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
-    stats = {r["node"]: r for r in placed.groupBy("node").agg(*aggs).collect()}
+    stats = {r["node"]: r for r in rows.groupBy("node").agg(*aggs).collect()}
     states: dict[int, dict[str, dict]] = {}
     for node in nodes:
         r = stats.get(node["id"])
@@ -115,10 +121,10 @@ def _find_cuts(rows: DataFrame, tree: dict, nodes: list[dict], dims: list[str],
             goal = (r["w"] if r else 0) * (node["leaves"] // 2) / node["leaves"]
             states[node["id"]][d] = {"lo": lo, "hi": hi, "span": (hi - lo) >> 32, "before": 0, "goal": goal, "cut": lo, "miss": goal, "rows": r["n"] if r else 0}
     widest = {n: max(x, key=lambda d: x[d]["span"]) for n, x in states.items()}
-    _narrow(rows, tree, [(n, d, states[n][d]) for n, d in widest.items()], dims, leaf_bytes)
+    _narrow(rows, [(n, d, states[n][d]) for n, d in widest.items()], dims, leaf_bytes)
     poor = [n for n, d in widest.items() if states[n][d]["miss"] > TOLERANCE * leaf_bytes]
     if poor:
-        _narrow(rows, tree, [(n, d, states[n][d]) for n in poor for d in dims if d != widest[n]], dims, leaf_bytes)
+        _narrow(rows, [(n, d, states[n][d]) for n in poor for d in dims if d != widest[n]], dims, leaf_bytes)
     for node in nodes:
         by_width = sorted(states[node["id"]].items(), key=lambda x: -x[1]["span"])
         good = [x for x in by_width if x[1]["miss"] <= TOLERANCE * leaf_bytes]
@@ -129,11 +135,9 @@ def _find_cuts(rows: DataFrame, tree: dict, nodes: list[dict], dims: list[str],
         node["right"] = {"id": 2 * node["id"] + 2, "leaves": m - m // 2}
 
 
-def _number_leaves(tree: dict, at: int = 0) -> int:
-    if "cut" in tree:
-        return _number_leaves(tree["right"], _number_leaves(tree["left"], at))
-    tree["id"] = at
-    return at + 1
+def _leaves(tree: dict) -> list[int]:
+    """Node ids of the leaves from left to right: a leaf's place is its shard."""
+    return _leaves(tree["left"]) + _leaves(tree["right"]) if "cut" in tree else [tree["id"]]
 
 
 def kd_shards(documents: DataFrame, shards: int | None = 24, target_bytes: int | None = None) -> DataFrame:
@@ -147,10 +151,12 @@ def kd_shards(documents: DataFrame, shards: int | None = 24, target_bytes: int |
     if target_bytes:
         shards = max(1, round((total["w"] or 0) / target_bytes))
     tree: dict = {"id": 0, "leaves": shards}
+    rows = rows.withColumn("node", F.lit(0).cast("long"))
     while total["n"] and (nodes := _open_leaves(tree)):
-        _find_cuts(rows, tree, nodes, dims, total["w"] / shards)
-    _number_leaves(tree)
-    placed = rows.select("doc_id", "size", "text_crc32", _place(tree).cast("int").alias("shard"))
+        _find_cuts(rows, nodes, dims, total["w"] / shards)
+        rows = _descend(rows, nodes, dims)
+    numbers = _inline(rows, "node, shard", [(node, k) for k, node in enumerate(_leaves(tree))])
+    placed = rows.join(F.broadcast(numbers), "node").select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
     buckets = bucket_count(total["n"] // shards)
     return rank_in_group(placed, ["shard"], ["doc_id", "text_crc32"], F.xxhash64("doc_id", "text_crc32", F.spark_partition_id()), buckets, "slot")
 
