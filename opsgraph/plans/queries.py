@@ -503,6 +503,116 @@ def ingest_documents(spark, d):
     return n.join(length, "tenant_id").join(spark.read.parquet(f"{path}/postings").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_postings")), "tenant_id")
 
 
+def ingest_rollup(spark, d):
+    x = search.ingest_rollup(_manual_chunks(spark, d))
+    return x.select("tenant_id", "document_id", F.col("chunk_count").cast("long").alias("chunk_count"), F.col("table_count").cast("long").alias("table_count"), F.array_join("error_codes", ",").alias("codes"))
+
+
+def documents_of_tenant(spark, d):
+    return listing.documents_of_tenant(load(spark, d, "manuals"), _manual_chunks(spark, d), "t1").select("id", "title", "chunk_count")
+
+
+def chunks_of_document(spark, d):
+    return listing.chunks_of_document(_manual_chunks(spark, d), "man7").select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_header")
+
+
+def bm25_remove(spark, d):
+    chunks = _manual_chunks(spark, d)
+    postings, lengths = search.bm25_remove(*search.bm25_index(chunks), chunks.filter("is_table").select("tenant_id", F.col("id").alias("chunk_id")))
+    return postings.groupBy("tenant_id").agg(F.count_distinct("chunk_id").alias("n_chunks"), F.sum("tf").cast("long").alias("total_tf")).join(lengths.groupBy("tenant_id").agg(F.sum("len").cast("long").alias("total_length")), "tenant_id")
+
+
+def roles_with_permissions(spark, d):
+    held = access.roles_with_permissions(access.role_permissions(spark))
+    n = load(spark, d, "memberships").groupBy("role").agg(F.count(F.lit(1)).alias("n_members"))
+    return held.join(n, "role").select("role", F.array_join("permissions", ",").alias("permissions"), "n", "n_members")
+
+
+def permissions_by_category(spark, d):
+    used = access.role_permissions(spark).join(load(spark, d, "memberships").select("role").distinct(), "role", "left_semi")
+    return access.permissions_by_category(used)
+
+
+def clean_cells(spark, d):
+    raw = F.concat(F.lit("  '"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "' ").otherwise('"'))
+    return load(spark, d, "part").select("p_partkey", X.clean_cell(raw).alias("cell"))
+
+
+def connected_names(spark, d):
+    x = graph.connected_names(graph.dossier(_roots(spark, d, "WorkOrder"), load(spark, d, "nodes"), load(spark, d, "edges").filter("relation_type <> 'MONITORS'"), AS_OF))
+    return x.select("tenant_id", "root_id", F.get("connected", 0).alias("own"), F.size("connected").cast("long").alias("n"))
+
+
+def incident_or_first(spark, d):
+    i = load(spark, d, "incidents")
+    asked = i.select("tenant_id", F.when(F.col("seq") % 3 == 0, "none").otherwise(F.col("id")).alias("incident_id")).distinct()
+    return reason.incident_or_first(i, asked)
+
+
+def _invites(spark, d):
+    c = load(spark, d, "customer")
+    roles = F.array(*[F.lit(r) for r in ("VIEWER", "OPERATOR", "SUPER_ADMIN", "KING")])
+    return c.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("tenant_id"), F.element_at(roles, (F.col("c_custkey") % 4 + 1).cast("int")).alias("role"), F.lit("ACTIVE").alias("status"), F.lit(2).alias("updated_at"))
+
+
+def upsert_memberships(spark, d):
+    now = load(spark, d, "memberships").withColumn("updated_at", F.lit(1))
+    after, bad = access.upsert_memberships(now, _invites(spark, d))
+    return after.select("user_id", "tenant_id", "role", "status", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("user_id", "tenant_id", "role", "status", "reason"))
+
+
+def upsert_rows(spark, d):
+    parts = load(spark, d, "part").select("p_partkey", "p_name", F.lit(1).alias("version"))
+    changes = parts.filter("p_size % 2 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_partkey") % 3).cast("int").alias("version"))
+    return sinks.upsert(parts, changes, ["p_partkey"], ["version"]).withColumn("version", F.col("version").cast("long"))
+
+
+def delete_tenant(spark, d):
+    rows = load(spark, d, "raw_rows").withColumn("tenant_id", F.when(F.col("row_index") % 7 > 0, F.col("tenant_id")))
+    return sinks.delete_tenant(rows, "t1").select("tenant_id", "row_index")
+
+
+def register_sources(spark, d):
+    s = load(spark, d, "supplier").select(F.concat(F.lit("t"), (F.col("s_suppkey") % 3).cast("string")).alias("tenant_id"), F.col("s_name").alias("name"), F.lit("CSV").alias("kind"), "s_suppkey")
+    empty = s.limit(0).select("tenant_id", "name", "kind", F.lit("").alias("id"), F.lit("").alias("created_at"))
+    first = sinks.register_sources(empty, s.filter("s_suppkey % 2 = 0").drop("s_suppkey"), "2024-01-01")
+    return sinks.register_sources(first, s.drop("s_suppkey"), "2024-01-02").select("tenant_id", "name", "kind", "id", "created_at")
+
+
+def append_partitioned(spark, d):
+    import uuid
+
+    path = f"{graph.shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    rows = load(spark, d, "telemetry").select("tenant_id", "seq", "value")
+    sinks.append_partitioned(rows, path)
+    sinks.append_partitioned(rows.filter("value > 50"), path)
+    return spark.read.parquet(path).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+
+
+def page_checksum(spark, d):
+    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return landed.page_checksum(rows, ["o_orderkey"], 200)
+
+
+def sheet_inventory(spark, d):
+    o = load(spark, d, "orders")
+    pairs = F.array(F.struct(F.lit("key").alias("k"), F.col("o_orderkey").cast("string").alias("v")), F.when(F.col("o_custkey") % 3 > 0, F.struct(F.lit("status").alias("k"), F.col("o_orderstatus").alias("v"))))
+    rows = o.select(F.col("o_orderstatus").alias("file"), F.concat(F.lit("S"), (F.col("o_custkey") % 9).cast("string")).alias("sheet"), (F.col("o_custkey") % 9).alias("sheet_pos"), F.col("o_orderkey").alias("row_index"), F.map_from_entries(F.array_compact(pairs)).alias("payload"))
+    x = landed.sheet_inventory(rows)
+    return x.select("file", "sheet", "sheet_pos", "row_count", F.col("column_count").cast("long").alias("column_count"))
+
+
+def pending_reviews(spark, d):
+    existing, incoming = _part_nodes(spark, d)
+    queue = resolve.review_items(resolve.resolve_entities(existing, incoming), existing).withColumn("created_at", F.lit(NOW))
+    return resolve.pending_reviews(queue, "t1").select("candidate_id", "status")
+
+
+def mark_rolled_back(spark, d):
+    p = _proposals(spark, d)
+    return action.mark_rolled_back(p, p.filter("approval_status = 'APPROVED' AND system_target = 'SCADA'").select("tenant_id", "id")).select("tenant_id", "id", "approval_status")
+
+
 def _streamed(spark, name, rows, run):
     """Land rows as files, run a stream over them to its end and give what it wrote."""
     import uuid
@@ -548,4 +658,5 @@ ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_out
        correlate, breach_flags, rca_evidence, rca_hypotheses, analyze_incidents, evaluate_guardrails, guardrail_verdicts, plan_executions, apply_approvals, verify_feedback, rollback_queue, machine_states, audit_checksums,
        verify_audit_summary, audit_page, access_gate, member_listing, organizations_of_users, role_checks, duplicate_keys, health_counts, token_lengths, term_buckets, list_nodes, find_by_canonical, filter_records, rows_by_tenant,
        latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context, chunk_manuals, search_manuals,
-       rca_evidence_full, analyze_incidents_full, resolve_reasons, apply_resolution, decide_reviews, ingestion_jobs, number_rows, append_edges, ingest_documents, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard]
+       rca_evidence_full, analyze_incidents_full, resolve_reasons, apply_resolution, decide_reviews, ingestion_jobs, number_rows, append_edges, ingest_documents, ingest_rollup, documents_of_tenant, chunks_of_document, bm25_remove, roles_with_permissions, permissions_by_category, clean_cells,
+       connected_names, incident_or_first, upsert_memberships, upsert_rows, delete_tenant, register_sources, append_partitioned, page_checksum, sheet_inventory, pending_reviews, mark_rolled_back, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard]

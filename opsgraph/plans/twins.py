@@ -342,6 +342,32 @@ SELECT tenant_id, id, (tenant_id, source_id) IN (SELECT (tenant_id, id) FROM k)
     "ingest_documents": "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""", d AS (SELECT *, {_CODES} AS codes, {_FORMS('content')} AS forms FROM ck),
 p AS (SELECT DISTINCT tenant_id, document_id, chunk_index, unnest(list_concat(forms, list_transform(codes, lambda x: lower(x)))) AS t FROM d), pn AS (SELECT tenant_id, count(*) AS n FROM p GROUP BY ALL)
 SELECT tenant_id, count(*) AS n_chunks, sum(len(forms))::BIGINT AS total_length, any_value(pn.n) AS n_postings FROM d JOIN pn USING (tenant_id) GROUP BY ALL""",
+    "ingest_rollup": "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""", c AS (SELECT *, {_CODES} AS codes FROM ck)
+SELECT tenant_id, document_id, count(*) AS chunk_count, count(*) FILTER (is_table) AS table_count, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes FROM c GROUP BY ALL""",
+    "documents_of_tenant": "WITH RECURSIVE " + chunks_sql("manuals").strip() + " SELECT m.id, m.title, count(ck.document_id) AS chunk_count FROM manuals m LEFT JOIN ck ON ck.tenant_id = m.tenant_id AND ck.document_id = m.id WHERE m.tenant_id = 't1' GROUP BY ALL",
+    "chunks_of_document": "WITH RECURSIVE " + chunks_sql("manuals").strip() + " SELECT document_id, chunk_index::BIGINT AS chunk_index, section_header FROM ck WHERE document_id = 'man7'",
+    "bm25_remove": "WITH RECURSIVE " + chunks_sql("manuals").strip() + f""", c AS (SELECT *, tenant_id || document_id || '_' || chunk_index AS cid, {_CODES} AS codes, {_FORMS('content')} AS forms FROM ck WHERE NOT is_table),
+t AS (SELECT tenant_id, cid, unnest(forms) AS term, 1 AS w FROM c UNION ALL SELECT tenant_id, cid, lower(unnest(codes)), 5 FROM c), p AS (SELECT tenant_id, count(DISTINCT cid) AS n_chunks, sum(w)::BIGINT AS total_tf FROM t GROUP BY ALL)
+SELECT tenant_id, any_value(n_chunks) AS n_chunks, any_value(total_tf) AS total_tf, sum(len(forms))::BIGINT AS total_length FROM c JOIN p USING (tenant_id) GROUP BY ALL""",
+    "roles_with_permissions": f"""WITH p AS (SELECT role, string_agg(permission, ',' ORDER BY permission) AS permissions, count(*) AS n FROM (VALUES {_MATRIX}) AS t(role, permission) GROUP BY ALL)
+SELECT role, permissions, n, (SELECT count(*) FROM memberships m WHERE m.role = p.role) AS n_members FROM p WHERE role IN (SELECT role FROM memberships)""",
+    "permissions_by_category": f"SELECT split_part(permission, ':', 1) AS category, count(DISTINCT permission) AS n FROM (VALUES {_MATRIX}) AS t(role, permission) WHERE role IN (SELECT role FROM memberships) GROUP BY ALL",
+    "clean_cells": "SELECT p_partkey, trim(p_name) AS cell FROM part",
+    "connected_names": _BOTH.replace("{depth}", "3").replace("FROM edges WHERE", "FROM edges WHERE relation_type <> 'MONITORS' AND").replace("'Line'", "'WorkOrder'") + """, x AS (SELECT m.tenant_id, m.root_id, count(*) FILTER (n.entity_type IN ('Sensor', 'WorkOrder', 'MaintenanceOrder') AND m.node_id <> m.root_id) AS n FROM m JOIN nodes n ON n.tenant_id = m.tenant_id AND n.id = m.node_id GROUP BY ALL)
+SELECT x.tenant_id, x.root_id, o.name AS own, x.n + 1 AS n FROM x JOIN nodes o ON o.tenant_id = x.tenant_id AND o.id = x.root_id""",
+    "incident_or_first": """WITH f AS (SELECT tenant_id, arg_min(id, seq) AS first_id FROM incidents GROUP BY ALL), a AS (SELECT DISTINCT tenant_id, CASE WHEN seq % 3 = 0 THEN 'none' ELSE id END AS incident_id FROM incidents)
+SELECT a.tenant_id, a.incident_id, coalesce(i.id, first_id) AS chosen_id FROM a JOIN f USING (tenant_id) LEFT JOIN incidents i ON i.tenant_id = a.tenant_id AND i.id = a.incident_id""",
+    "upsert_memberships": """WITH i AS (SELECT 'u' || c_custkey AS user_id, 't' || c_nationkey AS tenant_id, ['VIEWER', 'OPERATOR', 'SUPER_ADMIN', 'KING'][c_custkey % 4 + 1] AS role FROM customer), g AS (SELECT * FROM i WHERE role IN ('VIEWER', 'OPERATOR'))
+SELECT user_id, tenant_id, role, status, CAST(NULL AS VARCHAR) AS reason FROM memberships WHERE (user_id, tenant_id) NOT IN (SELECT (user_id, tenant_id) FROM g) UNION ALL SELECT user_id, tenant_id, role, 'ACTIVE', NULL FROM g
+UNION ALL SELECT user_id, tenant_id, role, 'ACTIVE', CASE role WHEN 'SUPER_ADMIN' THEN 'ROLE_NOT_ASSIGNABLE' ELSE 'UNKNOWN_ROLE' END FROM i WHERE role NOT IN ('VIEWER', 'OPERATOR')""",
+    "upsert_rows": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 >= 1 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size % 2 = 0 THEN greatest(1, p_partkey % 3) ELSE 1 END::BIGINT AS version FROM part",
+    "delete_tenant": "SELECT CASE WHEN row_index % 7 > 0 THEN tenant_id END AS tenant_id, row_index FROM raw_rows WHERE (CASE WHEN row_index % 7 > 0 THEN tenant_id END) IS DISTINCT FROM 't1'",
+    "register_sources": "SELECT 't' || (s_suppkey % 3) AS tenant_id, s_name AS name, 'CSV' AS kind, sha256('t' || (s_suppkey % 3) || '|' || s_name) AS id, CASE WHEN s_suppkey % 2 = 0 THEN '2024-01-01' ELSE '2024-01-02' END AS created_at FROM supplier",
+    "append_partitioned": "SELECT tenant_id, count(*) AS n, max(seq) AS last FROM (SELECT tenant_id, seq FROM telemetry UNION ALL SELECT tenant_id, seq FROM telemetry WHERE value > 50) GROUP BY ALL",
+    "page_checksum": """WITH p AS (SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS j FROM orders ORDER BY o_orderkey LIMIT 200) SELECT count(*) AS n, sha256('[' || string_agg(j, ',' ORDER BY o_orderkey) || ']') AS checksum FROM p""",
+    "sheet_inventory": "SELECT o_orderstatus AS file, 'S' || (o_custkey % 9) AS sheet, min(o_custkey % 9) AS sheet_pos, count(*) AS row_count, max(CASE WHEN o_custkey % 3 > 0 THEN 2 ELSE 1 END)::BIGINT AS column_count FROM orders GROUP BY 1, 2",
+    "pending_reviews": "WITH " + _RESOLVE.strip() + " SELECT in_id AS candidate_id, 'PENDING' AS status FROM r WHERE action = 'QUEUED_FOR_REVIEW' AND tenant_id = 't1'",
+    "mark_rolled_back": "SELECT tenant_id, id, CASE WHEN approval_status = 'APPROVED' AND system_target = 'SCADA' THEN 'ROLLED_BACK' ELSE approval_status END AS approval_status FROM proposals",
     "assemble_context": _HYBRID[: _HYBRID.index("SELECT tenant_id, query_id, rank, id AS document_id")].replace("WHERE a.query_id <> 'q5' AND", "WHERE").rstrip() + """,
 hd AS (SELECT chr(10) || '[PHYSICAL ASSET & TOPOLOGY]' || chr(10) || 'Asset: ' || n.n_name || ' (' || n.n_name || ')' || chr(10) || 'Hierarchy: Plant: ' || r_name || ' // Line: ' || (SELECT coalesce(max(o.n_name), 'N/A') FROM nation o WHERE o.n_nationkey = (SELECT max(x.n_nationkey) FROM nation x WHERE x.n_regionkey = n.n_regionkey AND x.n_nationkey <> n.n_nationkey))
   || chr(10) || 'Sensors (0): None' || chr(10) || 'Active Work Orders: None' || chr(10) || 'Maintenance History: None' AS head FROM nation n JOIN region ON n_regionkey = r_regionkey WHERE n.n_nationkey = 0),
