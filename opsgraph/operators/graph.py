@@ -42,6 +42,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_SIDE = 100_000
+
+
+def join_tenant(big: DataFrame, small: DataFrame, key: str, most: int = SMALL_SIDE) -> DataFrame:
+    """Each row of ``big`` with every row of its tenant in ``small``.
+
+    The small side is written and counted: up to ``most`` rows are broadcast.  Beyond, it is
+    repeated for as many slices as there are shuffle partitions and each tenant's rows of ``big``
+    are dealt to these by ``key``, so that no task gets a whole tenant.
+    """
+    small = materialize(small)
+    if small.count() <= most:
+        return big.join(F.broadcast(small), "tenant_id")
+    slices = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = big.withColumn("__slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+    return dealt.join(small.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["tenant_id", "__slice"]).drop("__slice")
+
+
 def active_asof(edges: DataFrame, as_of) -> DataFrame:
     """Edges that hold at a time, both ends included."""
     t = F.lit(as_of).cast("timestamp") if not isinstance(as_of, Column) else as_of

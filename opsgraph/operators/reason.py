@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
+from .graph import join_tenant
 
 KEY = ["tenant_id", "incident_id"]
 WINDOW_SECONDS = 300
@@ -72,7 +73,7 @@ def doc_hits(incidents: DataFrame, chunks: DataFrame, hits: DataFrame | None = N
         met = c.join(asked, KEY)
         return met.filter(F.array_contains("error_codes", F.col("error_code")) | F.contains(F.lower("content"), F.lower("error_code")))
     codes = incidents.select("tenant_id", "error_code").distinct()
-    met = c.join(codes, "tenant_id").filter(F.array_contains("error_codes", F.col("error_code")) | F.contains(F.lower("content"), F.lower("error_code")))
+    met = join_tenant(c, codes, "chunk_id").filter(F.array_contains("error_codes", F.col("error_code")) | F.contains(F.lower("content"), F.lower("error_code")))
     return met.join(incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code"), ["tenant_id", "error_code"])
 
 

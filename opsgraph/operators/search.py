@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from ..functions import numeric as N
 from ..functions.hashing import with_embedding
 from ..functions.text import bm25_tokens, error_codes, table_cells, tech_specs, token_count, trimmed
-from .graph import materialize, neighborhood
+from .graph import join_tenant, materialize, neighborhood
 
 CHUNK_SIZE, OVERLAP = 800, 100
 DEFAULT_SECTION = "General Overview"
@@ -103,7 +103,7 @@ def enrich_chunks(chunks: DataFrame, dictionary: DataFrame | None = None) -> Dat
 def link_mentions(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add ids of ``dictionary(tenant_id, canonical_id)`` that occur in the text, ignoring case."""
     terms = dictionary.select("tenant_id", F.col("canonical_id").alias("__k")).distinct()
-    hits = chunks.select("tenant_id", "id", F.lower("content").alias("__c")).join(terms, "tenant_id").filter(F.contains("__c", F.lower("__k")))
+    hits = join_tenant(chunks.select("tenant_id", "id", F.lower("content").alias("__c")), terms, "id").filter(F.contains("__c", F.lower("__k")))
     hits = hits.groupBy("tenant_id", "id").agg(F.sort_array(F.collect_set("__k")).alias("__l"))
     return chunks.join(hits, ["tenant_id", "id"], "left").withColumn("linked_entity_ids", F.array_union("linked_entity_ids", F.coalesce("__l", F.array().cast("array<string>")))).drop("__l")
 
@@ -111,7 +111,7 @@ def link_mentions(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
 def first_mention(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``tenant_id, id, node_id``: the first node by insertion whose name or canonical id occurs in the text, ignoring case."""
     named = nodes.select("tenant_id", F.col("id").alias("node_id"), "seq", F.explode(F.array(F.lower("name"), F.lower("canonical_id"))).alias("__k")).filter("__k <> ''")
-    hits = texts.select("tenant_id", "id", F.lower("content").alias("__c")).join(named, "tenant_id").filter(F.contains("__c", "__k"))
+    hits = join_tenant(texts.select("tenant_id", "id", F.lower("content").alias("__c")), named, "id").filter(F.contains("__c", "__k"))
     return hits.groupBy("tenant_id", "id").agg(F.min(F.struct("seq", "node_id")).alias("m")).select("tenant_id", "id", "m.node_id")
 
 
@@ -219,7 +219,7 @@ def embed_chunks(chunks: DataFrame) -> DataFrame:
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """``tenant_id, query_id, chunk_id, similarity, rank``: the k nearest with a positive cosine, rounded to three digits before ranking."""
     asked = queries.select("tenant_id", "query_id", F.col("embedding").alias("__q"))
-    pairs = chunks.select("tenant_id", F.col("id").alias("chunk_id"), "chunk_seq", "embedding").join(asked, "tenant_id")
+    pairs = join_tenant(chunks.select("tenant_id", F.col("id").alias("chunk_id"), "chunk_seq", "embedding"), asked, "chunk_id")
     pairs = pairs.withColumn("cos", N.cosine(F.col("__q"), F.col("embedding"))).filter("cos > 0").withColumn("similarity", N.js_round(F.col("cos"), 3))
     order = W.partitionBy("tenant_id", "query_id").orderBy(F.desc("similarity"), "chunk_seq")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("tenant_id", "query_id", "chunk_id", "similarity", "rank", "chunk_seq")
@@ -233,7 +233,7 @@ def graph_channel(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges
     asked = queries.select("tenant_id", "query_id", F.col("target_entity_id").alias("root_id"))
     one = links.join(near, ["tenant_id", "node_id"]).join(asked, ["tenant_id", "root_id"]).select("tenant_id", "query_id", "chunk_id", "chunk_seq", F.lit(1.0).alias("s"))
     linked = nodes.select("tenant_id", F.col("id").alias("node_id"), F.lower("canonical_id").alias("c")).join(links.select("tenant_id", "node_id").distinct(), ["tenant_id", "node_id"], "left_semi")
-    named = linked.join(queries.select("tenant_id", "query_id", F.lower("query").alias("q")), "tenant_id").filter(F.contains("q", "c")).select("tenant_id", "node_id", "query_id")
+    named = join_tenant(linked, queries.select("tenant_id", "query_id", F.lower("query").alias("q")), "node_id").filter(F.contains("q", "c")).select("tenant_id", "node_id", "query_id")
     two = links.join(named, ["tenant_id", "node_id"]).select("tenant_id", "query_id", "chunk_id", "chunk_seq", F.lit(2.0).alias("s"))
     out = one.unionByName(two).groupBy("tenant_id", "query_id", "chunk_id", "chunk_seq").agg(F.sum("s").alias("score"))
     order = W.partitionBy("tenant_id", "query_id").orderBy(F.desc("score"), "chunk_seq")

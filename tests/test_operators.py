@@ -105,6 +105,13 @@ def test_chunks_and_search(spark):
     assert left.count() == 0
 
 
+def test_tenant_join_beyond_the_broadcast(spark):
+    big = spark.range(60).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("tenant_id"), "id")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3)], "tenant_id string, k int")
+    want = sorted(tuple(r) for r in graph.join_tenant(big, small, "id").collect())
+    assert want == sorted(tuple(r) for r in graph.join_tenant(big, small, "id", most=0).collect()) and len(want) == 100
+
+
 def test_embedding_against_md5(spark):
     import math
 
