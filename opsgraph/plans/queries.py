@@ -31,8 +31,7 @@ def bm25_search(spark, d):
 
 
 def _search_nodes(spark, d):
-    nodes = load(spark, d, "nodes").filter("entity_type IN ('Plant', 'Line')")
-    edges = load(spark, d, "edges").filter("relation_type = 'CONTAINS'")
+    nodes, edges = load(spark, d, "nodes"), load(spark, d, "edges")
     tenants = F.explode(F.array(*[F.lit(f"t{i}") for i in range(4)]))
     return nodes.drop("tenant_id").withColumn("tenant_id", tenants), edges.drop("tenant_id").withColumn("tenant_id", tenants)
 

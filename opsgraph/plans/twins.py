@@ -369,8 +369,11 @@ UNION ALL SELECT user_id, tenant_id, role, 'ACTIVE', CASE role WHEN 'SUPER_ADMIN
     "pending_reviews": "WITH " + _RESOLVE.strip() + " SELECT in_id AS candidate_id, 'PENDING' AS status FROM r WHERE action = 'QUEUED_FOR_REVIEW' AND tenant_id = 't1'",
     "mark_rolled_back": "SELECT tenant_id, id, CASE WHEN approval_status = 'APPROVED' AND system_target = 'SCADA' THEN 'ROLLED_BACK' ELSE approval_status END AS approval_status FROM proposals",
     "assemble_context": _HYBRID[: _HYBRID.index("SELECT tenant_id, query_id, rank, id AS document_id")].replace("WHERE a.query_id <> 'q5' AND", "WHERE").rstrip() + """,
+sp AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 0)),
+cu AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 0)),
 hd AS (SELECT chr(10) || '[PHYSICAL ASSET & TOPOLOGY]' || chr(10) || 'Asset: ' || n.n_name || ' (' || n.n_name || ')' || chr(10) || 'Hierarchy: Plant: ' || r_name || ' // Line: ' || (SELECT coalesce(max(o.n_name), 'N/A') FROM nation o WHERE o.n_nationkey = (SELECT max(x.n_nationkey) FROM nation x WHERE x.n_regionkey = n.n_regionkey AND x.n_nationkey <> n.n_nationkey))
-  || chr(10) || 'Sensors (0): None' || chr(10) || 'Active Work Orders: None' || chr(10) || 'Maintenance History: None' AS head FROM nation n JOIN region ON n_regionkey = r_regionkey WHERE n.n_nationkey = 0),
+  || chr(10) || 'Sensors (' || (SELECT count(*) FROM sp) || '): ' || coalesce((SELECT string_agg(s_name, ', ' ORDER BY n_nationkey <> 0, n_nationkey, s_suppkey) FROM sp), 'None')
+  || chr(10) || 'Active Work Orders: ' || coalesce((SELECT string_agg(c_name, ' | ' ORDER BY n_nationkey <> 0, n_nationkey, c_custkey) FROM cu), 'None') || chr(10) || 'Maintenance History: None' AS head FROM nation n JOIN region ON n_regionkey = r_regionkey WHERE n.n_nationkey = 0),
 ln AS (SELECT tenant_id, query_id, rank, chr(10) || '--- Document Source #' || rank || ': ' || title || ' [Type: ' || doc_type || '] ---' || coalesce(chr(10) || 'Content:' || chr(10) || content, '') AS line FROM rk JOIN docs USING (tenant_id, id) WHERE rank <= 5),
 bd AS (SELECT tenant_id, query_id, string_agg(line, chr(10) ORDER BY rank) AS body FROM ln GROUP BY ALL)
 SELECT tenant_id, query_id, 'N0' AS target_entity_id, '=== INDUSTRIAL OPERATIONAL CONTEXT ===' || chr(10) || 'QUERY: ' || query || chr(10) || 'TENANT: ' || tenant_id || chr(10) || 'TIMESTAMP: 2024-01-20 12:00:00' || chr(10) || head || chr(10) || chr(10)
