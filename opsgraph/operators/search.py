@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -21,6 +21,7 @@ from ..functions import numeric as N
 from ..functions.hashing import with_embedding
 from ..functions.text import bm25_tokens, error_codes, table_cells, tech_specs, token_count, trimmed
 from .graph import join_tenant, materialize, neighborhood
+from .ingest import number_rows
 
 CHUNK_SIZE, OVERLAP = 800, 100
 DEFAULT_SECTION = "General Overview"
@@ -155,8 +156,18 @@ def bm25_remove(postings: DataFrame, lengths: DataFrame, chunk_ids: DataFrame) -
     return postings.join(gone, ["tenant_id", "chunk_id"], "left_anti"), lengths.join(gone, ["tenant_id", "chunk_id"], "left_anti")
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """``tenant_id, query_id, chunk_id, score, rank`` of every hit, rounded to two digits before ranking.
+def rank_hits(hits: DataFrame, order: dict[str, Column], top: int | None = None) -> DataFrame:
+    """Add ``rank`` by ascending ``order`` in each query: of the first ``top``, cut before they are shuffled, or of all hits, ranked by ranges so that a query spreads over many tasks."""
+    hits = hits.withColumns({f"__{k}": c for k, c in order.items()})
+    names = [f"__{k}" for k in order]
+    if top is not None:
+        best = W.partitionBy("tenant_id", "query_id").orderBy(*names)
+        return hits.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top).drop(*names)
+    return number_rows(hits, ["tenant_id", "query_id"], names, "rank").drop(*names)
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame] | None = None, top: int | None = None) -> DataFrame:
+    """``tenant_id, query_id, chunk_id, score, rank`` of every hit, or of the first ``top``, rounded to two digits before ranking.
 
     Only postings of query terms leave the index; document frequencies and lengths
     are summed once per tenant.  Ties keep the order of the first query term that
@@ -185,8 +196,8 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, index: tuple[DataFrame, D
 
     every = words.unionByName(boosts(codes, N.CODE_BOOST)).unionByName(boosts(heads, N.SECTION_BOOST)).groupBy("tenant_id", "query_id", "chunk_id").agg(F.sum("score").alias("s"), F.min("first").alias("first"))
     every = every.withColumn("score", N.js_round(F.col("s"), 2)).filter("score > 0").join(chunks.select("tenant_id", F.col("id").alias("chunk_id"), "chunk_seq"), ["tenant_id", "chunk_id"])
-    order = W.partitionBy("tenant_id", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("first"), "chunk_seq")
-    return every.withColumn("rank", F.row_number().over(order)).select("tenant_id", "query_id", "chunk_id", "score", "rank", "chunk_seq")
+    ranked = rank_hits(every, {"score": -F.col("score"), "first": F.coalesce("first", F.lit(1 << 30)), "seq": F.col("chunk_seq")}, top)
+    return ranked.select("tenant_id", "query_id", "chunk_id", "score", "rank", "chunk_seq")
 
 
 def match_reasons(queries: DataFrame, hits: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -236,8 +247,7 @@ def graph_channel(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges
     named = join_tenant(linked, queries.select("tenant_id", "query_id", F.lower("query").alias("q")), "node_id").filter(F.contains("q", "c")).select("tenant_id", "node_id", "query_id")
     two = links.join(named, ["tenant_id", "node_id"]).select("tenant_id", "query_id", "chunk_id", "chunk_seq", F.lit(2.0).alias("s"))
     out = one.unionByName(two).groupBy("tenant_id", "query_id", "chunk_id", "chunk_seq").agg(F.sum("s").alias("score"))
-    order = W.partitionBy("tenant_id", "query_id").orderBy(F.desc("score"), "chunk_seq")
-    return out.withColumn("rank", F.row_number().over(order))
+    return rank_hits(out, {"score": -F.col("score"), "seq": F.col("chunk_seq")})
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = 10, k: int = N.RRF_K, as_of=None, index=None) -> DataFrame:
@@ -250,9 +260,9 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges
     embedded = chunks if "embedding" in chunks.columns else embed_chunks(chunks)
     asked = with_embedding(queries, ["tenant_id", "query_id"], "query")
     none = F.lit(None)
-    b = bm25_search(queries, chunks, index).select("tenant_id", "query_id", "chunk_id", F.col("rank").alias("b"), none.cast("int").alias("v"), none.cast("int").alias("g"), F.col("score").alias("bs"), none.cast("double").alias("vs"), none.cast("double").alias("gs"))
-    v = vector_search(asked, embedded, 30).select("tenant_id", "query_id", "chunk_id", none.cast("int").alias("b"), F.col("rank").alias("v"), none.cast("int").alias("g"), none.cast("double").alias("bs"), F.col("similarity").alias("vs"), none.cast("double").alias("gs"))
-    g = graph_channel(queries, chunks, nodes, edges, as_of).select("tenant_id", "query_id", "chunk_id", none.cast("int").alias("b"), none.cast("int").alias("v"), F.col("rank").alias("g"), none.cast("double").alias("bs"), none.cast("double").alias("vs"), F.col("score").alias("gs"))
+    b = bm25_search(queries, chunks, index).select("tenant_id", "query_id", "chunk_id", F.col("rank").alias("b"), none.cast("long").alias("v"), none.cast("long").alias("g"), F.col("score").alias("bs"), none.cast("double").alias("vs"), none.cast("double").alias("gs"))
+    v = vector_search(asked, embedded, 30).select("tenant_id", "query_id", "chunk_id", none.cast("long").alias("b"), F.col("rank").cast("long").alias("v"), none.cast("long").alias("g"), none.cast("double").alias("bs"), F.col("similarity").alias("vs"), none.cast("double").alias("gs"))
+    g = graph_channel(queries, chunks, nodes, edges, as_of).select("tenant_id", "query_id", "chunk_id", none.cast("long").alias("b"), none.cast("long").alias("v"), F.col("rank").alias("g"), none.cast("double").alias("bs"), none.cast("double").alias("vs"), F.col("score").alias("gs"))
     fused = b.unionByName(v).unionByName(g).groupBy("tenant_id", "query_id", "chunk_id").agg(*[F.max(c).alias(c) for c in ("b", "v", "g", "bs", "vs", "gs")])
     fused = fused.withColumn("rrf_score", N.rrf(F.col("b"), F.col("v"), F.col("g"), k))
     order = W.partitionBy("tenant_id", "query_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("b"), F.asc_nulls_last("v"), F.asc_nulls_last("g"))

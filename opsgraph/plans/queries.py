@@ -26,7 +26,7 @@ def documents_as_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_search(spark, d):
-    hits = search.bm25_search(load(spark, d, "asked"), documents_as_chunks(spark, d)).filter("rank <= 10")
+    hits = search.bm25_search(load(spark, d, "asked"), documents_as_chunks(spark, d), top=10)
     return hits.select("tenant_id", "query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -418,7 +418,7 @@ def chunk_manuals(spark, d):
 def search_manuals(spark, d):
     chunks, asked = _manual_chunks(spark, d), load(spark, d, "asked_manuals")
     index = tuple(graph.materialize(x) for x in search.bm25_index(chunks))
-    hits = graph.materialize(search.bm25_search(asked, chunks, index).filter("rank <= 20"))
+    hits = graph.materialize(search.bm25_search(asked, chunks, index, top=20))
     x = search.match_reasons(asked, hits, chunks, index).join(chunks.select("tenant_id", F.col("id").alias("chunk_id"), "document_id", "chunk_index"), ["tenant_id", "chunk_id"])
     return x.select("tenant_id", "query_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "score", F.col("rank").cast("long").alias("rank"), F.array_join("match_reasons", " | ").alias("reasons"))
 
