@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kd_sharding, licenses, packing, quality, suffix_dedup, superminhash, training_order, url_filter, vector_graph
+from . import ball_codes, decontaminate, kd_sharding, licenses, packing, pii, quality, suffix_dedup, superminhash, training_order, url_filter, vector_graph, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_url_filter": url_filter.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_ball_codes": ball_codes.query,
+    "op12_pii": pii.query,
+    "op13_whitening": whitening.query,
 }
-SQL = {"op9_url_filter": url_filter.SQL}
+SQL = {"op9_url_filter": url_filter.SQL, "op11_ball_codes": ball_codes.SQL}
