@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
-from .graph import join_tenant
+from .mentions import mentions
 
 KEY = ["tenant_id", "incident_id"]
 WINDOW_SECONDS = 300
@@ -72,9 +72,12 @@ def doc_hits(incidents: DataFrame, chunks: DataFrame, hits: DataFrame | None = N
         asked = incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code")
         met = c.join(asked, KEY)
         return met.filter(F.array_contains("error_codes", F.col("error_code")) | F.contains(F.lower("content"), F.lower("error_code")))
-    codes = incidents.select("tenant_id", "error_code").distinct()
-    met = join_tenant(c, codes, "chunk_id").filter(F.array_contains("error_codes", F.col("error_code")) | F.contains(F.lower("content"), F.lower("error_code")))
-    return met.join(incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code"), ["tenant_id", "error_code"])
+    codes = incidents.select("tenant_id", "error_code", F.lower("error_code").alias("term")).filter("error_code IS NOT NULL").distinct()
+    inside = mentions(c.select("tenant_id", "chunk_id", F.lower("content").alias("text")), codes, "chunk_id").join(codes, ["tenant_id", "term"])
+    cited = c.select("tenant_id", "chunk_id", F.explode("error_codes").alias("error_code")).join(codes, ["tenant_id", "error_code"], "left_semi")
+    met = inside.select("tenant_id", "chunk_id", "error_code").unionByName(cited).distinct()
+    asked = incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code")
+    return c.join(met, ["tenant_id", "chunk_id"]).join(asked, ["tenant_id", "error_code"])
 
 
 def build_evidence(incidents: DataFrame, telemetry: DataFrame, document_hits: DataFrame | None = None, work_orders: DataFrame | None = None) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.numeric import js_round
 from ..functions.text import first_truthy, name_similarity, truthy
 from .graph import materialize
 from .ingest import number_rows
+from .names import first_candidates, gram_postings, normal, pairs_above, similarity
 
 MERGE, REVIEW = 0.80, 0.50
 TAGS = ("asset_tag", "serial_number", "order_number")
@@ -38,41 +40,72 @@ def _similarity(a: Column, b: Column) -> Column:
     return F.when(truthy(a).isNotNull() & truthy(b).isNotNull(), name_similarity(a, b))
 
 
+def _best_by_name(pairs: DataFrame, asked: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``tenant_id, kind, x, m, confidence, e_seq, e_id`` of each asked name and model over the ``pairs`` of names given.
+
+    Models only meet where names do.  Of one asked name and one model, only names whose similarity is within
+    a rounding step of the best can give the best confidence, so all others fall away before.
+    """
+    at = ["tenant_id", "kind"]
+    named = pairs.join(kinds.filter("y IS NOT NULL"), [*at, "y"]).groupBy(*at, "x", "l", "sim").agg(F.min("e").alias("e"))
+    top = F.max("sim").over(W.partitionBy(*at, "x", "l"))
+    named = named.withColumn("top", top).filter("sim >= top - 0.021").drop("top")
+    # without a name on either side only the type and the models count
+    bare = kinds.groupBy(*at, "l").agg(F.min("e").alias("e"), F.min(F.when(F.col("y").isNull(), F.col("e"))).alias("e0"))
+    met = asked.filter("x IS NOT NULL").join(named, [*at, "x"]).select(*at, "x", "m", "l", "sim", "e")
+    bare_met = asked.join(bare, at).select(*at, "x", "m", "l", F.lit(None).cast("double").alias("sim"), F.when(F.col("x").isNull(), F.col("e")).otherwise(F.col("e0")).alias("e")).filter("e IS NOT NULL")
+    scored = met.unionByName(bare_met).withColumn("confidence", fuzzy_confidence(F.col("sim"), similarity(F.col("m"), F.col("l"))))
+    best = scored.groupBy(*at, "x", "m").agg(F.max(F.struct("confidence", (-F.col("e.e_seq")).alias("s"), "e.e_id")).alias("b"))
+    return best.select(*at, "x", "m", "b.confidence", (-F.col("b.s")).alias("e_seq"), "b.e_id")
+
+
+def best_names(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``tenant_id, kind, x, m, confidence, e_seq, e_id``: the best node of each distinct name and model that reaches ``REVIEW``.
+
+    ``existing(tenant_id, kind, y, l, e_seq, e_id)`` and ``incoming(tenant_id, kind, x, m)`` hold normal names and models.
+    A first look at the rarest grams gives each name a confidence that it surely reaches; a name whose similarity
+    is too low to reach that with an equal model can't be the best.  The second search therefore
+    meets only what is as similar as that, by the gram index, and is exact.
+    """
+    at = ["tenant_id", "kind"]
+    kinds = materialize(existing.groupBy(*at, "y", "l").agg(F.min(F.struct("e_seq", "e_id")).alias("e")))
+    asked = materialize(incoming.distinct())
+    names = kinds.filter("y IS NOT NULL").select(*at, "y").distinct()
+    postings = materialize(gram_postings(names, at, "y"))
+    sizes = postings.groupBy(*at, "gram").agg(F.count(F.lit(1)).alias("df"))
+    first = first_candidates(asked.filter("x IS NOT NULL").select(*at, "x").distinct(), postings, sizes, at)
+    seen = _best_by_name(first, asked, kinds).select(*at, "x", "m", F.col("confidence").alias("c"))
+    sure = asked.filter("x IS NOT NULL").join(seen.withColumnsRenamed({"x": "__x", "m": "__m", "tenant_id": "__t", "kind": "__k"}),
+        (F.col("tenant_id") == F.col("__t")) & (F.col("kind") == F.col("__k")) & (F.col("x") == F.col("__x")) & F.col("m").eqNullSafe(F.col("__m")), "left")
+    c = F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(REVIEW)) - 0.0051
+    least = F.when(F.col("m").isNotNull(), (c - 0.5) / 0.5).otherwise((c * 0.8 - 0.3) / 0.5)
+    wanted = materialize(sure.groupBy(*at, "x").agg(F.min(F.least(least, F.lit(1.0))).alias("least")))
+    pairs = materialize(pairs_above(wanted, names, postings, sizes, at))
+    return _best_by_name(pairs, asked, kinds)
+
+
 def match_candidates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Each incoming row's best existing node: ``tenant_id, in_id, e_id, confidence, rule``; rows without any are absent.
+    """Each incoming row's best existing node: ``tenant_id, in_id, e_id, confidence, rule``.
 
-    Exact keys are equi joins and settle their rows at 1.0 before names are
-    compared.  The rest meets the distinct ``(name, model)`` pairs of its tenant
-    and type once, not every node, and pairs whose lengths cannot reach the review
-    threshold are dropped before the distance is computed.
+    Exact keys are equi joins.  A row without one gets the best of the names of its tenant and type by
+    ``best_names``; rows whose best is below the review threshold may be absent or come with less than that.
     """
-    e, i = _prepared(existing, "e_"), _prepared(incoming, "i_")
+    return _match(materialize(_prepared(existing, "e_")), materialize(_prepared(incoming, "i_")))
+
+
+def _match(e: DataFrame, i: DataFrame) -> DataFrame:
     exact = i.join(e.select("tenant_id", F.col("e_canon").alias("i_canon"), "e_id", "e_seq"), ["tenant_id", "i_canon"])
     exact = exact.select("tenant_id", "i_in_id", "e_id", "e_seq", F.lit(1.0).alias("confidence"), F.lit(1).alias("rule"))
     open_ = i.join(exact.select("tenant_id", "i_in_id").distinct(), ["tenant_id", "i_in_id"], "left_anti")
     tagged = open_.join(e.select("tenant_id", F.col("e_tag").alias("i_tag"), "e_id", "e_seq"), ["tenant_id", "i_tag"])
     tagged = tagged.select("tenant_id", "i_in_id", "e_id", "e_seq", F.lit(0.98).alias("confidence"), F.lit(2).alias("rule"))
     # a tagged row still meets the names: only a full match beats 0.98
-    # names are compared once per distinct pair of a tenant and type, models likewise; nodes only add up per similarity
-    at = ["tenant_id", "e_entity_type"]
-    kinds = e.groupBy(*at, "e_name", "e_model").agg(F.min(F.struct("e_seq", "e_id")).alias("e"))
-    asked = open_.select("tenant_id", F.col("i_entity_type").alias("e_entity_type"), "i_name", "i_model").distinct()
-    x, y = F.length(F.trim("i_name")), F.length(F.trim("e_name"))
-    bound = F.when((x > 0) & (y > 0), F.least(x, y) / F.greatest(x, y)).otherwise(1.0)
-    reach = F.greatest((F.lit(0.3) + bound * 0.5) / 0.8, F.lit(0.5) + bound * 0.5) >= REVIEW - 0.006
-    names = asked.select(*at, "i_name").distinct().join(kinds.select(*at, "e_name").distinct(), at).filter(reach)
-    names = names.withColumn("name_sim", _similarity(F.col("i_name"), F.col("e_name")))
-    alike = names.alias("n").join(kinds.alias("k"), (F.col("n.tenant_id") == F.col("k.tenant_id")) & (F.col("n.e_entity_type") == F.col("k.e_entity_type")) & F.col("n.e_name").eqNullSafe(F.col("k.e_name")))
-    alike = alike.select("n.tenant_id", "n.e_entity_type", "n.i_name", "k.e_model", "n.name_sim", "k.e").groupBy(*at, "i_name", "e_model", "name_sim").agg(F.min("e").alias("e"))
-    models = asked.select(*at, "i_model").distinct().join(kinds.select(*at, "e_model").distinct(), at).withColumn("model_sim", _similarity(F.col("i_model"), F.col("e_model")))
-    met = asked.alias("q").join(alike.alias("k"), (F.col("q.tenant_id") == F.col("k.tenant_id")) & (F.col("q.e_entity_type") == F.col("k.e_entity_type")) & F.col("q.i_name").eqNullSafe(F.col("k.i_name"))).select(
-        "q.tenant_id", "q.e_entity_type", "q.i_name", "q.i_model", "k.e_model", "k.name_sim", "k.e.e_id", "k.e.e_seq")
-    pairs = met.alias("p").join(models.alias("m"), (F.col("p.tenant_id") == F.col("m.tenant_id")) & (F.col("p.e_entity_type") == F.col("m.e_entity_type")) & F.col("p.i_model").eqNullSafe(F.col("m.i_model")) & F.col("p.e_model").eqNullSafe(F.col("m.e_model"))).select("p.*", "m.model_sim")
-    pairs = pairs.withColumn("confidence", fuzzy_confidence(F.col("name_sim"), F.col("model_sim"))).filter("confidence > 0")
-    best = pairs.groupBy(*at, "i_name", "i_model").agg(F.max(F.struct("confidence", (-F.col("e_seq")).alias("s"), "e_id")).alias("b"))
-    best = best.select(*at, "i_name", "i_model", F.struct(F.col("b.e_id"), (-F.col("b.s")).alias("e_seq"), F.col("b.confidence")).alias("b"))
-    fuzzy = open_.alias("o").join(best.alias("b"), (F.col("o.tenant_id") == F.col("b.tenant_id")) & (F.col("i_entity_type") == F.col("e_entity_type")) & F.col("o.i_name").eqNullSafe(F.col("b.i_name")) & F.col("o.i_model").eqNullSafe(F.col("b.i_model")))
-    fuzzy = fuzzy.select("o.tenant_id", "i_in_id", "b.b.e_id", "b.b.e_seq", "b.b.confidence", F.lit(3).alias("rule"))
+    open_ = (open_.select("tenant_id", "i_in_id", F.col("i_entity_type").alias("kind"), normal(F.col("i_name")).alias("x"), normal(F.col("i_model")).alias("m")))
+    nodes = e.select("tenant_id", F.col("e_entity_type").alias("kind"), normal(F.col("e_name")).alias("y"), normal(F.col("e_model")).alias("l"), "e_seq", "e_id")
+    best = best_names(nodes, open_.select("tenant_id", "kind", "x", "m"))
+    o, b = open_.alias("o"), best.alias("b")
+    fuzzy = o.join(b, (F.col("o.tenant_id") == F.col("b.tenant_id")) & (F.col("o.kind") == F.col("b.kind")) & F.col("o.x").eqNullSafe(F.col("b.x")) & F.col("o.m").eqNullSafe(F.col("b.m")))
+    fuzzy = fuzzy.select("o.tenant_id", "i_in_id", "b.e_id", "b.e_seq", "b.confidence", F.lit(3).alias("rule"))
     # a node counts by the first rule that it meets
     every = exact.unionByName(tagged).unionByName(fuzzy).groupBy("tenant_id", "i_in_id", "e_id").agg(F.min_by(F.struct("e_seq", "confidence", "rule"), "rule").alias("r"))
     every = every.select("tenant_id", "i_in_id", "e_id", "r.*")
@@ -82,7 +115,10 @@ def match_candidates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def match_reasons(best: DataFrame, existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add ``match_reasons`` to ``best(tenant_id, in_id, e_id, rule, ...)``: what spoke for the chosen node, in the order of the rules."""
-    e, i = _prepared(existing, "e_"), _prepared(incoming, "i_")
+    return _reasons(best, _prepared(existing, "e_"), _prepared(incoming, "i_"))
+
+
+def _reasons(best: DataFrame, e: DataFrame, i: DataFrame) -> DataFrame:
     pair = best.join(e.withColumnRenamed("e_id", "__e"), (best["tenant_id"] == e["tenant_id"]) & (best["e_id"] == F.col("__e"))).drop(e["tenant_id"])
     pair = pair.join(i.withColumnRenamed("tenant_id", "__t"), (F.col("tenant_id") == F.col("__t")) & (F.col("in_id") == F.col("i_in_id")))
     name, model = _similarity(F.col("i_name"), F.col("e_name")), _similarity(F.col("i_model"), F.col("e_model"))
@@ -100,7 +136,8 @@ def match_reasons(best: DataFrame, existing: DataFrame, incoming: DataFrame) ->
 
 def resolve_entities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add to each incoming row ``action`` (MERGED_AUTOMATIC, QUEUED_FOR_REVIEW, CREATED_NEW), ``matched_id``, ``confidence`` and ``match_reasons``."""
-    best = match_reasons(materialize(match_candidates(existing, incoming)), existing, incoming)
+    e, i = materialize(_prepared(existing, "e_")), materialize(_prepared(incoming, "i_"))
+    best = materialize(_reasons(materialize(_match(e, i)), e, i))
     c = F.coalesce("confidence", F.lit(0.0))
     action = F.when(c >= MERGE, "MERGED_AUTOMATIC").when(c >= REVIEW, "QUEUED_FOR_REVIEW").otherwise("CREATED_NEW")
     out = incoming.join(best, ["tenant_id", "in_id"], "left").withColumn("action", action)

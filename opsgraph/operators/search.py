@@ -22,6 +22,8 @@ from ..functions.hashing import with_embedding
 from ..functions.text import bm25_tokens, error_codes, table_cells, tech_specs, token_count, trimmed
 from .graph import join_tenant, materialize, neighborhood
 from .ingest import number_rows
+from .mentions import mentions
+from .nearest import nearest
 
 CHUNK_SIZE, OVERLAP = 800, 100
 DEFAULT_SECTION = "General Overview"
@@ -103,17 +105,18 @@ def enrich_chunks(chunks: DataFrame, dictionary: DataFrame | None = None) -> Dat
 
 def link_mentions(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add ids of ``dictionary(tenant_id, canonical_id)`` that occur in the text, ignoring case."""
-    terms = dictionary.select("tenant_id", F.col("canonical_id").alias("__k")).distinct()
-    hits = join_tenant(chunks.select("tenant_id", "id", F.lower("content").alias("__c")), terms, "id").filter(F.contains("__c", F.lower("__k")))
+    terms = dictionary.select("tenant_id", F.col("canonical_id").alias("__k"), F.lower("canonical_id").alias("term")).distinct()
+    hits = mentions(chunks.select("tenant_id", "id", F.lower("content").alias("text")), terms).join(terms, ["tenant_id", "term"])
     hits = hits.groupBy("tenant_id", "id").agg(F.sort_array(F.collect_set("__k")).alias("__l"))
     return chunks.join(hits, ["tenant_id", "id"], "left").withColumn("linked_entity_ids", F.array_union("linked_entity_ids", F.coalesce("__l", F.array().cast("array<string>")))).drop("__l")
 
 
 def first_mention(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``tenant_id, id, node_id``: the first node by insertion whose name or canonical id occurs in the text, ignoring case."""
-    named = nodes.select("tenant_id", F.col("id").alias("node_id"), "seq", F.explode(F.array(F.lower("name"), F.lower("canonical_id"))).alias("__k")).filter("__k <> ''")
-    hits = join_tenant(texts.select("tenant_id", "id", F.lower("content").alias("__c")), named, "id").filter(F.contains("__c", "__k"))
-    return hits.groupBy("tenant_id", "id").agg(F.min(F.struct("seq", "node_id")).alias("m")).select("tenant_id", "id", "m.node_id")
+    named = nodes.select("tenant_id", F.struct("seq", F.col("id").alias("node_id")).alias("m"), F.explode(F.array(F.lower("name"), F.lower("canonical_id"))).alias("term")).filter("term <> ''")
+    named = materialize(named.groupBy("tenant_id", "term").agg(F.min("m").alias("m")))
+    hits = mentions(texts.select("tenant_id", "id", F.lower("content").alias("text")), named).join(named, ["tenant_id", "term"])
+    return hits.groupBy("tenant_id", "id").agg(F.min("m").alias("m")).select("tenant_id", "id", "m.node_id")
 
 
 def document_structure(documents: DataFrame) -> DataFrame:
@@ -229,11 +232,11 @@ def embed_chunks(chunks: DataFrame) -> DataFrame:
 
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """``tenant_id, query_id, chunk_id, similarity, rank``: the k nearest with a positive cosine, rounded to three digits before ranking."""
-    asked = queries.select("tenant_id", "query_id", F.col("embedding").alias("__q"))
-    pairs = join_tenant(chunks.select("tenant_id", F.col("id").alias("chunk_id"), "chunk_seq", "embedding"), asked, "chunk_id")
-    pairs = pairs.withColumn("cos", N.cosine(F.col("__q"), F.col("embedding"))).filter("cos > 0").withColumn("similarity", N.js_round(F.col("cos"), 3))
-    order = W.partitionBy("tenant_id", "query_id").orderBy(F.desc("similarity"), "chunk_seq")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("tenant_id", "query_id", "chunk_id", "similarity", "rank", "chunk_seq")
+    parts = [f.name for f in chunks.schema["chunk_seq"].dataType.fields]
+    place = F.array(*[F.col(f"chunk_seq.{p}").cast("long") for p in parts])
+    found = nearest(queries, chunks.select("tenant_id", F.col("id").alias("chunk_id"), place.alias("place"), "embedding"), k)
+    seq = F.struct(*[F.col("place")[i].alias(p) for i, p in enumerate(parts)])
+    return found.select("tenant_id", "query_id", "chunk_id", "similarity", "rank", seq.alias("chunk_seq"))
 
 
 def graph_channel(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, as_of=None) -> DataFrame:
