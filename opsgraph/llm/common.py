@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,6 +42,11 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """A hash of a document's id and text: rows of one id with other texts have other keys."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
     """Buckets so that each holds about ``per_bucket`` rows."""
     return max(1, -(-rows // per_bucket))

@@ -34,8 +34,7 @@ travel to the tasks and thin the documents' windows before the join; beyond that
 window is joined by shuffle.  Both ways give the same rows.
 
 Defined cases: null, empty and blank texts have no windows; rows with a null doc_id or
-item_id are judged like others and come out under the null id (``clean`` keeps documents
-without id); other values in windows without enough literals are not recognised; repeated
+item_id are judged like others and come out under the null id; other values in windows without enough literals are not recognised; repeated
 documents are judged as one and so are repeated items; very long texts are read whole;
 empty tables give no rows; other columns are ignored.
 """
@@ -51,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_key, table
 from .textops import _WEIGHTS, LOWER, chunks, mix, prefix_sums, span_hash, word_spans
 
 WINDOW = 10
@@ -262,9 +261,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_B
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a contaminated row, unchanged."""
-    bad = leaks(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The documents without contaminated rows, unchanged; rows of one doc_id with other texts are judged apart."""
+    bad = leaks(documents.select(row_key().alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return documents.join(bad, row_key() == F.col("__bad"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

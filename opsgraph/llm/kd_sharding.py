@@ -5,17 +5,18 @@ leaf holds its share of the bytes (law ``bytes``).  A node that still has to
 give m leaves is cut at the weight quantile floor(m/2)/m along its widest
 dimension; a dimension whose cut would miss that weight by more than
 ``TOLERANCE`` of a leaf yields to the next widest.  Dimensions are the
-logarithm of the size, language, source and id; each is scaled to 30 bits, and
-a 32-bit hash of the row breaks ties, so a hot language, source or group of
-copies can be cut anywhere.
+logarithm of the size, language, source and id, each measured in a unit of its
+own (``UNITS``), so that widths can be compared.  A 32-bit hash of the row and of
+its place in the written table breaks ties, so a hot language, source, group of
+copies or row that is repeated many times can be cut anywhere.
 
 Only DataFrame operations run on the executors.  The cuts of a level are a small table
-that the rows meet in a broadcast join; the driver sees at most ``BINS`` sums per node
-and round, whatever the table's size.
+that the rows meet in a broadcast join, and the rows with their nodes are written once a level; the
+driver sees at most ``MAX_SUMS`` sums a round, whatever the table's size and the number of shards.
 
 Defined cases: a null text has size 8 and crc32 0; a null lang, source or doc_id takes
-the lowest value of its dimension, and the row's doc_id stays null; repeated rows are placed one by one; an
-empty table gives no rows; other columns are ignored.
+the lowest value of its dimension, and the row's doc_id stays null; repeated rows are placed one by one, each
+with a tie of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,30 +27,33 @@ from pyspark.sql import functions as F
 from .common import bucket_count, materialize, rank_in_group, table
 
 BINS = 1024
-ROUNDS = 7
+MAX_SUMS = 1 << 20
 TOLERANCE = 0.002
-_SCALE = 1 << 30
+# One unit of width: a doubling of the size, an eighth of the languages or sources, a million ids.
+UNITS = {"k_bytes": 1.0, "k_lang": float(1 << 17), "k_source": float(1 << 17), "k_id": float(1 << 20)}
+_MOST, _STEPS = 64, 1 << 24  # a key holds 64 units (longer dimensions have longer units) of 2 ** 24 steps
 
 
-def _scaled(value: Column, low, high) -> Column:
-    span = max(float(high or 0) - float(low or 0), 1e-9)
-    return F.coalesce(F.floor((value.cast("double") - F.lit(float(low or 0))) / F.lit(span) * F.lit(float(_SCALE - 1))), F.lit(0))
+def _scaled(value: Column, low, high, unit: float) -> Column:
+    unit = max(unit, (float(high or 0) - float(low or 0)) / (_MOST - 1))
+    return F.coalesce(F.floor((value.cast("double") - F.lit(float(low or 0))) / F.lit(unit) * F.lit(float(_STEPS))), F.lit(0))
 
 
 def _keyed_rows(documents: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``doc_id, size, text_crc32`` and one 62-bit sort key per dimension."""
+    """``doc_id, size, text_crc32``, the row's ``place`` and one 62-bit sort key per dimension."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialize(documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 20)) + 1).cast("long").alias(c) for c in ("lang", "source")],
+        F.monotonically_increasing_id().alias("place"),  # frozen, as the rows are written here
     ), "kd-rows")
     dims = {"k_bytes": F.log2("size"), "k_lang": F.col("lang"), "k_source": F.col("source"), "k_id": F.col("doc_id")}
     edges = rows.agg(*[f(c).alias(f"{f.__name__}_{n}") for n, c in dims.items() for f in (F.min, F.max)]).first()
-    tie = F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(1 << 32))
-    keys = [(_scaled(c, edges[f"min_{n}"], edges[f"max_{n}"]).cast("long") * F.lit(1 << 32) + tie).alias(n) for n, c in dims.items()]
-    return rows.select("doc_id", "size", "text_crc32", *keys), list(dims)
+    tie = F.pmod(F.xxhash64("text_crc32", "doc_id", "place"), F.lit(1 << 32))
+    keys = [(_scaled(c, edges[f"min_{n}"], edges[f"max_{n}"], UNITS[n]).cast("long") * F.lit(1 << 32) + tie).alias(n) for n, c in dims.items()]
+    return rows.select("doc_id", "size", "text_crc32", "place", *keys), list(dims)
 
 
 def _inline(rows: DataFrame, names: str, values: list[tuple]) -> DataFrame:
@@ -73,18 +77,20 @@ def _open_leaves(tree: dict) -> list[dict]:
 
 
 def _narrow(rows: DataFrame, work: list[tuple[int, str, dict]], dims: list[str], leaf_bytes: float) -> None:
-    """Narrow each ``(node, dimension)``'s interval around its goal, a histogram of ``BINS`` sums a round.
+    """Narrow each ``(node, dimension)``'s interval around its goal, a histogram of at most ``BINS`` sums each a round.
 
     The intervals are a small inline table, so the plan and its compiled code stay the same from round to round.
+    With many intervals each gets fewer sums and more rounds, and beyond ``MAX_SUMS`` / 4 they take turns.
     """
+    for i in range(MAX_SUMS // 4, len(work), MAX_SUMS // 4):
+        _narrow(rows, work[i : i + MAX_SUMS // 4], dims, leaf_bytes)
+    work = work[: MAX_SUMS // 4]
     keys = F.array(*[F.col(d) for d in dims])
     placed = rows.select("size", keys.alias("k"), "node")
-    for _ in range(ROUNDS):
-        work = [(n, d, s) for n, d, s in work if s["hi"] - s["lo"] > 1 and s["rows"] > 1 and s["miss"] > TOLERANCE * leaf_bytes]
-        if not work:
-            return
+    while work := [(n, d, s) for n, d, s in work if s["hi"] - s["lo"] > 1 and s["rows"] > 1 and s["miss"] > TOLERANCE * leaf_bytes]:
+        bins = min(BINS, MAX_SUMS // len(work))
         for _, _, s in work:
-            s["step"] = -(-(s["hi"] - s["lo"]) // BINS)
+            s["step"] = -(-(s["hi"] - s["lo"]) // bins)
         intervals = _inline(rows, "node, dim, lo, hi, step", [(n, dims.index(d), s["lo"], s["hi"], s["step"]) for n, d, s in work])
         key = F.get("k", F.col("dim").cast("int"))
         inside = placed.join(F.broadcast(intervals), "node").withColumn("key", key).filter("key >= lo AND key < hi")
@@ -154,11 +160,11 @@ def kd_shards(documents: DataFrame, shards: int | None = 24, target_bytes: int |
     rows = rows.withColumn("node", F.lit(0).cast("long"))
     while total["n"] and (nodes := _open_leaves(tree)):
         _find_cuts(rows, nodes, dims, total["w"] / shards)
-        rows = _descend(rows, nodes, dims)
+        rows = materialize(_descend(rows, nodes, dims), "kd-level")
     numbers = _inline(rows, "node, shard", [(node, k) for k, node in enumerate(_leaves(tree))])
-    placed = rows.join(F.broadcast(numbers), "node").select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
+    placed = rows.join(F.broadcast(numbers), "node").select("doc_id", "size", "text_crc32", "place", F.col("shard").cast("int").alias("shard"))
     buckets = bucket_count(total["n"] // shards)
-    return rank_in_group(placed, ["shard"], ["doc_id", "text_crc32"], F.xxhash64("doc_id", "text_crc32", F.spark_partition_id()), buckets, "slot")
+    return rank_in_group(placed, ["shard"], ["doc_id", "text_crc32", "place"], F.xxhash64("doc_id", "text_crc32", "place"), buckets, "slot").drop("place")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_key, table
 from .textops import chunks, prefix_sums, span_hash, word_spans
 
 FEATURES = 192
@@ -94,16 +94,16 @@ def _statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def statistics(documents: DataFrame) -> DataFrame:
-    """``doc_id, stats array<float>`` of every row, from the whole text."""
+    """``doc_id, row_key, stats array<float>`` of every row, from the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in chunks(batch.column(1)):
+            for i, j, buf, off in chunks(batch.column(2)):
                 stats = _statistics(buf, off).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * len(NAMES), pa.int32()), pa.array(stats.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["doc_id", "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["doc_id", "row_key", "stats"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<float>")
+    return documents.select(F.col("doc_id").cast("long"), row_key(), "text").mapInArrow(run, "doc_id long, row_key long, stats array<float>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -201,13 +201,14 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score, predicted`` of every row of statistics."""
+    """``doc_id, row_key, score, predicted`` of every row of statistics."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            s = model.score(_matrix(batch.column(2))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "row_key", "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.select("doc_id", "row_key", "stats").mapInArrow(run, "doc_id long, row_key long, score double, predicted int")
 
 
 def held_out(doc_id):
@@ -216,10 +217,16 @@ def held_out(doc_id):
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted``; learns only from rows that are not held out."""
+    """``doc_id, held_out, score, predicted, row_key``; learns only from rows that are not held out."""
     stats = materialize(statistics(documents), "statistics")
     model = fit(stats, labels.filter(~held_out(F.col("doc_id"))))
-    return score(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "row_key")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that are predicted 1, unchanged; rows of one doc_id with other texts are judged apart."""
+    poor = classify(documents, labels).filter("predicted = 0").select(F.col("row_key").alias("__poor")).distinct()
+    return documents.join(poor, row_key() == F.col("__poor"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

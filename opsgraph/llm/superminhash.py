@@ -16,7 +16,8 @@ a pair at similarity 0.75 shares no bucket with probability 5e-6, at 0.8 with 5e
 
 Defined cases: documents without words (null, empty, blank) have an empty set
 and link with nothing; so does a row with a null doc_id, whose component is null and
-which is kept; repeated rows and equal texts group under the smallest id;
+which is kept; repeated rows and equal texts group under the smallest id; rows of one doc_id with
+other texts are documents of their own, each linked by its own text (``stays`` tells which row represents a group);
 very long texts are processed whole; an empty table gives no rows; other columns
 are ignored.
 """
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_key, table
 from .linking import link_buckets, with_component
 from .textops import chunks, distinct_shingles, mix, smallest_labels
 
@@ -79,12 +80,12 @@ def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b`` (a 128-bit hash of the set) and ``bands`` (empty for empty sets)."""
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+    """``doc_id, row_key, n_shingles, set_a, set_b`` (a 128-bit hash of the set) and ``bands`` (empty for empty sets)."""
+    schema = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in chunks(batch.column(1)):
+            for i, j, buf, off in chunks(batch.column(2)):
                 h, d = distinct_shingles(buf, off, SHINGLE)
                 n = j - i
                 count = np.bincount(d, minlength=n)
@@ -99,10 +100,10 @@ def sketch(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
                     pa.array(np.concatenate([[0], np.cumsum(np.where(count > 0, bands, 0))]), type=pa.int32()),
                     pa.array(keys[count > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists],
+                    names=["doc_id", "row_key", "n_shingles", "set_a", "set_b", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long"), row_key(), "text").mapInArrow(run, schema)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -149,10 +150,10 @@ def _incidence(h: np.ndarray, d: np.ndarray, n: int, vocabulary: np.ndarray) ->
 def intersections(hq: np.ndarray, dq: np.ndarray, nq: int, hm: np.ndarray, dm: np.ndarray, nm: int, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of nq sets with nm sets, by products of incidence matrices of bounded width."""
     both = np.intersect1d(hq, hm)
-    total = np.zeros((nq, nm), np.float32)
-    for i in range(0, len(both), width):
+    total = np.zeros((nq, nm), np.int64)
+    for i in range(0, len(both), width):  # a product's sums are at most the width, so single floats hold them exactly
         part = both[i : i + width]
-        total += _incidence(hq, dq, nq, part) @ _incidence(hm, dm, nm, part).T
+        total += (_incidence(hq, dq, nq, part) @ _incidence(hm, dm, nm, part).T).astype(np.int64)
     return total
 
 
@@ -192,21 +193,41 @@ def confirm_blocks(groups: DataFrame, texts: DataFrame, percent: int = PERCENT,
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``documents``."""
+    """``doc_id, n_shingles, component_id, kept, row_key, stays`` per row of ``documents``.
+
+    ``stays`` marks the rows of one text in each component: of its smallest doc_id the one with the least key.
+    """
     base = materialize(sketch(documents), "sketch")
     full = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = firsts.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("doc_id").alias("id")).distinct()
+    sets = ["set_a", "set_b", "n_shingles"]
+    # a class of equal sets is one vertex, numbered as it is written; one of its texts stands for it
+    first = full.groupBy(*sets).agg(F.min(F.struct("doc_id", "row_key")).alias("rep"))
+    classes = materialize(first.select(*sets, "rep", F.monotonically_increasing_id().alias("id")), "classes")
+    reps = classes.select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.row_key").alias("row_key"))
+    members = full.join(reps, ["doc_id", "row_key"]).select(F.explode(F.array_distinct("bands")).alias("key"), "id").distinct()
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = materialize(members.join(sizes, "key"), "buckets")
-    needed = members.select("id").distinct()
-    texts = materialize(documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    needed = reps.join(members.select("id").distinct(), "id", "left_semi")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").join(needed, ["doc_id", "row_key"])
+    texts = materialize(texts.select("id", "text").dropDuplicates(["id"]), "texts")
     _, found = link_buckets(members, lambda pairs: confirm(pairs, texts, percent), lambda groups: confirm_blocks(groups, texts, percent))
-    placed = with_component(classes.withColumnRenamed("rep", "id"), found).select("set_a", "set_b", "n_shingles", "comp")
-    grouped = full.join(placed, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
-    empty = base.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = found.join(classes.select("id", "rep"), "id").groupBy("comp").agg(F.min("rep").alias("head"))
+    found = found.join(heads, "comp").select("id", "head")
+    placed = classes.join(found, "id", "left").select(*sets, F.coalesce("head", "rep").alias("head"))
+    grouped = full.join(placed, sets).select("doc_id", "n_shingles", "row_key", F.col("head.doc_id").alias("component_id"), (F.col("head.doc_id") == F.col("doc_id")).alias("kept"), (F.col("head.row_key") == F.col("row_key")).alias("stays"))
+    empty = base.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "row_key", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays"))
+    return grouped.unionByName(empty).select("doc_id", "n_shingles", "component_id", "kept", "row_key", "stays")
+
+
+def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, and all rows without words or id; columns as given."""
+    judged = materialize(near_duplicates(documents, percent).select("row_key", "stays", (F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).alias("worded")), "judged")
+    repeated = judged.filter("stays AND worded").groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("__key"))
+    settled = materialize(judged.filter("NOT stays").select(F.col("row_key").alias("__key")).distinct().withColumn("__again", F.lit(False)).unionByName(repeated.withColumn("__again", F.lit(True))), "settled")
+    keyed = documents.withColumn("__row", row_key())
+    alone = keyed.join(settled, F.col("__row") == F.col("__key"), "left_anti")
+    once = keyed.join(settled.filter("__again"), F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"])
+    return alone.unionByName(once).drop("__row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ that sort them and write each shard as one file of records of one size:
 
 so record r of a shard begins at byte r * stride and can be read, mapped or resumed
 from there without reading what lies before.  ``read_shards`` does so; whole shards
-before the first wanted slot are not opened.
+before the first wanted slot are not opened.  A manifest beside the shards tells a later job what
+it must know (``Shards.load``).  Each shard is one file, whatever the session's settings; a reader
+that meets a file of another length, or several for a shard, or misses one, fails.
 
 An id takes one, two or four bytes, as the vocabulary needs.  The default tokenizer
 gives the UTF-8 bytes as ids; ``ranks`` (from ``read_ranks``, "<base64> <rank>" lines)
@@ -86,6 +88,15 @@ class Shards:
     width: int
     shard_rows: int
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Shards:
+        """What ``write_shards`` wrote below ``path``, from its manifest."""
+        r = spark.read.schema("n long, length int, width int, shard_rows int").json(f"{path}/_manifest").first()
+        return cls(path, r["n"], r["length"], r["width"], r["shard_rows"])
+
+    def rows_of(self, shard: int) -> int:
+        return min(self.shard_rows, self.n - shard * self.shard_rows)
+
     @property
     def stride(self) -> int:
         return 16 + self.length * self.width + 1
@@ -150,10 +161,14 @@ def write_shards(documents: DataFrame, path: str, length: int = LENGTH, shard_ro
         counts = _counts(docs, length, vocabulary, pattern)
         n = sum(counts.values())
         shards = Shards(path, n, length, width, shard_rows)
+        if shards.stride * min(n, shard_rows) >= 1 << 31:
+            raise ValueError(f"a shard of {shard_rows} records of {shards.stride} bytes can't be one file under 2 GB")
         if n:
             _write(docs, shards, counts, key, vocabulary, pattern)
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    manifest = spark.range(1, numPartitions=1).select(*[F.lit(v).alias(k) for k, v in (("n", n), ("length", length), ("width", width), ("shard_rows", shard_rows))])
+    manifest.write.json(f"{path}/_manifest")
     return shards
 
 
@@ -218,7 +233,7 @@ def _write(docs: DataFrame, shards: Shards, counts: dict[int, int], key: int, vo
     sent = docs.mapInArrow(send, "range int, size long, blob binary").repartitionById(ranges, F.col("range"))
     laid = sent.mapInArrow(lay_out, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
     # the text writer puts the bytes out as they are, with the line end of the record
-    laid.select("shard", F.col("record").cast("string")).write.partitionBy("shard").option("compression", "none").text(shards.path)
+    laid.select("shard", F.col("record").cast("string")).write.partitionBy("shard").option("compression", "none").option("maxRecordsPerFile", 0).text(shards.path)
 
 
 _NULL = -(1 << 63)
@@ -233,10 +248,16 @@ def read_shards(spark: SparkSession, shards: Shards, slot: int = 0) -> DataFrame
     if not shards.n:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(shards.path).filter(F.col("shard") >= slot // shards.shard_rows)
+    wanted = -(-shards.n // shards.shard_rows) - slot // shards.shard_rows
+    there = files.agg(F.count("shard").alias("files"), F.count_distinct("shard").alias("shards")).first()
+    if slot < shards.n and (there["files"], there["shards"]) != (wanted, wanted):
+        raise RuntimeError(f"{wanted} shards from slot {slot} on, but {there['files']} files of {there['shards']} shards")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if len(content.as_buffer()) != shards.rows_of(shard) * shards.stride:
+                    raise RuntimeError(f"shard {shard} has {len(content.as_buffer())} bytes, not {shards.rows_of(shard)} records of {shards.stride}")
                 first = max(0, slot - shard * shards.shard_rows)
                 records = np.frombuffer(content.as_buffer(), shards.record, offset=first * shards.stride)
                 for i in range(0, len(records), 1024):
