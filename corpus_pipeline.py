@@ -20,15 +20,12 @@ ORACLE_SQL = None  # trained models, groups and byte spans have no SQL form
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels outside the held-out fifth."""
-    judged = quality.classify(docs, common.table(spark, sf_dir, "labels"))
-    poor = judged.filter("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(poor, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the least id."""
-    copies = superminhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicate documents the one with the least id, once."""
+    return superminhash.keep_one(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
