@@ -2,11 +2,12 @@
 
 Texts become token sequences in which typed placeholders replace
 
-* numbers: tokens that begin with a digit, with the points and commas between their
-  digits and a signed exponent, and runs of number words ("twenty-five", "3 million");
-* units: a known unit after a number;
+* numbers: tokens that begin with a digit, with the points, commas and strokes between their
+  digits, a sign after white space and a signed exponent, and runs of number words ("twenty-five", "3 million");
+* units: a known unit after a number, as a symbol or a full name (``unit_words``);
 * names: runs of capitalised tokens, wherever they stand, so that a name that opens a
-  sentence is one too (an ordinary word there is a slot like others).
+  sentence is one too (an ordinary word there is a slot like others); apostrophes and hyphens inside a
+  name and particles between two parts of it ("O'Brien", "Ludwig van Beethoven") belong to it.
 
 Other tokens are lower-cased, marks and white space fall away.  Windows of ``WINDOW``
 template tokens (a shorter item as a whole) are hash-joined between documents and items.
@@ -15,8 +16,8 @@ A template window counts if at least ``LITERALS`` of its tokens are not placehol
 Plain windows, of lower-cased tokens without placeholders, are joined likewise and
 apart from the templates, all of them: a verbatim copy is found in any case and
 whatever it consists of.  Items of fewer than ``SHORTEST`` tokens have their one
-plain window only, and those of fewer than ``SHORTEST_INSIDE`` match only a
-document that is nothing else.
+plain window only and match only a document of which they are the share ``COVERAGE`` or more: inside
+longer texts so few words ("how are you") stand by chance.
 
 Matching windows of a document and an item on one diagonal (place in the
 document less place in the item) form an alignment.  It is consistent if each
@@ -34,7 +35,8 @@ travel to the tasks and thin the documents' windows before the join; beyond that
 window is joined by shuffle.  Both ways give the same rows.
 
 Defined cases: null, empty and blank texts have no windows; rows with a null doc_id or
-item_id are judged like others and come out under the null id; other values in windows without enough literals are not recognised; repeated
+item_id are judged like others and come out under the null id (``clean`` keeps documents
+without id); other values in windows without enough literals are not recognised; repeated
 documents are judged as one and so are repeated items; very long texts are read whole;
 empty tables give no rows; other columns are ignored.
 """
@@ -55,15 +57,28 @@ from .textops import _WEIGHTS, LOWER, chunks, mix, prefix_sums, span_hash, word_
 
 WINDOW = 10
 SHORTEST = 6
-SHORTEST_INSIDE = 3
 LITERALS = 0.6
 MIN_WINDOWS = 1
 COVERAGE = 0.5
 CLASHES = 1
 RUN = 10
 MAX_BROADCAST = 4_000_000
-UNITS = ("mg g kg t mm cm m km in ft mi ml cl l ms s sec min h hr hours days weeks months years hz khz mhz ghz w kw mw v kv a ma j kj n kn pa kpa mpa bar psi rpm "
-         "mph kmh c f k mol kb mb gb tb usd eur gbp dollars euros cents percent miles meters metres grams liters litres minutes seconds").split()
+
+
+def unit_words() -> list[str]:
+    """Symbols and full names of units, by rule: prefixes before bases, names in singular and plural."""
+    # Fixed values.
+    symbols = [p + b for p in ("", "n", "m", "c", "d", "k", "g", "t") for b in ("g", "m", "l", "w", "v", "s", "hz", "pa", "bar", "mol", "b", "wh")]
+    symbols += "h hr hrs min sec in ft mi yd lb lbs oz mph kmh rpm psi kn kj mj kcal kv ma usd eur gbp".split()
+    metric = [p + b for p in ("", "nano", "micro", "milli", "centi", "deci", "kilo", "mega", "giga", "tera") for b in ("gram", "meter", "metre", "liter", "litre", "watt", "volt", "byte", "bit", "second", "joule", "newton", "pascal", "hertz", "ampere", "ohm", "calorie", "bar")]
+    plain = ("minute hour day week month year decade century mile yard foot inch acre hectare pound ounce ton tonne kilo gallon pint quart cup spoon degree mole amp "
+             "dollar euro cent pound yen rupee peso franc crown mark percent celsius fahrenheit kelvin").split()
+    names = metric + plain
+    return sorted(({*symbols, *names, *(n + "s" for n in names), "feet", "inches", "centuries"}) - {"b", "ds", "ts", "gs", "cs", "tv", "cv"})
+
+
+UNITS = unit_words()
+PARTICLES = "de la du le van von der den di da del dos bin al ibn y".split()
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty "
                 "forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen").split()
 
@@ -83,7 +98,7 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.sort(span_hash(prefix_sums(buf), start, end))
 
 
-_UNITS, _NUMBER_WORDS = _word_hashes(UNITS), _word_hashes(NUMBER_WORDS)
+_UNITS, _NUMBER_WORDS, _PARTICLES = _word_hashes(UNITS), _word_hashes(NUMBER_WORDS), _word_hashes(PARTICLES)
 
 
 def _fold(more: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray):
@@ -105,11 +120,11 @@ def template_tokens(buf: np.ndarray, off: np.ndarray):
         return z, z, z, z, np.zeros(0, np.uint64)
     digit = (buf >= 48) & (buf <= 57)
     if len(start) > 1:
-        # digits, one point or comma, digits: one number; so is a mantissa, a sign and its exponent
+        # digits, one point, comma or stroke, digits: one number; so is a mantissa, a sign and its exponent
         gap = buf[np.minimum(end[:-1], len(buf) - 1)]
         close = (start[1:] - end[:-1] == 1) & digit[start[1:]] & digit[start[:-1]] & (doc[1:] == doc[:-1])
         last, before = buf[end[:-1] - 1], digit[np.maximum(end[:-1] - 2, 0)]
-        more = close & (((gap == 44) | (gap == 46)) & digit[end[:-1] - 1] | ((gap == 43) | (gap == 45)) & ((last == 69) | (last == 101)) & before)
+        more = close & (((gap == 44) | (gap == 46) | (gap == 47)) & digit[end[:-1] - 1] | ((gap == 43) | (gap == 45)) & ((last == 69) | (last == 101)) & before)
         start, end, doc = _fold(more, start, end, doc)
     h = span_hash(prefix_sums(LOWER[buf]), start, end)
     spelled = np.isin(h, _NUMBER_WORDS)
@@ -127,12 +142,27 @@ def template_tokens(buf: np.ndarray, off: np.ndarray):
     name = (first >= 65) & (first <= 90)
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
     if len(start) > 1:
-        # capitalised tokens with white space between: one name
+        # capitalised tokens with white space, or one apostrophe or hyphen, between them: one name
         filled = np.concatenate([[0], np.cumsum(~_SPACES[buf])])
-        more = (kind[1:] == NAME) & (kind[:-1] == NAME) & (filled[start[1:]] == filled[end[:-1]]) & (doc[1:] == doc[:-1])
+        white = (filled[start[1:]] == filled[end[:-1]]) & (doc[1:] == doc[:-1])
+        gap = buf[np.minimum(end[:-1], len(buf) - 1)]
+        marked = (start[1:] - end[:-1] == 1) & ((gap == 39) | (gap == 45)) & (doc[1:] == doc[:-1])
+        name = kind == NAME
+        more = name[1:] & name[:-1] & (white | marked)
+        # one or two particles between two parts of a name belong to it
+        between = (kind == LITERAL) & np.isin(h, _PARTICLES)
+        one = np.flatnonzero(name[:-2] & between[1:-1] & name[2:] & white[:-1] & white[1:])
+        two = np.flatnonzero(name[:-3] & between[1:-2] & between[2:-1] & name[3:] & white[:-2] & white[1:-1] & white[2:])
+        for at, n in ((one, 2), (two, 3)):
+            for k in range(n):
+                more[at + k] = True
         kept = np.concatenate([[True], ~more])
         start, end, doc = _fold(more, start, end, doc)
         kind, h = kind[kept], h[kept]
+    # a sign after white space belongs to its number
+    before, far = np.maximum(start - 1, 0), np.maximum(start - 2, 0)
+    signed = (kind == NUMBER) & digit[start] & (start > off[doc]) & ((buf[before] == 43) | (buf[before] == 45)) & ((start - 1 == off[doc]) | _SPACES[buf[far]] | (buf[far] == 10))
+    start = start - signed
     return start, end, doc, kind, np.where(kind == LITERAL, h, _PLACEHOLDER[kind])
 
 
@@ -164,8 +194,8 @@ def _windows(sizes: list[tuple[bool, int]], whole_short: bool, wanted: np.ndarra
                     first_token = np.concatenate([[0], np.cumsum(counts)])
                     for size in (n for p, n in sizes if p == plain):
                         at, wh = window_hashes(h, doc, kind, size)
-                        if whole_short and size < WINDOW or size < SHORTEST_INSIDE:
-                            keep = counts[doc[at]] == size
+                        if size < (WINDOW if whole_short else SHORTEST):
+                            keep = counts[doc[at]] == size if whole_short else counts[doc[at]] * COVERAGE <= size
                             at, wh = at[keep], wh[keep]
                         if allowed is not None and len(wh):
                             place = np.minimum(np.searchsorted(allowed, wh), len(allowed) - 1)
@@ -261,9 +291,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_B
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without contaminated rows, unchanged; rows of one doc_id with other texts are judged apart."""
+    """The documents without contaminated rows, unchanged; rows of one doc_id with other texts are judged apart, rows without id stay."""
     bad = leaks(documents.select(row_key().alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, row_key() == F.col("__bad"), "left_anti")
+    return documents.join(bad, F.when(F.col("doc_id").isNotNull(), row_key()) == F.col("__bad"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

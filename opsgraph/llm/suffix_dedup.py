@@ -46,6 +46,8 @@ import hashlib
 import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,8 @@ FLUSH_ANCHORS = 400_000
 FLUSH_SUFFIXES = 250_000
 RANGE = 100_000
 MAX_RANGES = 1 << 17
+MAX_TASKS = 20_000
+PIECE_BYTES = 8 << 20
 MAX_TEXTS = 1 << 15
 REPEAT, WHOLE, BORDER, WINDOWS = 0, 1, 2, 4
 COPY, CROWDED, COPIED = 1, 2, 4
@@ -127,13 +131,11 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _packed(parts: int, receiver: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+def _packed(receiver: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(receiver, kind="stable")
-    receiver = receiver[order]
-    cut = np.searchsorted(receiver, np.arange(parts + 1))
+    used, cut = np.unique(receiver[order], return_index=True)
     columns = [c[order] for c in columns]
-    used = [p for p in range(parts) if cut[p] < cut[p + 1]]
-    blobs = [pickle.dumps([c[cut[p] : cut[p + 1]] for c in columns], 5) for p in used]
+    blobs = [pickle.dumps([c[a:b] for c in columns], 5) for a, b in zip(cut, [*cut[1:], len(receiver)])]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
@@ -164,7 +166,7 @@ def _send_anchors(parts: int, hot: int):
             receiver = (mix(key) % np.uint64(parts)).astype(np.int32)
             out = [gram, context, doc, place.astype(np.uint32 if place.max() < 1 << 32 else np.int64), at.astype(np.uint8), n.astype(np.uint8), flag]
             held.clear()
-            return _packed(parts, receiver[keep], [c[keep] for c in out])
+            return _packed(receiver[keep], [c[keep] for c in out])
 
         count = 0
         for batch in batches:
@@ -188,9 +190,11 @@ def _choose_kinds(hot: int):
     """``doc_id, code`` of each anchor whose gram occurs elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pickle.loads(b.as_py()) for batch in batches for b in batch.column(1)]
-        if not got:
-            return
+        rows = ((p, b) for batch in batches for p, b in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for _, piece in groupby(rows, itemgetter(0)):  # one piece in memory at a time
+            yield from choose([pickle.loads(b.as_py()) for _, b in piece])
+
+    def choose(got: list) -> Iterator[pa.RecordBatch]:
         gram, context, doc, place, at, n, flag = (np.concatenate([g[i] for g in got]) for i in range(7))
         del got
         place, at, n = (x.astype(np.int64) for x in (place, at, n))
@@ -477,9 +481,12 @@ def _with_version(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def shared_contexts(docs: DataFrame, size: int, hot: int = HOT) -> DataFrame:
     """``doc_id, code`` of the contexts that go through the suffix sort."""
-    parts = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), -(-size // (8 << 20)), key=int))
+    parts = int(max(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"), -(-size // PIECE_BYTES), key=int))
+    tasks = min(parts, MAX_TASKS)
     sent = docs.filter("doc_id IS NOT NULL AND __version >= 0").select("doc_id", "text", "__version").mapInArrow(_send_anchors(parts, hot), "part int, blob binary")
-    return materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_choose_kinds(hot), "doc_id long, code long"), "contexts")
+    dealt = sent.repartitionById(tasks, F.col("part") % tasks)
+    dealt = dealt.sortWithinPartitions("part") if parts > tasks else dealt
+    return materialize(dealt.mapInArrow(_choose_kinds(hot), "doc_id long, code long"), "contexts")
 
 
 def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...] = (), per_range: int = RANGE) -> DataFrame:
@@ -495,7 +502,7 @@ def remove_repeats(documents: DataFrame, hot: int = HOT, carry: tuple[str, ...]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(MAX_RANGES, max(parts, -(-contexts.count() // per_range)))
     splitters = _splitters(docs, contexts, ranges)
-    ranges, parts = len(splitters) + 1, max(parts, min(len(splitters) + 1, 20_000))
+    ranges, parts = len(splitters) + 1, max(parts, min(len(splitters) + 1, MAX_TASKS))
     key = ["doc_id", "__version"]
     version = F.shiftright("code", 48).alias("__version")
     # both joins take all columns of docs, so that its one exchange serves both

@@ -188,3 +188,17 @@ def test_pipeline_against_plain_python(spark):
     packed = stages["packing"](spark, docs, DATA).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in packed) == Counter((i, len(words(t))) for i, t in rows)
     assert len({(r["bucket"], r["batch"], r["position"]) for r in packed}) == len(rows) and all(r["n_tokens"] + r["padding"] == r["boundary"] for r in packed)
+
+
+def test_more_pieces_than_tasks(spark, monkeypatch):
+    """Contexts come piece by piece where there are more pieces than tasks."""
+    from opsgraph.llm import suffix_dedup
+    from test_documents import brute_repeats
+
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "MAX_TASKS", 3)
+    rng = random.Random(12)
+    shared = [prose(rng, 30) for _ in range(4)]
+    rows = [(i, prose(rng, 10) + rng.choice(shared) + prose(rng, 5) + rng.choice(shared)) for i in range(60)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), per_range=60).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
