@@ -137,10 +137,10 @@ def latest_reading(executions: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def verify_feedback(executions: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Executions (``tenant_id, execution_id, proposal_id, value, elapsed_minutes, rollback_enabled``) with ``feedback_status`` and ``rollback_triggered``; proposals without condition use the default."""
-    c = conditions.select("proposal_id", *[F.col(k).alias(f"__{k}") for k in DEFAULT_CONDITION])
+    """Executions (``tenant_id, execution_id, proposal_id, value, elapsed_minutes, rollback_enabled``) with ``feedback_status`` and ``rollback_triggered``, by the tenant's conditions; proposals without condition use the default."""
+    c = conditions.select("tenant_id", "proposal_id", *[F.col(k).alias(f"__{k}") for k in DEFAULT_CONDITION])
     x = {k: F.coalesce(F.col(f"__{k}"), F.lit(v)) for k, v in DEFAULT_CONDITION.items()}
-    out = executions.join(c, "proposal_id", "left")
+    out = executions.join(c, ["tenant_id", "proposal_id"], "left")
     status = feedback_status(F.col("value"), x["baseline_value"], x["target_healthy_value"], x["comparison_operator"], F.col("elapsed_minutes"), x["max_evaluation_window_minutes"])
     out = out.withColumn("feedback_status", status).drop(*[f"__{k}" for k in DEFAULT_CONDITION])
     return out.withColumn("rollback_triggered", F.col("feedback_status").isin("DETERIORATING", "TIMEOUT_FAILED") & F.coalesce("rollback_enabled", F.lit(False)))

@@ -5,6 +5,8 @@ Input rows: ``tenant_id, data_source_id, job_id, row_index, raw_json``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -107,29 +109,36 @@ def scan_profile(spark, path: str, delimiter: str | None = None) -> tuple[DataFr
 def profile_columns(rows: DataFrame, order: str, samples: int = 5, approximate: bool = False) -> DataFrame:
     """Per column: resolved type, nullable, distinct values, the first samples, and whether it is constant over more than 5 rows.
 
-    ``order`` (a row number) is not profiled.  Samples are cut before they are collected.
+    ``order`` (a row number) is not profiled.  Equal cells of a column are counted inside the tasks first, so a
+    value is typed once and not once a row; ``approximate`` counts distinct values by a sketch, then no value leaves its task.
     """
     names = [c for c in rows.columns if c != order]
-    long = rows.select(F.col(order).alias("__i"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in names])).alias("x")).select("__i", "x.*")
-    long = long.withColumn("value", F.when(F.col("value") != "", F.col("value")))
-    kind = infer_type(F.col("value"))
+    cell = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), cell(c).alias("value")) for c in names])).alias("x")).select("x.*")
+    long = long.withColumn("n", F.lit(1).cast("long")) if approximate else long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     has = F.col("value").isNotNull()
-    typed = long.withColumn("kind", F.when(has, kind))
-    votes = [F.sum((F.col("kind") == k).cast("long")).alias(k) for k in ("INTEGER", "FLOAT", "BOOLEAN", "TIMESTAMP", "STRING", "JSON")]
-    distinct = F.approx_count_distinct("value") if approximate else F.count_distinct("value")
-    out = typed.groupBy("column_name").agg(*[F.coalesce(v, F.lit(0)).alias(k) for v, k in zip(votes, ("INTEGER", "FLOAT", "BOOLEAN", "TIMESTAMP", "STRING", "JSON"))],
-                                           F.bool_or(~has).alias("nullable"), distinct.alias("unique_count"), F.count(F.lit(1)).alias("n_rows"))
-    none = F.col("STRING") == 0
-    resolved = (F.when((F.col("INTEGER") > 0) & (F.col("FLOAT") == 0) & none, "INTEGER").when((F.col("FLOAT") > 0) & none, "FLOAT").when((F.col("TIMESTAMP") > 0) & none, "TIMESTAMP")
-                .when((F.col("BOOLEAN") > 0) & none, "BOOLEAN").when(F.col("JSON") > 0, "JSON").otherwise("STRING"))
-    # a bounded pre-rank per partition keeps a long column out of one window
-    pre = W.partitionBy("column_name", "__p").orderBy("__i")
-    top = W.partitionBy("column_name").orderBy("__i")
-    cut = typed.filter(has).withColumn("__p", F.pmod(F.xxhash64("__i"), F.lit(64))).withColumn("r", F.row_number().over(pre)).filter(F.col("r") <= samples)
-    cut = cut.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= samples).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("r", "value"))).alias("s"))
-    out = out.join(cut, "column_name", "left")
-    return out.select("column_name", resolved.alias("inferred_type"), "nullable", "unique_count", F.coalesce(F.col("s.value"), F.array().cast("array<string>")).alias("sample_values"),
-                      ((F.col("unique_count") == 1) & (F.col("n_rows") > 5)).alias("is_constant"))
+    typed = long.withColumn("kind", F.when(has, infer_type(F.col("value"))))
+    kinds = ("INTEGER", "FLOAT", "BOOLEAN", "TIMESTAMP", "STRING", "JSON")
+    distinct = F.approx_count_distinct("value") if approximate else F.count("value")
+    out = typed.groupBy("column_name").agg(*[F.bool_or(F.coalesce(F.col("kind") == k, F.lit(False))).alias(k) for k in kinds], F.bool_or(~has).alias("nullable"), distinct.alias("unique_count"), F.sum("n").alias("n_rows"))
+    none = ~F.col("STRING")
+    resolved = (F.when(F.col("INTEGER") & ~F.col("FLOAT") & none, "INTEGER").when(F.col("FLOAT") & none, "FLOAT").when(F.col("TIMESTAMP") & none, "TIMESTAMP")
+                .when(F.col("BOOLEAN") & none, "BOOLEAN").when(F.col("JSON"), "JSON").otherwise("STRING"))
+    found = _first_samples(rows, names, order, samples)
+    chosen = reduce(lambda e, c: e.when(F.col("column_name") == c, F.array(*[F.lit(v) for v in found[c]]).cast("array<string>")), names, F.when(F.lit(False), F.array().cast("array<string>")))
+    return out.select("column_name", resolved.alias("inferred_type"), "nullable", "unique_count", chosen.alias("sample_values"), ((F.col("unique_count") == 1) & (F.col("n_rows") > 5)).alias("is_constant"))
+
+
+def _first_samples(rows: DataFrame, names: list[str], order: str, samples: int) -> dict[str, list[str]]:
+    """The first ``samples`` values of each column, from the first rows by ``order``, or where these lack values from the first rows that have one."""
+    text = rows.select(F.col(order).alias("__i"), *[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")).alias(c) for c in names])
+    head = text.orderBy("__i").limit(16 * samples).collect()
+    out = {c: [r[c] for r in head if r[c] is not None][:samples] for c in names}
+    if len(head) == 16 * samples:
+        for c in names:
+            if len(out[c]) < samples:
+                out[c] = [r[0] for r in text.filter(F.col(c).isNotNull()).orderBy("__i").select(c).limit(samples).collect()]
+    return out
 
 
 def preview(rows: DataFrame, order: str, n: int = 10) -> DataFrame:

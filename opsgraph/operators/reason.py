@@ -52,7 +52,11 @@ def first_and_last_breach(telemetry: DataFrame) -> DataFrame:
 
 def correlate(telemetry: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     """``tenant_id, incident_id, pattern_type, entities, seconds, coefficient, causal`` of each pattern found; one aggregation."""
-    f = first_and_last_breach(telemetry)
+    return patterns(first_and_last_breach(telemetry), window)
+
+
+def patterns(f: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
+    """The patterns in rows of ``first_and_last_breach``."""
     gap = lambda a, b: F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
 
     def pattern(kind, when, entities, seconds):

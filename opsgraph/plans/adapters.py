@@ -54,7 +54,7 @@ SELECT 't' || CAST(o_custkey % 3 AS STRING) AS tenant_id, 'p' || CAST(o_orderkey
     "executions": """
 SELECT 't' || CAST(o_custkey % 3 AS STRING) AS tenant_id, 'x' || CAST(o_orderkey AS STRING) AS execution_id, 'p' || CAST(o_orderkey AS STRING) AS proposal_id, 'A' || CAST(o_custkey % 50 AS STRING) AS entity_id,
   CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(o_orderkey % 720 AS INT) * INTERVAL 1 HOUR AS evaluated_at, CAST(o_orderkey % 60 AS DOUBLE) AS elapsed_minutes, o_orderkey % 3 <> 0 AS rollback_enabled FROM orders""",
-    "conditions": "SELECT 'p' || CAST(o_orderkey AS STRING) AS proposal_id, CAST(45 AS DOUBLE) AS baseline_value, CAST(30 AS DOUBLE) AS target_healthy_value, CASE o_orderkey % 4 WHEN 0 THEN '<' WHEN 1 THEN '<=' WHEN 2 THEN '>' ELSE '>=' END AS comparison_operator, CAST(20 AS DOUBLE) AS max_evaluation_window_minutes FROM orders WHERE o_orderkey % 5 <> 0",
+    "conditions": "SELECT 't' || CAST(o_custkey % 3 AS STRING) AS tenant_id, 'p' || CAST(o_orderkey AS STRING) AS proposal_id, CAST(45 AS DOUBLE) AS baseline_value, CAST(30 AS DOUBLE) AS target_healthy_value, CASE o_orderkey % 4 WHEN 0 THEN '<' WHEN 1 THEN '<=' WHEN 2 THEN '>' ELSE '>=' END AS comparison_operator, CAST(20 AS DOUBLE) AS max_evaluation_window_minutes FROM orders WHERE o_orderkey % 5 <> 0",
     "audit_raw": """
 SELECT 'a' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, 't' || CAST(conv_id % 3 AS STRING) AS tenant_id, 'u' || CAST(conv_id % 17 AS STRING) AS actor_id, 'u' || CAST(conv_id % 17 AS STRING) || '@example.com' AS actor_email,
   CASE role WHEN 'user' THEN 'OPERATOR' ELSE 'AUDITOR' END AS actor_role, CASE WHEN turn % 2 = 0 THEN 'DATA_INGEST' ELSE 'GRAPH_NODE_MERGE' END AS action, 'CONVERSATION' AS resource_type,

@@ -538,7 +538,7 @@ def clean_cells(spark, d):
 
 
 def connected_names(spark, d):
-    x = graph.connected_names(graph.dossier(_roots(spark, d, "WorkOrder"), load(spark, d, "nodes"), load(spark, d, "edges").filter("relation_type <> 'MONITORS'"), AS_OF))
+    x = graph.connected_names(graph.dossier(_roots(spark, d, "WorkOrder"), load(spark, d, "nodes"), load(spark, d, "edges"), AS_OF))
     return x.select("tenant_id", "root_id", F.get("connected", 0).alias("own"), F.size("connected").cast("long").alias("n"))
 
 
@@ -612,12 +612,14 @@ def mark_rolled_back(spark, d):
     return action.mark_rolled_back(p, p.filter("approval_status = 'APPROVED' AND system_target = 'SCADA'").select("tenant_id", "id")).select("tenant_id", "id", "approval_status")
 
 
-def _streamed(spark, name, rows, run):
+def _streamed(spark, name, rows, run, closed_after=None):
     """Land rows as files, run a stream over them to its end and give what it wrote."""
     import uuid
 
     root = f"{graph.shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/in")
+    if closed_after:  # a later file moves the watermark past all rows
+        streams.end_marker(spark.read.parquet(f"{root}/in"), "ts", closed_after).write.mode("append").parquet(f"{root}/in")
     return run(streams.file_stream(spark, rows.schema, f"{root}/in"), root)
 
 
@@ -629,7 +631,7 @@ def _to_parquet(df, root):
 
 def stream_rate_guard(spark, d):
     rows = load(spark, d, "action_times").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _streamed(spark, "rate", rows, lambda s, root: _to_parquet(streams.stream_rate_guard(s, 2, "1 hour"), root))
+    out = _streamed(spark, "rate", rows, lambda s, root: _to_parquet(streams.stream_rate_guard(s, 2, "1 hour"), root), "3 HOURS")
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -649,7 +651,95 @@ def stream_correlate(spark, d):
 def stream_feedback(spark, d):
     t = load(spark, d, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = t.select(F.col("incident_id").alias("execution_id"), "ts", F.date_trunc("day", "ts").alias("started_at"), "value", F.lit(45.0).alias("baseline"), F.lit(30.0).alias("target"), F.lit("<=").alias("op"), F.lit(720.0).alias("max_minutes"))
-    return _streamed(spark, "feedback", rows, lambda s, root: _to_parquet(streams.stream_feedback(s, "1 hour"), root))
+    return _streamed(spark, "feedback", rows, lambda s, root: _to_parquet(streams.stream_feedback(s, "1 hour"), root), "40 HOURS")
+
+
+def stream_patterns(spark, d):
+    rows = load(spark, d, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = _streamed(spark, "patterns", rows, lambda s, root: _to_parquet(streams.stream_patterns(s, 6 * 3600, "1 hour"), root), "30 HOURS")
+    return x.select("tenant_id", "incident_id", "pattern_type", F.concat_ws(",", "entities").alias("entities"), "seconds", "coefficient", "causal")
+
+
+def bm25_ranking(spark, d):
+    """Every hit of the questions, not only the first ones."""
+    hits = search.bm25_search(load(spark, d, "asked"), documents_as_chunks(spark, d))
+    return hits.select("tenant_id", "query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def graph_channel(spark, d):
+    """Questions that name nodes: two points for a named one, one for the target's surroundings."""
+    nodes, edges = _search_nodes(spark, d)
+    text = F.when(F.col("query_id") == "q1", "state of the FRANCE line, and of china").when(F.col("query_id") == "q2", "Algeria again").otherwise(F.col("query"))
+    asked = load(spark, d, "asked").withColumn("query", text).withColumn("target_entity_id", F.when(F.col("query_id").isin("q1", "q3"), F.lit("R0")))
+    hits = search.graph_channel(asked, documents_as_chunks(spark, d), nodes, edges)
+    return hits.select("tenant_id", "query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def link_to_linked(spark, d):
+    """Mentions beside links that chunks have already."""
+    terms = load(spark, d, "docs").select("tenant_id").distinct().select("tenant_id", F.explode(F.array(F.lit("token"), F.lit("N3"), F.lit("License"))).alias("canonical_id"))
+    return search.link_mentions(documents_as_chunks(spark, d), terms).select("tenant_id", "id", F.array_join("linked_entity_ids", ",").alias("links"))
+
+
+def evidence_quotes(spark, d):
+    ev = reason.build_evidence(load(spark, d, "incidents"), load(spark, d, "telemetry"))
+    return ev.select("tenant_id", "incident_id", "source_type", "source_id", "quote", "weight", F.col("source_order.n").cast("long").alias("seq"))
+
+
+def export_audit(spark, d):
+    signed = sinks.stamp_audit(load(spark, d, "audit_raw"), KEY)
+    return sinks.export_audit(signed).select("id", "tenant_id", "action", F.col("timestamp").cast("string").alias("at"), "checksum", "total", "algorithm")
+
+
+def user_listing(spark, d):
+    users = load(spark, d, "users").withColumn("password_hash", F.sha2("email", 256)).withColumn("salt", F.lit("s"))
+    return listing.drop_secrets(users)
+
+
+def resolve_dead_letter(spark, d):
+    letters = graph.materialize(ingest.dead_letters(ingest.tag_outcomes(load(spark, d, "raw_rows"))))
+    item = letters.agg(F.min_by("id", F.struct("job_id", "row_index"))).first()[0]
+    tenant = letters.filter(F.col("id") == item).first()["tenant_id"]
+    after, found = ingest.resolve_dead_letter(letters, tenant, item)
+    return after.crossJoin(F.broadcast(found)).select("tenant_id", "job_id", "row_index", "error_code", "resolved", "found")
+
+
+def one_source(spark, d):
+    """A single row by tenant and id, and the same id asked by another tenant."""
+    p = load(spark, d, "proposals").select("tenant_id", "id", "command_type", "approval_status")
+    first = p.orderBy("tenant_id", "id").first()
+    return listing.get_by_id(p, first["tenant_id"], first["id"]).unionByName(listing.get_by_id(p, "nobody", first["id"]))
+
+
+def _landed_orders(spark, d):
+    """Orders as delimited files, each of four kinds with another delimiter and another order of columns."""
+    import uuid
+
+    root = f"{graph.shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit(" a,b;c|"), "o_orderpriority").alias("note"), F.col("o_custkey").alias("who"))
+    for i, sep in enumerate(landed.DELIMITERS):
+        columns = ["o_orderkey", "o_orderstatus", "note", "who"] if i % 2 else ["who", "note", "o_orderkey", "o_orderstatus"]
+        o.filter(F.col("o_orderkey") % 4 == i).select(*columns).write.csv(f"{root}/kind{i}", sep=sep, header=True, escape='"')
+    return root
+
+
+def scan_folder(spark, d):
+    rows = landed.scan_folder(spark, f"{_landed_orders(spark, d)}/*")
+    cell = lambda c: F.col("payload")[c].alias(c)
+    # a file's numbers are gapless from 1
+    per = rows.groupBy("file").agg((F.max("row_no") == F.count(F.lit(1))).alias("gapless"))
+    return rows.join(per, "file").select(cell("o_orderkey"), cell("o_orderstatus"), cell("note"), cell("who"), "gapless")
+
+
+def scan_profile(spark, d):
+    """A delimited file read and profiled by name, with numbered rows."""
+    import uuid
+
+    path = f"{graph.shared_folder(spark)}/profiled-{uuid.uuid4().hex}"
+    c = load(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    c.coalesce(1).sortWithinPartitions("c_custkey").write.csv(path, sep=";", header=True)
+    rows, profile = ingest.scan_profile(spark, path)
+    return profile.select("column_name", "inferred_type", "nullable", "unique_count", F.array_join("sample_values", "|").alias("samples"), "is_constant", F.lit(rows.count()).alias("n_rows"))
 
 
 ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_outcomes, job_summary, dead_letters, extract_records, accept_pages, incremental_read, incremental_cursor, classify_url, flag_unsafe_sql,
@@ -658,4 +748,5 @@ ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_out
        verify_audit_summary, audit_page, access_gate, member_listing, organizations_of_users, role_checks, duplicate_keys, health_counts, token_lengths, term_buckets, list_nodes, find_by_canonical, filter_records, rows_by_tenant,
        latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context, chunk_manuals, search_manuals,
        rca_evidence_full, analyze_incidents_full, resolve_reasons, apply_resolution, decide_reviews, ingestion_jobs, number_rows, append_edges, ingest_documents, ingest_rollup, documents_of_tenant, chunks_of_document, bm25_remove, roles_with_permissions, permissions_by_category, clean_cells,
-       connected_names, incident_or_first, upsert_memberships, upsert_rows, delete_tenant, register_sources, append_partitioned, page_checksum, sheet_inventory, pending_reviews, mark_rolled_back, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard]
+       connected_names, incident_or_first, upsert_memberships, upsert_rows, delete_tenant, register_sources, append_partitioned, page_checksum, sheet_inventory, pending_reviews, mark_rolled_back, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard, stream_patterns,
+       bm25_ranking, graph_channel, link_to_linked, evidence_quotes, export_audit, user_listing, resolve_dead_letter, one_source, scan_folder, scan_profile]

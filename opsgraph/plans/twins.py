@@ -274,9 +274,9 @@ SELECT tenant_id, id AS proposal_id, execution_id, CASE WHEN can_execute THEN 'S
 s AS (SELECT *, seq % 2 = 0 AND coalesce(list_position(l, role), 0) >= coalesce(list_position(l, required_approval_role), 0) AS ok FROM r)
 SELECT tenant_id, id, CASE WHEN ok THEN 'APPROVED' ELSE approval_status END AS approval_status, CASE WHEN ok THEN 'u' || CAST(seq AS VARCHAR) || '@example.com (' || role || ')' END AS approved_by FROM s""",
     "verify_feedback": f"""WITH j AS (SELECT e.*, r.value FROM executions e ASOF JOIN (SELECT tenant_id, entity_id, ts, arg_max(value, seq) AS value FROM telemetry GROUP BY ALL) r ON e.tenant_id = r.tenant_id AND e.entity_id = r.entity_id AND e.evaluated_at >= r.ts),
-c AS (SELECT j.*, {_COND} FROM j LEFT JOIN conditions USING (proposal_id)), s AS (SELECT *, {_STATUS} AS feedback_status FROM c)
+c AS (SELECT j.*, {_COND} FROM j LEFT JOIN conditions USING (tenant_id, proposal_id)), s AS (SELECT *, {_STATUS} AS feedback_status FROM c)
 SELECT tenant_id, execution_id, value, feedback_status, feedback_status IN ('DETERIORATING', 'TIMEOUT_FAILED') AND rollback_enabled AS rollback_triggered FROM s""",
-    "rollback_queue": f"""WITH c AS (SELECT e.*, elapsed_minutes * 7 % 90 AS value, {_COND} FROM executions e LEFT JOIN conditions USING (proposal_id)), s AS (SELECT *, {_STATUS} AS fs FROM c)
+    "rollback_queue": f"""WITH c AS (SELECT e.*, elapsed_minutes * 7 % 90 AS value, {_COND} FROM executions e LEFT JOIN conditions USING (tenant_id, proposal_id)), s AS (SELECT *, {_STATUS} AS fs FROM c)
 SELECT s.tenant_id, execution_id, proposal_id, p.system_target, 'ROLLBACK' AS command_type, p.param_value AS to_value FROM s JOIN proposals p ON s.tenant_id = p.tenant_id AND s.proposal_id = p.id WHERE fs IN ('DETERIORATING', 'TIMEOUT_FAILED') AND rollback_enabled""",
     "machine_states": "SELECT tenant_id, entity_id, arg_max(state, ts) AS state, max(ts) AS ts FROM (SELECT tenant_id, entity_id, ts, max(state) AS state FROM states GROUP BY ALL) GROUP BY ALL",
     "audit_checksums": f"SELECT id, {_HMAC} AS checksum FROM audit_raw",
@@ -353,7 +353,7 @@ SELECT tenant_id, any_value(n_chunks) AS n_chunks, any_value(total_tf) AS total_
 SELECT role, permissions, n, (SELECT count(*) FROM memberships m WHERE m.role = p.role) AS n_members FROM p WHERE role IN (SELECT role FROM memberships)""",
     "permissions_by_category": f"SELECT split_part(permission, ':', 1) AS category, count(DISTINCT permission) AS n FROM (VALUES {_MATRIX}) AS t(role, permission) WHERE role IN (SELECT role FROM memberships) GROUP BY ALL",
     "clean_cells": "SELECT p_partkey, trim(p_name) AS cell FROM part",
-    "connected_names": _BOTH.replace("{depth}", "3").replace("FROM edges WHERE", "FROM edges WHERE relation_type <> 'MONITORS' AND").replace("'Line'", "'WorkOrder'") + """, x AS (SELECT m.tenant_id, m.root_id, count(*) FILTER (n.entity_type IN ('Sensor', 'WorkOrder', 'MaintenanceOrder') AND m.node_id <> m.root_id) AS n FROM m JOIN nodes n ON n.tenant_id = m.tenant_id AND n.id = m.node_id GROUP BY ALL)
+    "connected_names": _BOTH.replace("{depth}", "3").replace("'Line'", "'WorkOrder'") + """, x AS (SELECT m.tenant_id, m.root_id, count(*) FILTER (n.entity_type IN ('Sensor', 'WorkOrder', 'MaintenanceOrder') AND m.node_id <> m.root_id) AS n FROM m JOIN nodes n ON n.tenant_id = m.tenant_id AND n.id = m.node_id GROUP BY ALL)
 SELECT x.tenant_id, x.root_id, o.name AS own, x.n + 1 AS n FROM x JOIN nodes o ON o.tenant_id = x.tenant_id AND o.id = x.root_id""",
     "incident_or_first": """WITH f AS (SELECT tenant_id, arg_min(id, seq) AS first_id FROM incidents GROUP BY ALL), a AS (SELECT DISTINCT tenant_id, CASE WHEN seq % 3 = 0 THEN 'none' ELSE id END AS incident_id FROM incidents)
 SELECT a.tenant_id, a.incident_id, coalesce(i.id, first_id) AS chosen_id FROM a JOIN f USING (tenant_id) LEFT JOIN incidents i ON i.tenant_id = a.tenant_id AND i.id = a.incident_id""",
@@ -390,4 +390,25 @@ f AS (SELECT execution_id, arg_min(struct_pack(s := st, v := value, e := el), ts
 SELECT execution_id, coalesce(x.s, 'TIMEOUT_FAILED') AS status, coalesce(x.v, last) AS value, coalesce(x.e, 720.0) AS elapsed_minutes FROM f WHERE x IS NOT NULL OR epoch_ms(d) + 720 * 60000 < (SELECT epoch_ms(max(ts)) FROM telemetry) - 3600000""",
 }
 
+_RAW |= {
+    "stream_patterns": _RAW["correlate"],
+    "bm25_ranking": _BM25.replace(" WHERE rank <= 10", ""),
+    "graph_channel": """WITH a AS (SELECT tenant_id, query_id, lower(CASE query_id WHEN 'q1' THEN 'state of the FRANCE line, and of china' WHEN 'q2' THEN 'Algeria again' ELSE query END) AS q, query_id IN ('q1', 'q3') AS aimed FROM asked),
+s AS (SELECT d.tenant_id, a.query_id, d.id AS chunk_id, d.seq, CASE WHEN aimed AND n_regionkey = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN contains(q, lower(n_name)) THEN 2.0 ELSE 0.0 END AS score FROM docs d JOIN nation ON n_nationkey = d.seq % 25 JOIN a ON a.tenant_id = d.tenant_id)
+SELECT tenant_id, query_id, chunk_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY score DESC, seq) AS rank FROM s WHERE score > 0""",
+    "link_to_linked": """WITH x AS (SELECT tenant_id, id, 'N' || (seq % 25) AS own, lower(content) AS c, unnest(['License', 'N3', 'token']) AS k FROM docs)
+SELECT tenant_id, id, own || coalesce(string_agg(',' || k, '' ORDER BY k) FILTER (contains(c, lower(k)) AND k <> own), '') AS links FROM x GROUP BY tenant_id, id, own""",
+    "evidence_quotes": f"SELECT tenant_id, incident_id, 'SENSOR_TELEMETRY' AS source_type, entity_id AS source_id, 'Telemetry reading ' || CAST(value AS VARCHAR) || ' deviated from threshold ' || CAST(threshold AS VARCHAR) AS quote, 0.98::DOUBLE AS weight, seq FROM telemetry WHERE threshold IS NOT NULL AND {_SENT}",
+    "export_audit": f"""WITH s AS (SELECT *, {_HMAC} AS checksum FROM audit_raw) SELECT id, tenant_id, action, "timestamp" AS at, checksum, (SELECT count(*) FROM s) AS total, 'HMAC-SHA256' AS algorithm FROM s ORDER BY "timestamp" DESC, id LIMIT 5000""",
+    "user_listing": "SELECT id, email, full_name, is_super_admin FROM users",
+    "resolve_dead_letter": "WITH " + _TAGGED.strip() + """, l AS (SELECT tenant_id, job_id, row_index, outcome AS error_code FROM t WHERE outcome NOT IN ('VALID', 'DUPLICATE')), f AS (SELECT job_id, row_index FROM l ORDER BY job_id, row_index LIMIT 1)
+SELECT l.*, (job_id, row_index) IN (SELECT (job_id, row_index) FROM f) AS resolved, true AS found FROM l""",
+    "one_source": "SELECT tenant_id, id, command_type, approval_status FROM proposals ORDER BY tenant_id, id LIMIT 1",
+    "scan_folder": "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, 'a,b;c|' || o_orderpriority AS note, CAST(o_custkey AS VARCHAR) AS who, true AS gapless FROM orders",
+    "scan_profile": f"""WITH w AS (SELECT c_custkey AS i, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer),
+l AS (SELECT i, 'c_custkey' AS column_name, c_custkey AS value FROM w UNION ALL SELECT i, 'c_name', c_name FROM w UNION ALL SELECT i, 'c_acctbal', c_acctbal FROM w UNION ALL SELECT i, 'c_mktsegment', c_mktsegment FROM w), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN {_INFER} END AS kind FROM l),
+s AS (SELECT column_name, string_agg(value, '|' ORDER BY i) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY i) AS r FROM l WHERE value IS NOT NULL) WHERE r <= 5 GROUP BY ALL)
+SELECT k.column_name, CASE WHEN bool_or(kind = 'STRING') THEN 'STRING' WHEN bool_or(kind = 'FLOAT') THEN 'FLOAT' ELSE 'INTEGER' END AS inferred_type, bool_or(value IS NULL) AS nullable, count(DISTINCT value) AS unique_count, any_value(samples) AS samples, count(DISTINCT value) = 1 AND count(*) > 5 AS is_constant, count(*) AS n_rows
+FROM k JOIN s USING (column_name) GROUP BY k.column_name""",
+}
 TWINS = {name: twin(text) for name, text in _RAW.items()}

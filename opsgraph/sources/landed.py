@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +56,43 @@ def scan_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     return data.select(*[clean_cell(F.col(f"_c{last[n]}")).alias(n) for n in dict.fromkeys(names)])
 
 
+def file_heads(spark: SparkSession, path: str, first: int = 10) -> DataFrame:
+    """``file, line_no, line``: the first lines of each file that are not blank, trimmed; only first splits are looked at."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), trimmed(F.col("value")).alias("line"))
+    order = W.partitionBy("file").orderBy("at")
+    return lines.filter("start = 0 AND line <> ''").withColumn("line_no", F.row_number().over(order)).filter(F.col("line_no") <= first).select("file", "line_no", "line")
+
+
+def scan_folder(spark: SparkSession, path: str) -> DataFrame:
+    """``file, row_no, payload``: the rows of all delimited files of a folder, each file by its own delimiter and header.
+
+    ``row_no`` counts the data rows of a file from 1 in their order, ``payload`` maps cleaned header names to
+    cleaned cells (of equal names the last counts).  Files of one delimiter and header are one splittable scan.
+    A file with a blank header name is an error; empty files have no rows.
+    """
+    from ..operators.graph import materialize
+    from ..operators.ingest import number_rows
+
+    heads = materialize(file_heads(spark, path))
+    found = detect_delimiter(heads).join(heads.filter("line_no = 1"), "file")
+    groups: dict[tuple, list[str]] = {}
+    for r in found.collect():  # a row a file, as many as the listing of the folder holds
+        groups.setdefault((r["delimiter"], r["line"]), []).append(r["file"])
+    parts = []
+    for (delimiter, line), files in groups.items():
+        names = [re.sub(r"^[\"']|[\"']$", "", x.strip()).strip() for x in next(csv.reader([line], delimiter=delimiter))]
+        if any(not n for n in names):
+            raise ValueError(f"a header name is blank in {files[0]}")
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        rows = spark.read.csv(files, sep=delimiter, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE", quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        last = {n: i for i, n in enumerate(names)}
+        cells = [x for n, i in last.items() for x in (F.lit(n), clean_cell(F.col(f"_c{i}")))]
+        parts.append(rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.create_map(*cells).alias("payload")).withColumn("__at", F.monotonically_increasing_id()))
+    if not parts:
+        return spark.createDataFrame([], "file string, row_no long, payload map<string,string>")
+    return number_rows(reduce(DataFrame.unionByName, parts), ["file"], ["__start", "__at"], "row_no").select("file", "row_no", "payload")
+
+
 def sheet_inventory(rows: DataFrame) -> DataFrame:
     """Row and column counts per ``file, sheet`` of landed sheet rows with a ``payload`` map."""
     return rows.groupBy("file", "sheet").agg(F.min("sheet_pos").alias("sheet_pos"), F.count(F.lit(1)).alias("row_count"), F.max(F.size(F.map_keys("payload"))).alias("column_count"))

@@ -63,14 +63,15 @@ def open_jobs(requests: DataFrame, now: str) -> DataFrame:
 
 
 def update_jobs(jobs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Jobs after ``updates(id, seq, ...)``, the last by ``seq`` winning column by column, and the updates of unknown jobs.
+    """Jobs after ``updates(tenant_id, id, seq, ...)``, the last by ``seq`` winning column by column, and the updates of unknown jobs.
 
-    A column that an update leaves null keeps its value.
+    A column that an update leaves null keeps its value.  Updates without a tenant column go by the id alone.
     """
-    given = [c for c in updates.columns if c in jobs.columns and c != "id"]
-    last = updates.groupBy("id").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in given])
-    after = jobs.join(last, "id", "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in given else F.col(c) for c in jobs.columns])
-    return after, updates.join(jobs.select("id"), "id", "left_anti")
+    key = [c for c in ("tenant_id", "id") if c in updates.columns]
+    given = [c for c in updates.columns if c in jobs.columns and c not in key]
+    last = updates.groupBy(*key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in given])
+    after = jobs.join(last, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in given else F.col(c) for c in jobs.columns])
+    return after, updates.join(jobs.select(*key), key, "left_anti")
 
 
 def ingest_documents(documents: DataFrame, path: str, dictionary: DataFrame | None = None) -> DataFrame:

@@ -2,50 +2,94 @@
 
 Each takes a streaming DataFrame and returns a started query or a streaming
 DataFrame; the batch operators hold the semantics.
+
+What depends on the order of events waits in the RocksDB state store until the
+watermark has passed it, so results are the same however files are cut into batches, in whatever
+order they come, as long as no row is later than ``delay``; only rows below the watermark are
+dropped.  What is newer than the watermark at a stream's end stays open; a last row with a
+later time and null keys (``end_marker``) closes it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import action, ingest, reason
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOUR_MS = 3_600_000
+
+
+def with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str = "EventTime") -> DataFrame:
+    """``rows`` grouped by ``keys`` through a processor whose state is kept in RocksDB."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", time)
+
+
+def end_marker(rows: DataFrame, time: str, after: str) -> DataFrame:
+    """One row with null keys and a time ``after`` the last of ``rows``; as a stream's last file it moves the watermark past everything."""
+    last = rows.agg((F.max(time) + F.expr(f"INTERVAL {after}")).alias(time))
+    return last.select(*[F.col(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+
 
 def file_stream(spark: SparkSession, schema, path: str, max_files: int = 100) -> DataFrame:
     """Files of a folder as they come; the checkpoint keeps what was read, in place of a hand-kept cursor."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def stream_ingest(rows: DataFrame, out: str, checkpoint: str):
-    """Write normalized rows, dead letters, counts and the hashes seen of each batch below ``out``; each row is tagged once.
+class FirstOfHash(StatefulProcessor):
+    """Remembers each hash of a job; the row with the least index of the first batch that has it is the first."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "first long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = list(rows)
+        first = self.seen.get()[0] if self.seen.exists() else None
+        if first is None:
+            first = min(int(p["row_index"].min()) for p in parts)
+            self.seen.update((first,))
+            fresh = True
+        else:
+            fresh = False
+        for p in parts:
+            once = p["row_index"] == first if fresh else pd.Series(False, index=p.index)
+            if fresh and once.any():  # of rows with one index the first that comes
+                once &= ~once.duplicated() | ~once
+                fresh = False
+            yield pd.DataFrame({"tenant_id": key[0], "job_id": key[1], "row_hash": key[2], "data_source_id": p["data_source_id"], "row_index": p["row_index"], "raw_json": p["raw_json"], "again": ~once})
+
 
-    A row is a duplicate if an earlier batch of its job holds its hash, or an earlier row of its batch.  A batch that
-    runs again replaces its own folders and reads those of the batches before it only.
+def stream_ingest(rows: DataFrame, out: str, checkpoint: str, keep: int | None = None):
+    """Write normalized rows, dead letters and counts of each batch below ``out``; each row is tagged once.
+
+    A row is a duplicate if an earlier batch of its job holds its hash, or an earlier row of its batch.  The hashes
+    seen are keyed state (for ``keep`` milliseconds, or for ever), so a batch costs what its own rows cost,
+    however many came before.  A batch that runs again replaces its own folders.
     """
-    spark = rows.sparkSession
-    jobs = ["tenant_id", "job_id"]
+    tagged = ingest.tag_outcomes(rows, deduplicate=False)
+    columns = ["tenant_id", "job_id", "row_hash", "data_source_id", "row_index", "raw_json"]
+    judged = tagged.filter("outcome <> 'EMPTY_OR_INVALID_ROW'").select(*columns)
+    again = with_state(judged, columns[:3], FirstOfHash(keep), "tenant_id string, job_id string, row_hash string, data_source_id string, row_index long, raw_json string, again boolean", "ProcessingTime")
+    empty = tagged.filter("outcome = 'EMPTY_OR_INVALID_ROW'").select(*columns, F.lit(False).alias("again"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        tagged = ingest.tag_outcomes(batch)
-        hashes = tagged.filter("outcome <> 'EMPTY_OR_INVALID_ROW'").select(*jobs, "row_hash").distinct()
-        if epoch:
-            before = spark.read.schema(hashes.schema).parquet(*[f"{out}/seen/epoch={e}" for e in range(epoch)])
-            known = before.select(*jobs, "row_hash", F.lit(True).alias("__known"))
-            again = F.coalesce("__known", F.lit(False)) & (F.col("outcome") != "EMPTY_OR_INVALID_ROW")
-            tagged = tagged.join(known, [*jobs, "row_hash"], "left").withColumn("outcome", F.when(again, "DUPLICATE").otherwise(F.col("outcome"))).drop("__known")
-            hashes = hashes.join(before, [*jobs, "row_hash"], "left_anti")
-        tagged = tagged.persist()
-        for name, part in (("normalized", ingest.normalized(tagged)), ("dead_letters", ingest.dead_letters(tagged)), ("counts", ingest.job_summary(tagged).drop("status")), ("seen", hashes)):
+        known = ingest.tag_outcomes(batch.drop("row_hash"), deduplicate=False)
+        known = known.withColumn("outcome", F.when(F.col("again"), "DUPLICATE").otherwise(F.col("outcome"))).drop("again").persist()
+        for name, part in (("normalized", ingest.normalized(known)), ("dead_letters", ingest.dead_letters(known)), ("counts", ingest.job_summary(known).drop("status"))):
             part.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
-        tagged.unpersist()
+        known.unpersist()
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return again.unionByName(empty).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_job_summary(spark: SparkSession, out: str) -> DataFrame:
@@ -74,65 +118,156 @@ def stream_correlate(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS,
     return out
 
 
+class TrailingHour(StatefulProcessor):
+    """Times of an asset by minute; a minute is counted once the watermark has passed its end."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.minutes = handle.getMapState("minutes", "minute long", "times array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] is not None:
+            for part in rows:
+                for minute, times in part["micros"].groupby(part["micros"] // 60_000_000):
+                    known = self.minutes.getValue((minute,))[0] if self.minutes.containsKey((minute,)) else []
+                    self.minutes.updateValue((minute,), ([*known, *map(int, times)],))
+                    if not known:
+                        self.handle.registerTimer((int(minute) + 1) * 60_000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        minute = expiredTimerInfo.getExpiryTimeInMs() // 60_000 - 1
+        within = [m for (m,) in list(self.minutes.keys()) if m <= minute]
+        for m in within:
+            if m < minute - 60:
+                self.minutes.removeKey((m,))
+        held = sorted(t for m in within if m >= minute - 60 for t in self.minutes.getValue((m,))[0])
+        new = [t for t in held if t // 60_000_000 == minute]
+        n = [bisect_right(held, t) - bisect_left(held, t - HOUR_MS * 1000) for t in new]
+        hit = [(key[0], key[1], t, k) for t, k in zip(new, n) if k >= self.limit]
+        if hit:
+            yield pd.DataFrame(hit, columns=["tenant_id", "entity_id", "micros", "n"])
+
+
 def stream_rate_guard(actions: DataFrame, limit: int = 5, delay: str = "10 minutes") -> DataFrame:
     """``tenant_id, entity_id, ts, n`` of each action that is the ``limit``-th or a later one of its asset's trailing hour, both ends included.
 
-    The state of an asset is the times of its last hour; it ends when the watermark passes them.
+    The state of an asset is the times of the last hour and of what the watermark has not passed.
     """
-    hour = 3_600_000_000
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = np.array(state.get[0], np.int64) if state.exists else np.zeros(0, np.int64)
-        new = np.sort(np.concatenate([p["micros"].to_numpy(np.int64) for p in parts]))
-        times = np.sort(np.concatenate([kept, new]))
-        n = np.searchsorted(times, new, "right") - np.searchsorted(times, new - hour, "left")
-        times = times[times >= times[-1] - hour]
-        state.update((times.tolist(),))
-        state.setTimeoutTimestamp(max(int(times[-1] + hour) // 1000, state.getCurrentWatermarkMs() + 1))
-        hit = n >= limit
-        yield pd.DataFrame({"tenant_id": key[0], "entity_id": key[1], "micros": new[hit], "n": n[hit]})
-
     timed = actions.withWatermark("ts", delay).select("tenant_id", "entity_id", "ts", F.unix_micros("ts").alias("micros"))
-    found = timed.groupBy("tenant_id", "entity_id").applyInPandasWithState(step, "tenant_id string, entity_id string, micros long, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    found = with_state(timed, ["tenant_id", "entity_id"], TrailingHour(limit), "tenant_id string, entity_id string, micros long, n long")
     return found.select("tenant_id", "entity_id", F.timestamp_micros("micros").alias("ts"), "n")
 
 
-def stream_feedback(readings: DataFrame, delay: str = "10 minutes") -> DataFrame:
+class FirstSettled(StatefulProcessor):
+    """The first settling reading of an execution by event time, or its last value once the watermark passes ``due`` and the patience."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("execution", "done boolean, first_ts long, status string, value double, elapsed double, last_ts long, last_value double, close_ms long, most double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return iter(())
+        done, first, status, value, elapsed, last, last_value, close, most = self.state.get() if self.state.exists() else (False, None, None, None, None, None, None, None, None)
+        for part in rows:
+            for r in part.itertuples():
+                end = int(r.due_ms) + self.patience_ms
+                if close is None:
+                    close, most = end, float(r.max_minutes)
+                    self.handle.registerTimer(close)
+                if r.micros > close * 1000:
+                    continue
+                if r.status != "MONITORING_IN_PROGRESS" and (first is None or (r.micros, r.value) < (first, value)):
+                    first, status, value, elapsed = int(r.micros), r.status, float(r.value), float(r.elapsed_minutes)
+                    if not done:
+                        self.handle.registerTimer(first // 1000 + 1)
+                if last is None or (r.micros, r.value) > (last, last_value):
+                    last, last_value = int(r.micros), float(r.value)
+        self.state.update((done, first, status, value, elapsed, last, last_value, close, most))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        done, first, status, value, elapsed, last, last_value, close, most = self.state.get()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        settled = first is not None and first // 1000 < at
+        if not done and (settled or at >= close):
+            row = (key[0], status, value, elapsed) if settled else (key[0], "TIMEOUT_FAILED", last_value, most)
+            yield pd.DataFrame([row], columns=["execution_id", "status", "value", "elapsed_minutes"])
+            self.state.update((True, first, status, value, elapsed, last, last_value, close, most))
+        if at >= close:
+            self.state.clear()
+
+
+def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms: int = 24 * HOUR_MS) -> DataFrame:
     """Closed-loop feedback per execution over a stream of its readings.
 
     Input: ``execution_id, ts, started_at, value, baseline, target, op, max_minutes``.  An execution is settled once, by
-    the first reading that resolves, deteriorates or comes after its window, or, where no reading does, when
-    the watermark passes the end of the window (then with its last value).
+    the first reading (by its time) that resolves, deteriorates or comes after its window, or, where none does within
+    ``patience_ms`` after the window, by that time (then with its last value).  Readings after that are ignored.
     """
     elapsed = (F.unix_micros("ts") - F.unix_micros("started_at")) / F.lit(60e6)
     status = action.feedback_status(F.col("value"), F.col("baseline"), F.col("target"), F.col("op"), elapsed, F.col("max_minutes"))
     due = F.unix_micros("started_at") / 1000 + F.col("max_minutes") * 60_000
-    names = ["execution_id", "status", "value", "elapsed_minutes"]
-    judged = readings.withWatermark("ts", delay).select("execution_id", "ts", "value", elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), "max_minutes")
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        settled, last_ts, last_value, due_ms, most = state.get if state.exists else (False, None, None, 0, 0.0)
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], "TIMEOUT_FAILED", last_value, most)], columns=names)
-            state.update((True, last_ts, last_value, due_ms, most))
-            return
-        if settled:
-            return
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        done = rows[rows["status"] != "MONITORING_IN_PROGRESS"]
-        if len(done):
-            yield done.head(1).assign(execution_id=key[0])[names]
-            state.update((True, last_ts, last_value, due_ms, most))
-            return
-        tail = rows.iloc[-1]
-        at = tail["ts"].value // 1000
-        if last_ts is None or at >= last_ts:
-            last_ts, last_value = at, float(tail["value"])
-        state.update((False, last_ts, last_value, int(tail["due_ms"]), float(tail["max_minutes"])))
-        state.setTimeoutTimestamp(max(int(tail["due_ms"]), state.getCurrentWatermarkMs() + 1))
-
-    schema = "execution_id string, status string, value double, elapsed_minutes double"
-    return judged.groupBy("execution_id").applyInPandasWithState(step, schema, "settled boolean, last_ts long, last_value double, due_ms long, most double", "append", GroupStateTimeout.EventTimeTimeout)
+    judged = readings.withWatermark("ts", delay).select("execution_id", "ts", F.unix_micros("ts").alias("micros"), "value", elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), "max_minutes")
+    return with_state(judged, ["execution_id"], FirstSettled(patience_ms), "execution_id string, status string, value double, elapsed_minutes double")
+
+
+class Breaches(StatefulProcessor):
+    """First breach of each class and last temperature breach of an incident, until it has been quiet for a while."""
+
+    FIELDS = ("pressure", "temp", "vib", "last")
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        one = ", ".join(f"{f}_ts long, {f}_seq long, {f}_entity string, {f}_value double" for f in self.FIELDS)
+        self.state = handle.getValueState("incident", f"n long, newest long, {one}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] is None:
+            return iter(())
+        old = self.state.get() if self.state.exists() else (0, 0, *[None] * 16)
+        n, newest = old[0], old[1]
+        kept = {f: tuple(old[2 + 4 * i : 6 + 4 * i]) for i, f in enumerate(self.FIELDS)}
+        for part in rows:
+            for r in part.itertuples():
+                newest = max(newest, int(r.micros))
+                row = (int(r.micros), int(r.seq), r.entity_id, None if pd.isna(r.value) else float(r.value))
+                for f in ("pressure", "temp", "vib"):
+                    if getattr(r, f) and (kept[f][0] is None or row[:2] < kept[f][:2]):
+                        kept[f] = row
+                if r.temp:
+                    n += 1
+                    if kept["last"][0] is None or row[:2] > kept["last"][:2]:
+                        kept["last"] = row
+        self.state.update((n, newest, *[x for f in self.FIELDS for x in kept[f]]))
+        self.handle.registerTimer(newest // 1000 + self.quiet_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else None
+        if state is None or expiredTimerInfo.getExpiryTimeInMs() < state[1] // 1000 + self.quiet_ms:
+            return  # closed before, or a later reading has moved the end
+        self.state.clear()
+        yield pd.DataFrame([(key[0], key[1], *state)], columns=["tenant_id", "incident_id", "n_temp", "newest", *[f"{f}_{c}" for f in self.FIELDS for c in ("ts", "seq", "entity", "value")]])
+
+
+def stream_patterns(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS, delay: str = "10 minutes", quiet_ms: int = 24 * HOUR_MS) -> DataFrame:
+    """All patterns of each incident, drift included, as ``reason.correlate`` gives them, once the incident has been quiet for ``quiet_ms`` of event time."""
+    flags = [reason.breaches(k).alias(k) for k in ("pressure", "temp", "vib")]
+    timed = telemetry.withWatermark("ts", delay).select("tenant_id", "incident_id", "ts", F.unix_micros("ts").alias("micros"), F.col("seq").cast("long").alias("seq"), "entity_id", F.col("value").cast("double").alias("value"), *flags)
+    one = ", ".join(f"{f}_ts long, {f}_seq long, {f}_entity string, {f}_value double" for f in Breaches.FIELDS)
+    found = with_state(timed, ["tenant_id", "incident_id"], Breaches(quiet_ms), f"tenant_id string, incident_id string, n_temp long, newest long, {one}")
+    row = lambda f: F.when(F.col(f"{f}_ts").isNotNull(), F.struct(F.col(f"{f}_entity").alias("entity_id"), F.col(f"{f}_value").alias("value"), F.timestamp_micros(f"{f}_ts").alias("ts")))
+    return reason.patterns(found.select("tenant_id", "incident_id", row("pressure").alias("p"), row("temp").alias("t"), row("vib").alias("v"), row("last").alias("t_last"), "n_temp"), window)
