@@ -14,6 +14,11 @@ match, and their matched words are added up.  Reported are the matched coverage
 of the template and the byte span of the match in the text; of overlapping
 matches the one with most matched words, then the largest coverage.
 
+Licenses that are declared by name need no alignment: ``SPDX-License-Identifier:`` is followed by an expression
+that is parsed by its grammar (a row for each id, ``-spdx``), ``License:`` by a usual short name (``-declared``).
+A whole text is not named after a sibling whose text it holds: where a word near its beginning tells that it is another license
+of the same wording (``SIBLINGS``), it is reported as ``sibling-of-...``.
+
 The templates are a fixed list: notices and opening clauses (``TEMPLATES``) and
 whole license texts (the files of ``license_texts``, named with ``-text``); what
 is sent to the tasks is bounded by ``MAX_TEMPLATE_BYTES``.
@@ -27,6 +32,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from importlib import resources
 
@@ -73,15 +79,86 @@ for _code, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
     TEMPLATES.setdefault(f"CC-{_code}-4.0", f"This work is licensed under a Creative Commons {_long} 4.0 International License.")
     TEMPLATES.setdefault(f"CC-{_code}-3.0-notice", f"Licensed under CC {_code} 3.0.")
     TEMPLATES.setdefault(f"CC-{_code}-3.0", f"This work is licensed under a Creative Commons {_long} 3.0 Unported License.")
-for _id in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib",
-            *(f"{k}-{v}{w}" for k, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for w in ("", "-only", "-or-later"))):
-    TEMPLATES[f"{_id}-spdx"] = f"SPDX-License-Identifier: {_id}"
 for _id, _long in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD", "BSD"), ("Apache-2.0", "Apache-2.0"), ("Apache-2.0", "Apache 2.0")):
     for _way, _words in (("under", "Licensed under the {} license"), ("terms", "Licensed under the terms of the {} license"), ("released", "Released under the {} license")):
         TEMPLATES.setdefault(f"{_id}-notice-{_way}", _words.format(_long))
 for _kind, _short, _version in (("", "GPL", "2"), ("", "GPL", "3"), ("Lesser ", "LGPL", "2.1"), ("Lesser ", "LGPL", "3"), ("Affero ", "AGPL", "3")):
     TEMPLATES[f"{_short}-{_version}-later"] = f"GNU {_kind}General Public License v{_version} or later"
     TEMPLATES[f"{_short}-{_version}-short"] = f"GNU {_kind}General Public License v{_version}"
+# Opening sentences and usual short forms.
+TEMPLATES |= {
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "MIT-title": "The MIT License",
+    "Apache-2.0-short": "Apache License 2.0",
+    "Apache-2.0-url": "apache.org/licenses/LICENSE-2.0",
+    "BSD-3-Clause-title": "BSD 3-Clause License",
+    "BSD-2-Clause-title": "BSD 2-Clause License",
+}
+for _kind, _version in (("", "2"), ("", "3"), ("Lesser ", "2.1"), ("Lesser ", "3"), ("Affero ", "3")):
+    _short = {"": "GPL", "Lesser ": "LGPL", "Affero ": "AGPL"}[_kind]
+    TEMPLATES[f"{_short}-{_version}-version-later"] = f"GNU {_short} version {_version} or later"
+    TEMPLATES[f"{_short}-{_version}-version"] = f"GNU {_short} version {_version}"
+# Words near its beginning that tell a text's siblings, whose own texts aren't held, from it.
+SIBLINGS = {"GPL-3.0-text": ("affero",), "GPL-2.0-text": ("affero", "lesser", "library"), "GPL-1.0-text": ("affero", "lesser", "library")}
+ALIASES = {"mit": "MIT", "isc": "ISC", "bsd": "BSD", "apache 2.0": "Apache-2.0", "apache-2.0": "Apache-2.0", "apache2": "Apache-2.0", "unlicense": "Unlicense", "zlib": "Zlib",
+           **{f"{k}v{v}": f"{k.upper()}-{v}" for k, v in (("gpl", "2"), ("gpl", "3"), ("lgpl", "2.1"), ("lgpl", "3"), ("agpl", "3"))}, "mpl 2.0": "MPL-2.0", "mpl-2.0": "MPL-2.0", "epl-2.0": "EPL-2.0"}
+FAMILIES = set(("MIT ISC Apache BSD 0BSD GPL LGPL AGPL GFDL MPL EPL CPL CC CC0 Unlicense Zlib BSL Artistic PSF Python OFL NCSA WTFPL X11 PostgreSQL CDDL EUPL OSL AFL MS Ruby PHP "
+                "OpenSSL curl JSON LicenseRef DocumentRef LPPL NPL SISSL W3C Vim ECL CECILL ODbL PDDL UPL BlueOak MulanPSL HPND NTP libpng Libpng Beerware SSPL BUSL Elastic").split())
+_TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]\+?|[A-Za-z0-9]\+?)")
+_ALIAS = re.compile(rb"[ \t]*(" + b"|".join(re.escape(a.encode()) for a in sorted(ALIASES, key=len, reverse=True)) + rb")\+?(?![A-Za-z0-9-])", re.IGNORECASE)
+
+
+def declared_expression(line: bytes) -> list[tuple[str, int]]:
+    """The license ids of an SPDX expression at the start of ``line`` with their ends; exceptions stay with their license.
+
+    Ids of known ``FAMILIES`` are joined by OR and AND, in any number of parentheses; what follows the expression is left alone.
+    """
+    out: list[tuple[str, int]] = []
+    at, depth, want = 0, 0, True
+    while m := _TOKEN.match(line, at):
+        word = m[1].decode()
+        if want and word == "(":
+            depth += 1
+        elif want and word.rstrip("+").split("-")[0] in FAMILIES:
+            out.append((word, m.end()))
+            want = False
+        elif not want and word == ")" and depth:
+            depth -= 1
+        elif not want and word == "WITH" and (e := _TOKEN.match(line, m.end())) and e[1] not in (b"(", b")"):
+            out[-1] = (f"{out[-1][0]} WITH {e[1].decode()}", e.end())
+            m = e
+        elif not want and word in ("OR", "AND"):
+            want = True
+        else:
+            break
+        at = m.end()
+    return out
+
+
+def _declared(buf: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, h: np.ndarray) -> list[tuple]:
+    """``doc, license, n_words, start, end`` of what ``SPDX-License-Identifier:`` and ``License:`` lines name."""
+    out = []
+    after = buf[np.minimum(end, len(buf) - 1)] == 58 if len(end) else np.zeros(0, bool)
+    tag = np.flatnonzero((h == _TAG[2]) & after & (end < off[doc + 1]))
+    tag = tag[tag >= 2]
+    tag = tag[(h[tag - 1] == _TAG[1]) & (h[tag - 2] == _TAG[0]) & (doc[tag - 2] == doc[tag])]
+    plain = np.flatnonzero((h == _TAG[1]) & after & (end < off[doc + 1]))
+    for places, first, spdx in ((tag, tag - 2, True), (plain, plain, False)):
+        for t, f in zip(places.tolist(), first.tolist()):
+            stop = int(off[doc[t] + 1])
+            line = buf[int(end[t]) + 1 : stop].tobytes().split(b"\n", 1)[0]
+            if spdx:
+                found = [(f"{x}-spdx", e, 3 + len(re.findall(r"[A-Za-z0-9]+", x))) for x, e in declared_expression(line)]
+            else:
+                m = _ALIAS.match(line)
+                found = [(f"{ALIASES[m[1].decode().lower()]}-declared", m.end(), 2)] if m else []
+            out += [(int(doc[t]), name, n, int(start[f] - off[doc[t]]), int(end[t] + 1 + e - off[doc[t]])) for name, e, n in found]
+    return out
+
+
 _MARKS = np.ones(256, dtype=bool)
 _MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = _MARKS[128:] = False
 
@@ -92,6 +169,14 @@ def words(buf: np.ndarray, off: np.ndarray):
     return start, end, doc, span_hash(prefix_sums(LOWER[buf]), start, end)
 
 
+def _word_hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return words(raw, np.array([0, len(raw)]))[3]
+
+
+_TAG = _word_hashes("spdx license identifier")
+
+
 def gram_hashes(h: np.ndarray, k: int = GRAM) -> np.ndarray:
     n = max(0, len(h) - k + 1)
     total = np.full(n, 3, dtype=np.uint64)
@@ -216,6 +301,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        siblings = {index["names"].index(name): _word_hashes(" ".join(marks)) for name, marks in SIBLINGS.items() if name in index["names"]}
         for batch in batches:
             out: list[tuple] = []
             for row, _, buf, off in chunks(batch.column(1)):
@@ -244,9 +330,11 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
                         b = min(int(first_word[d + 1]), group[-1] + len(template) + near)
                         wide = near + group[-1] - group[0]
                         if most_common(template, h[a:b]) >= least:
-                            c, i, j = banded_alignment(template, h[a:b], wide)
+                            # the band lies around the diagonals also where the text begins inside it
+                            cut = a - (group[0] - near)
+                            c, i, j = banded_alignment(template, np.concatenate([np.zeros(cut, np.uint64), h[a:b]]), wide)
                             if c >= least:
-                                pieces.setdefault((d, index["whole"][p]), []).append((a + i, a + j, p, c))
+                                pieces.setdefault((d, index["whole"][p]), []).append((a + i - cut, a + j - cut, p, c))
                         group = [x]
                 matches: dict[int, list[tuple]] = {}
                 for (d, t), found in pieces.items():
@@ -261,7 +349,12 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage
                     for c, share, i, j, t in sorted(found):
                         if all(j < x or i > y for x, y in taken):
                             taken.append((i, j))
-                            out.append((row + d, index["names"][t], index["sizes"][t], -c, -share, int(start[i] - off[d]), int(end[j] - off[d])))
+                            name = index["names"][t]
+                            near = slice(max(int(first_word[d]), i - 8), i + 12)
+                            if t in siblings and np.isin(h[near], siblings[t]).any():
+                                name = f"sibling-of-{name}"
+                            out.append((row + d, name, index["sizes"][t], -c, -share, int(start[i] - off[d]), int(end[j] - off[d])))
+                out += [(row + d, name, n, n, 1.0, a, b) for d, name, n, a, b in _declared(buf, off, start, end, doc, h)]
             if out:
                 rows, *rest = zip(*out)
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
