@@ -146,13 +146,23 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.unionByName(count)
 
 
-def dossier(roots: DataFrame, nodes: DataFrame, edges: DataFrame, as_of=None) -> DataFrame:
-    """The surroundings of each root within three hops either way: name lists by kind, the last plant, line, cell and station found, and a sentence."""
+def dossier_members(roots: DataFrame, nodes: DataFrame, edges: DataFrame, as_of=None) -> DataFrame:
+    """``tenant_id, root_id, node_id, name, entity_type, canonical_id, depth, bucket, at``: what surrounds each root, one row a node.
+
+    ``bucket`` names the dossier's list (null for none) and ``at`` orders it by discovery.  However many
+    nodes a hub leads to, they stay rows; ``dossier`` makes lists of them.
+    """
     reached, _ = traverse(roots, nodes, edges, "BOTH", 3, as_of)
     known = nodes.select("tenant_id", F.col("id").alias("node_id"), "entity_type", "name", "canonical_id")
     around = reached.filter("node_id <> root_id").join(known, ["tenant_id", "node_id"])
     place = F.create_map(*[F.lit(x) for kv in BUCKETS.items() for x in kv])
-    around = around.withColumn("bucket", F.try_element_at(place, F.col("entity_type"))).withColumn("at", F.struct("depth", "path", "node_id"))
+    return around.select("tenant_id", "root_id", "node_id", "name", "entity_type", "canonical_id", "depth", F.try_element_at(place, F.col("entity_type")).alias("bucket"), F.struct("depth", "path", "node_id").alias("at"))
+
+
+def dossier(roots: DataFrame, nodes: DataFrame, edges: DataFrame, as_of=None) -> DataFrame:
+    """The surroundings of each root within three hops either way: name lists by kind, the last plant, line, cell and station found, and a sentence."""
+    known = nodes.select("tenant_id", F.col("id").alias("node_id"), "entity_type", "name", "canonical_id")
+    around = dossier_members(roots, nodes, edges, as_of)
     lists = [F.transform(F.sort_array(F.collect_list(F.when(F.col("bucket") == b, F.struct("at", "name")))), lambda x: x["name"]).alias(b) for b in dict.fromkeys(BUCKETS.values())]
     slots = [F.max_by(F.when(F.col("entity_type") == s, F.col("name")), F.when(F.col("entity_type") == s, F.col("at"))).alias(s.lower()) for s in SLOTS]
     found = around.groupBy("tenant_id", "root_id").agg(*lists, *slots)
@@ -160,6 +170,7 @@ def dossier(roots: DataFrame, nodes: DataFrame, edges: DataFrame, as_of=None) ->
     out = own.join(found, ["tenant_id", "root_id"], "left")
     for b in dict.fromkeys(BUCKETS.values()):
         out = out.withColumn(b, F.coalesce(b, F.array().cast("array<string>")))
+    # The wording of the sentence.
     sentence = F.format_string("%s (%s) located at %s // %s. Configured with %d active sensors, executing %d work orders, with %d logged maintenance events.",
                                "name", "entity_type", F.coalesce("plant", F.lit("Main Facility")), F.coalesce("line", F.lit("Unassigned Line")), F.size("sensors"), F.size("work_orders"), F.size("maintenance_orders"))
     return out.withColumn("summary", sentence)

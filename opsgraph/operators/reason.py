@@ -143,6 +143,7 @@ def analyze_incidents(incidents: DataFrame, telemetry: DataFrame, document_hits:
     ev = evidence.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_evidence"))
     out = incidents.withColumnRenamed("id", "incident_id").join(hs, KEY).join(rs, KEY, "left").join(ev, KEY, "left").na.fill(0, ["n_recommendations", "u2", "n_evidence"])
     out = with_target_name(out, nodes) if nodes is not None else out.withColumn("target_name", F.col("target_entity_id"))
+    # The wording of the summary.
     text = F.format_string("Diagnostic investigation of %s on %s. Identified %d evidence-backed hypotheses and %d actionable recommendations.", "error_code", "target_name", "n_hypotheses", "n_recommendations")
     return out.withColumn("unsupported_claims", F.col("u1") + F.col("u2")).withColumn("summary", text).drop("u1", "u2")
 

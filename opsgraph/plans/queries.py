@@ -660,6 +660,14 @@ def stream_patterns(spark, d):
     return x.select("tenant_id", "incident_id", "pattern_type", F.concat_ws(",", "entities").alias("entities"), "seconds", "coefficient", "causal")
 
 
+def dossier_members(spark, d):
+    """Every list of the dossiers, on nodes of more kinds."""
+    kinds = F.array(*[F.lit(k) for k in ("Sensor", "Component", "Tool", "MaintenanceOrder", "FailureMode", "SparePart", "Defect", "Inspection", "Serial")])
+    nodes = load(spark, d, "nodes").withColumn("entity_type", F.when(F.col("entity_type") == "Sensor", F.get(kinds, (F.col("seq") % 9).cast("int"))).otherwise(F.col("entity_type")))
+    x = graph.dossier_members(_roots(spark, d, "Line"), nodes, load(spark, d, "edges"), AS_OF)
+    return x.filter("bucket IS NOT NULL").select("tenant_id", "root_id", "node_id", "name", "bucket", F.col("depth").cast("long").alias("depth"))
+
+
 def bm25_ranking(spark, d):
     """Every hit of the questions, not only the first ones."""
     hits = search.bm25_search(load(spark, d, "asked"), documents_as_chunks(spark, d))
@@ -749,4 +757,4 @@ ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_out
        latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context, chunk_manuals, search_manuals,
        rca_evidence_full, analyze_incidents_full, resolve_reasons, apply_resolution, decide_reviews, ingestion_jobs, number_rows, append_edges, ingest_documents, ingest_rollup, documents_of_tenant, chunks_of_document, bm25_remove, roles_with_permissions, permissions_by_category, clean_cells,
        connected_names, incident_or_first, upsert_memberships, upsert_rows, delete_tenant, register_sources, append_partitioned, page_checksum, sheet_inventory, pending_reviews, mark_rolled_back, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard, stream_patterns,
-       bm25_ranking, graph_channel, link_to_linked, evidence_quotes, export_audit, user_listing, resolve_dead_letter, one_source, scan_folder, scan_profile]
+       dossier_members, bm25_ranking, graph_channel, link_to_linked, evidence_quotes, export_audit, user_listing, resolve_dead_letter, one_source, scan_folder, scan_profile]
