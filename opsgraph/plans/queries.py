@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.hashing import audit_checksum, bucket, word_terms
-from ..operators import access, action, audit, graph, guards, ingest, listing, reason, resolve, search
+from ..operators import access, action, audit, graph, guards, ingest, listing, postings, reason, resolve, search
 from ..sources import landed, sinks
 from ..streaming import streams
 from .adapters import load
@@ -674,6 +674,19 @@ def bm25_ranking(spark, d):
     return hits.select("tenant_id", "query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def indexed_search(spark, d):
+    """The first hits from a written index, added to twice, a seventh of its chunks removed."""
+    import uuid
+
+    path = f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    chunks = documents_as_chunks(spark, d)
+    for part in (0, 1):
+        postings.add_chunks(chunks.filter(F.col("chunk_seq.seq") % 2 == part), path)
+    postings.remove_chunks(chunks.filter("chunk_seq.seq % 7 = 0").select("tenant_id", F.col("id").alias("chunk_id")), path)
+    hits, _ = postings.search_index(spark, load(spark, d, "asked"), path)
+    return hits.select("tenant_id", "query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def graph_channel(spark, d):
     """Questions that name nodes: two points for a named one, one for the target's surroundings."""
     nodes, edges = _search_nodes(spark, d)
@@ -757,4 +770,4 @@ ALL = [bm25_search, hybrid_search, profile_columns, detect_delimiter, ingest_out
        latest_orders, recent_actions, describe_tables, link_mentions, first_mention, apply_rejections, denied_permissions, denied_audit, actions_last_hour, review_queue, assemble_context, chunk_manuals, search_manuals,
        rca_evidence_full, analyze_incidents_full, resolve_reasons, apply_resolution, decide_reviews, ingestion_jobs, number_rows, append_edges, ingest_documents, ingest_rollup, documents_of_tenant, chunks_of_document, bm25_remove, roles_with_permissions, permissions_by_category, clean_cells,
        connected_names, incident_or_first, upsert_memberships, upsert_rows, delete_tenant, register_sources, append_partitioned, page_checksum, sheet_inventory, pending_reviews, mark_rolled_back, stream_ingest, stream_correlate, stream_feedback, stream_rate_guard, stream_patterns,
-       dossier_members, bm25_ranking, graph_channel, link_to_linked, evidence_quotes, export_audit, user_listing, resolve_dead_letter, one_source, scan_folder, scan_profile]
+       dossier_members, bm25_ranking, indexed_search, graph_channel, link_to_linked, evidence_quotes, export_audit, user_listing, resolve_dead_letter, one_source, scan_folder, scan_profile]

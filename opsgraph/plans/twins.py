@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.access import ROLE_PERMISSIONS
 from ..operators.guards import KEYWORDS
 from .adapters import twin
@@ -394,6 +396,7 @@ _RAW |= {
     "stream_patterns": _RAW["correlate"],
     "dossier_members": _BOTH.replace("{depth}", "3") + """, x AS (SELECT m.*, n.name, CASE WHEN n.entity_type = 'Sensor' THEN ['sensors', 'components', 'tools', 'maintenance_orders', 'failure_modes', 'spare_parts', 'defects', 'inspections', 'products'][n.seq % 9 + 1] WHEN n.entity_type = 'WorkOrder' THEN 'work_orders' WHEN n.entity_type = 'Batch' THEN 'products' END AS bucket FROM m JOIN nodes n ON m.tenant_id = n.tenant_id AND m.node_id = n.id WHERE node_id <> root_id)
 SELECT tenant_id, root_id, node_id, name, bucket, depth FROM x WHERE bucket IS NOT NULL""",
+    "indexed_search": "WITH live AS (SELECT * FROM docs WHERE seq % 7 <> 0), " + re.sub(r"\bdocs\b", "live", _BM25).removeprefix("WITH "),
     "bm25_ranking": _BM25.replace(" WHERE rank <= 10", ""),
     "graph_channel": """WITH a AS (SELECT tenant_id, query_id, lower(CASE query_id WHEN 'q1' THEN 'state of the FRANCE line, and of china' WHEN 'q2' THEN 'Algeria again' ELSE query END) AS q, query_id IN ('q1', 'q3') AS aimed FROM asked),
 s AS (SELECT d.tenant_id, a.query_id, d.id AS chunk_id, d.seq, CASE WHEN aimed AND n_regionkey = 0 THEN 1.0 ELSE 0.0 END + CASE WHEN contains(q, lower(n_name)) THEN 2.0 ELSE 0.0 END AS score FROM docs d JOIN nation ON n_nationkey = d.seq % 25 JOIN a ON a.tenant_id = d.tenant_id)
