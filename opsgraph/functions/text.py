@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 ID_COLUMNS = ("id", "ID", "order_id", "OrderID", "order_number", "telemetry_id", "ticket_id", "code", "sku", "SKU")
 ERROR_CODE = r"(?i)\b((?:E|W|A|F|ALM|ERR|CODE)[-_]?(?:[A-Za-z0-9]{1,6}[-_])?[0-9]{2,6}[A-Za-z]?)\b"
-TECH_SPEC = r"(?i)([A-Za-z\s]+)[:=]\s*([0-9.]+\s*(?:bar|psi|rpm|mm|m/s|kw|v|vac|vdc|hz|khz|c|°c|celsius|kg|kn))\b"
+# a name is looked for where a run of letters and blanks begins (or the last match ended) and is not given back, so a run is read once
+TECH_SPEC = r"(?i)(?:\G|(?<![A-Za-z\s]))[A-Za-z\s]++[:=]\s*(?:[0-9.]+\s*(?:bar|psi|rpm|mm|m/s|kw|v|vac|vdc|hz|khz|c|°c|celsius|kg|kn))\b"
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}(T|\s)\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
@@ -76,12 +77,11 @@ def error_codes(text: Column) -> Column:
 
 def tech_specs(text: Column) -> Column:
     """``name: number unit`` pairs as a map; the last of equal names counts."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(TECH_SPEC), F.lit(1)), trimmed)
-    values = F.transform(F.regexp_extract_all(text, F.lit(TECH_SPEC), F.lit(2)), trimmed)
-    n = F.size(names)
-    keep = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.array_contains(F.slice(names, i + 1, F.greatest(n - i, F.lit(0))), F.element_at(names, i)))
-    last = F.transform(keep, lambda i: F.struct(F.element_at(names, i), F.element_at(values, i)))
-    return F.when(n > 0, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(TECH_SPEC), F.lit(0)), lambda m: F.transform(F.split(m, "[:=]"), trimmed))
+    # the pairs are bound to a name by a list of one, else the text would be matched anew for each of them
+    last = lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y[0] == x[0]))
+    maps = F.transform(F.array(found), lambda p: F.map_from_entries(F.transform(last(p), lambda x: F.struct(x[0], x[1]))))
+    return F.coalesce(F.get(maps, 0), F.create_map().cast("map<string,string>"))
 
 
 def table_cells(lines: Column) -> Column:

@@ -1,6 +1,9 @@
 """What holds only where tables are large: no cut lists, no repeated work, no pairs that counts can replace."""
 
-from opsgraph.operators import audit
+from conftest import DATA
+from opsgraph.functions import text as X
+from opsgraph.operators import audit, search
+from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
 from pyspark.sql import functions as F
 
@@ -12,3 +15,24 @@ def test_all_corrupted_ids_are_listed(spark):
     row = audit.verify_summary(signed, "key").first()
     assert row["tampered"] == 1200 and row["corrupted_ids"] == [f"a{i:04d}" for i in range(1200)]
     assert audit.verify_summary(signed, "key", listed=7).first()["corrupted_ids"] == [f"a{i:04d}" for i in range(7)]
+
+
+def test_specs_are_matched_once(spark):
+    rows = [("Max Pressure: 5 bar Speed= 700 rpm, x 3:4 bar a: b: 2 V",), ("Max Pressure: 5 bar\nMax Pressure: 7 bar",), ("no spec",), (None,), ("word " * 60_000,), ("Temp: 5 cX = 9 kW Y:3 mm",)]
+    df = spark.createDataFrame(rows, "t string")
+    specs = X.tech_specs(F.col("t"))
+    assert df.select(specs.alias("s"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    plain = r"(?i)([A-Za-z\s]+)[:=]\s*([0-9.]+\s*(?:bar|psi|rpm|mm|m/s|kw|v|vac|vdc|hz|khz|c|°c|celsius|kg|kn))\b"
+    want = df.filter("t IS NULL OR length(t) < 1000").select("t", *[F.regexp_extract_all("t", F.lit(plain), F.lit(i)).alias(f"g{i}") for i in (1, 2)]).collect()
+    want = {r["t"]: {k.strip(): v.strip() for k, v in zip(r["g1"] or [], r["g2"] or [])} for r in want}
+    got = {r["t"]: r["s"] for r in df.select("t", specs.alias("s")).collect()}
+    assert got.pop("word " * 60_000) == {} and got == want and got[rows[1][0]] == {"Max Pressure": "7 bar"}
+
+
+def test_manuals_are_many_tasks_and_bounded_slices(spark):
+    assert load(spark, DATA, "manuals").rdd.getNumPartitions() >= 4
+    assert list(search._slices([5, 5, 20, 1, 1], 10)) == [(0, 2), (2, 3), (3, 5)] and not list(search._slices([], 10))
+    docs = load(spark, DATA, "manuals").limit(40).withColumn("linked_entity_ids", F.array().cast("array<string>"))
+    docs = docs.unionByName(docs.limit(1).withColumns({"id": F.lit("none"), "content": F.lit(None).cast("string")})).cache()
+    small, large = (sorted(map(str, search.chunk_documents(docs, slice_bytes=n).collect())) for n in (1, 1 << 30))
+    assert small == large and len(small) > 40
