@@ -1,8 +1,11 @@
 """What holds only where tables are large: no cut lists, no repeated work, no pairs that counts can replace."""
 
+import random
+from datetime import datetime
+
 from conftest import DATA
 from opsgraph.functions import text as X
-from opsgraph.operators import audit, search
+from opsgraph.operators import audit, graph, search
 from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
 from pyspark.sql import functions as F
@@ -36,3 +39,22 @@ def test_manuals_are_many_tasks_and_bounded_slices(spark):
     docs = docs.unionByName(docs.limit(1).withColumns({"id": F.lit("none"), "content": F.lit(None).cast("string")})).cache()
     small, large = (sorted(map(str, search.chunk_documents(docs, slice_bytes=n).collect())) for n in (1, 1 << 30))
     assert small == large and len(small) > 40
+
+
+def test_counts_of_the_connected_equal_their_lists(spark):
+    """A graph with cycles, several hubs a root, roots alone, missing ends and other times."""
+    rng = random.Random(5)
+    kinds = ["WorkOrder", "Sensor", "Line", "Batch", "MaintenanceOrder", "Plant"]
+    nodes = [(f"t{i % 2}", f"n{i}", rng.choice(kinds), "C", f"name {i}", f"c{i}", i) for i in range(160)]
+    ends = [(t, f"n{rng.choice([t, t + 2, rng.randrange(176)])}", f"n{rng.randrange(176)}") for t in [0, 1] for _ in range(110)]
+    edges = [(f"t{t}", f"e{k}", a, b, "X", datetime(1990 + k % 12, 1, 1), None if k % 3 else datetime(1999, 1, 1), k) for k, (t, a, b) in enumerate(ends)]
+    n = spark.createDataFrame(nodes, "tenant_id string, id string, entity_type string, category string, name string, canonical_id string, seq long").cache()
+    e = spark.createDataFrame(edges, "tenant_id string, id string, source_id string, target_id string, relation_type string, valid_from timestamp, valid_to timestamp, seq long").cache()
+    roots = n.filter("entity_type IN ('WorkOrder', 'Line')").select("tenant_id", F.col("id").alias("root_id")).unionByName(spark.createDataFrame([("t0", "none")], "tenant_id string, root_id string"))
+    for as_of in ("1998-01-01 00:00:00", None):
+        lists = graph.dossier(roots, n, e, as_of).cache()
+        want = {(r["tenant_id"], r["root_id"], r["connected"][0], len(r["connected"])) for r in graph.connected_names(lists).collect()}
+        got = [(r["tenant_id"], r["root_id"], r["name"], r["n"]) for r in graph.connected_counts(roots, n, e, as_of).collect()]
+        assert len(got) == len(want) and set(got) == want and len({x[3] for x in got}) > 4
+        sums = {(r["tenant_id"], r["root_id"], r["plant"], r["n_sensors"], r["n_products"], r["n_maintenance_orders"]) for r in graph.dossier_counts(roots, n, e, as_of).collect()}
+        assert sums == {(r["tenant_id"], r["root_id"], r["plant"], len(r["sensors"]), len(r["products"]), len(r["maintenance_orders"])) for r in lists.collect()}
