@@ -6,10 +6,13 @@ Incidents: ``tenant_id, id, target_entity_id, error_code``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round
+from .graph import materialize
 from .mentions import mentions
 
 KEY = ["tenant_id", "incident_id"]
@@ -76,12 +79,17 @@ def doc_hits(incidents: DataFrame, chunks: DataFrame, hits: DataFrame | None = N
         asked = incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code")
         met = c.join(asked, KEY)
         return met.filter(F.array_contains("error_codes", F.col("error_code")) | F.contains(F.lower("content"), F.lower("error_code")))
+    asked = incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code")
+    return c.join(_cited(incidents, chunks), ["tenant_id", "chunk_id"]).join(asked, ["tenant_id", "error_code"])
+
+
+def _cited(incidents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``tenant_id, chunk_id, error_code`` of each code of the incidents that a chunk cites or contains."""
+    c = chunks.select("tenant_id", F.col("id").alias("chunk_id"), "content", "error_codes")
     codes = incidents.select("tenant_id", "error_code", F.lower("error_code").alias("term")).filter("error_code IS NOT NULL").distinct()
     inside = mentions(c.select("tenant_id", "chunk_id", F.lower("content").alias("text")), codes, "chunk_id").join(codes, ["tenant_id", "term"])
     cited = c.select("tenant_id", "chunk_id", F.explode("error_codes").alias("error_code")).join(codes, ["tenant_id", "error_code"], "left_semi")
-    met = inside.select("tenant_id", "chunk_id", "error_code").unionByName(cited).distinct()
-    asked = incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code")
-    return c.join(met, ["tenant_id", "chunk_id"]).join(asked, ["tenant_id", "error_code"])
+    return inside.select("tenant_id", "chunk_id", "error_code").unionByName(cited).distinct()
 
 
 def build_evidence(incidents: DataFrame, telemetry: DataFrame, document_hits: DataFrame | None = None, work_orders: DataFrame | None = None) -> DataFrame:
@@ -98,14 +106,37 @@ def build_evidence(incidents: DataFrame, telemetry: DataFrame, document_hits: Da
     return out
 
 
-def hypotheses(incidents: DataFrame, telemetry: DataFrame, evidence: DataFrame) -> DataFrame:
+def count_evidence(evidence: DataFrame) -> DataFrame:
+    """``tenant_id, incident_id, n_<source type>`` of the incidents that have evidence."""
+    return evidence.groupBy(*KEY).agg(*[F.sum((F.col("source_type") == k).cast("long")).alias(f"n_{k}") for k in WEIGHTS])
+
+
+def evidence_counts(incidents: DataFrame, telemetry: DataFrame, chunks: DataFrame | None = None, work_orders: DataFrame | None = None) -> DataFrame:
+    """What ``count_evidence`` gives for the readings, the ``chunks`` that cite an incident's code and the ``work_orders(tenant_id, target_entity_id)`` of its asset.
+
+    Manuals are counted by code and orders by asset, before incidents are joined: a code of many incidents and many
+    manuals, or a busy asset, is one count and not all their pairs.
+    """
+    asked = incidents.select("tenant_id", F.col("id").alias("incident_id"), "target_entity_id", "error_code")
+    sensor, manual, order = (f"n_{k}" for k in WEIGHTS)
+    read = build_evidence(incidents, telemetry).groupBy(*KEY).agg(F.count(F.lit(1)).alias(sensor))
+    none = F.lit(0).cast("long")
+    out = asked.join(read, KEY, "left")
+    count = F.count(F.lit(1))
+    out = out.join(_cited(incidents, chunks).groupBy("tenant_id", "error_code").agg(count.alias(manual)), ["tenant_id", "error_code"], "left") if chunks is not None else out.withColumn(manual, none)
+    out = out.join(work_orders.groupBy("tenant_id", "target_entity_id").agg(count.alias(order)), ["tenant_id", "target_entity_id"], "left") if work_orders is not None else out.withColumn(order, none)
+    out = out.na.fill(0, [sensor, manual, order]).filter(F.col(sensor) + F.col(manual) + F.col(order) > 0)
+    return out.select(*KEY, sensor, manual, order)
+
+
+def hypotheses(incidents: DataFrame, telemetry: DataFrame, evidence: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``tenant_id, incident_id, rank, failure_mode, probability, verified, n_evidence``.
 
     The coolant rule fires on its code or on a first temperature reading above
-    its limit; else one unspecified hypothesis.
+    its limit; else one unspecified hypothesis.  ``counts`` (``evidence_counts``) may stand for the evidence.
     """
     first = telemetry.groupBy(*KEY).agg(F.min_by(F.when(metric_has("temp"), F.col("value")), F.when(metric_has("temp"), F.col("seq"))).alias("first_temp"))
-    n = evidence.groupBy(*KEY).agg(*[F.sum((F.col("source_type") == k).cast("long")).alias(f"n_{k}") for k in WEIGHTS])
+    n = counts if counts is not None else count_evidence(evidence)
     base = incidents.select("tenant_id", F.col("id").alias("incident_id"), "error_code").join(first, KEY, "left").join(n, KEY, "left").na.fill(0, [f"n_{k}" for k in WEIGHTS])
     sensor, manual, orders = (F.col(f"n_{k}") for k in WEIGHTS)
     one = lambda rank, mode, p, sure, count: F.struct(F.lit(rank).alias("rank"), F.lit(mode).alias("failure_mode"), F.lit(p).alias("probability"), F.lit(sure).alias("verified"), count.alias("n_evidence"))
@@ -115,11 +146,15 @@ def hypotheses(incidents: DataFrame, telemetry: DataFrame, evidence: DataFrame)
     return base.select(*KEY, F.explode(F.when(F.coalesce(fires, F.lit(False)), coolant).otherwise(other)).alias("h")).select(*KEY, "h.*")
 
 
-def recommendations(found: DataFrame, incidents: DataFrame, evidence: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def _in_all(counts: DataFrame) -> DataFrame:
+    return counts.select(*KEY, reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in WEIGHTS]).alias("n_evidence"))
+
+
+def recommendations(found: DataFrame, incidents: DataFrame, evidence: DataFrame | None = None, nodes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Corrective and preventive rows where the first hypothesis reaches the gate."""
     one = lambda kind, command, role, minutes, cost: F.struct(F.lit(kind).alias("category"), F.lit(command).alias("command_type"), F.lit(role).alias("required_role"), F.lit(minutes).alias("downtime_minutes"), F.lit(cost).alias("cost_usd"))
     both = F.array(one("CORRECTIVE_ACTION", "CREATE_EMERGENCY_WORK_ORDER", "PROCESS_ENGINEER", 45, 140), one("PREVENTIVE_ACTION", "UPDATE_PM_INTERVAL", "PLANT_MANAGER", 15, 50))
-    n = evidence.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_evidence"))
+    n = _in_all(counts if counts is not None else count_evidence(evidence))
     top = found.filter((F.col("rank") == 1) & (F.col("probability") >= GATE)).select(*KEY)
     target = incidents.select("tenant_id", F.col("id").alias("incident_id"), "target_entity_id")
     out = top.join(target, KEY).join(n, KEY, "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
@@ -133,14 +168,17 @@ def with_target_name(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(n, ["tenant_id", "target_entity_id"], "left").withColumn("target_name", F.coalesce("__n", "target_entity_id")).drop("__n")
 
 
-def analyze_incidents(incidents: DataFrame, telemetry: DataFrame, document_hits: DataFrame | None = None, work_orders: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
-    """One row per incident: top hypothesis and probability, counts of hypotheses, recommendations, evidence and unsupported claims, and a summary."""
-    evidence = build_evidence(incidents, telemetry, document_hits, work_orders)
-    h = hypotheses(incidents, telemetry, evidence)
-    r = recommendations(h, incidents, evidence, nodes)
+def analyze_incidents(incidents: DataFrame, telemetry: DataFrame, document_hits: DataFrame | None = None, work_orders: DataFrame | None = None, nodes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """One row per incident: top hypothesis and probability, counts of hypotheses, recommendations, evidence and unsupported claims, and a summary.
+
+    Only the number of evidence rows matters, so ``counts`` (``evidence_counts``) may stand for hits and work orders.
+    """
+    n = counts if counts is not None else materialize(count_evidence(build_evidence(incidents, telemetry, document_hits, work_orders)))
+    h = hypotheses(incidents, telemetry, counts=n)
+    r = recommendations(h, incidents, nodes=nodes, counts=n)
     hs = h.groupBy(*KEY).agg(F.min_by("failure_mode", "rank").alias("top_cause"), F.min_by("probability", "rank").alias("top_probability"), F.count(F.lit(1)).alias("n_hypotheses"), F.sum((F.col("n_evidence") == 0).cast("long")).alias("u1"))
     rs = r.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_recommendations"), F.sum((F.col("n_evidence") == 0).cast("long")).alias("u2"))
-    ev = evidence.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_evidence"))
+    ev = _in_all(n)
     out = incidents.withColumnRenamed("id", "incident_id").join(hs, KEY).join(rs, KEY, "left").join(ev, KEY, "left").na.fill(0, ["n_recommendations", "u2", "n_evidence"])
     out = with_target_name(out, nodes) if nodes is not None else out.withColumn("target_name", F.col("target_entity_id"))
     # The wording of the summary.

@@ -5,7 +5,7 @@ from datetime import datetime
 
 from conftest import DATA
 from opsgraph.functions import text as X
-from opsgraph.operators import audit, graph, search
+from opsgraph.operators import audit, graph, reason, search
 from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
 from pyspark.sql import functions as F
@@ -58,3 +58,18 @@ def test_counts_of_the_connected_equal_their_lists(spark):
         assert len(got) == len(want) and set(got) == want and len({x[3] for x in got}) > 4
         sums = {(r["tenant_id"], r["root_id"], r["plant"], r["n_sensors"], r["n_products"], r["n_maintenance_orders"]) for r in graph.dossier_counts(roots, n, e, as_of).collect()}
         assert sums == {(r["tenant_id"], r["root_id"], r["plant"], len(r["sensors"]), len(r["products"]), len(r["maintenance_orders"])) for r in lists.collect()}
+
+
+def test_evidence_is_counted_without_pairs(spark):
+    """Counts equal those of the evidence rows, and a busy code or asset does not multiply rows."""
+    i = spark.createDataFrame([("t", "a", "A1", "E-4012"), ("t", "b", "A1", "E-4012"), ("t", "c", "A2", "E-77"), ("t", "d", "A3", None), ("u", "a", "A1", "E-4012")], "tenant_id string, id string, target_entity_id string, error_code string")
+    r = [("t", "a", "A1", "temp", 80.0, 40.0, 1), ("t", "a", "A1", "rpm", 80.0, 40.0, 2), ("t", "c", "A2", "rpm", 1.0, 40.0, 3), ("t", "z", "A2", "rpm", 1.0, 40.0, 4)]
+    t = spark.createDataFrame(r, "tenant_id string, incident_id string, entity_id string, metric string, value double, threshold double, seq long")
+    c = [("t", f"k{k}", f"m{k}", "see e-4012 and E-4012 now" if k % 2 else "nothing", ["E-4012"] if k % 3 == 0 else []) for k in range(30)]
+    chunks = spark.createDataFrame(c, "tenant_id string, id string, document_id string, content string, error_codes array<string>").withColumns({"section_header": F.lit("s")})
+    orders = spark.createDataFrame([("t", "A1", f"o{k}") for k in range(40)] + [("t", "A3", "x")], "tenant_id string, target_entity_id string, id string")
+    of_asset = orders.select("tenant_id", "target_entity_id", F.col("id").alias("node_id"), F.col("id").alias("name")).join(i.select("tenant_id", "target_entity_id", F.col("id").alias("incident_id")), ["tenant_id", "target_entity_id"])
+    hits = reason.doc_hits(i, chunks)
+    counts = reason.evidence_counts(i, t, chunks, orders)
+    assert sorted(map(str, counts.collect())) == sorted(map(str, reason.count_evidence(reason.build_evidence(i, t, hits, of_asset)).collect())) and counts.count() == 4
+    assert sorted(map(str, reason.analyze_incidents(i, t, counts=counts).collect())) == sorted(map(str, reason.analyze_incidents(i, t, hits, of_asset).collect()))
