@@ -45,12 +45,12 @@ def reading_alert() -> Column:
     return F.coalesce(F.when(metric_has("temp"), F.col("value") > F.col("threshold")).when(metric_has("press"), F.col("value") < F.col("threshold")), F.lit(False))
 
 
-def first_and_last_breach(telemetry: DataFrame) -> DataFrame:
-    """One row per incident: first breach of each class, last temperature breach, and the count of these."""
+def first_and_last_breach(telemetry: DataFrame, *also: Column) -> DataFrame:
+    """One row per incident (and ``also``, such as a session): first breach of each class, last temperature breach, and the count of these."""
     at = F.struct("ts", "seq")
     row = F.struct("entity_id", "value", "ts")
     pick = lambda f, k: f(F.when(breaches(k), row), F.when(breaches(k), at))
-    return telemetry.groupBy(*KEY).agg(pick(F.min_by, "pressure").alias("p"), pick(F.min_by, "temp").alias("t"), pick(F.min_by, "vib").alias("v"), pick(F.max_by, "temp").alias("t_last"), F.sum(breaches("temp").cast("int")).alias("n_temp"))
+    return telemetry.groupBy(*also, *KEY).agg(pick(F.min_by, "pressure").alias("p"), pick(F.min_by, "temp").alias("t"), pick(F.min_by, "vib").alias("v"), pick(F.max_by, "temp").alias("t_last"), F.sum(breaches("temp").cast("int")).alias("n_temp"))
 
 
 def correlate(telemetry: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:

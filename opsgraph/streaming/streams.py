@@ -147,21 +147,23 @@ def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms:
     elapsed = (F.unix_micros("ts") - F.unix_micros("started_at")) / F.lit(60e6)
     status = action.feedback_status(F.col("value"), F.col("baseline"), F.col("target"), F.col("op"), elapsed, F.col("max_minutes"))
     due = F.unix_micros("started_at") / 1000 + F.col("max_minutes") * 60_000
-    judged = readings.withWatermark("ts", delay).select("execution_id", "ts", F.unix_micros("ts").alias("micros"), "value", elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), "max_minutes")
+    judged = readings.withWatermark("ts", delay).select("execution_id", "ts", F.unix_micros("ts").alias("micros"), F.col("value").cast("double").alias("value"), elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), F.col("max_minutes").cast("double").alias("max_minutes"))
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] is None:
             return
         done, first, status, value, elapsed, last, last_value, close, most = state.get if state.exists else (False, None, None, None, None, None, None, None, None)
-        for r in () if state.hasTimedOut else pd.concat(list(parts)).itertuples():
-            if close is None:
-                close, most = int(r.due_ms) + patience_ms, float(r.max_minutes)
-            if r.micros > close * 1000:
-                continue
-            if r.status != "MONITORING_IN_PROGRESS" and (first is None or (r.micros, r.value) < (first, value)):
-                first, status, value, elapsed = int(r.micros), r.status, float(r.value), float(r.elapsed_minutes)
-            if last is None or (r.micros, r.value) > (last, last_value):
-                last, last_value = int(r.micros), float(r.value)
+        # plain lists: a key has few readings, for which rows of a frame cost more than all else
+        for part in () if state.hasTimedOut else parts:
+            for micros, v, minutes, judged_as, due_ms, longest in zip(*(part[c].tolist() for c in ("micros", "value", "elapsed_minutes", "status", "due_ms", "max_minutes"))):
+                if close is None:
+                    close, most = due_ms + patience_ms, longest
+                if micros > close * 1000:
+                    continue
+                if judged_as != "MONITORING_IN_PROGRESS" and (first is None or (micros, v) < (first, value)):
+                    first, status, value, elapsed = micros, judged_as, v, minutes
+                if last is None or (micros, v) > (last, last_value):
+                    last, last_value = micros, v
         passed = state.getCurrentWatermarkMs()
         settled = first is not None and first <= passed * 1000
         if not done and (settled or passed >= close):
@@ -179,40 +181,12 @@ def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms:
                       "done boolean, first_ts long, status string, value double, elapsed double, last_ts long, last_value double, close_ms long, most double")
 
 
-SIDES = ("pressure", "temp", "vib", "last")
-_KEPT = ", ".join(f"{f}_ts long, {f}_seq long, {f}_entity string, {f}_value double" for f in SIDES)
-
-
 def stream_patterns(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS, delay: str = "10 minutes", quiet_ms: int = 24 * HOUR_MS) -> DataFrame:
-    """All patterns of each incident, drift included, as ``reason.correlate`` gives them, once the incident has been quiet for ``quiet_ms`` of event time."""
-    flags = [reason.breaches(k).alias(k) for k in ("pressure", "temp", "vib")]
-    timed = telemetry.withWatermark("ts", delay).select("tenant_id", "incident_id", "ts", F.unix_micros("ts").alias("micros"), F.col("seq").cast("long").alias("seq"), "entity_id", F.col("value").cast("double").alias("value"), *flags)
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[1] is None:
-            return
-        old = state.get if state.exists else (0, 0, *[None] * 16)
-        n, newest = old[0], old[1]
-        kept = {f: tuple(old[2 + 4 * i : 6 + 4 * i]) for i, f in enumerate(SIDES)}
-        for r in () if state.hasTimedOut else pd.concat(list(parts)).itertuples():
-            newest = max(newest, int(r.micros))
-            row = (int(r.micros), int(r.seq), r.entity_id, None if pd.isna(r.value) else float(r.value))
-            for f in SIDES[:3]:
-                if getattr(r, f) and (kept[f][0] is None or row[:2] < kept[f][:2]):
-                    kept[f] = row
-            if r.temp:
-                n += 1
-                if kept["last"][0] is None or row[:2] > kept["last"][:2]:
-                    kept["last"] = row
-        now = (n, newest, *[x for f in SIDES for x in kept[f]])
-        if state.getCurrentWatermarkMs() > newest // 1000 + quiet_ms:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(key[0], key[1], *now)], columns=["tenant_id", "incident_id", "n_temp", "newest", *[f"{f}_{c}" for f in SIDES for c in ("ts", "seq", "entity", "value")]])
-            return
-        state.update(now)
-        wake(state, newest // 1000 + quiet_ms)
+    """All patterns of each incident, drift included, as ``reason.correlate`` gives them, once the incident has been quiet for ``quiet_ms`` of event time.
 
-    found = with_state(timed, ["tenant_id", "incident_id"], step, f"tenant_id string, incident_id string, n_temp long, newest long, {_KEPT}", f"n_temp long, newest long, {_KEPT}")
-    row = lambda f: F.when(F.col(f"{f}_ts").isNotNull(), F.struct(F.col(f"{f}_entity").alias("entity_id"), F.col(f"{f}_value").alias("value"), F.timestamp_micros(f"{f}_ts").alias("ts")))
-    return reason.patterns(found.select("tenant_id", "incident_id", row("pressure").alias("p"), row("temp").alias("t"), row("vib").alias("v"), row("last").alias("t_last"), "n_temp"), window)
+    An incident's readings are one session, whose state is the sums of ``first_and_last_breach``; after a longer silence its next reading begins another.
+    """
+    timed = telemetry.withWatermark("ts", delay)
+    session = F.session_window("ts", F.lit(f"{quiet_ms} milliseconds"))
+    timed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return reason.patterns(reason.first_and_last_breach(timed, session), window)

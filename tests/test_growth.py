@@ -8,6 +8,7 @@ from opsgraph.functions import text as X
 from opsgraph.operators import audit, graph, reason, search
 from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
+from opsgraph.streaming import streams
 from pyspark.sql import functions as F
 
 
@@ -73,3 +74,10 @@ def test_evidence_is_counted_without_pairs(spark):
     counts = reason.evidence_counts(i, t, chunks, orders)
     assert sorted(map(str, counts.collect())) == sorted(map(str, reason.count_evidence(reason.build_evidence(i, t, hits, of_asset)).collect())) and counts.count() == 4
     assert sorted(map(str, reason.analyze_incidents(i, t, counts=counts).collect())) == sorted(map(str, reason.analyze_incidents(i, t, hits, of_asset).collect()))
+
+
+def test_patterns_need_no_python_per_incident(spark, tmp_path):
+    schema = "tenant_id string, incident_id string, entity_id string, metric string, value double, threshold double, ts timestamp, seq long"
+    found = streams.stream_patterns(streams.file_stream(spark, schema, str(tmp_path)))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert found.isStreaming and "session_window" in plan and "InPandas" not in plan
