@@ -13,13 +13,19 @@ new folder without what is gone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.text import bm25_tokens
 from .graph import materialize
-from .search import bm25_index, rank_hits
+from .search import count_terms, postings_of, rank_hits
 
 BLOCK = 128
 BUCKETS = 64
@@ -29,21 +35,56 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+_SCHEMA = "tenant_id string, term string, of bigint, block bigint, bucket int, entries array<struct<chunk_id: string, tf: bigint, len: int>>, most_tf bigint, least_len int"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows ``tenant_id, term, of, block, bucket, chunk_id, tf, len`` of one block as one row; the last block of a batch waits for the next."""
+    rest = None
+    for batch in chain(batches, [None]):
+        rows = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks().to_batches() if batch is not None or rest is not None else []
+        if not rows:
+            continue
+        rows, = rows
+        new = np.zeros(len(rows), bool)
+        new[0] = True
+        for i in range(4):
+            c = rows.column(i)
+            new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        stop = len(rows) if batch is None else int(starts[-1])
+        rest = None if batch is None else rows.slice(stop)
+        if not stop:
+            continue
+        rows, starts = rows.slice(0, stop), starts[starts < stop]
+        chunk, tf, length = (rows.column(i) for i in (5, 6, 7))
+        entries = pa.StructArray.from_arrays([chunk, tf, length], names=["chunk_id", "tf", "len"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, stop), pa.int32()), entries)
+        most, least = np.maximum.reduceat(tf.to_numpy(), starts), np.minimum.reduceat(length.to_numpy(), starts)
+        at = pa.array(starts)
+        yield pa.RecordBatch.from_arrays([*(rows.column(i).take(at) for i in range(5)), lists, pa.array(most), pa.array(least)], names=["tenant_id", "term", "of", "block", "bucket", "entries", "most_tf", "least_len"])
+
+
 def _write(postings: DataFrame, lengths: DataFrame, path: str, block: int, buckets: int) -> None:
-    postings = materialize(postings.join(lengths, ["tenant_id", "chunk_id"]))
+    """Append ``postings(tenant_id, term, chunk_id, tf, len)``: they are shuffled once, to their blocks."""
+    postings = postings.filter("term IS NOT NULL")
+    # a term's postings are dealt to as many blocks as its number asks for, so a frequent term is many rows; only frequent terms are joined
     df = postings.groupBy("tenant_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    # a term's postings are dealt to as many blocks as its number asks for, so a frequent term is many rows
-    dealt = postings.join(df, ["tenant_id", "term"]).withColumn("of", F.ceil(F.col("df") / block)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("of")))
-    rows = dealt.groupBy("tenant_id", "term", "of", "block").agg(F.collect_list(F.struct("chunk_id", "tf", "len")).alias("entries"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"))
-    rows.withColumn("bucket", _bucket(buckets)).write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
+    frequent = materialize(df.filter(F.col("df") > block).select("tenant_id", "term", F.ceil(F.col("df") / block).alias("of")))
+    dealt = postings.join(frequent, ["tenant_id", "term"], "left").withColumn("of", F.coalesce("of", F.lit(1).cast("bigint"))).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("of")))
+    dealt = dealt.withColumn("bucket", _bucket(buckets)).withColumn("h", F.xxhash64("tenant_id", "term", "of", "block"))
+    # a task gets about eight parts of buckets and writes a file for each; the rows of a block are neighbours by one number
+    parts = max(1, 8 * int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    near = dealt.repartition("bucket", F.pmod("h", F.lit(parts))).sortWithinPartitions(F.shiftleft(F.col("bucket").cast("bigint"), 48).bitwiseOR(F.shiftrightunsigned("h", 16)))
+    rows = near.select("tenant_id", "term", "of", "block", "bucket", "chunk_id", F.col("tf").cast("bigint").alias("tf"), F.col("len").cast("int").alias("len")).mapInArrow(_blocks, _SCHEMA)
+    rows.write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
     lengths.write.mode("append").parquet(f"{path}/lengths")
 
 
 def add_chunks(chunks: DataFrame, path: str, block: int = BLOCK, buckets: int = BUCKETS) -> None:
     """Append new chunks to the index below ``path``."""
-    postings, lengths = bm25_index(chunks)
-    seq = chunks.select("tenant_id", F.col("id").alias("chunk_id"), "chunk_seq")
-    _write(postings, materialize(lengths.join(seq, ["tenant_id", "chunk_id"])), path, block, buckets)
+    counted = count_terms(chunks, keep=("chunk_seq",))
+    _write(postings_of(counted, "len"), counted.select("tenant_id", "chunk_id", "len", "chunk_seq"), path, block, buckets)
 
 
 def remove_chunks(gone: DataFrame, path: str) -> None:
@@ -66,9 +107,9 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFra
 
 def compact(spark: SparkSession, path: str, to: str, block: int = BLOCK, buckets: int = BUCKETS) -> None:
     """Write the live part of an index as a new one."""
-    blocks, lengths, _ = _read(spark, path)
-    postings = blocks.select("tenant_id", "term", F.explode("entries").alias("e")).select("tenant_id", "term", "e.chunk_id", "e.tf")
-    _write(postings, materialize(lengths), to, block, buckets)
+    blocks, lengths, gone = _read(spark, path)
+    postings = blocks.select("tenant_id", "term", F.explode("entries").alias("e")).select("tenant_id", "term", "e.*").join(gone, ["tenant_id", "chunk_id"], "left_anti")
+    _write(materialize(postings), materialize(lengths), to, block, buckets)
 
 
 def search_index(spark: SparkSession, queries: DataFrame, path: str, k: int = 10, buckets: int = BUCKETS, bounds: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -3,9 +3,10 @@
 import random
 from datetime import datetime
 
+import pyarrow as pa
 from conftest import DATA
 from opsgraph.functions import text as X
-from opsgraph.operators import audit, graph, reason, search
+from opsgraph.operators import audit, graph, postings, reason, search
 from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
 from opsgraph.streaming import streams
@@ -81,3 +82,40 @@ def test_patterns_need_no_python_per_incident(spark, tmp_path):
     found = streams.stream_patterns(streams.file_stream(spark, schema, str(tmp_path)))
     plan = found._jdf.queryExecution().analyzed().toString()
     assert found.isStreaming and "session_window" in plan and "InPandas" not in plan
+
+
+def _chunks(spark, texts, codes=None):
+    rows = [("t", f"c{i}", i, x, (codes or {}).get(i, [])) for i, x in enumerate(texts)]
+    return spark.createDataFrame(rows, "tenant_id string, id string, n long, content string, error_codes array<string>").select("*", F.struct(F.col("n").alias("seq")).alias("chunk_seq"))
+
+
+def test_terms_are_counted_where_the_chunk_stands(spark):
+    """No token or term is shuffled; hyphens, codes, nulls, other letters and terms beyond the broadcast."""
+    chunks = _chunks(spark, ["A-1 a1 - x", None, "", "\u0130x \u212a e-4012", "x " * 500], {0: ["E-7", None], 1: ["E-7"]})
+    terms, lengths = search.bm25_index(chunks)
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString() + lengths._jdf.queryExecution().executedPlan().toString()
+    got = {(r["chunk_id"], r["term"]): r["tf"] for r in terms.collect()}
+    assert got == {("c0", "a-1"): 1, ("c0", "a1"): 2, ("c0", "-"): 1, ("c0", ""): 1, ("c0", "x"): 1, ("c0", "e-7"): 5, ("c0", None): 5, ("c1", "e-7"): 5,
+                   ("c3", "i"): 1, ("c3", "x"): 1, ("c3", "k"): 1, ("c3", "e-4012"): 1, ("c3", "e4012"): 1, ("c4", "x"): 500}
+    assert {r["chunk_id"]: r["len"] for r in lengths.collect()} == {"c0": 6, "c1": 0, "c2": 0, "c3": 5, "c4": 500}
+    asked = spark.createDataFrame([("t", "x"), ("t", "e-7"), ("u", "k")], "tenant_id string, term string")
+    for most in (0, 1 << 20):
+        some = search.count_terms(chunks, asked, most=most)
+        assert {(r["chunk_id"], r["term"]): r["tf"] for r in search.postings_of(some).collect()} == {k: n for k, n in got.items() if k[1] in ("x", "e-7")}
+        assert {r["chunk_id"]: r["len"] for r in some.collect()} == {"c0": 6, "c1": 0, "c2": 0, "c3": 5, "c4": 500}
+
+
+def test_blocks_come_from_sorted_rows(spark, tmp_path):
+    """Every posting stands in one block, blocks go over the edges of batches, and a term has no more rows than blocks."""
+    rows = [("t", f"w{w}", 3, b, w % 4, f"c{w}.{b}.{i}", i + 1, 9 - i % 5) for w in range(7) for b in range(3) for i in range(11 * (w % 3) + 1)]
+    names = ["tenant_id", "term", "of", "block", "bucket", "chunk_id", "tf", "len"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    for size in (1, 5, 1000):
+        found = [r for b in postings._blocks(whole.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert len(found) == 21 and [(r["term"], r["block"], e["chunk_id"], e["tf"], e["len"]) for r in found for e in r["entries"]] == [(x[1], x[3], *x[5:]) for x in rows]
+        assert all(r["most_tf"] == max(e["tf"] for e in r["entries"]) and r["least_len"] == min(e["len"] for e in r["entries"]) for r in found)
+    assert not list(postings._blocks(iter([])))
+    postings.add_chunks(_chunks(spark, ["x y"] * 300 + ["z"]), f"{tmp_path}/i", 100)
+    found = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/i/blocks").select("term", "of", F.size("entries")).collect()]
+    assert sum(n for *_, n in found) == 601 and sorted((t, of) for t, of, _ in found) == [("x", 3)] * 3 + [("y", 3)] * 3 + [("z", 1)]
