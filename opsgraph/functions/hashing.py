@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from .numeric import DIM
 
@@ -60,45 +60,93 @@ def word_terms(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
 
 
-def _embeddings(parts: Iterator[pd.Series], dim: int) -> Iterator[pd.Series]:
-    grams: dict[str, int] = {}  # of letters and digits, so at most 36 ** 4
-
-    def place(term: str) -> int:
-        a, b = hashlib.md5(term.encode()).digest()[:2]
-        return (a << 8 | b) % dim
-
-    def vectors(part: pd.Series) -> list[np.ndarray]:
-        texts = [(t or "").split() for t in part]
-        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        # each distinct word of a slice is hashed once
-        codes, known = pd.factorize(np.array(list(chain.from_iterable(texts)), dtype=object))
-        buckets: list[int] = []
-        sizes = np.empty(len(known), int)
-        for k, word in enumerate(known):
-            sizes[k] = max(1, len(word) - 2)
-            buckets.append(place(word))
-            for i in range(len(word) - 3):
-                g = word[i : i + 4]
-                if g not in grams:
-                    grams[g] = place(g)
-                buckets.append(grams[g])
-        first = np.cumsum(sizes) - sizes
-        weights = np.full(len(buckets), 0.5)
-        weights[first] = 2.0
-        n = sizes[codes]
-        at = np.repeat(first[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        dense = np.bincount(np.repeat(rows, n) * dim + np.array(buckets, int)[at], weights[at], len(part) * dim).reshape(len(part), dim)
-        norm = np.sqrt((dense * dense).sum(axis=1))
-        return list(dense / np.where(norm > 0, norm, 1.0)[:, None])
+_TO_BLANKS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+_DIGITS = np.array([_TO_BLANKS[c] - (97 if c > 57 else 22) if _TO_BLANKS[c] != 32 else 36 for c in range(256)], np.int32)  # a-z, 0-9, and 36 for blanks
+_KNOWN_WORDS, _KNOWN_BYTES = 1 << 18, 32  # words whose buckets a task keeps, and their greatest length
+_PIECE = 1 << 20
+
+
+class _Places(dict):
+    """The bucket of each word, hashed where it is met first."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def place(self, term: bytes) -> int:
+        a, b = hashlib.md5(term).digest()[:2]
+        return (a << 8 | b) % self.dim
+
+    def __missing__(self, word: bytes) -> int:
+        at = self.place(word)
+        if len(word) <= _KNOWN_BYTES and len(self) < _KNOWN_WORDS:
+            self[word] = at
+        return at
+
+
+def _pieces(texts: Iterator[bytes], most: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Texts and their rows by about ``most`` bytes; a longer text is cut at blanks."""
+    held, rows, size = [], [], 0
+    for row, text in enumerate(texts):
+        first = 0
+        while first < len(text):
+            stop = text.find(b" ", first + most) if len(text) - first > most else -1
+            stop = len(text) if stop < 0 else stop
+            held.append(text[first:stop])
+            rows.append(row)
+            size += stop - first
+            first = stop
+            if size >= most:
+                yield held, rows
+                held, rows, size = [], [], 0
+    if held:
+        yield held, rows
+
+
+def _embeddings(parts: Iterator[pa.Array], dim: int, piece: int = _PIECE) -> Iterator[pa.Array]:
+    words = _Places(dim)
+    grams = np.full(36**4, -1, np.int32)  # the bucket of each 4-gram of letters and digits, -1 where none was met
+
+    def add(dense: np.ndarray, texts: list[bytes], rows: list[int]) -> None:
+        joined = b" ".join(texts) + b" "
+        c = _DIGITS[np.frombuffer(joined, np.uint8)]
+        low = rows[0]
+        row = np.repeat(np.array(rows) - low, [len(t) + 1 for t in texts])
+        n = rows[-1] - low + 1
+        blank = c == 36
+        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        at = np.fromiter(map(words.__getitem__, joined.split()), np.int64, len(starts))
+        dense[low : low + n] += 4 * np.bincount(row[starts] * dim + at, minlength=n * dim).reshape(n, dim)
+        if len(c) < 4:
+            return
+        whole = np.flatnonzero(~(blank[:-3] | blank[1:-2] | blank[2:-1] | blank[3:]))
+        code = (((c[:-3] * 36 + c[1:-2]) * 36 + c[2:-1]) * 36 + c[3:])[whole]
+        at = grams[code]
+        if len(at) and at.min() < 0:
+            new = np.flatnonzero(at < 0)
+            for gram, k in zip(*np.unique(code[new], return_index=True)):
+                i = whole[new[k]]
+                grams[gram] = words.place(joined[i : i + 4])
+            at = grams[code]
+        dense[low : low + n] += np.bincount(row[whole] * dim + at, minlength=n * dim).reshape(n, dim)
 
     for part in parts:
-        yield pd.Series([v for i in range(0, len(part), 512) for v in vectors(part[i : i + 512])])
+        dense = np.zeros((len(part), dim))
+        texts = ((t or b"").translate(_TO_BLANKS) for i in range(0, len(part), 512) for t in part[i : i + 512].to_pylist())
+        for some, rows in _pieces(texts, piece):
+            add(dense, some, rows)
+        dense *= 0.5  # sums of halves are exact in any order
+        norm = np.sqrt((dense * dense).sum(axis=1))
+        dense /= np.where(norm > 0, norm, 1.0)[:, None]
+        yield pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dim, pa.int32()), pa.array(dense.reshape(-1)))
 
 
 def with_embedding(df: DataFrame, key: list[str], text: str = "text", name: str = "embedding", dim: int = DIM) -> DataFrame:
     """Add a unit vector per row: each word adds 2.0 to its bucket, each 4-gram of a word 0.5; no words, zeros.
 
-    A row's vector depends on its text alone, so no row moves; ``key`` is not used.
+    A row's vector depends on its text alone, so no row moves; ``key`` is not used.  A task
+    keeps the buckets of the words that it met first, so these are hashed once.
     """
-    run = F.pandas_udf(lambda parts: _embeddings(parts, dim), "array<double>", F.PandasUDFType.SCALAR_ITER)
-    return df.withColumn(name, run(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]", " ")))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _embeddings(parts, dim)
+
+    return df.withColumn(name, F.arrow_udf(run, "array<double>", ArrowUDFType.SCALAR_ITER)(F.lower(F.col(text)).cast("binary")))

@@ -114,7 +114,8 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
     sizes = np.diff(column.offsets.to_numpy())
     by = defaultdict(list)
     for i, key in enumerate(zip(batch.column(0).to_pylist(), sizes.tolist())):
-        by[key].append(i)
+        if key[1]:
+            by[key].append(i)
     for (tenant, d), at in by.items():
         some = batch.take(pa.array(at))
         yield (tenant, d), some.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, d), list(zip(some.column(2).to_pylist(), some.column(1).to_pylist()))
@@ -130,7 +131,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 3, max
     asked = materialize(queries.select("tenant_id", F.col("query_id").cast("string").alias("query_id"), "embedding").filter("size(embedding) > 0"))
     size = asked.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
     pieces = max(1, -(-size // max_query_bytes))
-    rows = vectors.filter("size(embedding) > 0").select("tenant_id", F.col("chunk_id").cast("string").alias("chunk_id"), "place", "embedding")
+    # a filter on embeddings would compute them twice where they come from a function, so the tasks leave empty ones out
+    rows = vectors.select("tenant_id", F.col("chunk_id").cast("string").alias("chunk_id"), "place", "embedding")
 
     def search(part: DataFrame) -> DataFrame:
         sent = asked.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 from conftest import DATA
+from opsgraph.functions import hashing
 from opsgraph.functions import text as X
-from opsgraph.operators import audit, graph, postings, reason, search
+from opsgraph.operators import audit, graph, nearest, postings, reason, search
 from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
 from opsgraph.streaming import streams
@@ -119,3 +121,30 @@ def test_blocks_come_from_sorted_rows(spark, tmp_path):
     postings.add_chunks(_chunks(spark, ["x y"] * 300 + ["z"]), f"{tmp_path}/i", 100)
     found = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/i/blocks").select("term", "of", F.size("entries")).collect()]
     assert sum(n for *_, n in found) == 601 and sorted((t, of) for t, of, _ in found) == [("x", 3)] * 3 + [("y", 3)] * 3 + [("z", 1)]
+
+
+def test_embeddings_are_computed_once(spark):
+    chunks = search.embed_chunks(_chunks(spark, ["thermal heat", None]))
+    asked = chunks.filter("id = 'c0'").select("tenant_id", F.col("id").alias("query_id"), "embedding")
+    plan = search.vector_search(asked, chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r["chunk_id"] for r in nearest.nearest(asked, chunks.select("tenant_id", F.col("id").alias("chunk_id"), F.array("n").alias("place"), F.when(F.col("id") == "c0", F.col("embedding")).alias("embedding")), 3).collect()] == ["c0"]
+
+
+def test_embeddings_of_pieces_equal_those_of_texts():
+    texts = [b"abcd abcde x", None, b"", b"-- --", b"q" * 90 + b" ab", b"z9z9 " * 400, "\u00e9a abcd".encode()]
+    whole, cut = (list(hashing._embeddings(iter([pa.array(texts, pa.binary())] * 2), 64, n)) for n in (1 << 20, 3))
+    assert [x.to_pylist() for x in whole] == [x.to_pylist() for x in cut]
+    v = np.zeros(64)
+    for term, w in [("abcd", 2.5), ("abcde", 2.0), ("abcd", 0.5), ("bcde", 0.5), ("x", 2.0)]:
+        a, b = __import__("hashlib").md5(term.encode()).digest()[:2]
+        v[(a << 8 | b) % 64] += w
+    assert np.allclose(whole[0].to_pylist()[0], v / np.sqrt(v @ v), atol=1e-15) and whole[0].to_pylist()[1] == [0.0] * 64
+
+
+def test_a_small_frontier_does_not_shuffle_the_graph(spark):
+    nodes = spark.range(50).select(F.lit("t").alias("tenant_id"), F.format_string("n%d", "id").alias("id"))
+    asked = spark.createDataFrame([("t", "n1"), ("t", "n1"), ("t", "none")], "tenant_id string, id string")
+    some = graph._exist(asked, nodes)
+    assert [r["id"] for r in some.collect()] == ["n1"] and graph._exist(asked, nodes, 2) is nodes
+    assert "Exchange hashpartitioning(tenant_id" not in some.select("id")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
