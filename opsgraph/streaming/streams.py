@@ -15,7 +15,9 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,6 +26,8 @@ from ..operators import action, ingest, reason
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_MS = 3_600_000
+MONITORING = "MONITORING_IN_PROGRESS"
+FEEDBACK_PARTS = 512
 
 
 def with_state(rows: DataFrame, keys: list[str], step, schema: str, state: str, timeout: str = GroupStateTimeout.EventTimeTimeout) -> DataFrame:
@@ -137,48 +141,66 @@ def stream_rate_guard(actions: DataFrame, limit: int = 5, delay: str = "10 minut
     return found.select("tenant_id", "entity_id", F.timestamp_micros("micros").alias("ts"), "n")
 
 
-def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms: int = 24 * HOUR_MS) -> DataFrame:
+def pack(rows: pd.DataFrame) -> bytes:
+    """``rows`` as one Arrow stream, the form in which a table is kept as state."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(state: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(state).read_pandas()
+
+
+def decisive(readings: pd.DataFrame) -> pd.DataFrame:
+    """Of each execution the one reading that counts: the one that was told, else the first that settles, else the last that has a value."""
+    waits = readings["status"] == MONITORING
+    order = {"waits": waits, "blank": waits & readings["value"].isna(), "at": readings["micros"].where(~waits, -readings["micros"]), "tie": readings["value"].where(~waits, -readings["value"])}
+    found = readings.assign(**order).sort_values(["told", *order], ascending=[False, *[True] * len(order)])
+    return found.drop_duplicates("execution_id").drop(columns=list(order))
+
+
+def stream_feedback(readings: DataFrame, delay: str = "10 minutes", patience_ms: int = 24 * HOUR_MS, parts: int = FEEDBACK_PARTS) -> DataFrame:
     """Closed-loop feedback per execution over a stream of its readings.
 
     Input: ``execution_id, ts, started_at, value, baseline, target, op, max_minutes``.  An execution is settled once, by
     the first reading (by its time) that resolves, deteriorates or comes after its window, or, where none does within
-    ``patience_ms`` after the window, by that time (then with its last value).  Readings after that are ignored.
+    ``patience_ms`` after the window, by that time (then with its last value).  Readings after that are ignored, and so
+    are those without a start or a window.
+
+    Executions are dealt by hash to ``parts`` keys.  A key's state is a table with one reading of each of its open
+    executions, and a call into Python serves them all, so calls do not grow with the executions.  A checkpoint holds for the ``parts`` it was begun with.
     """
     elapsed = (F.unix_micros("ts") - F.unix_micros("started_at")) / F.lit(60e6)
     status = action.feedback_status(F.col("value"), F.col("baseline"), F.col("target"), F.col("op"), elapsed, F.col("max_minutes"))
-    due = F.unix_micros("started_at") / 1000 + F.col("max_minutes") * 60_000
-    judged = readings.withWatermark("ts", delay).select("execution_id", "ts", F.unix_micros("ts").alias("micros"), F.col("value").cast("double").alias("value"), elapsed.alias("elapsed_minutes"), status.alias("status"), due.cast("long").alias("due_ms"), F.col("max_minutes").cast("double").alias("max_minutes"))
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:
-            return
-        done, first, status, value, elapsed, last, last_value, close, most = state.get if state.exists else (False, None, None, None, None, None, None, None, None)
-        # plain lists: a key has few readings, for which rows of a frame cost more than all else
-        for part in () if state.hasTimedOut else parts:
-            for micros, v, minutes, judged_as, due_ms, longest in zip(*(part[c].tolist() for c in ("micros", "value", "elapsed_minutes", "status", "due_ms", "max_minutes"))):
-                if close is None:
-                    close, most = due_ms + patience_ms, longest
-                if micros > close * 1000:
-                    continue
-                if judged_as != "MONITORING_IN_PROGRESS" and (first is None or (micros, v) < (first, value)):
-                    first, status, value, elapsed = micros, judged_as, v, minutes
-                if last is None or (micros, v) > (last, last_value):
-                    last, last_value = micros, v
+    close = (F.unix_micros("started_at") / 1000 + F.col("max_minutes") * 60_000).cast("long") + patience_ms
+    # one condition on ts, so that it stays above the watermark, which the end marker has to move
+    counts = F.coalesce(F.col("execution_id").isNotNull() & (F.unix_micros("ts") <= close * 1000), F.lit(False))
+    judged = readings.withWatermark("ts", delay).filter(counts).select(
+        F.pmod(F.xxhash64("execution_id"), F.lit(parts)).alias("part"), "ts", "execution_id", F.unix_micros("ts").alias("micros"), F.col("value").cast("double").alias("value"), elapsed.alias("elapsed_minutes"),
+        status.alias("status"), close.alias("close_ms"), F.col("max_minutes").cast("double").alias("max_minutes"), F.lit(False).alias("told"))
+
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         passed = state.getCurrentWatermarkMs()
-        settled = first is not None and first <= passed * 1000
-        if not done and (settled or passed >= close):
-            done = True
-            row = (key[0], status, value, elapsed) if first is not None else (key[0], "TIMEOUT_FAILED", last_value, most)
-            yield pd.DataFrame([row], columns=["execution_id", "status", "value", "elapsed_minutes"])
-        if passed >= close:
-            if state.exists:
-                state.remove()
-            return
-        state.update((done, first, status, value, elapsed, last, last_value, close, most))
-        wake(state, close if done or first is None else min(close, first // 1000))
+        held = [unpack(state.get[0])] if state.exists else []
+        held += [] if state.hasTimedOut else [decisive(c.drop(columns=["part", "ts"])) for c in chunks]
+        rows = decisive(pd.concat(held, ignore_index=True))
+        waits, over = rows["status"] == MONITORING, rows["close_ms"] <= passed
+        settled = ~waits & (rows["micros"] <= passed * 1000)
+        now = rows[~rows["told"] & (settled | over)]
+        late = now["status"] == MONITORING
+        rest = rows.assign(told=rows["told"] | settled)[~over]
+        if len(rest):
+            state.update((pack(rest),))
+            due = rest["close_ms"].where(rest["told"] | waits[rest.index], np.minimum(rest["close_ms"], rest["micros"] // 1000))
+            wake(state, due.min())
+        elif state.exists:
+            state.remove()
+        if len(now):
+            yield now.assign(status=now["status"].where(~late, "TIMEOUT_FAILED"), elapsed_minutes=now["elapsed_minutes"].where(~late, now["max_minutes"]))[["execution_id", "status", "value", "elapsed_minutes"]]
 
-    return with_state(judged, ["execution_id"], step, "execution_id string, status string, value double, elapsed_minutes double",
-                      "done boolean, first_ts long, status string, value double, elapsed double, last_ts long, last_value double, close_ms long, most double")
+    return with_state(judged, ["part"], step, "execution_id string, status string, value double, elapsed_minutes double", "open binary")
 
 
 def stream_patterns(telemetry: DataFrame, window: int = reason.WINDOW_SECONDS, delay: str = "10 minutes", quiet_ms: int = 24 * HOUR_MS) -> DataFrame:

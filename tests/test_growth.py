@@ -9,6 +9,7 @@ from conftest import DATA
 from opsgraph.functions import hashing
 from opsgraph.functions import text as X
 from opsgraph.operators import audit, graph, nearest, postings, reason, search
+from opsgraph.plans import queries
 from opsgraph.plans.adapters import load
 from opsgraph.sources import sinks
 from opsgraph.streaming import streams
@@ -86,6 +87,30 @@ def test_patterns_need_no_python_per_incident(spark, tmp_path):
     assert found.isStreaming and "session_window" in plan and "InPandas" not in plan
 
 
+def test_feedback_calls_do_not_grow_with_executions(spark, tmp_path):
+    """Executions share keys of the state, so one call into Python serves many; each is settled once."""
+    n = 3 * streams.FEEDBACK_PARTS
+    rows = spark.range(2 * n).select(F.format_string("x%d", F.col("id") % n).alias("execution_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("started_at"),
+                                     F.when(F.col("id") % 2 == 0, 29.0).otherwise(40.0).alias("value"), F.lit(45.0).alias("baseline"), F.lit(30.0).alias("target"), F.lit("<=").alias("op"), F.lit(60.0).alias("max_minutes"))
+    rows.write.parquet(f"{tmp_path}/in")
+    streams.end_marker(spark.read.parquet(f"{tmp_path}/in"), "ts", "40 HOURS").write.mode("append").parquet(f"{tmp_path}/in")
+    found = streams.stream_feedback(streams.file_stream(spark, rows.schema, f"{tmp_path}/in"))
+    query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    keys = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(keys) <= streams.FEEDBACK_PARTS < n
+    got = {r["execution_id"]: (r["status"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == n and got == {f"x{k}": ("TIMEOUT_FAILED", 40.0) if k % 2 else ("RESOLVED_HEALTHY", 29.0) for k in range(n)}
+
+
+def test_tables_landed_as_many_files_lose_no_rows(spark):
+    """More files than two batches of a live stream take, the latest first."""
+    day = F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") * 86_400)
+    rows = spark.range(0, 240, 1, 240).select(F.format_string("x%d", "id").alias("execution_id"), day.alias("ts"), day.alias("started_at"), F.lit(29.0).alias("value"), F.lit(45.0).alias("baseline"), F.lit(30.0).alias("target"), F.lit("<=").alias("op"), F.lit(60.0).alias("max_minutes"))
+    told = queries._streamed(spark, "many", rows, lambda s, root: queries._to_parquet(streams.stream_feedback(s, "1 hour"), root), "40 HOURS")
+    assert sorted(r[0] for r in told.collect()) == sorted(f"x{k}" for k in range(240))
+
+
 def _chunks(spark, texts, codes=None):
     rows = [("t", f"c{i}", i, x, (codes or {}).get(i, [])) for i, x in enumerate(texts)]
     return spark.createDataFrame(rows, "tenant_id string, id string, n long, content string, error_codes array<string>").select("*", F.struct(F.col("n").alias("seq")).alias("chunk_seq"))

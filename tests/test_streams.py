@@ -58,6 +58,56 @@ def test_feedback_by_event_time(spark, tmp_path, per_batch, turn):
     assert sorted(tuple(r) for r in got) == [("late", "TIMEOUT_FAILED", 40.0, 90.0), ("never", "RESOLVED_HEALTHY", 29.0, 70.0), ("ok", "DETERIORATING", 50.0, 10.0), ("open", "TIMEOUT_FAILED", 39.0, 60.0)]
 
 
+FEEDBACK = "execution_id string, ts timestamp, started_at timestamp, value double, baseline double, target double, op string, max_minutes double"
+
+
+@pytest.mark.parametrize("per_batch, parts", [(1, 3), (100, 3), (1, 512)])
+def test_feedback_equals_its_definition(spark, tmp_path, per_batch, parts):
+    """Ties, nulls, readings after the end and executions without a start or window, in random files."""
+    rng = random.Random(per_batch * parts)
+    ends = {f"e{k}": (at(rng.randrange(600)), rng.choice(["<", ">=", "?"]), rng.choice([30.0, 90.0])) for k in range(60)}
+    readings = [(e, t0 + timedelta(minutes=rng.randrange(-5, 1700, 5)), t0, rng.choice([None, 35.0, 40.0, 44.9, 45.1, 45.5, 60.0, 29.0]), 45.0, 30.0 if op == "<" else 50.0, op, most)
+                for e, (t0, op, most) in ends.items() for _ in range(rng.randrange(1, 9))]
+    odd = [("none", at(5), None, 29.0, 45.0, 30.0, "<=", 60.0), ("none", at(5), at(0), 29.0, 45.0, 30.0, "<=", None), (None, at(5), at(0), 29.0, 45.0, 30.0, "<=", 60.0)]
+
+    def judged(r):
+        _, ts, t0, v, base, target, op, most = r
+        if v is not None and op == "<" and (v < target or v > base + 1):
+            return "RESOLVED_HEALTHY" if v < target else "DETERIORATING"
+        if v is not None and op == ">=" and (v >= target or v < base - 0.2):
+            return "RESOLVED_HEALTHY" if v >= target else "DETERIORATING"
+        return "TIMEOUT_FAILED" if ts > t0 + timedelta(minutes=most) else None
+
+    want = []
+    for e, (t0, _, most) in ends.items():
+        mine = [r for r in readings if r[0] == e and r[1] <= t0 + timedelta(minutes=most, hours=24)]
+        settle = sorted((r[1], r[3] is None, r[3] or 0.0, judged(r)) for r in mine if judged(r))
+        if settle:
+            ts, blank, v, status = settle[0]
+            want.append((e, status, None if blank else v, (ts - t0) / timedelta(minutes=1)))
+        elif mine:
+            want.append((e, "TIMEOUT_FAILED", max([(r[1], r[3]) for r in mine if r[3] is not None], default=(0, None))[1], most))
+    rows = [*readings, *odd]
+    rng.shuffle(rows)
+    path, shape = land(spark, tmp_path, [rows[k::5] for k in range(5)], FEEDBACK, "60 HOURS")
+    got = drain(streams.stream_feedback(streams.file_stream(spark, shape, path, per_batch), "48 hours", parts=parts), tmp_path)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len({w[1] for w in want}) == 3
+
+
+def test_feedback_is_told_early_and_once(spark, tmp_path):
+    """A settled execution is told when the watermark passes its reading, long before its end; a reading after its end tells nothing again."""
+    row = lambda e, m, v: (e, at(m), at(0), v, 45.0, 30.0, "<=", 60.0)
+    path, shape = land(spark, tmp_path, [[row("a", 10, 29.0), row("b", 20, 40.0)], [row("b", 30, None)], [row("z", 200, 40.0)]], FEEDBACK, None)
+    run = lambda: streams.stream_feedback(streams.file_stream(spark, shape, path, 1), "1 hour", parts=1).writeStream.format("parquet").option("path", f"{tmp_path}/told").option("checkpointLocation", f"{tmp_path}/told-state").trigger(availableNow=True).start().awaitTermination()
+    told = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/told").collect())
+    run()
+    assert told() == [("a", "RESOLVED_HEALTHY", 29.0, 10.0)]
+    for rows in ([row("a", 50 * 60, 60.0)], [row("a", 51 * 60, 60.0), row("b", 51 * 60, 29.0)], [row("z", 90 * 60, 29.0)]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(path)
+        run()
+    assert told() == [("a", "RESOLVED_HEALTHY", 29.0, 10.0), ("b", "TIMEOUT_FAILED", 40.0, 60.0), ("z", "TIMEOUT_FAILED", 40.0, 200.0)]
+
+
 @pytest.mark.parametrize("per_batch", [1, 100])
 def test_patterns_equal_the_batch(spark, tmp_path, per_batch):
     rng = random.Random(3)
